@@ -1,0 +1,205 @@
+"""Group tests for each feature: t, ranks, variances, Kruskal-Wallis, detection, false-discovery rates.
+
+Cells are (feature_id, sample_id, value, grp); a null value is missing. Everything of a feature is computed from sums of
+(feature, group), so that a test costs one shuffle on feature_id; a feature has no more rows than there are samples.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.tails import chi2_p, f_p, normal_p, t_p
+
+
+def group_moments(cells: DataFrame, *key: str) -> DataFrame:
+    return cells.groupBy(*key, "grp").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+
+
+def pairs(of: DataFrame, *key: str) -> DataFrame:
+    """Each pair of groups of a key, the first by name as 1: columns x1, x2 for each column x of `of`."""
+    rest = [c for c in of.columns if c not in key]
+    left, right = (of.select(*key, *(F.col(c).alias(f"{c}{k}") for c in rest)) for k in (1, 2))
+    return left.join(right, list(key)).where("grp1 < grp2")
+
+
+def welch(moments: DataFrame, *key: str, with_p: bool = True) -> DataFrame:
+    """T, df and p of Welch's test for each key and pair of groups; null with under two values on a side.
+
+    With both deviations under 1e-12 p is 1 and t is null.
+    """
+    of = pairs(moments, *key)
+    e1, e2 = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
+    enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
+    flat = (F.col("var1") < 1e-24) & (F.col("var2") < 1e-24)
+    of = of.withColumn("t", F.when(enough & ~flat, (F.col("mean1") - F.col("mean2")) / F.sqrt(e1 + e2)))
+    of = of.withColumn("df", F.when(enough & ~flat, (e1 + e2) ** 2 / (e1**2 / (F.col("n1") - 1) + e2**2 / (F.col("n2") - 1))))
+    return of.withColumn("p", F.when(enough & flat, F.lit(1.0)).otherwise(t_p("t", "df"))) if with_p else of
+
+
+def student(moments: DataFrame, *key: str) -> DataFrame:
+    """T and df with a pooled variance."""
+    of = pairs(moments, *key)
+    df = F.col("n1") + F.col("n2") - 2
+    pooled = ((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / df
+    enough = (F.col("n1") >= 2) & (F.col("n2") >= 2) & (pooled >= 1e-24)
+    return of.withColumn("t", F.when(enough, (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))))).withColumn("df", F.when(enough, df.cast("double")))
+
+
+def hedges(moments: DataFrame, *key: str) -> DataFrame:
+    """T4: the standardized difference with the small-sample correction; null up to three values, 0 without spread."""
+    of = pairs(moments, *key)
+    n = F.col("n1") + F.col("n2")
+    pooled = F.sqrt(((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / (n - 2))
+    g = F.when(pooled < 1e-12, F.lit(0.0)).otherwise((F.col("mean1") - F.col("mean2")) / pooled * (1 - F.lit(3.0) / (4 * n - 9)))
+    return of.withColumn("g", F.when((n > 3) & (F.col("n1") >= 2) & (F.col("n2") >= 2), g))
+
+
+def _average_rank(of: DataFrame, *key: str) -> DataFrame:
+    """of with rank (ties share their mean) and ties (rows with the same value in the key)."""
+    by_value = Window.partitionBy(*key).orderBy("value")
+    of = of.withColumn("ties", F.count("*").over(Window.partitionBy(*key, "value")))
+    return of.withColumn("rank", F.rank().over(by_value) + (F.col("ties") - 1) / F.lit(2.0))
+
+
+def mann_whitney(cells: DataFrame, with_p: bool = True) -> DataFrame:
+    """feature_id, grp1, grp2, u, z, effect (2u/(n1 n2) - 1) and p, normal with ties and no continuity correction."""
+    groups = cells.select("feature_id", "grp").distinct()
+    sides = pairs(groups, "feature_id")
+    known = cells.where(F.col("value").isNotNull()).select("feature_id", "grp", "value")
+    of = sides.join(known, "feature_id").where("grp = grp1 OR grp = grp2")
+    ranked = _average_rank(of, "feature_id", "grp1", "grp2")
+    first = F.col("grp") == F.col("grp1")
+    sums = ranked.groupBy("feature_id", "grp1", "grp2").agg(
+        F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.when(first, F.col("rank"))).alias("r1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
+    n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
+    out = sums.withColumn("u", F.when((n1 > 0) & (n2 > 0), F.col("r1") - n1 * (n1 + 1) / F.lit(2.0)))
+    sd = F.sqrt(n1 * n2 / F.lit(12.0) * (n + 1 - F.col("tie") / (n * (n - 1))))
+    out = out.withColumn("z", F.when((n > 1) & (sd > 0), (F.col("u") - n1 * n2 / F.lit(2.0)) / sd)).withColumn("effect", 2 * F.col("u") / F.nullif(n1 * n2, F.lit(0)) - 1)
+    out = out.drop("r1", "tie")
+    return out.withColumn("p", normal_p("z")) if with_p else out
+
+
+def kruskal(cells: DataFrame, *key: str, closed_form: bool = False) -> DataFrame:
+    """Key, k, n, h (with ties) and p over the groups that have data; null for under two groups or equal values.
+
+    closed_form: for three groups p is exp(-h/2), without Python.
+    """
+    key = key or ("feature_id",)
+    ranked = _average_rank(cells.where(F.col("value").isNotNull()), *key)
+    by_group = ranked.groupBy(*key, "grp").agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
+    sums = by_group.groupBy(*key).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") ** 2 / F.col("n")).alias("rr"), F.sum("tie").alias("tie"))
+    n = F.col("n")
+    correction = 1 - F.col("tie") / (n * n * n - n)
+    h = (12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)) / F.nullif(correction, F.lit(0.0))
+    out = sums.select(*key, "k", "n", F.when((F.col("k") >= 2) & (n > 2), h).alias("h"))
+    return out.withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)) if closed_form else chi2_p("h", F.col("k") - 1))
+
+
+def brown_forsythe(cells: DataFrame, with_p: bool = True) -> DataFrame:
+    """The analysis of variance of distances from the group median: feature_id, f, d1, d2, p."""
+    mid = cells.groupBy("feature_id", "grp").agg(F.median("value").alias("mid"))
+    far = cells.join(mid, ["feature_id", "grp"]).select("feature_id", "grp", F.abs(F.col("value") - F.col("mid")).alias("value"))
+    by_group = far.groupBy("feature_id", "grp").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss"))
+    sums = by_group.where("n > 0").groupBy("feature_id").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") ** 2 / F.col("n")).alias("between"))
+    d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
+    within = F.col("ss") - F.col("between")
+    f = ((F.col("between") - F.col("s") ** 2 / F.col("n")) / d1) / (within / d2)
+    out = sums.select("feature_id", F.when((d1 > 0) & (d2 > 0) & (within > 0), f).alias("f"), d1.alias("d1"), d2.alias("d2"))
+    return out.withColumn("p", f_p("f", "d1", "d2")) if with_p else out
+
+
+def fold_change(cells: DataFrame) -> DataFrame:
+    """T5: log2 of the ratio of the groups' medians of non-zero values, with 1 % of the pooled median added, within +-20."""
+    known = cells.select("feature_id", "grp", F.nullif("value", F.lit(0.0)).alias("value"))
+    mids = pairs(known.groupBy("feature_id", "grp").agg(F.median("value").alias("mid")), "feature_id")
+    pooled = mids.join(known, "feature_id").where("grp = grp1 OR grp = grp2").groupBy("feature_id", "grp1", "grp2").agg(F.median("value").alias("pool"))
+    of = mids.join(pooled, ["feature_id", "grp1", "grp2"])
+    eps = F.lit(0.01) * F.coalesce("pool", F.lit(0.0)) + 1e-9
+    ratio = (F.coalesce("mid1", F.lit(0.0)) + eps) / (F.coalesce("mid2", F.lit(0.0)) + eps)
+    return of.select("feature_id", "grp1", "grp2", F.log2(F.least(F.lit(1e6), F.greatest(F.lit(1e-6), ratio))).alias("log2fc"))
+
+
+def benjamini_hochberg(tests: DataFrame, *family: str, p: str = "p", out: str = "fdr") -> DataFrame:
+    """Tests with the false-discovery rate within each family; null for a null p.
+
+    A family's tests are sorted in one task; it has one test for each feature (or label) of a comparison.
+    """
+    part = [F.col(c) for c in family] + [F.col(p).isNull()]
+    up = Window.partitionBy(*part).orderBy(p)
+    of = tests.withColumn("_rank", F.rank().over(up) + F.count("*").over(Window.partitionBy(*part, p)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
+    raw = F.col(p) * F.col("_n") / F.col("_rank")
+    down = Window.partitionBy(*part).orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return of.withColumn("_raw", raw).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_rank", "_n", "_raw")
+
+
+def gate(omnibus: DataFrame, pairwise: DataFrame, *key: str, alpha: float = 0.05) -> DataFrame:
+    """Pairwise tests with both rates; significant if both are under alpha."""
+    first = benjamini_hochberg(omnibus, out="omnibus_fdr").select(*key, F.col("p").alias("omnibus_p"), "omnibus_fdr")
+    second = benjamini_hochberg(pairwise, out="fdr")
+    return second.join(first, list(key)).withColumn("significant", F.coalesce((F.col("omnibus_fdr") < alpha) & (F.col("fdr") < alpha), F.lit(False)))
+
+
+def volcano(cells: DataFrame, alpha: float = 0.05, change: float = 1.5, effect: float = 0.8) -> DataFrame:
+    """For each feature and pair of groups, Welch's test, fold change, Hedges' g, rates, and the direction."""
+    moments = group_moments(cells, "feature_id")
+    t = benjamini_hochberg(welch(moments, "feature_id").select("feature_id", "grp1", "grp2", "t", "df", "p"), "grp1", "grp2")
+    key = ["feature_id", "grp1", "grp2"]
+    of = t.join(fold_change(cells), key).join(hedges(moments, "feature_id").select(*key, "g"), key)
+    strong = (F.abs("log2fc") >= F.log2(F.lit(change))) & (F.col("p") < alpha) & (F.col("fdr") < alpha)
+    direction = F.when(strong & (F.col("log2fc") > 0), "Up").when(strong, "Down").otherwise("Not significant")
+    return of.withColumn("direction", direction).withColumn("large_effect", F.coalesce(F.abs("g") >= effect, F.lit(False)))
+
+
+def presence(counts: DataFrame) -> DataFrame:
+    """Chi-squared of detected and missing by group. counts: (feature_id, grp, detected, size); Yates for two groups."""
+    total = counts.groupBy("feature_id").agg(F.sum("detected").alias("d"), F.sum("size").alias("s"), F.count("*").alias("k"))
+    of = counts.join(total, "feature_id")
+    share = F.col("d") / F.col("s")
+    off = F.abs(F.col("detected") - F.col("size") * share)
+    off = F.when(F.col("k") == 2, F.greatest(F.lit(0.0), off - F.least(F.lit(0.5), off))).otherwise(off)
+    part = off**2 / F.nullif(F.col("size") * share * (1 - share), F.lit(0.0))
+    return of.groupBy("feature_id").agg(F.sum(part).alias("chi2"), (F.max("k") - 1).alias("df"))
+
+
+def hurdle(cells: DataFrame, counts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Presence or level differs: rates of the presence test and of Kruskal-Wallis on groups with two values or more."""
+    p1 = benjamini_hochberg(presence(counts).withColumn("p", chi2_p("chi2", "df"))).select("feature_id", "chi2", F.col("fdr").alias("presence_fdr"))
+    enough = cells.where(F.col("value").isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy("feature_id", "grp"))).where("_n >= 2")
+    p2 = benjamini_hochberg(kruskal(enough)).select("feature_id", "h", F.col("fdr").alias("level_fdr"))
+    return p1.join(p2, "feature_id", "left").withColumn("differs", F.coalesce(F.col("presence_fdr") < alpha, F.lit(False)) | F.coalesce(F.col("level_fdr") < alpha, F.lit(False)))
+
+
+def neighbours(table: DataFrame, carbons: int = 2, dbe: int = 1) -> DataFrame:
+    """For each feature, the features of its class with near carbons and double bonds, itself among them.
+
+    table: (feature_id, lipid_class, carbons, dbe, log2fc). Each feature is sent to the keys that it reaches.
+    """
+    reach = table.select("feature_id", "lipid_class", "log2fc", F.explode(F.sequence(F.col("carbons") - carbons, F.col("carbons") + carbons)).alias("carbons"), "dbe")
+    reach = reach.select("feature_id", "lipid_class", "log2fc", "carbons", F.explode(F.sequence(F.col("dbe") - dbe, F.col("dbe") + dbe)).alias("dbe"))
+    other = table.select("lipid_class", "carbons", "dbe", F.col("log2fc").alias("other"))
+    same = F.signum("other") == F.signum("log2fc")
+    of = reach.join(other, ["lipid_class", "carbons", "dbe"]).groupBy("feature_id").agg(F.count("*").alias("n_near"), F.avg(same.cast("double")).alias("same_direction"), F.median("other").alias("median_near"))
+    return of.withColumn("coherent", (F.col("n_near") >= 2) & (F.col("same_direction") >= 0.7))
+
+
+def class_coherence(table: DataFrame) -> DataFrame:
+    """Classes of three or more features of which 70 % change in one direction."""
+    up = F.avg((F.col("log2fc") > 0).cast("double"))
+    of = table.groupBy("lipid_class").agg(F.count("*").alias("n"), up.alias("share_up"))
+    return of.withColumn("coherent", (F.col("n") >= 3) & (F.greatest(F.col("share_up"), 1 - F.col("share_up")) >= 0.7))
+
+
+def signed_rank(before: Column, after: Column) -> Column:
+    return after - before
+
+
+def wilcoxon(pairs_: DataFrame, *key: str, with_p: bool = True) -> DataFrame:
+    """The signed-rank test of paired values: key, n, w_plus, w_minus, z, p (normal, with ties). pairs_: key, before, after."""
+    of = pairs_.select(*key, signed_rank(F.col("before"), F.col("after")).alias("d")).where("d != 0").withColumn("value", F.abs("d"))
+    ranked = _average_rank(of, *key)
+    sums = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / F.lit(24.0) - F.col("tie") / F.lit(48.0))
+    out = sums.withColumn("z", F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / F.lit(4.0)) / F.nullif(sd, F.lit(0.0)))).drop("tie")
+    return out.withColumn("p", normal_p("z")) if with_p else out

@@ -1,2 +1,856 @@
-QUERIES = {}
-SQL = {}
+"""Registered queries of the feature-table operators, each with its SQL over the same tables.
+
+Features, samples and intensities are derived from the driver's tables (see fixtures). Where an irrational number or a
+sum of doubles is in a result, both sides round it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as X
+from .functions import names as N
+from .functions.tails import t_p
+from .operators import annotate, clean, composition, merge, multivariate, normalize, tests
+from .sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql if sql.lstrip().upper().startswith("WITH") else X.SQL + sql
+        return f
+
+    return register
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Intensities with what samples and features say about them. Samples are twenty rows."""
+    of = X.features(spark, sf).select("feature_id", "lipid_class", "polarity", "carbons", "dbe", "is_standard")
+    return X.intensity(spark, sf).join(F.broadcast(X.samples(spark)), "sample_id").join(of, "feature_id")
+
+
+def groups(spark: SparkSession) -> DataFrame:
+    return X.samples(spark).groupBy("grp", "is_qc").agg(F.count("*").alias("size"))
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# Sources and reshapes
+
+
+@query("SELECT feature_id, sample_id, value FROM intensity")
+def s1_s2_intensity_long(spark: SparkSession, sf: str) -> DataFrame:
+    return X.intensity(spark, sf)
+
+
+@query("SELECT feature_id, " + ", ".join(f"max(CASE WHEN sample_id = {k} THEN value END) AS s{k}" for k in range(20)) + " FROM intensity GROUP BY feature_id")
+def s3_wide_export(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.to_wide(X.intensity(spark, sf), list(range(20))).select("feature_id", *(F.col(str(k)).alias(f"s{k}") for k in range(20)))
+
+
+@query("SELECT feature_id, sample_id, value FROM intensity WHERE value IS NOT NULL")
+def s2_unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    wide = tables.to_wide(X.intensity(spark, sf), list(range(20))).select("feature_id", *(F.col(str(k)).alias(f"P_{k}") for k in range(20)))
+    return tables.to_long(wide, ["feature_id"]).select("feature_id", F.substring("sample_id", 3, 9).cast("int").alias("sample_id"), "value")
+
+
+@query("SELECT trim(s_name) AS sample_id, min('g' || (s_suppkey % 4)) AS grp, lower(trim(s_name)) AS match_key, FALSE AS is_qc, FALSE AS is_blank FROM supplier GROUP BY trim(s_name), lower(trim(s_name))")
+def s4_sample_groups(spark: SparkSession, sf: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit(" "), "s_name", F.lit(" ")).alias("Sample"), F.concat(F.lit("g"), (F.col("s_suppkey") % 4).cast("string"), F.lit(" ")).alias("Group"))
+    return tables.read_groups(raw)
+
+
+@query("SELECT feature_id, sample_id, value FROM cells WHERE NOT is_qc AND grp IN ('A', 'B')")
+def s11_variant(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.variant(cells(spark, sf), groups=["A", "B"]).select("feature_id", "sample_id", "value")
+
+
+# Names
+
+PARSED = X.SQL + r"""
+, n AS (SELECT feature_id, annotation AS name FROM features)
+SELECT feature_id, regexp_replace(split_part(name, ' ', 1), '\[D\d+\]', '') AS headgroup,
+  regexp_extract(name, '(\d+):(\d+)', 1)::INT AS carbons, regexp_extract(name, '(\d+):(\d+)', 2)::INT AS dbe,
+  CASE WHEN regexp_extract(name, '(\d+):(\d+)', 1)::INT % 2 = 1 THEN 'odd' ELSE 'even' END AS parity,
+  regexp_extract(name, '(\d+):(\d+)', 2)::INT >= 2 AS is_pufa, 0 AS n_modifications, FALSE AS is_oxidized,
+  CASE WHEN regexp_matches(name, '\[D\d+\]') THEN 'IS' ELSE '' END AS kind
+FROM n
+"""
+
+
+@query(PARSED)
+def p1_p10_parse_names(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("annotation")
+    chains, mods = N.acyls(N.tidy(name)), N.modifications(name)
+    c, d = N.total(chains, "carbons"), N.total(chains, "dbe")
+    return X.features(spark, sf).select(
+        "feature_id", N.headgroup(name).alias("headgroup"), c.alias("carbons"), d.alias("dbe"), N.parity(c).alias("parity"), N.is_polyunsaturated(d).alias("is_pufa"),
+        N.n_modifications(mods).alias("n_modifications"), N.is_oxidized(mods, F.col("lipid_class")).alias("is_oxidized"), N.annotation_type(name, F.lit(0.0), F.lit("")).alias("kind"),
+    )
+
+
+@query("""SELECT feature_id, CASE WHEN contains(adduct, ']+') THEN 'Pos' ELSE 'Neg' END AS adduct_polarity, CASE WHEN adduct = '[M+HCOO]-' THEN '[M+formate]-' ELSE adduct END AS primary_adduct,
+  CASE WHEN msms_score > 400 THEN 'High confidence' WHEN msms_score > 1 THEN 'Low confidence' ELSE '' END AS tier,
+  CASE WHEN carbons <= 0 THEN '0C' WHEN carbons <= 10 THEN '1-10C' WHEN carbons <= 16 THEN '11-16C' WHEN carbons <= 22 THEN '17-22C' WHEN carbons <= 28 THEN '23-28C' WHEN carbons <= 34 THEN '29-34C'
+    WHEN carbons <= 40 THEN '35-40C' WHEN carbons <= 46 THEN '41-46C' WHEN carbons <= 52 THEN '47-52C' WHEN carbons <= 58 THEN '53-58C' ELSE '59-64C' END AS carbon_bin,
+  carbons / nullif(dbe, 0)::DOUBLE AS ratio FROM features""")
+def p3_p9_p11_p13_p14_descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf)
+    return f.select("feature_id", N.polarity(F.col("adduct")).alias("adduct_polarity"), N.primary_adduct(F.concat("adduct", F.lit(", [X]+"))).alias("primary_adduct"), N.annotation_tier(F.lit(""), F.col("msms_score")).alias("tier"), N.carbon_bin(F.col("carbons")).alias("carbon_bin"), N.carbon_ratio(F.col("carbons"), F.col("dbe")).alias("ratio"))
+
+
+@query("SELECT feature_id, round(neutral_mass * 14.0::DOUBLE / 14.01565::DOUBLE, 6) AS kendrick, round(neutral_mass * 14.0::DOUBLE / 14.01565::DOUBLE - round_even(neutral_mass * 14.0::DOUBLE / 14.01565::DOUBLE, 0), 6) AS defect FROM features")
+def p15_kendrick(spark: SparkSession, sf: str) -> DataFrame:
+    return X.features(spark, sf).select("feature_id", r(N.kendrick_mass(F.col("neutral_mass"))).alias("kendrick"), r(N.kendrick_defect(F.col("neutral_mass"))).alias("defect"))
+
+
+@query("SELECT feature_id, lipid_class || ' ' || carbons || ':' || dbe AS species, CASE WHEN lipid_class = 'FA' THEN 'Molecular level' ELSE 'Sum composition - Species level' END AS level FROM features")
+def p17_p18_species(spark: SparkSession, sf: str) -> DataFrame:
+    name, head = F.col("annotation"), N.headgroup(F.col("annotation"))
+    level = N.annotation_level(N.n_chains(F.col("lipid_class"), head, name), name)
+    return X.features(spark, sf).select("feature_id", N.species_label(head, F.col("carbons"), F.col("dbe"), N.modifications(name), name).alias("species"), level.alias("level"))
+
+
+@query("SELECT feature_id, 'S' || (feature_id % 20) AS sample_name, feature_id / 2.0::DOUBLE AS number, 'PC 34:1' AS standard FROM features")
+def p19_p20_p21_texts(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf)
+    raw = F.concat(F.lit("P_S"), (F.col("feature_id") % 20).cast("string"), F.lit("_P1_[POS]"))
+    number = F.concat(F.format_string("%d,%d", F.expr("feature_id div 2"), (F.col("feature_id") % 2 * 5)), F.lit(" %"))
+    return f.select("feature_id", N.sample_name(raw).alias("sample_name"), N.number_in(number).alias("number"), N.standard_name(F.lit("PC 34:1 (d7)")).alias("standard"))
+
+
+CATEGORY_SQL = "CASE WHEN lipid_class = 'FA' THEN 'FA' WHEN lipid_class IN ('TG', 'DG') THEN 'GL' WHEN lipid_class IN ('PC', 'PE', 'CL') THEN 'GP' ELSE 'SL' END"
+
+
+@query(f"SELECT feature_id, {CATEGORY_SQL} AS category FROM features")
+def p22_category(spark: SparkSession, sf: str) -> DataFrame:
+    return X.features(spark, sf).select("feature_id", composition.mapped(F.col("lipid_class"), composition.CATEGORIES, "Other").alias("category"))
+
+
+@query("SELECT feature_id, round(0.4 * least(1, greatest(0, msms_score / 1000)) + 0.2 * least(1, greatest(0, 1 - msigma / 250)) + 0.2 * least(1, greatest(0, 1 - abs(dmz_ppm) / 5)) + 0.0, 6) AS quality FROM features")
+def p25_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return X.features(spark, sf).select("feature_id", r(N.quality(F.col("msms_score"), F.col("msigma"), F.col("dmz_ppm"), F.lit(None).cast("double"))).alias("quality"))
+
+
+@query("SELECT feature_id, sample_id, round(CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END, 6) AS z FROM intensity WINDOW w AS (PARTITION BY feature_id)")
+def p26_autoscale(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.autoscale(X.intensity(spark, sf)).select("feature_id", "sample_id", r("z").alias("z"))
+
+
+# Aggregates
+
+
+@query("SELECT feature_id, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lowest, max(value) AS highest, round(median(value), 4) AS median FROM intensity GROUP BY feature_id")
+def a1_feature_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.feature_stats(X.intensity(spark, sf)).select("feature_id", "n", r("mean", 6).alias("mean"), "lowest", "highest", r("median", 4).alias("median"))
+
+
+STATS = """
+, st AS (SELECT feature_id, grp, count(*) AS n, count(*) FILTER (value > 1e-9) AS n_detected, avg(value) AS mean, stddev_samp(value) AS sd, 100 * stddev_samp(value) / avg(value) AS rsd_pct FROM cells GROUP BY feature_id, grp)
+, gr AS (SELECT grp, is_qc, count(*) AS size FROM samples GROUP BY grp, is_qc)
+"""
+
+
+@query(STATS + "SELECT feature_id, grp, n, n_detected, round(mean, 6) AS mean, round(sd, 4) AS sd, round(rsd_pct, 6) AS rsd_pct FROM st")
+def a2_group_rsd(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.group_stats(cells(spark, sf)).select("feature_id", "grp", "n", "n_detected", r("mean", 6).alias("mean"), r("sd", 4).alias("sd"), r("rsd_pct").alias("rsd_pct"))
+
+
+@query(STATS + "SELECT grp, round(median(rsd_pct), 6) AS median_rsd FROM st GROUP BY grp")
+def a3_median_rsd(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.group_stats(cells(spark, sf)).groupBy("grp").agg(r(F.median("rsd_pct")).alias("median_rsd"))
+
+
+@query("SELECT sample_id, grp, round(sum(value), 2) AS total FROM cells GROUP BY sample_id, grp")
+def a4_sample_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.sample_totals(cells(spark, sf)).select("sample_id", "grp", r("total", 2).alias("total"))
+
+
+@query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL) SELECT grp, count(*) AS n, round(avg(total), 4) AS mean, round(stddev_samp(total), 2) AS sd, round(stddev_samp(total) / sqrt(count(*)), 2) AS stderr, round(100 * stddev_samp(total) / avg(total), 6) AS rsd_pct FROM t GROUP BY grp")
+def a5_group_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.group_totals(cells(spark, sf)).select("grp", "n", r("mean", 4).alias("mean"), r("sd", 2).alias("sd"), r("stderr", 2).alias("stderr"), r("rsd_pct").alias("rsd_pct"))
+
+
+@query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL), m AS (SELECT grp, avg(total) AS m FROM t GROUP BY grp) SELECT a.grp AS grp1, b.grp AS grp2, round(a.m / b.m, 6) AS fold_change, round(log2(a.m / b.m), 6) AS log2fc FROM m a JOIN m b ON a.grp <> b.grp")
+def a5_group_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.group_changes(cells(spark, sf)).select("grp1", "grp2", r("fold_change").alias("fold_change"), r("log2fc").alias("log2fc"))
+
+
+@query("SELECT coalesce(lipid_class, 'all') AS lipid_class, coalesce(polarity, 'all') AS polarity, count(*) AS n FROM features GROUP BY CUBE (lipid_class, polarity)")
+def a6_annotation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.annotation_counts(X.features(spark, sf), "lipid_class", "polarity")
+
+
+@query("SELECT lipid_class, adduct, count(*) FILTER (msms_score >= 300) AS kept, count(*) FILTER (msms_score < 300) AS removed FROM features GROUP BY lipid_class, adduct HAVING count(*) >= 5 ORDER BY count(*) DESC, lipid_class, adduct LIMIT 12")
+def a7_removal_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.removal_counts(X.features(spark, sf).withColumn("keep", F.col("msms_score") >= 300))
+
+
+@query("SELECT lipid_class, count(DISTINCT annotation) AS species FROM features GROUP BY lipid_class")
+def a8_species_per_class(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.species_per_class(X.features(spark, sf))
+
+
+CLASS_SQL = """, t AS (SELECT sample_id, grp, lipid_class, sum(value) AS total FROM cells GROUP BY ALL), p AS (SELECT *, 100 * total / sum(total) OVER (PARTITION BY sample_id) AS percent FROM t)
+SELECT lipid_class, grp, round(avg(total), 4) AS mean, round(median(total), 4) AS median, round(stddev_samp(total), 2) AS sd, round(avg(percent), 6) AS mean_percent, round(stddev_samp(percent), 6) AS sd_percent FROM p GROUP BY lipid_class, grp"""
+
+
+@query(CLASS_SQL)
+def a9_class_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.class_totals(cells(spark, sf)).select("lipid_class", "grp", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("sd", 2).alias("sd"), r("mean_percent").alias("mean_percent"), r("sd_percent").alias("sd_percent"))
+
+
+@query(""", t AS (SELECT sample_id, grp, lipid_class, sum(value) AS total FROM cells GROUP BY ALL), p AS (SELECT *, total / sum(total) OVER (PARTITION BY sample_id) AS share FROM t), g AS (SELECT grp, lipid_class, avg(share) AS share FROM p GROUP BY ALL)
+SELECT grp, lipid_class, round(share, 6) AS share, round(log2(share / avg(share) OVER (PARTITION BY lipid_class)), 6) AS log2_enrichment FROM g""")
+def a10_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.enrichment(cells(spark, sf), "lipid_class").select("grp", "lipid_class", r("share").alias("share"), r("log2_enrichment").alias("log2_enrichment"))
+
+
+@query(", m AS (SELECT feature_id, grp, lipid_class, carbons, dbe, avg(value) AS w FROM cells GROUP BY ALL) SELECT lipid_class, grp, round(sum(w * dbe / carbons) / sum(w), 6) AS saturation_index FROM m WHERE w > 0 GROUP BY lipid_class, grp")
+def a11_saturation(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.saturation(cells(spark, sf)).withColumn("saturation_index", r("saturation_index"))
+
+
+@query(", t AS (SELECT sample_id, grp, lipid_class, carbons, sum(value) AS total FROM cells GROUP BY ALL) SELECT lipid_class, grp, carbons, round(avg(total), 4) AS mean FROM t GROUP BY ALL")
+def a12_bin_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.bin_composition(cells(spark, sf)).withColumn("mean", r("mean", 4))
+
+
+@query(""", o AS (SELECT feature_id, grp, lipid_class, carbons, dbe, avg(value) AS a FROM cells GROUP BY ALL), b AS (SELECT lipid_class, grp, carbons::DOUBLE AS x, sum(a) AS y, count(*)::DOUBLE AS w, sum(a * dbe) AS yd FROM o GROUP BY ALL),
+s AS (SELECT lipid_class, grp, sum(y * x) / sum(y) AS mean_carbons, sum(yd) / sum(y) AS mean_dbe, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM b GROUP BY ALL)
+SELECT lipid_class, grp, round(mean_carbons, 6) AS mean_carbons, round(mean_dbe, 6) AS mean_dbe, round(CASE WHEN sxx - sx * sx / sw > 1e-9 THEN (sxy - sx * sy / sw) / (sxx - sx * sx / sw) END, 2) AS slope,
+  round(mean_carbons - avg(mean_carbons) OVER (PARTITION BY lipid_class), 6) AS carbons_shift FROM s""")
+def a13_class_trends(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.class_trends(cells(spark, sf)).select("lipid_class", "grp", r("mean_carbons").alias("mean_carbons"), r("mean_dbe").alias("mean_dbe"), r("slope", 2).alias("slope"), r("carbons_shift").alias("carbons_shift"))
+
+
+@query("SELECT lipid_class, grp, carbons, dbe, round(avg(value), 6) AS mean FROM cells GROUP BY ALL")
+def a14_surface(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.surface(cells(spark, sf)).withColumn("mean", r("mean", 6))
+
+
+@query("SELECT sample_id, CASE WHEN carbons <= 16 THEN '11-16C' WHEN carbons <= 22 THEN '17-22C' WHEN carbons <= 28 THEN '23-28C' WHEN carbons <= 34 THEN '29-34C' WHEN carbons <= 40 THEN '35-40C' WHEN carbons <= 46 THEN '41-46C' WHEN carbons <= 52 THEN '47-52C' ELSE '53-58C' END AS carbon_bin, round(sum(value), 2) AS total FROM cells GROUP BY ALL")
+def a15_bin_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.bin_matrix(cells(spark, sf), N.carbon_bin(F.col("carbons"))).select("sample_id", "carbon_bin", r("total", 2).alias("total"))
+
+
+@query(""", x AS (SELECT feature_id, sample_id, value, unnest(list_distinct([carbons || ':' || dbe, '16:0'])) AS motif FROM cells), t AS (SELECT motif, sample_id, sum(value) AS total FROM x GROUP BY ALL), n AS (SELECT motif, count(DISTINCT feature_id) AS n_features FROM x GROUP BY motif)
+SELECT motif, n_features, count(*) AS n_samples, round(avg(total), 4) AS mean, round(median(total), 4) AS median, round(max(total), 2) AS highest FROM t JOIN n USING (motif) GROUP BY motif, n_features""")
+def p24_a16_motifs(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("lipid_class", F.lit(" "), F.col("carbons").cast("string"), F.lit(":"), F.col("dbe").cast("string"), F.lit("_16:0"))
+    return composition.motif_summary(cells(spark, sf), N.motifs(name)).select("motif", "n_features", "n_samples", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("highest", 2).alias("highest"))
+
+
+@query(", t AS (SELECT sample_id, grp, lipid_class, sum(value) AS total FROM cells GROUP BY ALL), d AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in composition.CLASS_RATIOS) + ") v(a, b)) SELECT x.sample_id, x.grp, a || '/' || b AS ratio, round((x.total + 1e-9) / (y.total + 1e-9), 6) AS value, round(log2((x.total + 1e-9) / (y.total + 1e-9)), 6) AS log2_value FROM d JOIN t x ON x.lipid_class = a JOIN t y ON y.lipid_class = b AND y.sample_id = x.sample_id")
+def a17_class_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.class_ratios(cells(spark, sf)).select("sample_id", "grp", "ratio", r("value").alias("value"), r("log2_value").alias("log2_value"))
+
+
+@query(", t AS (SELECT sample_id, grp, lipid_class, sum(value) FILTER (dbe > 0) AS num, sum(value) FILTER (dbe = 0) AS den FROM cells GROUP BY ALL) SELECT sample_id, grp, lipid_class, 'unsaturated/saturated' AS ratio, round((num + 1e-9) / (den + 1e-9), 6) AS value, round(log2((num + 1e-9) / (den + 1e-9)), 6) AS log2_value FROM t WHERE num IS NOT NULL AND den IS NOT NULL")
+def a17_saturation_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    of = composition.feature_ratio(cells(spark, sf), F.col("dbe") > 0, F.col("dbe") == 0, "unsaturated/saturated")
+    return of.withColumns({"value": r("value"), "log2_value": r("log2_value")})
+
+
+DETECTED = """, gr AS (SELECT grp, count(*) AS size FROM samples GROUP BY grp), dt AS (SELECT feature_id, grp FROM (SELECT feature_id, grp, count(*) AS n FROM cells WHERE value > 0 GROUP BY ALL) JOIN gr USING (grp) WHERE n >= greatest(1, ceil(0.8 * size))) """
+
+
+def detected(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.detection(cells(spark, sf), groups(spark).select("grp", "size"))
+
+
+@query(DETECTED + ", s AS (SELECT feature_id, string_agg(grp, ' & ' ORDER BY grp) AS groups FROM dt GROUP BY feature_id) SELECT groups, count(*) AS n FROM s GROUP BY groups")
+def a18_intersections(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.intersections(detected(spark, sf))
+
+
+@query(DETECTED + ", o AS (SELECT feature_id, min(grp) AS grp FROM dt GROUP BY feature_id HAVING count(*) = 1), c AS (SELECT grp, lipid_class, count(*) AS n FROM o JOIN features USING (feature_id) GROUP BY ALL) SELECT grp, lipid_class, n, round(100 * n / sum(n) OVER (PARTITION BY grp), 6) AS percent FROM c")
+def a18_j7_unique_features(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.unique_features(detected(spark, sf), X.features(spark, sf)).withColumn("percent", r("percent"))
+
+
+@query(DETECTED + "SELECT feature_id, lipid_class FROM features WHERE feature_id NOT IN (SELECT feature_id FROM dt)")
+def j7_undetected(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.undetected(detected(spark, sf), X.features(spark, sf))
+
+
+@query(DETECTED + ", n AS (SELECT grp, count(*) AS n FROM dt GROUP BY grp), s AS (SELECT a.grp AS grp1, b.grp AS grp2, count(*) AS shared FROM dt a JOIN dt b USING (feature_id) WHERE a.grp < b.grp GROUP BY ALL) SELECT a.grp AS grp1, b.grp AS grp2, a.n - coalesce(shared, 0) AS only1, coalesce(shared, 0) AS shared, b.n - coalesce(shared, 0) AS only2, a.n + b.n - coalesce(shared, 0) AS either FROM n a JOIN n b ON a.grp < b.grp LEFT JOIN s ON s.grp1 = a.grp AND s.grp2 = b.grp")
+def a24_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.overlap(detected(spark, sf))
+
+
+@query(", gr AS (SELECT grp, count(*) AS size FROM samples GROUP BY grp), c AS (SELECT feature_id, grp, count(*) AS n FROM cells WHERE value > 0 GROUP BY ALL) SELECT f.feature_id, g.grp, coalesce(n, 0) AS detected, size, coalesce(n, 0) / size::DOUBLE AS detection_rate, 1 - coalesce(n, 0) / size::DOUBLE AS missing_rate FROM (SELECT DISTINCT feature_id FROM cells) f CROSS JOIN gr g LEFT JOIN c ON c.feature_id = f.feature_id AND c.grp = g.grp")
+def a19_detection_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.detection_rates(cells(spark, sf), groups(spark).select("grp", "size"))
+
+
+@query("SELECT sample_id, grp, round(100 * (1 - count(*) / (SELECT count(*) FROM features)), 6) AS missing_pct FROM cells WHERE value > 0 GROUP BY sample_id, grp")
+def a19_missingness(spark: SparkSession, sf: str) -> DataFrame:
+    n = X.features(spark, sf).count()
+    return composition.missingness(cells(spark, sf), groups(spark), F.lit(n)).withColumn("missing_pct", r("missing_pct"))
+
+
+@query("SELECT 'fewer than 3 samples in ' || grp AS warning FROM (SELECT 'g' || (s_suppkey % 37) AS grp FROM supplier) GROUP BY grp HAVING count(*) < 3 UNION ALL SELECT 'no QC samples'")
+def a26_design_check(spark: SparkSession, sf: str) -> DataFrame:
+    of = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("g"), (F.col("s_suppkey") % 37).cast("string")).alias("grp"), F.lit(False).alias("is_qc"))
+    return composition.design_check(of)
+
+
+# Cleaning
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf).where("feature_id % 50 = 0")
+    return f.select((F.col("mz") * (1 + F.lit(1e-6) * ((F.col("feature_id") / 50) % 9))).alias("target"), F.concat(F.lit("T"), F.col("feature_id").cast("string")).alias("name"), "polarity", F.col("feature_id").alias("position"))
+
+
+TARGETS = ", tg AS (SELECT mz * (1 + 1e-6::DOUBLE * ((feature_id / 50) % 9)) AS target, 'T' || feature_id AS name, polarity, feature_id AS position FROM features WHERE feature_id % 50 = 0) "
+
+
+@query(TARGETS + ", hit AS (SELECT f.feature_id, arg_min(t.name, t.position) AS contaminant FROM features f JOIN tg t ON t.polarity = f.polarity AND f.mz BETWEEN t.target * (1 - 6e-6::DOUBLE) AND t.target * (1 + 6e-6::DOUBLE) WHERE abs(f.mz - t.target) <= t.target * (5 / 1e6::DOUBLE) GROUP BY f.feature_id) SELECT f.feature_id, contaminant, contaminant IS NULL AS keep FROM features f LEFT JOIN hit USING (feature_id)")
+def f1_contaminants(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.contaminant_filter(X.features(spark, sf), targets(spark, sf)).select("feature_id", "contaminant", "keep")
+
+
+@query(""", s AS (SELECT feature_id, count(*) AS n, avg(value) AS mean, CASE WHEN count(*) >= 3 THEN stddev_samp(value) / avg(value) END AS rsd FROM cells WHERE value > 1e-9 GROUP BY feature_id), q AS (SELECT quantile_cont(mean, 0.1) AS q10, quantile_cont(mean, 0.99) AS q99 FROM s)
+SELECT f.feature_id, CASE WHEN f.is_standard THEN NULL WHEN rsd < 0.3 AND mean <= q10 THEN 'flat at a low level' WHEN rsd > 0.6 AND mean <= q10 THEN 'unstable at a low level' WHEN rsd < 0.3 AND mean >= q99 THEN 'saturated' END AS reason FROM features f LEFT JOIN s USING (feature_id) CROSS JOIN q""")
+def f2_flat(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.flat_filter(cells(spark, sf), X.features(spark, sf), 0.3, 0.6).select("feature_id", "reason")
+
+
+@query(""", f AS (SELECT feature_id, mz, coalesce(20 - n, 20) AS n_missing, mean FROM features LEFT JOIN (SELECT feature_id, count(*) AS n, avg(value) AS mean FROM intensity GROUP BY feature_id) USING (feature_id)), w AS (SELECT *, row_number() OVER (PARTITION BY round(mz, 2) ORDER BY n_missing, mean DESC NULLS LAST, feature_id) AS rk, count(*) OVER b AS sz, max(mean) OVER b AS hi, min(mean) OVER b AS lo FROM f WINDOW b AS (PARTITION BY round(mz, 2)))
+SELECT feature_id, NOT (sz >= 3 AND hi < 1e5 AND hi / lo <= 2 AND rk > 1) AS keep FROM w""")
+def f3_repeated_mass(spark: SparkSession, sf: str) -> DataFrame:
+    of = X.intensity(spark, sf).groupBy("feature_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    f = X.features(spark, sf).select("feature_id", "mz").join(of, "feature_id", "left").withColumn("n_missing", F.coalesce(20 - F.col("n"), F.lit(20)))
+    return clean.repeated_mass_filter(f).select("feature_id", "keep")
+
+
+QC = STATS + """, j AS (SELECT feature_id, max(CASE WHEN is_qc AND n_detected >= 2 THEN rsd_pct END) AS qc_rsd, coalesce(bool_or(NOT is_qc AND size >= 3 AND n_detected >= 2 AND rsd_pct < 30), FALSE) AS rescued, max(CASE WHEN is_qc THEN size END) AS qs FROM st JOIN gr USING (grp) GROUP BY feature_id)
+, kept AS (SELECT f.*, coalesce(NOT (qc_rsd > 45 AND NOT rescued AND qs >= 3 AND NOT is_standard), TRUE) AS keep, qc_rsd FROM features f LEFT JOIN j USING (feature_id)) """
+
+
+@query(QC + "SELECT feature_id, keep, round(qc_rsd, 6) AS qc_rsd FROM kept")
+def f4_qc_rescue(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.qc_filter(clean.group_stats(cells(spark, sf)), X.features(spark, sf), groups(spark), 45.0).select("feature_id", "keep", r("qc_rsd").alias("qc_rsd"))
+
+
+@query("SELECT feature_id, coalesce(NOT mean < 30000, TRUE) AS keep FROM features LEFT JOIN (SELECT feature_id, avg(value) AS mean FROM intensity GROUP BY feature_id) USING (feature_id)")
+def f5_minimum(spark: SparkSession, sf: str) -> DataFrame:
+    of = clean.feature_stats(X.intensity(spark, sf)).select("feature_id", "mean")
+    return clean.minimum_filter(X.features(spark, sf).join(of, "feature_id", "left"), 30000.0).select("feature_id", "keep")
+
+
+@query(STATS + ", b AS (SELECT feature_id, max(100.0 * n_detected / size) AS best FROM st JOIN gr USING (grp) GROUP BY feature_id) SELECT feature_id, NOT (coalesce(best, 0) < 85 AND NOT is_standard) AS keep FROM features LEFT JOIN b USING (feature_id)")
+def f6_detection(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.detection_filter(clean.group_stats(cells(spark, sf)), X.features(spark, sf), groups(spark)).select("feature_id", "keep")
+
+
+@query("SELECT p_partkey AS feature_id, contains(lower(p_name), 'internal standard') OR contains(lower(p_type), 'internal standard') OR contains(lower(p_name), 'avanti splash') AS is_standard FROM part")
+def f7_standard_text(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("feature_id"), clean.standard_text("p_name", "p_type").alias("is_standard"))
+
+
+@query(QC + "SELECT k.feature_id, NOT coalesce(s.n_detected >= 3 AND k.qc_rsd > 30, FALSE) AS keep FROM kept k LEFT JOIN (SELECT * FROM st WHERE grp = 'QC') s USING (feature_id)")
+def f17_final_qc(spark: SparkSession, sf: str) -> DataFrame:
+    stats = clean.group_stats(cells(spark, sf)).where("grp = 'QC'").select("feature_id", F.col("n_detected").alias("qc_detected"), F.col("rsd_pct").alias("qc_rsd"))
+    return clean.final_qc_filter(X.features(spark, sf).join(stats, "feature_id", "left")).select("feature_id", "keep")
+
+
+@query(STATS + ", m AS (SELECT feature_id, min(rsd_pct) AS lo, max(rsd_pct) AS hi FROM st WHERE grp <> 'QC' GROUP BY feature_id) SELECT feature_id, coalesce(NOT lo > 25, TRUE) AS keep, round(lo, 6) AS lowest_rsd, round(hi, 6) AS highest_rsd FROM features LEFT JOIN m USING (feature_id)")
+def f18_final_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.final_group_filter(clean.group_stats(cells(spark, sf)), X.features(spark, sf), 25.0).select("feature_id", "keep", r("lowest_rsd").alias("lowest_rsd"), r("highest_rsd").alias("highest_rsd"))
+
+
+@query(QC + "SELECT feature_id, CASE WHEN is_standard THEN 'internal standard' WHEN qc_rsd >= 30 THEN 'RSD before normalization' END AS reason FROM kept")
+def f19_report(spark: SparkSession, sf: str) -> DataFrame:
+    stats = clean.group_stats(cells(spark, sf)).where("grp = 'QC'").select("feature_id", F.col("rsd_pct").alias("qc_rsd"))
+    return clean.report_filter(X.features(spark, sf).join(stats, "feature_id", "left")).select("feature_id", "reason")
+
+
+@query(", z AS (SELECT feature_id, abs((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0)) AS z FROM cells WINDOW w AS (PARTITION BY feature_id)) SELECT feature_id, round(max(z), 6) AS highest_z, coalesce(NOT max(z) > 2.5, TRUE) AS keep FROM z GROUP BY feature_id")
+def f20_extreme(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.extreme_filter(cells(spark, sf), 2.5).select("feature_id", r("highest_z").alias("highest_z"), "keep")
+
+
+@query(""", o AS (SELECT polarity, feature_id, count(*) FILTER (value >= 5000) AS high, 100 * stddev_samp(value) FILTER (is_qc) / avg(value) FILTER (is_qc) AS q, 100 * stddev_samp(value) FILTER (NOT is_qc) / avg(value) FILTER (NOT is_qc) AS s FROM cells WHERE is_standard GROUP BY ALL), t AS (SELECT *, CASE WHEN q < 35 AND s < 120 AND high = 20 THEN 1 WHEN q < 35 AND s < 120 THEN 2 ELSE 3 END AS tier FROM o)
+SELECT polarity, feature_id, tier, round(q, 6) AS qc_rsd FROM t QUALIFY tier = min(tier) OVER (PARTITION BY polarity)""")
+def f21_reliable_standards(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.reliable_standards(cells(spark, sf).where("is_standard"), 20).select("polarity", "feature_id", "tier", r("qc_rsd").alias("qc_rsd"))
+
+
+@query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL), q AS (SELECT grp, count(*) AS n, quantile_cont(total, 0.25) AS q1, quantile_cont(total, 0.75) AS q3 FROM t GROUP BY grp) SELECT sample_id, grp, n >= 4 AND NOT total BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1) AS is_outlier FROM t JOIN q USING (grp)")
+def f22_sample_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.sample_outliers(composition.sample_totals(cells(spark, sf)), 0.5).drop("total")
+
+
+@query("SELECT 'mass' AS step, count(*) FILTER (mz > 910) AS remaining FROM features UNION ALL SELECT 'score', count(*) FILTER (mz > 910 AND msms_score > 100) FROM features UNION ALL SELECT 'class', count(*) FILTER (mz > 910 AND msms_score > 100 AND lipid_class <> 'FA') FROM features")
+def f23_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    flags = X.features(spark, sf).select((F.col("mz") > 910).alias("mass"), (F.col("msms_score") > 100).alias("score"), (F.col("lipid_class") != "FA").alias("class"))
+    return clean.funnel(flags, ["mass", "score", "class"])
+
+
+@query("SELECT f.feature_id, s.sample_id, CASE WHEN i.value IS NOT NULL THEN 1.0::DOUBLE END AS value FROM (SELECT DISTINCT feature_id FROM intensity) f CROSS JOIN samples s LEFT JOIN intensity i ON i.feature_id = f.feature_id AND i.sample_id = s.sample_id")
+def f24_restore_missing(spark: SparkSession, sf: str) -> DataFrame:
+    before = X.intensity(spark, sf)
+    filled = normalize.grid(before, X.samples(spark)).select("feature_id", "sample_id", F.lit(1.0).alias("value"))
+    return clean.restore_missing(filled, before)
+
+
+@query(QC + ", t AS (SELECT sample_id, c.grp, c.lipid_class, sum(value) AS total FROM cells c JOIN kept k USING (feature_id) WHERE k.keep GROUP BY ALL) SELECT lipid_class, grp, round(avg(total), 4) AS mean, round(median(total), 4) AS median FROM t GROUP BY ALL")
+def flow_class_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Total abundance of each class in each group, over features with a stable signal."""
+    every = cells(spark, sf)
+    stable = clean.qc_filter(clean.group_stats(every), X.features(spark, sf), groups(spark), 45.0).where("keep").select("feature_id")
+    of = composition.class_totals(every.join(stable, "feature_id", "left_semi"))
+    return of.select("lipid_class", "grp", r("mean", 4).alias("mean"), r("median", 4).alias("median"))
+
+
+# Annotation
+
+
+LIBRARY = ", lib AS (SELECT feature_id AS lib_id, neutral_mass * (1 + 1e-6::DOUBLE * ((feature_id / 50) % 5)) AS neutral_mass FROM features WHERE feature_id % 50 = 0), md AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{a}', {n}, {x!r}::DOUBLE, {abs(z)})" for p, a, n, x, z in annotate.ADDUCT_MODELS) + ") v(polarity, adduct, n, added, z)), th AS (SELECT lib_id, polarity, adduct, (n * neutral_mass + added) / z AS theo FROM lib CROSS JOIN md) "
+
+
+def library(spark: SparkSession, sf: str) -> DataFrame:
+    return X.features(spark, sf).where("feature_id % 50 = 0").select(F.col("feature_id").alias("lib_id"), (F.col("neutral_mass") * (1 + F.lit(1e-6) * ((F.col("feature_id") / 50) % 5))).alias("neutral_mass"))
+
+
+@query(LIBRARY + "SELECT lib_id, polarity, adduct, round(theo, 6) AS theo_mz FROM th")
+def p16_theoretical_mz(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.theoretical_mz(library(spark, sf)).withColumn("theo_mz", r("theo_mz"))
+
+
+@query(LIBRARY + "SELECT f.feature_id, lib_id, t.adduct, round(theo, 6) AS theo_mz, round(abs(f.mz - theo) / theo * 1e6, 4) AS ppm FROM features f JOIN th t ON t.polarity = f.polarity AND theo BETWEEN f.mz - 0.004 AND f.mz + 0.004 WHERE abs(f.mz - theo) <= 0.003 AND abs(f.mz - theo) / theo * 1e6 <= 3.3")
+def j1_mass_search(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.mass_search(X.features(spark, sf), library(spark, sf), ppm=3.3).select("feature_id", "lib_id", "adduct", r("theo_mz").alias("theo_mz"), r("ppm", 4).alias("ppm"))
+
+
+@query("SELECT feature_id, coalesce(rt_min BETWEEN 0.05 * length(lipid_class) AND 0.6, FALSE) AND lipid_class <> 'CL' AND carbons > 16 AS keep FROM features")
+def f8_windows(spark: SparkSession, sf: str) -> DataFrame:
+    classes = spark.createDataFrame([(c,) for c in X.CLASSES if c != "CL"], "lipid_class string")
+    bins = spark.createDataFrame([(f"{lo}-{hi}C",) for lo, hi in N.CARBON_BINS[3:-1]], "carbon_bin string")
+    windows = classes.crossJoin(bins).select("lipid_class", "carbon_bin", (F.lit(0.05) * F.length("lipid_class")).alias("lo"), F.lit(0.6).alias("hi"))  # 7 classes and 9 bins
+    return annotate.window_filter(X.features(spark, sf), windows).select("feature_id", "keep")
+
+
+@query("SELECT feature_id, CASE WHEN adduct IN ('[M+H]+', '[M-H]-') THEN 0.0 WHEN adduct = '[M+Na]+' THEN 0.5 ELSE 1.0 END AS adduct_penalty, adduct IN ('[M+H]+', '[M-H]-', '[M+Na]+') AS keep FROM features")
+def f9_whitelist(spark: SparkSession, sf: str) -> DataFrame:
+    raw = spark.createDataFrame([(c, "[M+H]+", "[M+Na]+", "[M-H]-") for c in X.CLASSES], "lipid_class string, P0 string, P2 string, N0 string")
+    ranks = tables.read_adduct_ranks(raw)
+    f = X.features(spark, sf).withColumn("lipid_class", F.upper("lipid_class"))
+    return annotate.whitelist_filter(f, ranks).select("feature_id", "adduct_penalty", "keep")
+
+
+SCORED = """, x AS (SELECT *, CASE WHEN dmz_ppm <= 0.8 THEN 0 WHEN dmz_ppm <= 1.6 THEN 0.2 WHEN dmz_ppm <= 2.4 THEN 0.4 WHEN dmz_ppm <= 3.2 THEN 0.6 WHEN dmz_ppm <= 4 THEN 0.8 ELSE 1 END AS p1,
+  least(1, 0.25 + CASE WHEN lipid_class IN ('TG', 'FA') THEN 0.1 ELSE 0 END) AS p2, CASE WHEN carbons % 2 = 0 THEN 0 ELSE 1 END AS p3, CASE WHEN carbons / nullif(dbe, 0)::DOUBLE BETWEEN 8 AND 36 THEN 0 WHEN carbons / nullif(dbe, 0)::DOUBLE >= 3.5 AND carbons / nullif(dbe, 0)::DOUBLE < 8 THEN 0.5 ELSE 1 END AS p4,
+  CASE WHEN lipid_class = 'FA' AND carbons BETWEEN 14 AND 20 THEN 0 ELSE 0.5 END AS p5 FROM features), sc AS (SELECT *, greatest(0, 100 - p1 - 0.25 - p2 - p3 - p4 - p5) AS score FROM x) """
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf).withColumns({"adduct_penalty": F.lit(0.25), "sensitivity": F.lit(0.25), "n_acyls": F.lit(1), "is_plasmenyl": F.lit(False), "n_modifications": F.lit(0), "modifications": F.lit("")})
+    return annotate.score(f)
+
+
+@query(SCORED + "SELECT feature_id, round(score, 6) AS score FROM sc")
+def f10_score(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select("feature_id", r("score").alias("score"))
+
+
+@query(SCORED + "SELECT feature_id, score >= 97.5 AS keep FROM sc")
+def f14_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.cutoff_filter(scored(spark, sf).withColumn("score", r("score")), 97.5).select("feature_id", "keep")
+
+
+KMD = ", k AS (SELECT feature_id, lipid_class, neutral_mass * 14.0::DOUBLE / 14.01565::DOUBLE - round_even(neutral_mass * 14.0::DOUBLE / 14.01565::DOUBLE, 0) AS kmd FROM features), m AS (SELECT lipid_class, median(kmd) AS mid, count(kmd) AS size FROM k GROUP BY lipid_class) "
+
+
+@query(KMD + "SELECT feature_id, NOT (size >= 7 AND abs(kmd - mid) > 0.25) AS keep FROM k JOIN m USING (lipid_class)")
+def f13_kendrick(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.kendrick_filter(X.features(spark, sf), 0.25).select("feature_id", "keep")
+
+
+CCS = """, c0 AS (SELECT *, ccs + CASE WHEN feature_id % 83 = 0 THEN 40 ELSE 0 END AS c FROM features), l AS (SELECT {key}, regr_slope(c, carbons) AS b, regr_intercept(c, carbons) AS a, count(*) AS size FROM c0 GROUP BY {key}),
+rs AS (SELECT feature_id, {key}, is_standard, size, c - (b * carbons + a) AS e FROM c0 JOIN l USING ({key})), md AS (SELECT {key}, median(e) AS mid FROM rs GROUP BY {key}), o AS (SELECT *, abs(e - mid) AS off FROM rs JOIN md USING ({key})), ma AS (SELECT {key}, median(off) AS mad FROM o GROUP BY {key}) """
+
+
+def off_ccs(spark: SparkSession, sf: str) -> DataFrame:
+    return X.features(spark, sf).withColumn("ccs", F.col("ccs") + F.when(F.col("feature_id") % 83 == 0, 40).otherwise(0))
+
+
+@query(CCS.format(key="lipid_class, adduct") + "SELECT feature_id, NOT (size >= 12 AND abs(e) > 2 AND off / greatest(0.75, 1.4826 * mad) >= 5 AND NOT is_standard) AS keep, round(off / greatest(0.75, 1.4826 * mad), 5) AS robust_z FROM o JOIN ma USING (lipid_class, adduct)")
+def f15_ccs(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.ccs_filter(off_ccs(spark, sf), "lipid_class", "adduct", limit=5.0).select("feature_id", "keep", r("robust_z", 5).alias("robust_z"))
+
+
+@query(CCS.format(key="lipid_class") + "SELECT feature_id, NOT (size >= 12 AND coalesce(off / nullif(mad, 0) > 6, FALSE) AND NOT is_standard) AS keep FROM o JOIN ma USING (lipid_class)")
+def f16_ccs_class(spark: SparkSession, sf: str) -> DataFrame:
+    return annotate.ccs_filter(off_ccs(spark, sf), "lipid_class", scaled=False, limit=6.0).select("feature_id", "keep")
+
+
+ROWS = ", ar AS (SELECT feature_id // 3 AS feature_id, annotation, msms_score AS score, (['IS', 'MS/MS match', 'MS match', ''])[feature_id % 4 + 1] AS annotation_type FROM features) "
+
+
+@query(ROWS + "SELECT feature_id, annotation, annotation_type, score FROM ar QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY CASE annotation_type WHEN 'IS' THEN 0 WHEN 'MS/MS match' THEN 1 WHEN 'MS match' THEN 2 ELSE 3 END, score DESC NULLS LAST, annotation) = 1")
+def w1_best_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("IS", "MS/MS match", "MS match", ""))), (F.col("feature_id") % 4 + 1).cast("int"))
+    rows = X.features(spark, sf).select(F.expr("feature_id div 3").alias("feature_id"), "annotation", kind.alias("annotation_type"), F.col("msms_score").alias("score"))
+    return annotate.best_annotation(rows)
+
+
+# Imputation and normalization
+
+GRID = ", gd AS (SELECT f.feature_id, s.sample_id, s.grp, i.value FROM (SELECT DISTINCT feature_id FROM intensity) f CROSS JOIN samples s LEFT JOIN (SELECT * FROM intensity WHERE value > 0) i ON i.feature_id = f.feature_id AND i.sample_id = s.sample_id) "
+
+
+@query(GRID + """, a AS (SELECT feature_id, grp, quantile_cont(value, 0.01) AS l1, count(value) / count(*)::DOUBLE AS rate FROM gd GROUP BY ALL), b AS (SELECT feature_id, quantile_cont(value, 0.01) AS l2 FROM gd GROUP BY ALL), c AS (SELECT grp, quantile_cont(value, 0.01) AS l3 FROM gd GROUP BY ALL), d AS (SELECT quantile_cont(value, 0.01) AS l4 FROM gd)
+SELECT feature_id, sample_id, value IS NULL AS imputed, round(coalesce(value, CASE WHEN rate >= 0.8 THEN coalesce(l1, l2, l3, l4) / 3 WHEN rate >= 0.5 THEN greatest(coalesce(l1, l2, l3, l4) / 3, l4 / 5) ELSE coalesce(l1, l2, l3, l4) / 5 END), 5) AS value FROM gd JOIN a USING (feature_id, grp) JOIN b USING (feature_id) JOIN c USING (grp) CROSS JOIN d""")
+def n1_impute_lod(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.impute_detection_limit(X.intensity(spark, sf), X.samples(spark)).select("feature_id", "sample_id", "imputed", r("value", 5).alias("value"))
+
+
+@query(GRID + ", a AS (SELECT feature_id, grp, min(value) AS m, count(value) / count(*)::DOUBLE AS rate FROM gd GROUP BY ALL), b AS (SELECT feature_id, min(value) AS fm FROM gd GROUP BY ALL), d AS (SELECT min(value) AS am FROM gd) SELECT feature_id, sample_id, round(coalesce(value, CASE WHEN rate >= 0.5 THEN m WHEN rate > 0 THEN am / 5 ELSE coalesce(fm, 0) END), 5) AS value FROM gd JOIN a USING (feature_id, grp) JOIN b USING (feature_id) CROSS JOIN d")
+def n2_impute_minimum(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.impute_minimum(X.intensity(spark, sf), X.samples(spark)).withColumn("value", r("value", 5))
+
+
+CHOICE = """, sd AS (SELECT feature_id AS standard_id, polarity, sample_id, value AS sv FROM cells WHERE is_standard), bo AS (SELECT c.feature_id, standard_id, c.value / nullif(sv, 0) AS x FROM cells c JOIN sd USING (polarity, sample_id) WHERE c.is_qc),
+ra AS (SELECT feature_id, standard_id, 100 * stddev_samp(x) / nullif(avg(x), 0) AS after FROM bo GROUP BY ALL HAVING count(x) > 1), rb AS (SELECT feature_id, 100 * stddev_samp(value) / nullif(avg(value), 0) AS before FROM cells WHERE is_qc GROUP BY ALL),
+ch AS (SELECT feature_id, standard_id, before, after, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) WHERE after IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY coalesce(after <= before * 1.2, FALSE) DESC, round(after, 9), CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN standard_id END DESC NULLS LAST, standard_id) = 1) """
+
+
+def standards(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).where("is_standard").select(F.col("feature_id").alias("standard_id"), "polarity", "sample_id", "value")
+
+
+@query(CHOICE + "SELECT feature_id, standard_id, CASE WHEN ok THEN 'preferred' ELSE 'lowest' END AS stage, round(after, 6) AS rsd_after FROM ch")
+def n3_choose_standard(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.choose_standard(cells(spark, sf), standards(spark, sf)).select("feature_id", "standard_id", "stage", r("rsd_after").alias("rsd_after"))
+
+
+@query(CHOICE + ", ct AS (SELECT lipid_class, polarity, standard_id, count(*) AS n, min(feature_id) AS first FROM ch JOIN features USING (feature_id) GROUP BY ALL), wn AS (SELECT * FROM ct QUALIFY row_number() OVER (PARTITION BY lipid_class, polarity ORDER BY n DESC, first) = 1), vt AS (SELECT feature_id, lipid_class, polarity, wn.standard_id AS voted_id FROM ch JOIN features USING (feature_id) JOIN wn USING (lipid_class, polarity)) , cc AS (SELECT lipid_class, polarity, voted_id, count(*) AS n FROM vt GROUP BY ALL) SELECT *, n / sum(n) OVER (PARTITION BY lipid_class, polarity) AS share FROM cc")
+def w5_a20_vote(spark: SparkSession, sf: str) -> DataFrame:
+    choice = normalize.choose_standard(cells(spark, sf), standards(spark, sf))
+    return normalize.standard_usage(normalize.vote(choice, X.features(spark, sf)))
+
+
+@query(CHOICE + ", st2 AS (SELECT DISTINCT standard_id, 1 + (standard_id % 7) AS conc FROM sd WHERE standard_id % 2 = 0) SELECT c.feature_id, c.sample_id, round(c.value / nullif(sv, 0) * coalesce(conc / 2.0, 1), 6) AS value FROM cells c JOIN ch USING (feature_id) LEFT JOIN sd ON sd.standard_id = ch.standard_id AND sd.sample_id = c.sample_id LEFT JOIN st2 ON st2.standard_id = ch.standard_id")
+def n4_n5_semi_quantify(spark: SparkSession, sf: str) -> DataFrame:
+    every, s = cells(spark, sf), standards(spark, sf)
+    ratios = normalize.divide_by_standard(every, normalize.choose_standard(every, s), s)
+    stock = s.select("standard_id").distinct().where("standard_id % 2 = 0").withColumn("conc", (1 + F.col("standard_id") % 7).cast("double"))
+    return normalize.semi_quantify(ratios, stock, 2.0).select("feature_id", "sample_id", r("value").alias("value"))
+
+
+@query(""", n6 AS (SELECT feature_id, sample_id, lipid_class, value / nullif(median(value) OVER (PARTITION BY sample_id), 0) AS value FROM cells), sz AS (SELECT lipid_class, count(DISTINCT feature_id) AS size FROM n6 GROUP BY ALL), md AS (SELECT lipid_class, sample_id, median(value) AS mid FROM n6 GROUP BY ALL)
+SELECT feature_id, sample_id, round(value / CASE WHEN size >= 5 THEN coalesce(nullif(mid, 0), 1) ELSE 1 END, 6) AS value FROM n6 JOIN sz USING (lipid_class) JOIN md USING (lipid_class, sample_id)""")
+def n6_n7_median_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.class_median_normalize(normalize.median_normalize(cells(spark, sf))).select("feature_id", "sample_id", r("value").alias("value"))
+
+
+@query()
+def n8_drift_correct(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.drift_correct(X.intensity(spark, sf).join(F.broadcast(X.samples(spark)), "sample_id"))
+
+
+@query(""", nm AS (SELECT feature_id, sample_id, is_qc, value, value / median(value) OVER (PARTITION BY sample_id) AS nv FROM cells), rb AS (SELECT feature_id, 100 * stddev_samp(value) / avg(value) AS b, 100 * stddev_samp(nv) / avg(nv) AS a FROM nm WHERE is_qc GROUP BY ALL)
+SELECT count(*) FILTER (a < b) AS improved, count(*) FILTER (a = b) AS equal, count(*) FILTER (a > b AND a <= b * 1.2) AS worse_allowed, count(*) FILTER (a > b * 1.2) AS worse, round(median(b), 6) AS median_before, round(median(a), 6) AS median_after FROM rb WHERE a IS NOT NULL AND b IS NOT NULL""")
+def a21_normalization_effect(spark: SparkSession, sf: str) -> DataFrame:
+    every = cells(spark, sf)
+    rsd = lambda df: df.where("is_qc").groupBy("feature_id").agg(clean.rsd(F.col("value")).alias("rsd_pct"))
+    return normalize.normalization_effect(rsd(every), rsd(normalize.median_normalize(every))).drop("change").withColumns({"median_before": r("median_before"), "median_after": r("median_after")})
+
+
+WILCOXON = """, t AS (SELECT grp, sample_id, sum(value) AS a, sum(value) FILTER (dbe > 2) * 1.5 AS b FROM cells GROUP BY ALL), d AS (SELECT grp, b - a AS d FROM t WHERE b <> a), k AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, abs(d)) - 1) / 2.0 AS rk FROM d)
+SELECT grp, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM k GROUP BY grp"""
+
+
+@query(WILCOXON)
+def n9_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
+    of = cells(spark, sf).groupBy("grp", "sample_id").agg(F.sum("value").alias("before"), (F.sum(F.when(F.col("dbe") > 2, F.col("value"))) * 1.5).alias("after"))
+    return tests.wilcoxon(of, "grp", with_p=False).drop("z")
+
+
+# Group tests
+
+MOMENTS = ", mo AS (SELECT feature_id, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM cells WHERE grp <> 'QC' GROUP BY ALL), pr AS (SELECT a.feature_id, a.grp AS grp1, b.grp AS grp2, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS v1, b.v AS v2 FROM mo a JOIN mo b ON a.feature_id = b.feature_id AND a.grp < b.grp) "
+
+
+def tested(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).where("grp <> 'QC'")
+
+
+@query(MOMENTS + "SELECT feature_id, grp1, grp2, round(CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END, 6) AS t, round(CASE WHEN n1 > 1 AND n2 > 1 THEN (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) END, 6) AS df FROM pr")
+def t1_welch(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.welch(tests.group_moments(tested(spark, sf), "feature_id"), "feature_id", with_p=False).select("feature_id", "grp1", "grp2", r("t").alias("t"), r("df").alias("df"))
+
+
+@query(MOMENTS + "SELECT feature_id, grp1, grp2, round(CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1::DOUBLE + 1 / n2::DOUBLE)) END, 6) AS t FROM pr")
+def t1_student(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.student(tests.group_moments(tested(spark, sf), "feature_id"), "feature_id").select("feature_id", "grp1", "grp2", r("t").alias("t"))
+
+
+@query(MOMENTS + "SELECT feature_id, grp1, grp2, round(CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2) - 9)) END, 6) AS g FROM pr")
+def t4_hedges(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.hedges(tests.group_moments(tested(spark, sf), "feature_id"), "feature_id").select("feature_id", "grp1", "grp2", r("g").alias("g"))
+
+
+@query(""", pg AS (SELECT DISTINCT a.feature_id, a.grp AS grp1, b.grp AS grp2 FROM cells a JOIN cells b ON a.feature_id = b.feature_id AND a.grp < b.grp WHERE a.grp <> 'QC' AND b.grp <> 'QC'), rk AS (SELECT pg.*, c.grp, rank() OVER (PARTITION BY pg.feature_id, grp1, grp2 ORDER BY value) + (count(*) OVER (PARTITION BY pg.feature_id, grp1, grp2, value) - 1) / 2.0 AS rk FROM pg JOIN cells c ON c.feature_id = pg.feature_id AND c.grp IN (grp1, grp2))
+SELECT feature_id, grp1, grp2, count(*) FILTER (grp = grp1) AS n1, count(*) FILTER (grp = grp2) AS n2, sum(rk) FILTER (grp = grp1) - count(*) FILTER (grp = grp1) * (count(*) FILTER (grp = grp1) + 1) / 2.0 AS u FROM rk GROUP BY ALL""")
+def t2_mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.mann_whitney(tested(spark, sf), with_p=False).select("feature_id", "grp1", "grp2", "n1", "n2", "u")
+
+
+@query(""", md AS (SELECT feature_id, grp, median(value) AS mid FROM cells WHERE grp <> 'QC' GROUP BY ALL), fr AS (SELECT feature_id, grp, abs(value - mid) AS z FROM cells JOIN md USING (feature_id, grp)), g AS (SELECT feature_id, grp, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM fr GROUP BY ALL), a AS (SELECT feature_id, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY ALL)
+SELECT feature_id, round(CASE WHEN k > 1 AND n > k THEN ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) END, 5) AS f FROM a""")
+def t3_brown_forsythe(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.brown_forsythe(tested(spark, sf), with_p=False).select("feature_id", r("f", 5).alias("f"))
+
+
+@query(""", md AS (SELECT feature_id, grp, median(nullif(value, 0)) AS m FROM cells WHERE grp <> 'QC' GROUP BY ALL), pp AS (SELECT a.feature_id, a.grp AS grp1, b.grp AS grp2, a.m AS m1, b.m AS m2 FROM md a JOIN md b ON a.feature_id = b.feature_id AND a.grp < b.grp), po AS (SELECT pp.feature_id, grp1, grp2, m1, m2, 0.01 * median(nullif(value, 0)) + 1e-9 AS eps FROM pp JOIN cells c ON c.feature_id = pp.feature_id AND c.grp IN (grp1, grp2) GROUP BY ALL)
+SELECT feature_id, grp1, grp2, round(log2((m1 + eps) / (m2 + eps)), 6) AS log2fc FROM po""")
+def t5_fold_change(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.fold_change(tested(spark, sf)).withColumn("log2fc", r("log2fc"))
+
+
+KRUSKAL = """, rk AS (SELECT feature_id, grp, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY feature_id, value) AS tie FROM cells WHERE grp <> 'QC'), g AS (SELECT feature_id, grp, count(*) AS n, sum(rk) AS s, sum(tie * tie - 1) AS tt FROM rk GROUP BY ALL), a AS (SELECT feature_id, count(*) AS k, sum(n)::DOUBLE AS n, sum(s * s / n) AS q, sum(tt) AS tt FROM g GROUP BY ALL),
+kw AS (SELECT feature_id, k, CASE WHEN k >= 2 AND n > 2 THEN (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - tt / (n * n * n - n), 0) END AS h FROM a), kp AS (SELECT *, CASE WHEN k = 3 THEN exp(-h / 2) END AS p FROM kw) """
+
+
+@query(KRUSKAL + ", o AS (SELECT *, round(p, 12) AS pr FROM kp), q AS (SELECT *, pr * count(*) OVER (PARTITION BY p IS NULL) / count(*) OVER (PARTITION BY p IS NULL ORDER BY pr) AS raw FROM o) SELECT feature_id, round(h, 6) AS h, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, min(raw) OVER (PARTITION BY p IS NULL ORDER BY pr DESC)) END, 6) AS fdr FROM q")
+def t7_t6_kruskal_fdr(spark: SparkSession, sf: str) -> DataFrame:
+    of = tests.kruskal(tested(spark, sf), closed_form=True).withColumn("p", r("p", 12))
+    return tests.benjamini_hochberg(of).select("feature_id", r("h").alias("h"), r("p").alias("p"), r("fdr").alias("fdr"))
+
+
+@query(KRUSKAL + "SELECT feature_id, lipid_class, row_number() OVER (PARTITION BY lipid_class ORDER BY round(p, 9), feature_id) AS rank FROM kp JOIN features USING (feature_id) WHERE p IS NOT NULL QUALIFY rank <= 5")
+def w6_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    of = tests.kruskal(tested(spark, sf), closed_form=True).where("p IS NOT NULL").join(X.features(spark, sf).select("feature_id", "lipid_class"), "feature_id")
+    rank = F.row_number().over(Window.partitionBy("lipid_class").orderBy(r("p", 9), "feature_id"))
+    return of.select("feature_id", "lipid_class", rank.alias("rank")).where("rank <= 5")
+
+
+@query()
+def t8_gate(spark: SparkSession, sf: str) -> DataFrame:
+    totals = tested(spark, sf).groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("value"))
+    return tests.gate(tests.kruskal(totals, "lipid_class"), tests.welch(tests.group_moments(totals, "lipid_class"), "lipid_class"), "lipid_class")
+
+
+@query()
+def t9_volcano(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.volcano(tested(spark, sf))
+
+
+@query()
+def a25_comparison_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.comparison_summary(tests.volcano(tested(spark, sf)))
+
+
+PRESENCE = """, gr AS (SELECT grp, count(*) AS size FROM samples WHERE grp <> 'QC' GROUP BY grp), ct AS (SELECT f.feature_id, g.grp, size, coalesce(n, 0) AS d FROM (SELECT DISTINCT feature_id FROM cells WHERE grp <> 'QC') f CROSS JOIN gr g LEFT JOIN (SELECT feature_id, grp, count(*) AS n FROM cells WHERE value > 0 GROUP BY ALL) c ON c.feature_id = f.feature_id AND c.grp = g.grp), tt AS (SELECT feature_id, sum(d) / sum(size)::DOUBLE AS s FROM ct GROUP BY ALL)
+SELECT feature_id, round(sum((d - size * s) ** 2 / nullif(size * s * (1 - s), 0)), 6) AS chi2 FROM ct JOIN tt USING (feature_id) GROUP BY feature_id"""
+
+
+def presence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.detection_rates(tested(spark, sf), groups(spark).where("grp <> 'QC'").select("grp", "size")).select("feature_id", "grp", "detected", "size")
+
+
+@query(PRESENCE)
+def t12_presence(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.presence(presence_counts(spark, sf)).select("feature_id", r("chi2").alias("chi2"))
+
+
+@query()
+def t12_hurdle(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.hurdle(tested(spark, sf), presence_counts(spark, sf))
+
+
+CHANGE = ", lf AS (SELECT feature_id, lipid_class, carbons, dbe, round(ln(1 + avg(value) FILTER (grp = 'A')) - ln(1 + avg(value) FILTER (grp = 'B')), 6) AS log2fc FROM cells GROUP BY ALL HAVING avg(value) FILTER (grp = 'A') IS NOT NULL AND avg(value) FILTER (grp = 'B') IS NOT NULL) "
+
+
+def change(spark: SparkSession, sf: str) -> DataFrame:
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("value")))
+    of = cells(spark, sf).groupBy("feature_id", "lipid_class", "carbons", "dbe").agg(r(F.log(1 + mean("A")) - F.log(1 + mean("B"))).alias("log2fc"))
+    return of.where("log2fc IS NOT NULL")
+
+
+@query(CHANGE + "SELECT a.feature_id, count(*) AS n_near, round(avg((sign(a.log2fc) = sign(b.log2fc))::INT), 6) AS same_direction, round(median(b.log2fc), 7) AS median_near FROM lf a JOIN lf b ON a.lipid_class = b.lipid_class AND abs(a.carbons - b.carbons) <= 2 AND abs(a.dbe - b.dbe) <= 1 GROUP BY a.feature_id")
+def j6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.neighbours(change(spark, sf)).select("feature_id", "n_near", r("same_direction").alias("same_direction"), r("median_near", 7).alias("median_near"))
+
+
+@query(CHANGE + "SELECT lipid_class, count(*) AS n, round(avg((log2fc > 0)::INT), 6) AS share_up, count(*) >= 3 AND greatest(avg((log2fc > 0)::INT), 1 - avg((log2fc > 0)::INT)) >= 0.7 AS coherent FROM lf GROUP BY lipid_class")
+def t10_class_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    return tests.class_coherence(change(spark, sf)).withColumn("share_up", r("share_up"))
+
+
+@query(CHANGE + ", q AS (SELECT quantile_cont(abs(log2fc), 0.9) AS cut FROM lf) SELECT lipid_class, count(*) AS n, count(*) FILTER (abs(log2fc) >= cut) AS n_strong, round(median(log2fc), 5) AS median_log2fc, count(*) FILTER (log2fc > 0) AS up, count(*) FILTER (log2fc < 0) AS down FROM lf CROSS JOIN q GROUP BY lipid_class")
+def a22_class_effects(spark: SparkSession, sf: str) -> DataFrame:
+    return composition.class_effects(change(spark, sf)).select("lipid_class", "n", "n_strong", r("median_log2fc", 5).alias("median_log2fc"), "up", "down")
+
+
+@query(CHANGE + "SELECT feature_id, log2fc, row_number() OVER (ORDER BY abs(log2fc) DESC NULLS LAST, feature_id) AS place FROM lf QUALIFY place <= 50")
+def w7_ordered_table(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = change(spark, sf).orderBy(F.abs("log2fc").desc_nulls_last(), "feature_id").limit(50)
+    return top.select("feature_id", "log2fc", F.row_number().over(Window.orderBy(F.abs("log2fc").desc_nulls_last(), "feature_id")).alias("place"))
+
+
+@query(""", tot AS (SELECT sample_id, grp, sum(value) AS v FROM cells WHERE grp <> 'QC' GROUP BY ALL), cls AS (SELECT sample_id, grp, lipid_class, sum(value) AS v FROM cells WHERE grp <> 'QC' GROUP BY ALL), m AS (SELECT lipid_class, grp, avg(v) AS m FROM cls GROUP BY ALL)
+SELECT lipid_class, grp, round(m, 2) AS mean, row_number() OVER (PARTITION BY grp ORDER BY m DESC, lipid_class) AS place FROM m QUALIFY place <= 3""")
+def w8_top_per_source(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    of = tested(spark, sf).groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("v")).groupBy("lipid_class", "grp").agg(F.avg("v").alias("m"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("m").desc(), "lipid_class"))
+    return of.select("lipid_class", "grp", r("m", 2).alias("mean"), place.alias("place")).where("place <= 3")
+
+
+@query("SELECT polarity, arg_max(feature_id, round(m, 6)) AS feature_id, round(max(m), 6) AS mean FROM (SELECT polarity, feature_id, avg(value) AS m FROM cells WHERE is_standard AND is_qc GROUP BY ALL) GROUP BY polarity")
+def w4_best_standard(spark: SparkSession, sf: str) -> DataFrame:
+    of = cells(spark, sf).where("is_standard AND is_qc").groupBy("polarity", "feature_id").agg(r(F.avg("value")).alias("m"))
+    return of.groupBy("polarity").agg(F.max_by("feature_id", "m").alias("feature_id"), F.max("m").alias("mean"))
+
+
+# Correlation and projections
+
+SMALL = "lipid_class = 'FA' AND feature_id % 3 = 0"
+
+
+@query(f", k AS (SELECT feature_id, sample_id, value FROM cells WHERE {SMALL} AND value > 0), c AS (SELECT a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b USING (sample_id) WHERE a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT id1, id2, n, round(r, 6) AS r FROM c")
+def t13_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.class_correlations(cells(spark, sf).where(SMALL)).select("id1", "id2", "n", r("r").alias("r"))
+
+
+@query(", k AS (SELECT feature_id, sample_id, lipid_class, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS value FROM cells WHERE value > 0 AND feature_id % 5 = 0), c AS (SELECT a.lipid_class, a.feature_id, b.feature_id AS id2, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT lipid_class, count(r) AS pairs, round(avg(r), 5) AS mean_r, round(avg(abs(r)), 5) AS mean_abs_r FROM c GROUP BY lipid_class")
+def t13_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.class_correlations(cells(spark, sf).where("feature_id % 5 = 0"), ranks=True)
+    return multivariate.correlation_summary(of).select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
+
+
+@query()
+def t14_differential_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.differential_correlation(cells(spark, sf), "A", "B")
+
+
+@query(", z AS (SELECT lipid_class, grp, sample_id, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM cells WINDOW w AS (PARTITION BY feature_id)), s AS (SELECT lipid_class, grp, sample_id, avg(z) AS z FROM z GROUP BY ALL) SELECT lipid_class, grp, round(avg(z), 6) AS score FROM s GROUP BY ALL")
+def t15_trajectory(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.class_trajectory(cells(spark, sf)).withColumn("score", r("score"))
+
+
+ZG = ", za AS (SELECT feature_id, sample_id, CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM intensity WINDOW w AS (PARTITION BY feature_id)), g AS (SELECT a.sample_id AS s1, b.sample_id AS s2, sum(a.z * b.z) AS g FROM za a JOIN za b ON a.feature_id = b.feature_id AND a.sample_id <= b.sample_id GROUP BY ALL), ds AS (SELECT g.s1, g.s2, sqrt(greatest(0, x.g + y.g - 2 * g.g)) AS distance FROM g JOIN g x ON x.s1 = g.s1 AND x.s2 = g.s1 JOIN g y ON y.s1 = g.s2 AND y.s2 = g.s2 WHERE g.s1 < g.s2) "
+
+
+@query(ZG + "SELECT s1, s2, round(distance, 5) AS distance FROM ds")
+def m2_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.distances(multivariate.gram(multivariate.autoscale(X.intensity(spark, sf)))).withColumn("distance", r("distance", 5))
+
+
+@query(ZG + ", w AS (SELECT a.grp, sum(distance ** 2) AS q FROM ds JOIN samples a ON a.sample_id = s1 JOIN samples b ON b.sample_id = s2 WHERE a.grp = b.grp GROUP BY a.grp) SELECT round(((t / 20 - v) / 3) / (v / 16), 6) AS f FROM (SELECT sum(distance ** 2) AS t FROM ds) CROSS JOIN (SELECT sum(q / 5) AS v FROM w)")
+def m3_permanova(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.distances(multivariate.gram(multivariate.autoscale(X.intensity(spark, sf))))
+    return multivariate.permanova_f(of, X.samples(spark)).select(r("f").alias("f"))
+
+
+@query(ZG + ", bo AS (SELECT s1, s2, distance FROM ds UNION ALL SELECT s2, s1, distance FROM ds), m AS (SELECT s1, a.grp AS g1, b.grp AS g2, avg(distance) AS d FROM bo JOIN samples a ON a.sample_id = s1 JOIN samples b ON b.sample_id = s2 GROUP BY ALL), e AS (SELECT s1, max(d) FILTER (g1 = g2) AS own, min(d) FILTER (g1 <> g2) AS other FROM m GROUP BY s1) SELECT round(avg((other - own) / greatest(own, other)), 6) AS silhouette FROM e")
+def m5_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.distances(multivariate.gram(multivariate.autoscale(X.intensity(spark, sf))))
+    return multivariate.silhouette(of, X.samples(spark)).select(r("silhouette").alias("silhouette"))
+
+
+@query()
+def m1_principal_components(spark: SparkSession, sf: str) -> DataFrame:
+    names, scores, share = multivariate.principal_components(multivariate.gram(multivariate.autoscale(X.intensity(spark, sf))))
+    return spark.createDataFrame([(int(s), *map(float, row), float(share[0])) for s, row in zip(names, scores, strict=True)], "sample_id int, pc1 double, pc2 double, pc3 double, share1 double")
+
+
+@query()
+def m3_permanova_p(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.distances(multivariate.gram(multivariate.autoscale(X.intensity(spark, sf))))
+    return multivariate.permanova_p(of, X.samples(spark))
+
+
+@query()
+def t11_moderated(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.moderated_test(X.intensity(spark, sf), X.samples(spark), "QC")
+    return of.withColumn("p", t_p("t", "df"))
+
+
+# Merge
+
+SIDES = ", ft AS (SELECT feature_id, polarity, rt_min, neutral_mass + CASE WHEN polarity = 'Neg' THEN 0.002 ELSE 0 END AS neutral_mass, lipid_class || ' ' || (carbons % 4) AS annotation, lipid_class, lipid_class AS headgroup, CASE WHEN dbe % 2 = 0 THEN 'Molecular level' ELSE 'x' END AS level, round(msms_score / 1000, 3) AS quality FROM features), pa AS (SELECT p.feature_id AS id1, n.feature_id AS id2, p.annotation AS a1, n.annotation AS a2, p.lipid_class AS c1, n.lipid_class AS c2, p.level AS l1, n.level AS l2, p.quality AS q1, n.quality AS q2 FROM ft p JOIN ft n ON p.polarity = 'Pos' AND n.polarity = 'Neg' AND abs(p.rt_min - n.rt_min) <= 0.2 AND n.neutral_mass BETWEEN p.neutral_mass - 0.01 AND p.neutral_mass + 0.01 WHERE abs(p.neutral_mass - n.neutral_mass) <= 0.005 OR abs(p.neutral_mass - n.neutral_mass) / p.neutral_mass * 1e6 <= 5) "
+
+
+def side(spark: SparkSession, sf: str, polarity: str) -> DataFrame:
+    shift = 0.002 if polarity == "Neg" else 0.0
+    return X.features(spark, sf).where(F.col("polarity") == polarity).select(
+        "feature_id", "rt_min", (F.col("neutral_mass") + shift).alias("neutral_mass"), F.concat("lipid_class", F.lit(" "), (F.col("carbons") % 4).cast("string")).alias("annotation"), "lipid_class",
+        F.col("lipid_class").alias("headgroup"), F.when(F.col("dbe") % 2 == 0, "Molecular level").otherwise("x").alias("level"), r(F.col("msms_score") / 1000, 3).alias("quality"))
+
+
+@query(SIDES + "SELECT id1, id2 FROM pa")
+def j2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.pair(side(spark, sf, "Pos"), side(spark, sf, "Neg")).select(F.col("feature_id1").alias("id1"), F.col("feature_id2").alias("id2"))
+
+
+@query(SIDES + "SELECT id1, id2, round(q1 * CASE WHEN a1 <> a2 AND l1 = 'Molecular level' THEN 1.1 ELSE 1 END, 6) AS quality1, round(q2 * CASE WHEN a1 <> a2 AND l2 = 'Molecular level' THEN 1.1 ELSE 1 END, 6) AS quality2 FROM pa WHERE a1 = a2 OR (c1 = c2 AND (l1 = 'Molecular level' OR l2 = 'Molecular level'))")
+def j3_compatible(spark: SparkSession, sf: str) -> DataFrame:
+    of = merge.compatible(merge.pair(side(spark, sf, "Pos"), side(spark, sf, "Neg")))
+    return of.select(F.col("feature_id1").alias("id1"), F.col("feature_id2").alias("id2"), r("quality1").alias("quality1"), r("quality2").alias("quality2"))
+
+
+@query()
+def u2_merge_best(spark: SparkSession, sf: str) -> DataFrame:
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+    return merge.merge_best(side(spark, sf, "Pos"), side(spark, sf, "Neg"))
+
+
+@query("SELECT CASE WHEN polarity = 'Pos' THEN 'P_' ELSE 'N_' END || feature_id AS feature_id, lipid_class, CASE WHEN polarity = 'Pos' THEN msms_score END AS msms_score FROM features")
+def u1_union(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf)
+    return merge.union_polarities(f.where("polarity = 'Pos'").select("feature_id", "lipid_class", "msms_score"), f.where("polarity = 'Neg'").select("feature_id", "lipid_class"))
+
+
+@query("SELECT feature_id, TRUE AS found FROM features WHERE feature_id % 3 = 0 UNION ALL SELECT feature_id * 3 + 1000000000, FALSE FROM features WHERE feature_id % 100 = 0")
+def j5_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    f = X.features(spark, sf).select("feature_id")
+    ids = f.where("feature_id % 3 = 0").unionByName(f.where("feature_id % 100 = 0").select((F.col("feature_id") * 3 + 1000000000).alias("feature_id")))
+    here, absent = merge.aligned(f, ids)
+    return here.withColumn("found", F.lit(True)).unionByName(absent.withColumn("found", F.lit(False)))
+
+
+@query("SELECT feature_id, TRUE AS annotated FROM features WHERE dbe > 0 UNION ALL SELECT feature_id, FALSE FROM features WHERE dbe = 0")
+def u3_split(spark: SparkSession, sf: str) -> DataFrame:
+    known, unknown = merge.split_known(X.features(spark, sf).withColumn("annotation", F.when(F.col("dbe") > 0, F.col("annotation")).otherwise("NA")))
+    return known.select("feature_id", F.lit(True).alias("annotated")).unionByName(unknown.select("feature_id", F.lit(False).alias("annotated")))
+
+
+@query()
+def w2_collapse_adducts(spark: SparkSession, sf: str) -> DataFrame:
+    of = X.intensity(spark, sf).groupBy("feature_id").agg((20 - F.count("*")).alias("n_missing"), F.avg("value").alias("mean"))
+    f = X.features(spark, sf).withColumn("annotation", F.concat("lipid_class", F.lit(" "), (F.col("carbons") % 4).cast("string"))).withColumn("annotation_type", F.when(F.col("is_standard"), "IS").otherwise("MS match"))
+    return merge.collapse_adducts(f.join(of, "feature_id"))
+
+
+@query()
+def w3_collapse_correlated(spark: SparkSession, sf: str) -> DataFrame:
+    every = X.intensity(spark, sf)
+    of = every.groupBy("feature_id").agg(clean.rsd(F.col("value")).alias("qc_rsd"), F.median("value").alias("median")).withColumn("sample_rsd", F.col("qc_rsd"))
+    f = X.features(spark, sf).withColumn("annotation", F.concat("lipid_class", F.lit(" "), (F.col("carbons") % 4).cast("string")))
+    return merge.collapse_correlated(f.join(of, "feature_id"), every, minutes=0.05, r=0.5)
