@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A benchmark item's seeds are its rarest 3-grams in the corpus, chosen so that every few neighbouring 3-grams hold one. A
-text that has a seed is aligned with the item around it, word by word, and is contaminated if the local alignment's
-score reaches a share of the item's own.
+A benchmark item's seeds are its 3-grams that are rare in the corpus, and of every few neighbouring ones the rarest, so
+that an item of common 3-grams, or one that very many texts copy, has seeds too. A text that has a seed is aligned with
+the item around it, word by word, and is contaminated if the local alignment's score reaches a share of the item's own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .shared import BROADCAST_LIMIT, WordHashes, as_bytes, gram_hashes, word_hashes
 
 WIDTH = 3
-#: Of so many neighbouring 3-grams of an item the rarest is a seed: 6 words in a row that are left as they were hold one.
+#: A 3-gram is rare if it is in such a share of the corpus's rows, or so many rows, at most.
+RARE, RARE_ROWS = 0.01, 100
+#: Of so many neighbouring 3-grams of an item the rarest is a seed, rare or not.
 NEIGHBOURS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an item aligned with itself.
@@ -54,12 +56,12 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 class Seeds:
     """Items, and which of their seeds is where."""
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], frequency: dict[int, int]):
+    def __init__(self, items: list[tuple[object, np.ndarray]], frequency: dict[int, int], rows: int):
         self.items = items
         at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, hashed) in enumerate(items):
             grams = gram_hashes(hashed, WIDTH).tolist()
-            chosen = set()
+            chosen = {p for p, g in enumerate(grams) if frequency.get(g, 0) <= max(RARE * rows, RARE_ROWS)}
             for start in range(max(1, len(grams) - NEIGHBOURS + 1)):
                 chosen.add(min(range(start, min(start + NEIGHBOURS, len(grams))), key=lambda p: (frequency.get(grams[p], 0), grams[p], p)))
             for p in chosen:
@@ -110,16 +112,17 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield sorted((x for x in items if len(x[1]) >= WIDTH), key=lambda x: str(x[0]))
 
 
-def _frequencies(docs: DataFrame, text_col: str, items: list[tuple[object, np.ndarray]]) -> dict[int, int]:
-    """In how many rows of the whole corpus each 3-gram of the items is."""
+def _frequencies(docs: DataFrame, text_col: str, items: list[tuple[object, np.ndarray]]) -> tuple[dict[int, int], int]:
+    """In how many rows of the whole corpus each 3-gram of the items is, and the number of rows."""
     wanted = np.unique(np.concatenate([gram_hashes(h, WIDTH) for _, h in items])) if items else np.empty(0, np.uint64)
     if not len(wanted):
-        return {}
+        return {}, 0
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHashes(), Counter()
         for batch in batches:
+            counts[-1] += batch.num_rows
             for text in as_bytes(batch.column(0)):
                 grams = np.unique(gram_hashes(word_hashes(words(text), cache), WIDTH))
                 k = np.searchsorted(shared.value, grams)
@@ -128,12 +131,14 @@ def _frequencies(docs: DataFrame, text_col: str, items: list[tuple[object, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
     each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram long, n long")
-    return {int(wanted[r["gram"]]): r["n"] for r in each.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    found = {r["gram"]: r["n"] for r in each.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each wanted 3-gram
+    rows = found.pop(-1, 0)
+    return {int(wanted[g]): n for g, n in found.items()}, rows
 
 
 def _seeds(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Seeds]:
     for items in _items(benchmark, item_col, item_text_col):
-        yield Seeds(items, _frequencies(docs, text_col, items))
+        yield Seeds(items, *_frequencies(docs, text_col, items))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ Texts become sets of hashed 5-word shingles. Equal sets form a class, of which t
 MinHash signature propose pairs; an odd sketch (the parity bitmap of the signature's samples) estimates a pair's
 similarity from the population count of an XOR, and pairs far below the threshold go; the others are confirmed on
 their full sets. Within a bucket not all pairs are tried: members are first compared with a few leaders, and once
-those links have merged most members, only pairs of members in different components are left, which are all tried.
+those links have merged most members, only pairs of components that share a bucket are left, of which all members are tried.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +26,23 @@ BANDS, ROWS = 32, 4
 SAMPLES, BITS = BANDS * ROWS, 512
 #: Five standard deviations (of 128 samples at 0.75: 0.038) under the threshold.
 MARGIN = 0.20
-#: Leaders of a bucket in each round, before all remaining pairs are tried.
-LEADERS = (3, 8)
+#: Leaders of a bucket, with which its members are compared before all remaining pairs are tried.
+LEADERS = 3
+#: Members of a component that is compared in blocks, at least, and of a block, about.
+LARGE, BLOCK = 8, 256
 #: Pairs of one text that meet in a task, at most.
 PAIRS_PER_TASK = 200
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 32, SAMPLES, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, SAMPLES, np.uint64).astype(np.uint32)[:, None]
-_BLOCK = 8192
+_STRETCH = 8192
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """The signature of a set that is not empty; long sets are taken in blocks."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
-    return np.minimum.reduce([(x[:, k : k + _BLOCK] * _A + _B).min(axis=1) for k in range(0, x.shape[1], _BLOCK)])
+    return np.minimum.reduce([(x[:, k : k + _STRETCH] * _A + _B).min(axis=1) for k in range(0, x.shape[1], _STRETCH)])
 
 
 def bands(signatures: np.ndarray) -> np.ndarray:
@@ -97,6 +100,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, odd array<long>")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets reach the threshold."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. texts: (id, text).
 
@@ -111,8 +120,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if left != kept[0]:
                     kept = (left, shingle_set(left, WIDTH, cache))
                 other = shingle_set(right, WIDTH, cache)
-                common = len(np.intersect1d(kept[1], other, assume_unique=True))
-                good.append(THRESHOLD[1] * common >= THRESHOLD[0] * (len(kept[1]) + len(other) - common))
+                good.append(_linked(kept[1], other))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
@@ -133,19 +141,71 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _leader_pairs(members: DataFrame, n: int, seed: int) -> DataFrame:
-    """Each member with each of n leaders of its bucket, if they are not in one component yet."""
-    first = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(seed + k)).alias("h"), "id", "label")).alias(f"l{k}") for k in range(n)))
-    leaders = first.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"l{k}.id").alias("lead"), F.col(f"l{k}.label").alias("of")) for k in range(n))))).alias("x")).select("key", "x.lead", "x.of")
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Each member with each of LEADERS leaders of its bucket, if they are not in one component yet.
+
+    A leader is first by a hash that is the same in all buckets, so that the buckets of a group have the same leaders.
+    """
+    first = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "label")).alias(f"l{k}") for k in range(LEADERS)))
+    leaders = first.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"l{k}.id").alias("lead"), F.col(f"l{k}.label").alias("of")) for k in range(LEADERS))))).alias("x")).select("key", "x.lead", "x.of")
     return members.join(leaders, "key").where("label != of").select(*_ordered(F.col("id"), F.col("lead"))).distinct()
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of members of a bucket in different components; most are between one large and some small ones."""
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    large = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("large"))
-    small = members.join(large, "key").where("label != large").select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    return small.join(members, "key").where("lx != label").select(*_ordered(F.col("x"), F.col("id"))).distinct()
+def _label_pairs(members: DataFrame, odd: DataFrame) -> DataFrame:
+    """Pairs of components that share a bucket: lo, hi. Where each has one member there, that pair has to be promising.
+
+    A component has one row in a bucket, however many members it has there.
+    """
+    of = members.join(odd, "id").groupBy("key", "label").agg(F.count("*").alias("n"), F.first("odd").alias("odd")).withColumn("odd", F.when(F.col("n") == 1, F.col("odd")))
+    x, y = (of.select("key", F.col("label").alias(k), F.col("odd").alias(f"odd_{k}")) for k in ("lo", "hi"))
+    near = estimate(differing_bits(F.col("odd_lo"), F.col("odd_hi"))) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
+    open_ = F.col("odd_lo").isNull() | F.col("odd_hi").isNull()
+    return x.join(y, "key").where((F.col("lo") < F.col("hi")) & (open_ | near)).select("lo", "hi").distinct()
+
+
+def _with_large(pairs: DataFrame, members: DataFrame, sizes: DataFrame, odd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between the members of large components and those of the components that share buckets with them.
+
+    pairs: large, small, of labels; members: id, label. Both sides are cut into blocks of about BLOCK members, and each
+    pair of blocks is a group of a bounded size. Of a member's links into a component one is enough, and is returned;
+    a member without links has been compared, by sketch and then by set, with every member of the component.
+    """
+    kind = dict(odd.dtypes)["id"]
+    other = written(pairs.join(members.select("id", F.col("label").alias("small")), "small").select("large", "id").distinct(), "others")
+    blocks = other.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(sizes.select(F.col("label").alias("large"), F.ceil(F.col("size") / BLOCK).cast("int").alias("na")), "large")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = members.withColumnRenamed("label", "large").join(blocks, "large").select("large", "id", block("na").alias("ba"), all_of("nb").alias("bb"), F.lit(True).alias("own"))
+    two = other.join(blocks, "large").select("large", "id", all_of("na").alias("ba"), block("nb").alias("bb"), F.lit(False).alias("own"))
+    full = one.unionByName(two).join(odd, "id").join(texts, "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own, rest = group[group["own"]], group[~group["own"]]
+        out, cache = [], WordHashes()
+        if len(own) and len(rest):
+            a, b = (np.array(list(x["odd"]), np.int64).view(np.uint64) for x in (own, rest))
+            ids, texts_ = own["id"].tolist(), own["text"].tolist()
+            sets: dict[int, np.ndarray] = {}
+            for name, text, bits in zip(rest["id"], rest["text"], b, strict=True):
+                differing = np.bitwise_count(a ^ bits[None, :]).sum(1)
+                close = 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * differing / BITS)) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
+                mine = None
+                for k in np.argsort(differing, kind="stable")[: int(close.sum())].tolist():
+                    if k not in sets:
+                        sets[k] = shingle_set(texts_[k].encode(), WIDTH, cache)
+                    mine = shingle_set(text.encode(), WIDTH, cache) if mine is None else mine
+                    if _linked(sets[k], mine):
+                        out.append((ids[k], name))
+                        break
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return full.groupBy("large", "ba", "bb").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def _among_small(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of members of two small components: a, b."""
+    x, y = (members.select(F.col("id").alias(f"i{k}"), F.col("label").alias(k)) for k in ("lo", "hi"))
+    return pairs.join(x, "lo").join(y, "hi").select(*_ordered(F.col("ilo"), F.col("ihi"))).distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,14 +226,33 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     twice = sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     tied = sets.join(twice, "id", "left_semi").join(classes, ["h1", "h2"]).where("id != rep")
     labels = connected_components(tied.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    for seed, n in enumerate((*LEADERS, None)):
-        left = members.join(labels.select(F.col("node").alias("id"), F.col("label").alias("known")), "id", "left").select("key", "id", F.coalesce("known", "id").alias("label"))
-        if seed:
-            open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            left = written(left.join(open_, "key"), "open")
-        pairs = written(_promising(_rest(left) if n is None else _leader_pairs(left, n, 100 * seed), odd), "pairs")
-        new = confirm(pairs, texts)
-        labels = connected_components(new.unionByName(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+    def merged(edges: DataFrame) -> DataFrame:
+        return connected_components(edges.unionByName(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+    def labelled(of: DataFrame) -> DataFrame:
+        """of with the labels so far, and the buckets that still hold more than one component."""
+        left = of.join(labels.select(F.col("node").alias("id"), F.col("label").alias("known")), "id", "left").select("key", "id", F.coalesce("known", "id").alias("label"))
+        open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return written(left.join(open_, "key"), "open")
+
+    labels = merged(confirm(written(_promising(_leader_pairs(labelled(members)), odd), "pairs"), texts))
+    # What is left are pairs of components: first those with a large one, then those of small ones that differ still.
+    of = found.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    of = written(of, "components")
+    sizes = of.groupBy("label").agg(F.count("*").alias("size"))
+    left = _label_pairs(labelled(members), odd)
+    for k in ("lo", "hi"):
+        left = left.join(sizes.select(F.col("label").alias(k), F.col("size").alias(f"size_{k}")), k)
+    left = written(left, "left")
+    first, any_large = F.struct("size_lo", "lo") > F.struct("size_hi", "hi"), F.greatest("size_lo", "size_hi") >= LARGE
+    big = left.where(any_large).select(F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("large"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("small"))
+    labels = merged(_with_large(big, of, sizes, odd, texts))
+    small = left.where(~any_large)
+    for k in ("lo", "hi"):
+        small = small.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"now_{k}")), k, "left")
+    small = small.where(F.coalesce("now_lo", "lo") != F.coalesce("now_hi", "hi")).select("lo", "hi")
+    labels = merged(confirm(written(_promising(_among_small(small, of), odd), "pairs"), texts))
     return sketches, classes, labels
 
 

@@ -6,6 +6,7 @@ most of them 0; and the rules that are left are compiled into one Spark column e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,6 +95,11 @@ def _tree_rules(tree) -> Iterator[Rule]:  # noqa: ANN001
     yield from walk(tree._java_obj.rootNode(), {})
 
 
+def _constant(share: float) -> Ensemble:
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    return Ensemble(math.log(p / (1 - p)), ())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Ensemble:
     """Fits trees, rules and weights on labelled rows that are not held out.
 
@@ -102,13 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     sample = written(with_statistics(training_sample(docs.select(id_col, text_col), labels, label_col, id_col, rows), text_col, "label"), "training")
     n, good = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < good < n:
-        import math
-
-        p = min(max(good / n if n else 0.5, 1e-6), 1 - 1e-6)
-        return Ensemble(math.log(p / (1 - p)), ())
+        return _constant(good / n if n else 0.5)
     vectors = sample.select("label", array_to_vector(F.array(*NAMES)).alias("features"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=11, maxBins=64).fit(vectors)
     rules = sorted({r for tree in forest.trees for r in _tree_rules(tree)}, key=lambda r: r.terms)
+    if not rules:
+        return _constant(good / n)
     flags = sample.select("label", array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("features"))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, tol=1e-5).fit(flags)
     weights = lasso.coefficients.toArray().tolist()

@@ -68,6 +68,11 @@ class Machine:
         return 1 / (1 + math.exp(-min(max(s, -500.0), 500.0)))
 
 
+def _constant(share: float) -> Machine:
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    return Machine(math.log(p / (1 - p)), {}, np.zeros(0), np.zeros((0, FACTORS)))
+
+
 def _bucket_counts(sample: DataFrame) -> DataFrame:
     """bucket, in_toxic, in_other: rows of the sample whose text has the bucket."""
 
@@ -91,13 +96,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     sample = written(training_sample(docs.select(id_col, F.col(text_col).cast("string").alias("text")), labels, label_col, id_col, rows).select("label", "text"), "training")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < toxic < n:
-        p = min(max(toxic / n if n else 0.5, 1e-6), 1 - 1e-6)
-        return Machine(math.log(p / (1 - p)), {}, np.zeros(0), np.zeros((0, FACTORS)))
+        return _constant(toxic / n if n else 0.5)
     a, b, ta, tb = F.col("in_toxic"), F.col("in_other"), F.lit(toxic), F.lit(n - toxic)
     odds = F.log((a + 0.5) / (ta + 1)) - F.log((b + 0.5) / (tb + 1))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     best = _bucket_counts(sample).where("in_toxic + in_other >= 3").orderBy(F.abs(odds / error).desc(), "bucket").limit(FEATURES)
     buckets = {r["bucket"]: k for k, r in enumerate(best.select("bucket").collect())}
+    if not buckets:
+        return _constant(toxic / n)
     shared = docs.sparkSession.sparkContext.broadcast(buckets)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             at = [sorted(shared.value[b] for b in terms.of(t) & shared.value.keys()) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], names=["label", "at"])
 
-    size = max(1, len(buckets))
+    size = len(buckets)
     sparse = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())  # of a bounded number of rows
     rows_ = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features").coalesce(4)
     features = rows_.select("label", sparse("at").alias("features")).cache()
