@@ -854,3 +854,62 @@ def w3_collapse_correlated(spark: SparkSession, sf: str) -> DataFrame:
     of = every.groupBy("feature_id").agg(clean.rsd(F.col("value")).alias("qc_rsd"), F.median("value").alias("median")).withColumn("sample_rsd", F.col("qc_rsd"))
     f = X.features(spark, sf).withColumn("annotation", F.concat("lipid_class", F.lit(" "), (F.col("carbons") % 4).cast("string")))
     return merge.collapse_correlated(f.join(of, "feature_id"), every, minutes=0.05, r=0.5)
+
+
+# Plausibility
+
+
+def _rules_sql() -> str:
+    from .operators import plausibility
+
+    def test(rule: plausibility.Rule) -> str:
+        start, found, unless = (p.replace("\\ ", " ").replace("'", "''") for p in rule.patterns())
+        parts = [f"regexp_matches(annotation, '{p}')" for p in (start, found) if p] + ([f"NOT regexp_matches(annotation, '{unless}')"] if unless else [])
+        return " AND ".join(parts)
+
+    wrong = "(polarity = 'Neg' AND lipid_class IN ('TG', 'CE', 'MG', 'DG', 'WE', 'HC')) OR (polarity = 'Pos' AND lipid_class = 'FA')"
+    parts = [f"SELECT feature_id, 'plausibility' AS step, 'Implausible polarity' AS reason FROM features WHERE {wrong}"]
+    parts += [f"SELECT feature_id, 'plausibility', '{r.reason}' FROM features WHERE {test(r)}" for r in plausibility.MAMMALIAN]
+    return " UNION ALL ".join(parts)
+
+
+@query(_rules_sql())
+def f11_plausibility_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import plausibility
+
+    return plausibility.ledger(plausibility.plausibility_filter(X.features(spark, sf)))
+
+
+@query("SELECT feature_id, msms_score > 400 AND feature_id % 2 = 0 AS exempt FROM features")
+def f12_exempt(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import plausibility
+
+    f = X.features(spark, sf).withColumns({"annotation_tier": N.annotation_tier(F.lit(""), F.col("msms_score")), "annotation_status": F.when(F.col("feature_id") % 2 == 0, "Target List 1").otherwise("other")})
+    return f.select("feature_id", plausibility.is_exempt().alias("exempt"))
+
+
+@query(TARGETS + "SELECT name, target, polarity FROM tg")
+def s5_contaminants(spark: SparkSession, sf: str) -> DataFrame:
+    raw = targets(spark, sf).select("name", F.col("target").alias("mz"), F.when(F.col("polarity") == "Pos", "positive").otherwise("-").alias("polarity"), "position")
+    return tables.read_contaminants(raw).select("name", "target", "polarity")
+
+
+@query("SELECT upper(lipid_class) AS lipid_class, grp AS carbon_bin, (length(lipid_class) % 3)::DOUBLE AS lo, (length(lipid_class) % 3 + 2)::DOUBLE AS hi FROM (SELECT DISTINCT lipid_class FROM features) CROSS JOIN (VALUES ('0C'), ('1-10C')) v(grp) WHERE (length(lipid_class) % 3) > 0")
+def s7_windows(spark: SparkSession, sf: str) -> DataFrame:
+    classes = X.features(spark, sf).select("lipid_class").distinct().withColumns({b: F.length("lipid_class") % 3 for b in ("0C", "1-10C")})
+    windows = spark.createDataFrame([(k, float(k), k + 2.0) for k in range(3)], "group_id int, lo double, hi double")
+    return tables.read_windows(classes, windows)
+
+
+@query("SELECT lipid_class, 'Pos' AS polarity, pref, 'IS ' || (length(lipid_class) + pref) AS is_name FROM (SELECT DISTINCT lipid_class FROM features) CROSS JOIN (VALUES (0), (1)) v(pref) WHERE (length(lipid_class) + pref) <> 3")
+def s8_class_standards(spark: SparkSession, sf: str) -> DataFrame:
+    named = lambda k: F.concat(F.lit("IS "), (F.length("lipid_class") + k).cast("string"))
+    wide = X.features(spark, sf).select("lipid_class").distinct().select("lipid_class", F.lit("Pos").alias("polarity"), named(0).alias("main"), named(1).alias("option1"))
+    left = spark.createDataFrame([("IS 2",), ("IS 4",)], "is_name string")
+    return tables.read_class_standards(wide, left, ["main", "option1"])
+
+
+@query("SELECT DISTINCT lipid_class || s AS headgroup, lipid_class FROM features CROSS JOIN (VALUES (''), (' O-')) v(s)")
+def s9_headgroups(spark: SparkSession, sf: str) -> DataFrame:
+    wide = X.features(spark, sf).select("lipid_class").distinct().select("lipid_class", F.col("lipid_class").alias("h1"), F.concat("lipid_class", F.lit(" O- ")).alias("h2"), F.lit(" ").alias("h3"))
+    return tables.read_headgroups(wide).select(F.rtrim("headgroup").alias("headgroup"), "lipid_class")
