@@ -7,7 +7,6 @@ the item around it, word by word, and is contaminated if the local alignment's s
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -30,12 +29,12 @@ MIN_SCORE = 0.5
 #: Bytes of benchmark texts that are matched in one pass over the corpus; more are taken in blocks.
 BLOCK_BYTES = BROADCAST_LIMIT // 8
 
-_WORD = re.compile(r"\w+")
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
-def words(text: bytes | str | None) -> list[str]:
-    """Words without punctuation, in lower case."""
-    return [] if not text else _WORD.findall((text.decode() if isinstance(text, bytes) else text).lower())
+def words(text: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters, digits, _ and other characters beyond ASCII; A-Z in lower case."""
+    return text.translate(_PLAIN).split() if text else []
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -53,6 +52,26 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+class Grams:
+    """Which of a set of hashes are in an array: a table of their low bits first, which few others pass."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = hashes
+        self.mask = np.uint64((1 << max(16, min(24, (64 * max(1, len(hashes))).bit_length()))) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[hashes & self.mask] = True
+
+    def find(self, grams: np.ndarray) -> tuple[list[int], list[int]]:
+        """Positions of the grams that are in the set, and their places in it."""
+        at = np.flatnonzero(self.table[grams & self.mask])
+        if not len(at):
+            return [], []
+        k = np.searchsorted(self.sorted, grams[at])
+        k[k == len(self.sorted)] = 0
+        same = self.sorted[k] == grams[at]
+        return at[same].tolist(), k[same].tolist()
+
+
 class Seeds:
     """Items, and which of their seeds is where."""
 
@@ -67,18 +86,15 @@ class Seeds:
             for p in chosen:
                 at[grams[p]].append((k, p))
         self.at = dict(at)
-        self.sorted = np.array(sorted(self.at), np.uint64)
+        self.grams = Grams(np.array(sorted(self.at), np.uint64))
 
     def find(self, hashed: np.ndarray) -> list[tuple[object, float, int, int]]:
         """(item, score, first word, word after the last) of the items that a text contains."""
-        if len(hashed) < WIDTH or not len(self.sorted):
+        if len(hashed) < WIDTH:
             return []
-        grams = gram_hashes(hashed, WIDTH)
-        k = np.searchsorted(self.sorted, grams)
-        k[k == len(self.sorted)] = 0
         windows: dict[int, list[list[int]]] = defaultdict(list)
-        for position in np.flatnonzero(self.sorted[k] == grams).tolist():
-            for item, offset in self.at[int(grams[position])]:
+        for position, gram in zip(*self.grams.find(gram_hashes(hashed, WIDTH))):
+            for item, offset in self.at[int(self.grams.sorted[gram])]:
                 size = len(self.items[item][1])
                 lo, hi = max(0, position - offset - size // 2), position - offset + size + size // 2
                 spans = windows[item]
@@ -91,6 +107,8 @@ class Seeds:
             name, own = self.items[item]
             best = (0, 0)
             for lo, hi in spans:
+                if np.isin(own, hashed[lo:hi]).sum() < MIN_SCORE * len(own):
+                    continue  # a match is worth MATCH at most, so the score can't be reached
                 score, end = smith_waterman(own, hashed[lo:hi])
                 best = max(best, (score, lo + end))
             if best[0] >= MIN_SCORE * MATCH * len(own):
@@ -108,7 +126,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
     cache = WordHashes()
     for k in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(blocks)) == k) if blocks > 1 else sized
-        items = [(r["id"], word_hashes(words(r["text"]), cache)) for r in rows.collect()]
+        items = [(r["id"], word_hashes(words(r["text"].encode()), cache)) for r in rows.collect()]
         yield sorted((x for x in items if len(x[1]) >= WIDTH), key=lambda x: str(x[0]))
 
 
@@ -117,17 +135,15 @@ def _frequencies(docs: DataFrame, text_col: str, items: list[tuple[object, np.nd
     wanted = np.unique(np.concatenate([gram_hashes(h, WIDTH) for _, h in items])) if items else np.empty(0, np.uint64)
     if not len(wanted):
         return {}, 0
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(Grams(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHashes(), Counter()
         for batch in batches:
             counts[-1] += batch.num_rows
             for text in as_bytes(batch.column(0)):
-                grams = np.unique(gram_hashes(word_hashes(words(text), cache), WIDTH))
-                k = np.searchsorted(shared.value, grams)
-                k[k == len(shared.value)] = 0
-                counts.update(k[shared.value[k] == grams].tolist())
+                _, found = shared.value.find(gram_hashes(word_hashes(words(text), cache), WIDTH))
+                counts.update(set(found))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
     each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram long, n long")
