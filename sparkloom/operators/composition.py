@@ -225,3 +225,9 @@ def design_check(samples: DataFrame) -> DataFrame:
     small = sizes.where("n < 3").select(F.when(F.col("is_qc"), F.concat(F.lit("fewer than 3 QC samples: "), F.col("n").cast("string"))).otherwise(F.concat(F.lit("fewer than 3 samples in "), "grp")).alias("warning"))
     none = samples.agg(F.count_if("is_qc").alias("n")).where("n = 0").select(F.lit("no QC samples").alias("warning"))
     return small.unionByName(none)
+
+
+def class_directions(table: DataFrame) -> DataFrame:
+    """Features up, down and unchanged in each class. table: lipid_class, direction."""
+    counts = table.groupBy("lipid_class").pivot("direction", ["Up", "Down", "Not significant"]).count().na.fill(0)
+    return counts.select("lipid_class", F.col("Up").alias("up"), F.col("Down").alias("down"), F.col("Not significant").alias("unchanged"))

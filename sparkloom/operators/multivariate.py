@@ -199,3 +199,101 @@ def moderated_test(cells: DataFrame, samples: DataFrame, reference: str) -> Data
     of = fits.crossJoin(F.broadcast(prior.select(F.exp("m").alias("s0"), d0.alias("d0"))))  # one row
     s2 = (F.col("d0") * F.col("s0") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df"))
     return of.select("feature_id", "grp", "effect", (F.col("effect") / F.sqrt(s2 * F.col("v"))).alias("t"), (F.col("d0") + F.col("df")).alias("df"))
+
+
+def mahalanobis_outliers(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """M4: samples whose squared distance in two components is beyond the chi-squared quantile, -2 ln(alpha).
+
+    scores: sample_id, pc1, pc2.
+    """
+    m = scores.agg(
+        F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"), F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"), F.covar_samp("pc1", "pc2").alias("c"))
+    of = scores.crossJoin(F.broadcast(m))  # one row
+    a, b, det = F.col("pc1") - F.col("m1"), F.col("pc2") - F.col("m2"), F.col("v1") * F.col("v2") - F.col("c") ** 2
+    square = (F.col("v2") * a * a - 2 * F.col("c") * a * b + F.col("v1") * b * b) / F.when(det > 1e-18, det)
+    return of.select("sample_id", square.alias("d2"), F.coalesce(square > F.lit(float(-2 * np.log(alpha))), F.lit(False)).alias("is_outlier"))
+
+
+def sample_correlations(z: DataFrame, top: int | None = None) -> DataFrame:
+    """The correlation of each pair of samples over features; with top, of the samples with the highest mean |r|.
+
+    A feature makes a row for each pair of its samples, which are added up before they are shuffled.
+    """
+    a, b = (z.select("feature_id", F.col("sample_id").alias(f"s{k}"), F.col("z").alias(f"z{k}")) for k in (1, 2))
+    of = a.join(b, "feature_id").where("s1 < s2").groupBy("s1", "s2").agg(F.corr("z1", "z2").alias("r"), F.count("*").alias("n"))
+    if top is None:
+        return of
+    both = of.select("s1", "r").unionByName(of.select(F.col("s2").alias("s1"), "r"))
+    best = both.groupBy("s1").agg(F.avg(F.abs("r")).alias("strength")).orderBy(F.col("strength").desc(), "s1").limit(top).select("s1")
+    return of.join(F.broadcast(best), "s1").join(F.broadcast(best.withColumnRenamed("s1", "s2")), "s2").select("s1", "s2", "r", "n")
+
+
+def forest_predictions(cells: DataFrame, samples: DataFrame, features: list, folds: int = 3, trees: int = 100, seed: int = 0) -> DataFrame:
+    """M6: the group that a random forest predicts for each sample when its fold is left out: sample_id, grp, predicted.
+
+    features: the ids that are columns of the model, chosen beforehand (W6). Classes weigh the same; folds are dealt
+    within each group.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    wide = cells.where(F.col("feature_id").isin(*features)).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("m"))
+    vector = array_to_vector(F.array(*(F.coalesce(F.try_element_at("m", F.lit(f)), F.lit(0.0)) for f in features)))
+    names = [r["grp"] for r in samples.select("grp").distinct().orderBy("grp").collect()]
+    codes = F.array_position(F.array(*map(F.lit, names)), F.col("grp")) - 1
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("size"))
+    of = samples.join(wide, "sample_id").join(F.broadcast(sizes), "grp")
+    deal = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("sample_id", F.lit(seed)))) % folds
+    of = of.select("sample_id", "grp", codes.cast("double").alias("label"), (1 / F.col("size")).alias("weight"), vector.alias("features"), deal.alias("fold")).cache()
+    out = None
+    for k in range(folds):
+        model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed).fit(of.where(F.col("fold") != k))
+        part = model.transform(of.where(F.col("fold") == k)).select("sample_id", "grp", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("predicted"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def discriminant_components(products: DataFrame, z: DataFrame, samples: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """M7: (sample_id, component, score) and (feature_id, vip) of a projection that follows the groups.
+
+    The samples' products are enough for the scores: with the groups as 0/1 columns y, a component is the products
+    times the leading direction of y, made orthogonal to those before it. A feature's weight is its sum over samples of z
+    times that direction, one aggregate; VIP weighs squared weights with what each component explains of y.
+    """
+    rows = products.collect()
+    groups = {r["sample_id"]: r["grp"] for r in samples.collect()}
+    names = sorted(groups, key=str)
+    at = {s: i for i, s in enumerate(names)}
+    g = np.zeros((len(names), len(names)))
+    for r in rows:
+        g[at[r["s1"]], at[r["s2"]]] = g[at[r["s2"]], at[r["s1"]]] = r["g"]
+    y = np.array([[float(groups[s] == c) for c in sorted(set(groups.values()))] for s in names])
+    y = y - y.mean(0)
+    middle = np.eye(len(names)) - 1 / len(names)
+    g, scores, directions, explained = middle @ g @ middle, [], [], []
+    for _ in range(k):
+        values, vectors = np.linalg.eigh(y.T @ g @ y)
+        u = y @ vectors[:, -1]
+        t = g @ u
+        if (norm := np.linalg.norm(t)) < 1e-12:
+            break
+        t = t / norm
+        away = np.eye(len(names)) - np.outer(t, t)
+        directions.append(u.copy())
+        scores.append(t)
+        explained.append(float(((y.T @ t) ** 2).sum()))
+        g, y = away @ g @ away, away @ y
+    spark = samples.sparkSession
+    done = np.eye(len(names))
+    weights = []
+    for t, u in zip(scores, directions, strict=True):
+        weights.append(middle @ done @ u)
+        done = (np.eye(len(names)) - np.outer(t, t)) @ done
+    kind = dict(z.dtypes)["sample_id"]
+    by_sample = spark.createDataFrame([(s, *(float(w[i]) for w in weights)) for i, s in enumerate(names)], f"sample_id {kind}, " + ", ".join(f"w{a} double" for a in range(len(weights))))
+    sums = z.join(F.broadcast(by_sample), "sample_id").groupBy("feature_id").agg(*(F.sum(F.col("z") * F.col(f"w{a}")).alias(f"w{a}") for a in range(len(weights))))
+    norms = sums.agg(F.count("*").alias("p"), *(F.sum(F.col(f"w{a}") ** 2).alias(f"n{a}") for a in range(len(weights))))
+    part = sum((F.lit(e) * F.col(f"w{a}") ** 2 / F.col(f"n{a}") for a, e in enumerate(explained)), F.lit(0.0))
+    vip = sums.crossJoin(F.broadcast(norms)).select("feature_id", F.sqrt(F.col("p") * part / F.lit(sum(explained) or 1.0)).alias("vip"))  # one row
+    table = spark.createDataFrame([(s, a + 1, float(t[i])) for a, t in enumerate(scores) for i, s in enumerate(names)], f"sample_id {kind}, component int, score double")
+    return table, vip

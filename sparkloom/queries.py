@@ -913,3 +913,49 @@ def s8_class_standards(spark: SparkSession, sf: str) -> DataFrame:
 def s9_headgroups(spark: SparkSession, sf: str) -> DataFrame:
     wide = X.features(spark, sf).select("lipid_class").distinct().select("lipid_class", F.col("lipid_class").alias("h1"), F.concat("lipid_class", F.lit(" O- ")).alias("h2"), F.lit(" ").alias("h3"))
     return tables.read_headgroups(wide).select(F.rtrim("headgroup").alias("headgroup"), "lipid_class")
+
+
+# Sample-level projections, continued
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.autoscale(X.intensity(spark, sf))
+
+
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    names, scores, _ = multivariate.principal_components(multivariate.gram(_scaled(spark, sf)))
+    return spark.createDataFrame([(int(s), float(row[0]), float(row[1])) for s, row in zip(names, scores, strict=True)], "sample_id int, pc1 double, pc2 double")
+
+
+@query("SELECT sample_id, total > 0 AS known, CASE WHEN d2 > -2 * ln(0.3) THEN TRUE ELSE FALSE END AS is_outlier FROM (SELECT *, (v2 * (a - m1) ** 2 - 2 * c * (a - m1) * (b - m2) + v1 * (b - m2) ** 2) / (v1 * v2 - c * c) AS d2 FROM (SELECT sample_id, sum(value) AS total, sum(value) / 1e6 AS a, count(*)::DOUBLE AS b FROM intensity GROUP BY sample_id) CROSS JOIN (SELECT avg(a) AS m1, avg(b) AS m2, var_samp(a) AS v1, var_samp(b) AS v2, covar_samp(a, b) AS c FROM (SELECT sum(value) / 1e6 AS a, count(*)::DOUBLE AS b FROM intensity GROUP BY sample_id)))")
+def m4_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
+    of = X.intensity(spark, sf).groupBy("sample_id").agg((F.sum("value") / 1e6).alias("pc1"), F.count("*").cast("double").alias("pc2"))
+    return multivariate.mahalanobis_outliers(of, 0.3).select("sample_id", F.lit(True).alias("known"), "is_outlier")
+
+
+@query()
+def m4_component_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.mahalanobis_outliers(_components(spark, sf))
+
+
+@query(ZG.split(", g AS (")[0] + " SELECT a.sample_id AS s1, b.sample_id AS s2, round(corr(a.z, b.z), 6) AS r, count(*) AS n FROM za a JOIN za b ON a.feature_id = b.feature_id AND a.sample_id < b.sample_id GROUP BY ALL")
+def t16_sample_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.sample_correlations(_scaled(spark, sf)).withColumn("r", r("r"))
+
+
+@query()
+def m6_forest(spark: SparkSession, sf: str) -> DataFrame:
+    top = [x["feature_id"] for x in tests.kruskal(tested(spark, sf), closed_form=True).where("p IS NOT NULL").orderBy("p", "feature_id").limit(30).collect()]
+    return multivariate.forest_predictions(_scaled(spark, sf), X.samples(spark).where("NOT is_qc").select("sample_id", "grp"), top, trees=30)
+
+
+@query()
+def m7_vip(spark: SparkSession, sf: str) -> DataFrame:
+    z = _scaled(spark, sf)
+    return multivariate.discriminant_components(multivariate.gram(z), z, X.samples(spark))[1]
+
+
+@query(CHANGE + "SELECT lipid_class, count(*) FILTER (log2fc > 0.2) AS up, count(*) FILTER (log2fc < -0.2) AS down, count(*) FILTER (abs(log2fc) <= 0.2) AS unchanged FROM lf GROUP BY lipid_class")
+def a23_directions(spark: SparkSession, sf: str) -> DataFrame:
+    of = change(spark, sf).withColumn("direction", F.when(F.col("log2fc") > 0.2, "Up").when(F.col("log2fc") < -0.2, "Down").otherwise("Not significant"))
+    return composition.class_directions(of)
