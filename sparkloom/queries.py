@@ -863,14 +863,14 @@ def _rules_sql() -> str:
     from .operators import plausibility
 
     def test(rule: plausibility.Rule) -> str:
-        start, found, unless = (p.replace("\\ ", " ").replace("'", "''") for p in rule.patterns())
-        parts = [f"regexp_matches(annotation, '{p}')" for p in (start, found) if p] + ([f"NOT regexp_matches(annotation, '{unless}')"] if unless else [])
-        return " AND ".join(parts)
+        found, never = rule.patterns()
+        quoted = lambda p: p.replace("\\ ", " ").replace("'", "''")
+        return " AND ".join([f"regexp_matches(annotation, '{quoted(p)}')" for p in found] + ([f"NOT regexp_matches(annotation, '{quoted(never)}')"] if never else []))
 
     wrong = "(polarity = 'Neg' AND lipid_class IN ('TG', 'CE', 'MG', 'DG', 'WE', 'HC')) OR (polarity = 'Pos' AND lipid_class = 'FA')"
     parts = [f"SELECT feature_id, 'plausibility' AS step, 'Implausible polarity' AS reason FROM features WHERE {wrong}"]
     parts += [f"SELECT feature_id, 'plausibility', '{r.reason}' FROM features WHERE {test(r)}" for r in plausibility.MAMMALIAN]
-    return " UNION ALL ".join(parts)
+    return " UNION ".join(parts)
 
 
 @query(_rules_sql())
