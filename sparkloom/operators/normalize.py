@@ -46,11 +46,13 @@ def impute_minimum(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return of.select("feature_id", "sample_id", F.coalesce("value", fill).alias("value"))
 
 
-def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2) -> DataFrame:
-    """For each feature the standard of its polarity that lowers its QC RSD most, or worsens it by a fifth at most.
+def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2, listed: DataFrame | None = None) -> DataFrame:
+    """For each feature the first listed standard that worsens its QC RSD by a fifth at most, else the one of its
+    polarity that lowers it most (within the same limit), else that with the lowest.
 
-    standards: (standard_id, polarity, sample_id, value), of bounded number, broadcast. Ties go to the larger id. Returns
-    feature_id, standard_id, rsd_before, rsd_after, stage (preferred, or lowest where none is within the limit).
+    standards: (standard_id, polarity, sample_id, value), of bounded number, broadcast; listed: (lipid_class, polarity,
+    pref, standard_id). Ties go to the larger id. Returns feature_id, standard_id, rsd_before, rsd_after, stage (listed,
+    preferred or lowest).
     """
     qc = cells.where("is_qc").select("feature_id", "polarity", "sample_id", "value")
     s = standards.select("standard_id", "polarity", "sample_id", F.col("value").alias("s_value"))
@@ -59,8 +61,14 @@ def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2
     before = qc.groupBy("feature_id").agg(rsd("value").alias("rsd_before"))
     of = both.groupBy("feature_id", "standard_id").agg(rsd("r").alias("rsd_after")).where("rsd_after IS NOT NULL").join(before, "feature_id")
     within = F.coalesce(F.col("rsd_after") <= F.col("rsd_before") * (1 + allowed), F.lit(False))
-    order = Window.partitionBy("feature_id").orderBy(within.desc(), F.round("rsd_after", 9), F.when(within, F.col("standard_id")).desc_nulls_last(), "standard_id")
-    best = of.withColumn("stage", F.when(within, "preferred").otherwise("lowest")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    if listed is None:
+        of = of.withColumn("pref", F.lit(None).cast("int"))
+    else:
+        own = cells.select("feature_id", "lipid_class", "polarity").distinct()
+        of = of.join(own.join(F.broadcast(listed), ["lipid_class", "polarity"]).select("feature_id", "standard_id", "pref"), ["feature_id", "standard_id"], "left")
+    first = F.when(within, F.col("pref"))
+    order = Window.partitionBy("feature_id").orderBy(first.asc_nulls_last(), within.desc(), F.round("rsd_after", 9), F.when(within, F.col("standard_id")).desc_nulls_last(), "standard_id")
+    best = of.withColumn("stage", F.when(first.isNotNull(), "listed").when(within, "preferred").otherwise("lowest")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
     return best.select("feature_id", "standard_id", "rsd_before", "rsd_after", "stage")
 
 

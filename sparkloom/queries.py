@@ -539,6 +539,20 @@ def n3_choose_standard(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.choose_standard(cells(spark, sf), standards(spark, sf)).select("feature_id", "standard_id", "stage", r("rsd_after").alias("rsd_after"))
 
 
+LISTED = CHOICE.split(",\nch AS (")[0] + """, pf AS (SELECT DISTINCT f.feature_id, s.standard_id, (s.standard_id % 7)::INT AS pref FROM features f JOIN sd s USING (polarity) WHERE s.standard_id % 3 = 0 AND f.lipid_class IN ('PC', 'TG')),
+ch AS (SELECT ra.feature_id, ra.standard_id, after, CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN pref END AS pref, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) LEFT JOIN pf ON pf.feature_id = ra.feature_id AND pf.standard_id = ra.standard_id WHERE after IS NOT NULL)
+SELECT feature_id, standard_id, CASE WHEN pref IS NOT NULL THEN 'listed' WHEN ok THEN 'preferred' ELSE 'lowest' END AS stage FROM ch
+QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY pref NULLS LAST, ok DESC, round(after, 9), CASE WHEN ok THEN standard_id END DESC NULLS LAST, standard_id) = 1"""
+
+
+@query(LISTED)
+def n3_listed_standard(spark: SparkSession, sf: str) -> DataFrame:
+    s = standards(spark, sf)
+    classes = spark.createDataFrame([("PC",), ("TG",)], "lipid_class string")
+    listed = s.select("standard_id", "polarity").distinct().where("standard_id % 3 = 0").crossJoin(classes).select("lipid_class", "polarity", (F.col("standard_id") % 7).cast("int").alias("pref"), "standard_id")  # two classes
+    return normalize.choose_standard(cells(spark, sf), s, listed=listed).select("feature_id", "standard_id", "stage")
+
+
 @query(CHOICE + ", ct AS (SELECT lipid_class, polarity, standard_id, count(*) AS n, min(feature_id) AS first FROM ch JOIN features USING (feature_id) GROUP BY ALL), wn AS (SELECT * FROM ct QUALIFY row_number() OVER (PARTITION BY lipid_class, polarity ORDER BY n DESC, first) = 1), vt AS (SELECT feature_id, lipid_class, polarity, wn.standard_id AS voted_id FROM ch JOIN features USING (feature_id) JOIN wn USING (lipid_class, polarity)) , cc AS (SELECT lipid_class, polarity, voted_id, count(*) AS n FROM vt GROUP BY ALL) SELECT *, n / sum(n) OVER (PARTITION BY lipid_class, polarity) AS share FROM cc")
 def w5_a20_vote(spark: SparkSession, sf: str) -> DataFrame:
     choice = normalize.choose_standard(cells(spark, sf), standards(spark, sf))
