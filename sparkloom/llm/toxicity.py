@@ -1,6 +1,6 @@
 """A factorization machine over hashed terms that scores a text's toxicity.
 
-Terms are words in lower case and their first four letters, hashed to buckets. The buckets that tell toxic from other
+Terms are words in lower case, their first four and six letters, and what two words share of these, hashed to buckets. The buckets that tell toxic from other
 texts best are a text's features; the machine has a weight for each and for each pair of them, through factors.
 """
 
@@ -24,13 +24,13 @@ from .quality_model import training_sample
 from .shared import as_bytes, held_out, written
 
 BUCKETS = 1 << 20
-#: Buckets that are features.
-FEATURES = 512
+#: Buckets that are features, at most, and the standard errors that their log odds are from 0, at least.
+FEATURES, LEAST_Z = 512, 5.0
 FACTORS = 4
-PREFIX = 4
+PREFIXES = (4, 6)
 #: Labelled rows that a model is fitted on, about; chosen by a hash of their id.
 TRAINING_ROWS = 8_000
-STEPS, STEP_SIZE = 80, 0.1
+STEPS, STEP_SIZE, PENALTY = 100, 0.05, 1e-3
 #: Score at which a text is predicted to be toxic.
 CUT = 0.5
 
@@ -39,17 +39,25 @@ _CACHE_LIMIT = 200_000
 
 
 class Terms(dict):
-    """The buckets of a word: its own and that of its first letters."""
+    """The buckets of a word: its own, and those of its first letters."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= _CACHE_LIMIT:
             self.clear()
         own = xxhash.xxh64_intdigest(word) % BUCKETS
-        value = self[word] = (own, xxhash.xxh64_intdigest(word[:PREFIX] + "*") % BUCKETS) if len(word) > PREFIX else (own,)
+        value = self[word] = (own, *(xxhash.xxh64_intdigest(word[:k] + "*") % BUCKETS for k in PREFIXES if len(word) > k))
         return value
 
     def of(self, text: bytes | None) -> set[int]:
-        return {b for w in set(_WORD.findall(text.decode().lower())) for b in self[w]} if text else set()
+        """A text's buckets, and a bucket for each that two or more of its words share."""
+        once: set[int] = set()
+        twice: set[int] = set()
+        for word in set(_WORD.findall(text.decode().lower())) if text else ():
+            own = self[word]
+            twice.update(once.intersection(own))
+            once.update(own)
+        once.update([(b * 31 + 7) % BUCKETS for b in twice])
+        return once
 
 
 @dataclass(frozen=True)
@@ -100,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     a, b, ta, tb = F.col("in_toxic"), F.col("in_other"), F.lit(toxic), F.lit(n - toxic)
     odds = F.log((a + 0.5) / (ta + 1)) - F.log((b + 0.5) / (tb + 1))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = _bucket_counts(sample).where("in_toxic + in_other >= 3").orderBy(F.abs(odds / error).desc(), "bucket").limit(FEATURES)
+    best = _bucket_counts(sample).where((F.abs(odds / error) >= LEAST_Z)).orderBy(F.abs(odds / error).desc(), "bucket").limit(FEATURES)
     buckets = {r["bucket"]: k for k, r in enumerate(best.select("bucket").collect())}
     if not buckets:
         return _constant(toxic / n)
@@ -116,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     sparse = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())  # of a bounded number of rows
     rows_ = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features").coalesce(4)
     features = rows_.select("label", sparse("at").alias("features")).cache()
-    m = FMClassifier(factorSize=FACTORS, maxIter=STEPS, stepSize=STEP_SIZE, initStd=0.05, regParam=1e-4, solver="adamW", seed=5).fit(features)
+    m = FMClassifier(factorSize=FACTORS, maxIter=STEPS, stepSize=STEP_SIZE, initStd=0.01, regParam=PENALTY, solver="adamW", seed=5).fit(features)
     features.unpersist()
     return Machine(float(m.intercept), buckets, m.linear.toArray(), m.factors.toArray())
 
