@@ -27,8 +27,8 @@ SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 DICTIONARY_BYTES = 32 << 10
 #: Rows that a dictionary is trained on, at most, and the longest payload that is used for it.
 DICTIONARY_ROWS, DICTIONARY_TEXT = 256, 64 << 10
-#: Bytes of payload in an archive, about. An archive is read as a whole by one task.
-ARCHIVE_BYTES = 32 << 20
+#: Bytes of payload in an archive, about. An archive is written and read by one task.
+ARCHIVE_BYTES = 16 << 20
 #: Records with equal payloads of at least so many bytes are one response and revisits of it.
 MIN_REVISIT_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,14 +197,19 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
         return b""
 
 
-def assign(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, sha1, revisit, refers_to for each row: which records are revisits, and of which page.
+def digests(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, sha1, size of each row's payload, as a written table."""
+    payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    return written(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).alias("size")), "digests")
 
-    Only ids and digests are shuffled. A response is sought by an aggregate of each digest, so that a payload that a
-    third of the pages have is counted before it is shuffled; the rows of it are joined back by digest and a salt.
+
+def assign(keys: DataFrame) -> DataFrame:
+    """id, refers_to of the records that are revisits. keys: of `digests`.
+
+    Only ids and digests are shuffled. The last id of a digest is an aggregate, so a payload that very many pages have is
+    added up before it is shuffled; the join back to its rows is one that adaptive execution splits.
     """
-    keys = written(pages.select(F.col(id_col).alias("id"), F.sha1(F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")).alias("sha1"), F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("size")).where(F.col("id").isNotNull()), "digests")
-    last = keys.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    last = keys.where(F.col("id").isNotNull() & (F.col("size") >= MIN_REVISIT_BYTES)).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
     return keys.join(last, "sha1").where("id < last").select("id", F.col("last").alias("refers_to")).distinct()
 
 
@@ -215,8 +220,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     empty payload, a null url an empty one; a null id is written as `none`, and is always a response.
     """
     dictionary = train_dictionary(pages, html_col)
-    revisits = assign(pages, id_col, html_col).withColumnRenamed("id", "_revisit")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    keys = digests(pages, id_col, html_col)
+    revisits = assign(keys).withColumnRenamed("id", "_revisit")
+    archives = max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // ARCHIVE_BYTES))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).repartition(archives, "id")
     joined = rows.join(revisits, F.col("id") == F.col("_revisit"), "left").select("id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
