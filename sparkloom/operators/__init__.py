@@ -1 +1 @@
-
+"""Operators over feature tables."""

@@ -1 +1 @@
-
+"""Flows over several operators are registered queries (see queries.py)."""
