@@ -105,7 +105,7 @@ def brown_forsythe(cells: DataFrame, with_p: bool = True) -> DataFrame:
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
     within = F.col("ss") - F.col("between")
     f = ((F.col("between") - F.col("s") ** 2 / F.col("n")) / d1) / (within / d2)
-    out = sums.select("feature_id", F.when((d1 > 0) & (d2 > 0) & (within > 0), f).alias("f"), d1.alias("d1"), d2.alias("d2"))
+    out = sums.select("feature_id", F.when((d1 > 0) & (d2 > 0) & (within > 1e-9 * F.col("ss")), f).alias("f"), d1.alias("d1"), d2.alias("d2"))
     return out.withColumn("p", f_p("f", "d1", "d2")) if with_p else out
 
 

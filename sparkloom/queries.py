@@ -627,7 +627,7 @@ def t2_mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(""", md AS (SELECT feature_id, grp, median(value) AS mid FROM cells WHERE grp <> 'QC' GROUP BY ALL), fr AS (SELECT feature_id, grp, abs(value - mid) AS z FROM cells JOIN md USING (feature_id, grp)), g AS (SELECT feature_id, grp, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM fr GROUP BY ALL), a AS (SELECT feature_id, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY ALL)
-SELECT feature_id, round(CASE WHEN k > 1 AND n > k THEN ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) END, 5) AS f FROM a""")
+SELECT feature_id, round(CASE WHEN k > 1 AND n > k AND q - b > 1e-9 * q THEN ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) END, 5) AS f FROM a""")
 def t3_brown_forsythe(spark: SparkSession, sf: str) -> DataFrame:
     return tests.brown_forsythe(tested(spark, sf), with_p=False).select("feature_id", r("f", 5).alias("f"))
 
