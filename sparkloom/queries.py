@@ -724,13 +724,13 @@ def w7_ordered_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(""", tot AS (SELECT sample_id, grp, sum(value) AS v FROM cells WHERE grp <> 'QC' GROUP BY ALL), cls AS (SELECT sample_id, grp, lipid_class, sum(value) AS v FROM cells WHERE grp <> 'QC' GROUP BY ALL), m AS (SELECT lipid_class, grp, avg(v) AS m FROM cls GROUP BY ALL)
-SELECT lipid_class, grp, round(m, 2) AS mean, row_number() OVER (PARTITION BY grp ORDER BY m DESC, lipid_class) AS place FROM m QUALIFY place <= 3""")
+SELECT lipid_class, grp, round(m, 4) AS mean, row_number() OVER (PARTITION BY grp ORDER BY m DESC, lipid_class) AS place FROM m QUALIFY place <= 3""")
 def w8_top_per_source(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     of = tested(spark, sf).groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("v")).groupBy("lipid_class", "grp").agg(F.avg("v").alias("m"))
     place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("m").desc(), "lipid_class"))
-    return of.select("lipid_class", "grp", r("m", 2).alias("mean"), place.alias("place")).where("place <= 3")
+    return of.select("lipid_class", "grp", r("m", 4).alias("mean"), place.alias("place")).where("place <= 3")
 
 
 @query("SELECT polarity, arg_max(feature_id, round(m, 6)) AS feature_id, round(max(m), 6) AS mean FROM (SELECT polarity, feature_id, avg(value) AS m FROM cells WHERE is_standard AND is_qc GROUP BY ALL) GROUP BY polarity")
