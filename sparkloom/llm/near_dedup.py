@@ -237,10 +237,19 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         return written(left.join(open_, "key"), "open")
 
     labels = merged(confirm(written(_promising(_leader_pairs(labelled(members)), odd), "pairs"), texts))
-    # What is left are pairs of components: first those with a large one, then those of small ones that differ still.
-    of = found.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    of = written(of, "components")
-    sizes = of.groupBy("label").agg(F.count("*").alias("size"))
+    def components() -> tuple[DataFrame, DataFrame]:
+        """(id, label) of all that share a bucket with another, and (label, size)."""
+        of = written(found.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "components")
+        return of, of.groupBy("label").agg(F.count("*").alias("size"))
+
+    # What is left are pairs of components. Each bucket's largest first: most others join it, and few pairs are left.
+    of, sizes = components()
+    in_bucket = labelled(members).select("key", "label").distinct().join(sizes, "label")
+    top = in_bucket.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top")).where(F.col("top.size") >= LARGE)
+    big = in_bucket.join(top, "key").where(F.col("label") != F.col("top.label")).select(F.col("top.label").alias("large"), F.col("label").alias("small")).distinct()
+    labels = merged(_with_large(big, of, sizes, odd, texts))
+    # Then all that differ still: those with a large component, and those of small ones.
+    of, sizes = components()
     left = _label_pairs(labelled(members), odd)
     for k in ("lo", "hi"):
         left = left.join(sizes.select(F.col("label").alias(k), F.col("size").alias(f"size_{k}")), k)
