@@ -1,7 +1,8 @@
 """A factorization machine over hashed terms that scores a text's toxicity.
 
-Terms are words in lower case, their first four and six letters, and what two words share of these, hashed to buckets. The buckets that tell toxic from other
-texts best are a text's features; the machine has a weight for each and for each pair of them, through factors.
+Terms are words in lower case, their first four and six letters, and what two words share of these, hashed to buckets. All buckets of the
+labelled texts are features, each as large as what is known of it: the more surely it tells toxic from other texts, or the more texts have it. The
+machine has a weight for each and for each pair of them, through factors.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import FMClassifier
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +23,16 @@ from .quality_model import training_sample
 from .shared import as_bytes, held_out, written
 
 BUCKETS = 1 << 20
-#: Buckets that are features, at most, and the standard errors that their log odds are from 0, at least.
-FEATURES, LEAST_Z = 512, 5.0
+#: Standard errors that a bucket's log odds are from 0 where it counts in full; below, it counts by the power. What a bucket counts at least, as a part of the
+#: share of texts that have it (frequent buckets without odds of their own may have them in pairs).
+FULL_Z, POWER, FREQUENT = 5.0, 4, 0.3
 FACTORS = 4
 PREFIXES = (4, 6)
 #: Labelled rows that a model is fitted on, about; chosen by a hash of their id.
 TRAINING_ROWS = 8_000
 STEPS, STEP_SIZE, PENALTY = 100, 0.05, 1e-3
+#: Tasks that a step is split to, at most, and rows that a task takes at a time.
+TASKS, BLOCK = 6, 1_000
 #: Score at which a text is predicted to be toxic.
 CUT = 0.5
 
@@ -60,17 +62,23 @@ class Terms(dict):
         return once
 
 
+def places_of(present: set[int], places: np.ndarray) -> np.ndarray:
+    """The places of the buckets that are features, in order."""
+    at = places[np.fromiter(present, np.int64, len(present))]
+    return np.sort(at[at >= 0])
+
+
 @dataclass(frozen=True)
 class Machine:
-    """Buckets that are features, with weights and factors."""
+    """For each bucket its place among the features, or -1, with their weights and factors."""
 
     intercept: float
-    buckets: dict[int, int]
+    places: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
 
     def score(self, present: set[int]) -> float:
-        at = [self.buckets[b] for b in present & self.buckets.keys()]
+        at = places_of(present, self.places)
         v = self.factors[at]
         s = self.intercept + self.linear[at].sum() + 0.5 * ((v.sum(0) ** 2) - (v * v).sum(0)).sum()
         return 1 / (1 + math.exp(-min(max(s, -500.0), 500.0)))
@@ -78,7 +86,7 @@ class Machine:
 
 def _constant(share: float) -> Machine:
     p = min(max(share, 1e-6), 1 - 1e-6)
-    return Machine(math.log(p / (1 - p)), {}, np.zeros(0), np.zeros((0, FACTORS)))
+    return Machine(math.log(p / (1 - p)), np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
 
 
 def _bucket_counts(sample: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def _bucket_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Machine:
-    """Chooses features and fits the machine on labelled rows that are not held out.
+    """Weighs features and fits the machine on labelled rows that are not held out.
 
     Without labels of both kinds the score is the share of toxic labels, 0.5 if there are none.
     """
@@ -108,25 +116,72 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     a, b, ta, tb = F.col("in_toxic"), F.col("in_other"), F.lit(toxic), F.lit(n - toxic)
     odds = F.log((a + 0.5) / (ta + 1)) - F.log((b + 0.5) / (tb + 1))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = _bucket_counts(sample).where((F.abs(odds / error) >= LEAST_Z)).orderBy(F.abs(odds / error).desc(), "bucket").limit(FEATURES)
-    buckets = {r["bucket"]: k for k, r in enumerate(best.select("bucket").collect())}
-    if not buckets:
+    known = F.pow(F.least(F.abs(odds / error) / FULL_Z, F.lit(1.0)), POWER) + FREQUENT * (a + b) / n
+    found = _bucket_counts(sample).select("bucket", known.alias("known")).orderBy("bucket").toArrow()
+    if not found.num_rows:
         return _constant(toxic / n)
-    shared = docs.sparkSession.sparkContext.broadcast(buckets)
+    values, places = found["known"].to_numpy().astype(np.float32), np.full(BUCKETS, -1, np.int32)
+    places[found["bucket"].to_numpy()] = np.arange(len(values))
+    shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            at = [sorted(shared.value[b] for b in terms.of(t) & shared.value.keys()) for t in as_bytes(batch.column(1))]
+            at = [places_of(terms.of(t), shared.value) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], names=["label", "at"])
 
-    size = len(buckets)
-    sparse = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())  # of a bounded number of rows
-    rows_ = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features").coalesce(4)
-    features = rows_.select("label", sparse("at").alias("features")).cache()
-    m = FMClassifier(factorSize=FACTORS, maxIter=STEPS, stepSize=STEP_SIZE, initStd=0.01, regParam=PENALTY, solver="adamW", seed=5).fit(features)
+    features = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features").coalesce(TASKS).cache()
+    weights = _descend(features, values, n)
     features.unpersist()
-    return Machine(float(m.intercept), buckets, m.linear.toArray(), m.factors.toArray())
+    known = values.astype(np.float64)
+    return Machine(float(weights[0, 0]), places, weights[1, 1:] * known, (weights[2:, 1:] * known).T)
+
+
+def _gradient(label: np.ndarray, flat: np.ndarray, lengths: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum of rows' gradients of the log loss, laid out as the weights are."""
+    size, row = len(values), np.repeat(np.arange(len(label)), lengths)
+    x, out = values[flat].astype(np.float64), np.zeros(weights.shape)
+    sums = [np.bincount(row, x * w[1:][flat], len(label)) for w in weights[1:]]
+    s = weights[0, 0] + sums[0]
+    for v, total in zip(weights[2:], sums[1:], strict=True):
+        s = s + 0.5 * (total**2 - np.bincount(row, (x * v[1:][flat]) ** 2, len(label)))
+    off = 1 / (1 + np.exp(-np.clip(s, -500, 500))) - label
+    out[0, 0] = off.sum()
+    out[1, 1:] = np.bincount(flat, x * off[row], size)
+    own = np.bincount(flat, x * x * off[row], size)
+    for k, total in enumerate(sums[1:], 2):
+        out[k, 1:] = np.bincount(flat, x * (off * total)[row], size) - weights[k, 1:] * own
+    return out
+
+
+def _descend(features: DataFrame, values: np.ndarray, n: int) -> np.ndarray:
+    """The intercept at [0, 0]; from column 1 on, row 1 has the linear weights and the others the factors.
+
+    Adam with decoupled decay on full gradients. Spark's own FMClassifier makes a dense gradient for each row; these are sparse, so all buckets can be
+    features. What a task returns is bounded by BUCKETS.
+    """
+    context = features.sparkSession.sparkContext
+    weights = np.zeros((2 + FACTORS, 1 + len(values)), np.float32)
+    weights[2:, 1:] = np.random.default_rng(5).normal(0, 0.01, (FACTORS, len(values)))
+    mean, square, sizes = np.zeros_like(weights), np.zeros_like(weights), context.broadcast(values)
+    for step in range(1, STEPS + 1):
+        now = context.broadcast(weights)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(now.value.shape)
+            for batch in batches:
+                for start in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(start, BLOCK)
+                    total += _gradient(part.column(0).to_numpy(), part.column(1).flatten().to_numpy(), part.column(1).value_lengths().to_numpy(), sizes.value, now.value)
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["gradient"])
+
+        parts = features.mapInArrow(run, "gradient binary").toArrow()["gradient"]
+        g = sum(np.frombuffer(x.as_buffer(), np.float32).reshape(weights.shape) for x in parts) / np.float32(n)
+        now.destroy()
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        weights = weights * np.float32(1 - STEP_SIZE * PENALTY) - STEP_SIZE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    sizes.destroy()
+    return weights
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:

@@ -98,6 +98,35 @@ def test_machine_learns_a_pair(spark):
     assert right / n > 0.95
 
 
+def toxic_found(spark, rows, labels):
+    """Of the held-out rows: toxic ones found, toxic ones, others that are predicted to be toxic."""
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out")
+    return scored.agg(F.sum(F.expr("int(toxic = 1 AND predicted = 1)")), F.sum("toxic"), F.sum(F.expr("int(toxic = 0 AND predicted = 1)"))).first()
+
+
+def test_rare_insults_are_found(spark):
+    """Each insult is in about 18 toxic texts and in no other."""
+    rng, rows, labels = random.Random(4), [], []
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(2000)]
+    for i in range(1500):
+        toxic = rng.random() < 0.12
+        words = [vocabulary[int(2000 * rng.random() ** 3)] for _ in range(40)] + rng.sample([f"{c}xqinsult" for c in "abcdefghijklmnopqrst"], 2 * toxic)
+        rows.append((i, " ".join(words))), labels.append((i, 1, int(toxic)))
+    found, toxic, wrong = toxic_found(spark, rows, labels)
+    assert toxic > 20 and found / toxic >= 0.9 and wrong <= 3
+
+
+def test_machine_learns_a_pair_of_neutral_words(spark):
+    """Either word alone is toxic, both or none are not: neither word tells anything by itself."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(["alpha"] * a + ["bravo"] * b + [f"f{rng.randrange(30)}" for _ in range(5)]))), labels.append((i, 1, int(a != b)))
+    found, toxic, wrong = toxic_found(spark, rows, labels)
+    assert toxic > 20 and found / toxic >= 0.9 and wrong <= 6
+
+
 # 2: archives
 
 
