@@ -56,10 +56,9 @@ def parse(line: bytes) -> tuple[int, int, bytes] | None:
 
 
 def bodies(templates: list[int]) -> list[int]:
-    """For each line of a document a key of its other lines: the smallest of their templates, or 0 if there is none."""
-    low = sorted(set(templates))[:2]
-    second = low[1] if len(low) > 1 else 0
-    return [second if t == low[0] else low[0] for t in templates]
+    """For each of a document's distinct lines a key of all its other lines: the sum of their templates, 0 if there is none."""
+    total = sum(templates)
+    return [(total - t + (1 << 63)) % (1 << 64) - (1 << 63) for t in templates]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -312,6 +312,16 @@ def test_recurring_templates(spark):
     assert all(got[100 + k]["text"] == texts[100 + k] for k in range(9))  # copies of one document are one body
 
 
+@pytest.mark.parametrize(("block", "docs", "own"), [(20, 20, 3), (10, 10, 3), (6, 10, 2)])
+def test_blocks_of_lines_recur(spark, block, docs, own):
+    """Each document has lines of its own, so each is a body, however many lines of the block are in all."""
+    rng = random.Random(block)
+    shared = [letters(rng, 8) for _ in range(block)]
+    rows = [(i, "\n".join(shared + [letters(rng, 12) for _ in range(own)])) for i in range(docs)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(docs_of(spark, rows), counts=True).collect()}
+    assert got == {i: block if i else 0 for i in range(docs)}
+
+
 def test_many_templates_are_joined(spark, monkeypatch):
     rng = random.Random(4)
     lines = ["common line number one here", "another common line of text"]
