@@ -755,6 +755,19 @@ def t13_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.correlation_summary(of).select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
 
 
+@query()
+def t13_all_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """All classes and features; t13_class_correlations is the part that its SQL compares."""
+    return multivariate.class_correlations(cells(spark, sf)).select("lipid_class", "id1", "id2", "n", r("r").alias("r"))
+
+
+@query()
+def t13_all_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """All features; t13_spearman_summary is the part that its SQL compares."""
+    of = multivariate.correlation_summary(multivariate.class_correlations(cells(spark, sf), ranks=True))
+    return of.select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
+
+
 @query()
 def t14_differential_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.differential_correlation(cells(spark, sf), "A", "B")

@@ -106,3 +106,31 @@ def test_read_and_reshape(spark, tmp_path):
     assert sorted(map(tuple, tables.to_long(wide, ["key"]).collect())) == [("x", "P_a", 1.5), ("y", "P_b", 3.0)]
     tables.write_stage(wide.withColumn("step", F.lit("s")), str(tmp_path / "out"), "step")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_correlations_of_all_classes(spark, monkeypatch):
+    """The whole queries against brute force: no class and no feature is left out."""
+    import numpy as np
+
+    from sparkloom import queries
+
+    rng = random.Random(7)
+    x = {(c, f): {s: rng.choice([0.0, *range(1, 40)]) * 1.0 for s in range(8)} for c, ids in (("FA", (1, 2, 3)), ("PC", (4, 5, 7, 11))) for f in ids}
+    rows = [(f, s, c, v) for (c, f), of in x.items() for s, v in of.items()]
+    monkeypatch.setattr(queries, "cells", lambda spark, sf: spark.createDataFrame(rows, "feature_id int, sample_id int, lipid_class string, value double"))
+
+    def ranks(of):
+        known = [v for v in of.values() if v > 0]
+        return {s: 1 + sum(w < v for w in known) + (known.count(v) - 1) / 2 for s, v in of.items() if v > 0}
+
+    pairs, spearman = {}, {}
+    for (a, i), (b, j) in itertools.combinations(x, 2):
+        both = [s for s in range(8) if x[a, i][s] > 0 and x[b, j][s] > 0]
+        if a == b and len(both) >= 3:
+            pairs[a, i, j] = (len(both), np.corrcoef([[of[s] for s in both] for of in (x[a, i], x[b, j])])[0, 1])
+            spearman.setdefault(a, []).append(np.corrcoef([[ranks(of)[s] for s in both] for of in (x[a, i], x[b, j])])[0, 1])
+    got = {(r["lipid_class"], r["id1"], r["id2"]): (r["n"], r["r"]) for r in queries.QUERIES["t13_all_class_correlations"](spark, "").collect()}
+    assert got.keys() == pairs.keys() and len(pairs) == 9
+    assert all(got[k][0] == pairs[k][0] and got[k][1] == pytest.approx(pairs[k][1], abs=1e-6) for k in pairs)
+    summary = {r["lipid_class"]: (r["pairs"], r["mean_r"], r["mean_abs_r"]) for r in queries.QUERIES["t13_all_spearman_summary"](spark, "").collect()}
+    assert summary == {c: (len(v), pytest.approx(np.mean(v), abs=1e-5), pytest.approx(np.mean(np.abs(v)), abs=1e-5)) for c, v in spearman.items()}
