@@ -11,8 +11,10 @@ from .shared import written
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, label): the smallest node reachable from each node.
 
-    Each round is written to the scratch folder, and the loop ends when a round changes nothing. Nodes of a hub are
-    counted with partial aggregation, so a hub's neighbours never meet in one task. Rows with a null are left out.
+    Each round is written to the scratch folder, and the loop ends when a round changes nothing. Labels are taken over by
+    joins on a node and on a label, and by minima: of a hub's edges, and of a large component's nodes, which have the same
+    key there, the joins are split by adaptive execution, and the minima are aggregated before they are shuffled. Rows
+    with a null are left out; an empty table gives an empty result.
     """
     edges = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")

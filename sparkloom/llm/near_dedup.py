@@ -3,8 +3,9 @@
 Texts become sets of hashed 5-word shingles. Equal sets form a class, of which the smallest id goes on. Bands of a
 MinHash signature propose pairs; an odd sketch (the parity bitmap of the signature's samples) estimates a pair's
 similarity from the population count of an XOR, and pairs far below the threshold go; the others are confirmed on
-their full sets. Within a bucket not all pairs are tried: members are first compared with a few leaders, and once
-those links have merged most members, only pairs of components that share a bucket are left, of which all members are tried.
+their full sets. Pairs of a bucket are never rows. Members are first compared with a few leaders, which merges most of
+them; each bucket's largest component then meets the bucket's other members, and these meet among themselves, by
+sketches in blocks of a bounded size. Texts are read again only for members that have a promising partner in a block.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ BANDS, ROWS = 32, 4
 SAMPLES, BITS = BANDS * ROWS, 512
 #: Five standard deviations (of 128 samples at 0.75: 0.038) under the threshold.
 MARGIN = 0.20
+#: Differing bits of two sketches that stand for the threshold less the margin.
+MOST_DIFFERING = int(BITS / 2 * (1 - np.exp((THRESHOLD[0] / THRESHOLD[1] - MARGIN - 1) * 4 * SAMPLES / BITS)))
 #: Leaders of a bucket, with which its members are compared before all remaining pairs are tried.
 LEADERS = 3
-#: Members of a component that is compared in blocks, at least, and of a block, about.
-LARGE, BLOCK = 8, 256
+#: Members of a component that is compared as a whole, at least, and of a block, about.
+LARGE, BLOCK = 16, 512
+#: Members of a bucket whose pairs are rows, at most.
+SMALL = 16
 #: Pairs of one text that meet in a task, at most.
 PAIRS_PER_TASK = 200
 
@@ -131,9 +136,9 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _promising(pairs: DataFrame, odd: DataFrame) -> DataFrame:
-    a, b = odd.select(F.col("id").alias("a"), F.col("odd").alias("odd_a")), odd.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"))
-    near = estimate(differing_bits(F.col("odd_a"), F.col("odd_b"))) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
+def _promising(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    a, b = about.select(F.col("id").alias("a"), F.col("odd").alias("odd_a")), about.select(F.col("id").alias("b"), F.col("odd").alias("odd_b"))
+    near = differing_bits(F.col("odd_a"), F.col("odd_b")) <= MOST_DIFFERING
     return pairs.distinct().join(a, "a").join(b, "b").where(near).select("a", "b").distinct()
 
 
@@ -151,61 +156,115 @@ def _leader_pairs(members: DataFrame) -> DataFrame:
     return members.join(leaders, "key").where("label != of").select(*_ordered(F.col("id"), F.col("lead"))).distinct()
 
 
-def _label_pairs(members: DataFrame, odd: DataFrame) -> DataFrame:
-    """Pairs of components that share a bucket: lo, hi. Where each has one member there, that pair has to be promising.
+def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between members of different components that meet in a group, one for each component at least.
 
-    A component has one row in a bucket, however many members it has there.
+    members: group columns g, x, y, and side, id, label, odd, bands, band. A group has two sides, whose members are compared with
+    each other, or one, whose members are compared among themselves; a group is of a bounded size. Sketches only are sent to
+    the groups first. Members that have a promising partner of another component there are sent once more, with their
+    texts, and promising pairs are confirmed on full sets, the closest first, until the two components are one.
+    Where band is given, a pair is tried in the first bucket that it shares, and in no other.
     """
-    of = members.join(odd, "id").groupBy("key", "label").agg(F.count("*").alias("n"), F.first("odd").alias("odd")).withColumn("odd", F.when(F.col("n") == 1, F.col("odd")))
-    x, y = (of.select("key", F.col("label").alias(k), F.col("odd").alias(f"odd_{k}")) for k in ("lo", "hi"))
-    near = estimate(differing_bits(F.col("odd_lo"), F.col("odd_hi"))) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
-    open_ = F.col("odd_lo").isNull() | F.col("odd_hi").isNull()
-    return x.join(y, "key").where((F.col("lo") < F.col("hi")) & (open_ | near)).select("lo", "hi").distinct()
-
-
-def _with_large(pairs: DataFrame, members: DataFrame, sizes: DataFrame, odd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between the members of large components and those of the components that share buckets with them.
-
-    pairs: large, small, of labels; members: id, label. Both sides are cut into blocks of about BLOCK members, and each
-    pair of blocks is a group of a bounded size. Of a member's links into a component one is enough, and is returned;
-    a member without links has been compared, by sketch and then by set, with every member of the component.
-    """
-    kind = dict(odd.dtypes)["id"]
-    other = written(pairs.join(members.select("id", F.col("label").alias("small")), "small").select("large", "id").distinct(), "others")
-    blocks = other.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(sizes.select(F.col("label").alias("large"), F.ceil(F.col("size") / BLOCK).cast("int").alias("na")), "large")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = members.withColumnRenamed("label", "large").join(blocks, "large").select("large", "id", block("na").alias("ba"), all_of("nb").alias("bb"), F.lit(True).alias("own"))
-    two = other.join(blocks, "large").select("large", "id", all_of("na").alias("ba"), block("nb").alias("bb"), F.lit(False).alias("own"))
-    full = one.unionByName(two).join(odd, "id").join(texts, "id")
+    kind = dict(members.dtypes)["id"]
+    key = ["g", "x", "y"]
+
+    def close(left: pd.DataFrame, right: pd.DataFrame, within: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """For each place of right: the places of left that are promising partners, the closest first."""
+        a, b = (np.array(list(f["odd"]), np.int64).view(np.uint64).reshape(-1, BITS // 64) for f in (left, right))
+        la, lb = (f["label"].to_numpy() for f in (left, right))
+        band = int(left["band"].iloc[0])
+        ka, kb = (np.array(list(f["bands"]), np.int64).reshape(len(f), -1)[:, : max(0, band)] for f in (left, right))
+        for j in range(len(b)):
+            end = j if within else len(a)
+            differing = np.bitwise_count(a[:end] ^ b[j][None, :]).sum(1, dtype=np.int64)
+            at = np.flatnonzero((differing <= MOST_DIFFERING) & (la[:end] != lb[j]))
+            if band > 0 and len(at):
+                at = at[~(ka[at] == kb[j][None, :]).any(1)]
+            yield j, at[np.argsort(differing[at], kind="stable")]
+
+    def sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+        group = group.sort_values("id", kind="stable")
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        return (left, left, True) if int(group["x"].iloc[0]) == int(group["y"].iloc[0]) else (left, right, False)
+
+    def wanted(group: pd.DataFrame) -> pd.DataFrame:
+        left, right, within = sides(group)
+        asked: set = set()
+        if len(left) and len(right):
+            for j, at in close(left, right, within):
+                if len(at):
+                    asked.add((int(right["side"].iloc[j]), right["id"].iloc[j]))
+                    asked.update((0, i) for i in left["id"].to_numpy()[at].tolist())
+        first = group.iloc[0]
+        return pd.DataFrame([(first["g"], first["x"], first["y"], side, i) for side, i in asked], columns=[*key, "side", "id"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        own, rest = group[group["own"]], group[~group["own"]]
+        left, right, within = sides(group)
         out, cache = [], WordHashes()
-        if len(own) and len(rest):
-            a, b = (np.array(list(x["odd"]), np.int64).view(np.uint64) for x in (own, rest))
-            ids, texts_ = own["id"].tolist(), own["text"].tolist()
+        if len(left) and len(right):
+            ids, names = left["id"].tolist(), right["id"].tolist()
+            of_left, of_right = left["label"].tolist(), right["label"].tolist()
+            up: dict = {}
+
+            def root(label: object) -> object:
+                while label in up:
+                    label = up[label]
+                return label
+
             sets: dict[int, np.ndarray] = {}
-            for name, text, bits in zip(rest["id"], rest["text"], b, strict=True):
-                differing = np.bitwise_count(a ^ bits[None, :]).sum(1)
-                close = 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * differing / BITS)) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
+            left_texts, right_texts = left["text"].tolist(), right["text"].tolist()
+            for j, at in close(left, right, within):
                 mine = None
-                for k in np.argsort(differing, kind="stable")[: int(close.sum())].tolist():
+                for k in at.tolist():
+                    if (x := root(of_left[k])) == (y := root(of_right[j])):
+                        continue
                     if k not in sets:
-                        sets[k] = shingle_set(texts_[k].encode(), WIDTH, cache)
-                    mine = shingle_set(text.encode(), WIDTH, cache) if mine is None else mine
+                        sets[k] = shingle_set(left_texts[k].encode(), WIDTH, cache)
+                    mine = shingle_set(right_texts[j].encode(), WIDTH, cache) if mine is None else mine
                     if _linked(sets[k], mine):
-                        out.append((ids[k], name))
-                        break
+                        up[x] = y
+                        out.append((ids[k], names[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return full.groupBy("large", "ba", "bb").applyInPandas(compare, f"a {kind}, b {kind}")
+    asked = written(members.groupBy(*key).applyInPandas(wanted, f"g long, x int, y int, side int, id {kind}"), "asked")
+    full = members.join(asked, [*key, "side", "id"], "left_semi").join(texts, "id")
+    return full.groupBy(*key).applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def _block(n: Column | str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("long")).cast("int")
 
 
-def _among_small(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of members of two small components: a, b."""
-    x, y = (members.select(F.col("id").alias(f"i{k}"), F.col("label").alias(k)) for k in ("lo", "hi"))
-    return pairs.join(x, "lo").join(y, "hi").select(*_ordered(F.col("ilo"), F.col("ihi"))).distinct()
+def _blocks(n: Column | str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") - 1))
+
+
+def _with_large(pairs: DataFrame, members: DataFrame, sizes: DataFrame, about: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between large components and the members of others that share buckets with them.
+
+    pairs: large (a label), id; members: id, label; sizes: label, size; about: id, odd, bands. Both sides are cut into blocks of
+    about BLOCK members, and each pair of blocks is a group. Each id is compared with every member of the component.
+    """
+    counts = pairs.groupBy("large").agg(F.count("*").alias("others")).join(sizes.select(F.col("label").alias("large"), "size"), "large")
+    own = members.select("id", "label").join(counts.withColumnRenamed("large", "label"), "label").select(F.col("label").alias("g"), _block("size").alias("x"), _blocks("others").alias("y"), F.lit(0).alias("side"), "id", "label")
+    rest = pairs.join(counts, "large").join(members, "id").select(F.col("large").alias("g"), _blocks("size").alias("x"), _block("others").alias("y"), F.lit(1).alias("side"), "id", "label")
+    groups = own.unionByName(rest).withColumns({"g": F.xxhash64("g"), "y": (-1 - F.col("y")).cast("int"), "band": F.lit(-1)})
+    return _compared(groups.join(about, "id"), texts)
+
+
+def _in_buckets(rows: DataFrame, about: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between members of a bucket that are in different components. rows: key, band, id, label.
+
+    The pairs of a bucket of at most SMALL members are rows, of which there are at most SMALL / 2 for a member. A bucket of
+    at most BLOCK members is a group; a larger one is cut into blocks, of which each pair is a group.
+    """
+    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "n")
+    sized = written(rows.join(open_, "key"), "sized")
+    small = sized.where(F.col("n") <= SMALL).select("key", "id", "label")
+    pairs = small.join(small.select("key", F.col("id").alias("other"), F.col("label").alias("of")), "key").where("id < other and label != of").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    mine = sized.where(F.col("n") > SMALL).withColumn("mine", _block("n")).withColumn("other", _blocks("n"))
+    placed = mine.select(F.col("key").alias("g"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "label", "band")
+    return confirm(written(_promising(pairs, about), "pairs"), texts).unionByName(_compared(placed.join(about, "id"), texts))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,12 +273,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     named = sketches.where("n_shingles > 0 and id is not null")
     classes = written(named.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = named.join(classes.select("rep", F.col("h1").alias("x1"), F.col("h2").alias("x2")), (F.col("id") == F.col("rep")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("id", "bands", "odd").dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(keyed.join(shared, "key"), "members")
     found = members.select("id").distinct()
     texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(found, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    odd = written(reps.join(found, "id", "left_semi").select("id", "odd"), "odd")
+    about = written(reps.join(found, "id", "left_semi").select("id", "odd", "bands"), "about")
 
     # An id on several rows with different texts ties their classes together.
     sets = named.select("id", "h1", "h2").distinct()
@@ -232,36 +291,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     def labelled(of: DataFrame) -> DataFrame:
         """of with the labels so far, and the buckets that still hold more than one component."""
-        left = of.join(labels.select(F.col("node").alias("id"), F.col("label").alias("known")), "id", "left").select("key", "id", F.coalesce("known", "id").alias("label"))
+        left = of.join(labels.select(F.col("node").alias("id"), F.col("label").alias("known")), "id", "left").select("key", "band", "id", F.coalesce("known", "id").alias("label"))
         open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return written(left.join(open_, "key"), "open")
 
-    labels = merged(confirm(written(_promising(_leader_pairs(labelled(members)), odd), "pairs"), texts))
-    def components() -> tuple[DataFrame, DataFrame]:
-        """(id, label) of all that share a bucket with another, and (label, size)."""
-        of = written(found.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "components")
-        return of, of.groupBy("label").agg(F.count("*").alias("size"))
-
-    # What is left are pairs of components. Each bucket's largest first: most others join it, and few pairs are left.
-    of, sizes = components()
-    in_bucket = labelled(members).select("key", "label").distinct().join(sizes, "label")
-    top = in_bucket.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top")).where(F.col("top.size") >= LARGE)
-    big = in_bucket.join(top, "key").where(F.col("label") != F.col("top.label")).select(F.col("top.label").alias("large"), F.col("label").alias("small")).distinct()
-    labels = merged(_with_large(big, of, sizes, odd, texts))
-    # Then all that differ still: those with a large component, and those of small ones.
-    of, sizes = components()
-    left = _label_pairs(labelled(members), odd)
-    for k in ("lo", "hi"):
-        left = left.join(sizes.select(F.col("label").alias(k), F.col("size").alias(f"size_{k}")), k)
-    left = written(left, "left")
-    first, any_large = F.struct("size_lo", "lo") > F.struct("size_hi", "hi"), F.greatest("size_lo", "size_hi") >= LARGE
-    big = left.where(any_large).select(F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("large"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("small"))
-    labels = merged(_with_large(big, of, sizes, odd, texts))
-    small = left.where(~any_large)
-    for k in ("lo", "hi"):
-        small = small.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"now_{k}")), k, "left")
-    small = small.where(F.coalesce("now_lo", "lo") != F.coalesce("now_hi", "hi")).select("lo", "hi")
-    labels = merged(confirm(written(_promising(_among_small(small, of), odd), "pairs"), texts))
+    labels = merged(confirm(written(_promising(_leader_pairs(labelled(members)), about), "pairs"), texts))
+    # Each bucket's largest component meets the bucket's other members: most of them join it.
+    open_ = labelled(members)
+    of = written(found.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "components")
+    sizes = of.groupBy("label").agg(F.count("*").alias("size"))
+    top = open_.select("key", "label").distinct().join(sizes, "label").groupBy("key").agg(F.max(F.struct("size", "label")).alias("top")).where(F.col("top.size") >= LARGE).select("key", F.col("top.label").alias("large"))
+    others = written(open_.join(top, "key", "left").where(F.col("large").isNull() | (F.col("label") != F.col("large"))), "others")
+    pairs = written(others.where(F.col("large").isNotNull()).select("large", "id").distinct(), "pairs")
+    labels = merged(_with_large(pairs, of, sizes, about, texts))
+    # Those others meet among themselves.
+    now = others.select("key", "band", "id", F.col("label").alias("before")).join(labels.select(F.col("node").alias("id"), F.col("label").alias("known")), "id", "left")
+    labels = merged(_in_buckets(written(now.select("key", "band", "id", F.coalesce("known", "before").alias("label")), "rest"), about, texts))
     return sketches, classes, labels
 
 

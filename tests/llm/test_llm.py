@@ -248,9 +248,10 @@ def brute_components(rows):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_near_duplicates_against_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize(("block", "small", "large"), [(512, 16, 16), (16, 2, 8)])
+def test_near_duplicates_against_brute_force(spark, block, small, large, monkeypatch):
+    for name, value in (("BLOCK", block), ("SMALL", small), ("LARGE", large)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(9)
     base, rows = [prose(rng, 120, 5000).split() for _ in range(6)], []
     for i in range(260):
@@ -263,6 +264,22 @@ def test_near_duplicates_against_brute_force(spark, block, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_buckets_of_many_texts_that_are_not_linked(spark, monkeypatch):
+    """Edited copies of one text, most of them under the threshold to each other: no bucket has one component, and none is left out."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 24)
+    rng = random.Random(12)
+    base, rows = prose(rng, 150, 5000).split(), []
+    for i in range(500):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(4, 9)):
+            w[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    expected = brute_components(rows)
+    assert got == expected
+    assert len({c for _, c in expected.values()}) > 100
+
+
 def test_odd_sketch_estimates(spark):
     import numpy as np
 
