@@ -197,43 +197,41 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
         return b""
 
 
-def digests(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id, sha1, size of each row's payload, as a written table."""
-    payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    return written(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).alias("size")), "digests")
-
-
 def assign(keys: DataFrame) -> DataFrame:
-    """id, refers_to of the records that are revisits. keys: of `digests`.
+    """id, sha1, refers_to of the records that are revisits. keys: id, sha1, size of each row's payload.
 
     Only ids and digests are shuffled. The last id of a digest is an aggregate, so a payload that very many pages have is
-    added up before it is shuffled; the join back to its rows is one that adaptive execution splits.
+    added up before it is shuffled; the join back to its rows is one that adaptive execution splits. An id on several
+    rows is judged payload by payload.
     """
     last = keys.where(F.col("id").isNotNull() & (F.col("size") >= MIN_REVISIT_BYTES)).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(last, "sha1").where("id < last").select("id", F.col("last").alias("refers_to")).distinct()
+    return keys.join(last, "sha1").where("id < last").select("id", "sha1", F.col("last").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """A record for each row, in archives under path, which must not exist.
 
-    Of rows with equal payloads those with the largest id are responses, the others revisits of it. Null html is an
-    empty payload, a null url an empty one; a null id is written as `none`, and is always a response.
+    Of rows with equal payloads those with the largest id are responses, the others revisits of it; rows with one id and
+    different payloads are told apart by their payloads. Null html is an empty payload, a null url an empty one; a null id is
+    written as `none`, and is always a response. Repeated rows are each written. An empty table gives one archive with a
+    dictionary only. Columns other than the three named are not read, whatever their names. The files are the text
+    writer's, named part-*.txt; all of them are archives.
     """
     dictionary = train_dictionary(pages, html_col)
-    keys = digests(pages, id_col, html_col)
-    revisits = assign(keys).withColumnRenamed("id", "_revisit")
+    payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    keys = written(rows.select("id", "sha1", F.octet_length("html").alias("size")), "digests")
+    revisits = assign(keys)
     archives = max(1, -(-(keys.agg(F.sum("size")).first()[0] or 0) // ARCHIVE_BYTES))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).repartition(archives, "id")
-    joined = rows.join(revisits, F.col("id") == F.col("_revisit"), "left").select("id", "url", "html", "refers_to")
+    joined = rows.repartition(archives, "id", "sha1").join(revisits, ["id", "sha1"], "left").select("id", "url", "html", "sha1", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         encoder = zstandard.ZstdCompressor(level=3, dict_data=given, write_checksum=True, write_content_size=True)
         out = [dictionary_frame(dictionary)]
         for batch in batches:
-            for i, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (html or "").encode()
-                out.append(encoder.compress(record(i, url, payload, digest(payload), refers_to, refers_to is not None)))
+            for i, url, html, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.append(encoder.compress(record(i, url, html.encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to, refers_to is not None)))
                 if sum(map(len, out[-64:])) > 1 << 20 or len(out) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out = []
@@ -264,7 +262,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages written to archives in the scratch folder and read back: see read_archives."""
+    """pages written to archives in the scratch folder and read back, one row for each: see write_archives, read_archives."""
     path = scratch(pages.sparkSession, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     return read_archives(pages.sparkSession, path)
