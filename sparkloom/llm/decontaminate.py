@@ -72,6 +72,22 @@ class Grams:
         return at[same].tolist(), k[same].tolist()
 
 
+def spans(starts: list[int], size: int) -> list[tuple[int, int]]:
+    """Windows around the places where an item of `size` words would begin, those that overlap as one.
+
+    An alignment that reaches the least score has as many gaps as the item has words at most, so it lies within as many
+    words around the place that one of its seeds points to.
+    """
+    out: list[tuple[int, int]] = []
+    for start in sorted(set(starts)):
+        lo, hi = max(0, start - size), start + 2 * size
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 class Seeds:
     """Items, and which of their seeds is where."""
 
@@ -92,27 +108,21 @@ class Seeds:
         """(item, score, first word, word after the last) of the items that a text contains."""
         if len(hashed) < WIDTH:
             return []
-        windows: dict[int, list[list[int]]] = defaultdict(list)
+        windows: dict[int, list[int]] = defaultdict(list)
         for position, gram in zip(*self.grams.find(gram_hashes(hashed, WIDTH))):
             for item, offset in self.at[int(self.grams.sorted[gram])]:
-                size = len(self.items[item][1])
-                lo, hi = max(0, position - offset - size // 2), position - offset + size + size // 2
-                spans = windows[item]
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
+                windows[item].append(position - offset)
         out = []
-        for item, spans in windows.items():
+        for item, starts in windows.items():
             name, own = self.items[item]
             best = (0, 0)
-            for lo, hi in spans:
+            for lo, hi in spans(starts, len(own)):
                 if np.isin(own, hashed[lo:hi]).sum() < MIN_SCORE * len(own):
                     continue  # a match is worth MATCH at most, so the score can't be reached
                 score, end = smith_waterman(own, hashed[lo:hi])
                 best = max(best, (score, lo + end))
             if best[0] >= MIN_SCORE * MATCH * len(own):
-                lo = max(0, best[1] - 2 * len(own))
+                lo = max(0, best[1] - 2 * len(own))  # an alignment has as many words at most, and as many gaps
                 _, back = smith_waterman(own[::-1], hashed[lo : best[1]][::-1])  # the same alignment, from its end
                 out.append((name, best[0] / (MATCH * len(own)), best[1] - back, best[1]))
         return out
@@ -189,7 +199,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
+    """The rows of docs that contain no item, with all their columns.
+
+    Rows without text stay, as do rows with a null id or extra columns; of repeated rows all stay or all go. Items that are null,
+    have a null id or under 3 words are in no text. Empty tables give docs as it is.
+    """
     t = docs.columns.index(text_col)
     source = docs
     for seeds in _seeds(source, benchmark, text_col, item_col, item_text_col):
