@@ -1,25 +1,28 @@
 """Recurring lines by a log-template tree.
 
 Lines are parsed to a fixed depth: by their number of tokens, then by their leading tokens; a token that holds a digit
-is a variable field and counts as a wildcard. Lines of a leaf that are equal, wildcards aside, are one template. Lines
-whose fields vary in other ways are generalised in their leaf: a position where one token holds in most of the leaf's
-lines stays, the others become wildcards. A template recurs if it is found in documents of several different bodies
-(so that copies of one document, which are for other operators, count once); it is dropped from all documents but
-the first.
+is a variable field and counts as a wildcard. Lines of a leaf that are equal, wildcards aside, are one template. The
+other lines of a leaf are grouped by the tokens that they share: where one token holds in most of a group's lines at
+enough positions, these positions are a generalised template, and the others become wildcards; lines that don't fit, and
+groups without such a template, are divided further by the tokens at one position. A template recurs if it is found in
+documents of several different bodies (so that copies of one document, which are for other operators, count once); it
+is dropped from all documents but the first.
+
+Texts are parsed once, to a written table of lines; all else are aggregates and joins of that table, and each text is
+joined to the templates that it loses. So the result is the same at any size, and Spark chooses how to join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import BROADCAST_LIMIT, as_bytes, written
+from .shared import as_bytes, written
 
 #: Leading tokens that lead to a leaf, beside the number of tokens.
 DEPTH = 3
@@ -27,9 +30,9 @@ DEPTH = 3
 MIN_TOKENS = 3
 #: Documents of different bodies in which a template recurs.
 MIN_DOCS = 5
-#: Share of a leaf's lines that have the same token at a position that stays.
+#: Share of a group's lines that have the same token at a position that stays.
 STAYS = 0.6
-#: Share of the positions that must stay for a line to be of a template at all.
+#: Share of the positions that must stay for a template. Lines with more fields than the rest are templates as they are.
 SIMILARITY = 0.5
 
 _DIGITS = b"0123456789"
@@ -40,8 +43,11 @@ def _hash(x: bytes) -> int:
     return xxhash.xxh64_intdigest(x) - (1 << 63)
 
 
-def parse(line: bytes) -> tuple[int, int, bytes] | None:
-    """(leaf, template, the line's tokens between blanks, fields as wildcards); None for too few tokens, or too many fields."""
+def parse(line: bytes) -> tuple[int | None, int, bytes] | None:
+    """(leaf, template, the line's tokens between blanks, fields as wildcards); None for too few tokens.
+
+    A line of fields mostly is a template with its digits, and has no leaf.
+    """
     flat = b" ".join(line.split())
     size = flat.count(b" ") + 1
     if size < MIN_TOKENS:
@@ -49,7 +55,7 @@ def parse(line: bytes) -> tuple[int, int, bytes] | None:
     if len(flat.translate(None, _DIGITS)) != len(flat):
         tokens = [t if len(t.translate(None, _DIGITS)) == len(t) else _WILD for t in flat.split(b" ")]
         if tokens.count(_WILD) > (1 - SIMILARITY) * size:
-            return None
+            return None, _hash(flat), flat
         flat = b" ".join(tokens)
     leading = flat.split(b" ", DEPTH)[:DEPTH]
     return _hash(b"%d %s" % (size, b" ".join(leading))), _hash(flat), flat
@@ -61,194 +67,142 @@ def bodies(templates: list[int]) -> list[int]:
     return [(total - t + (1 << 63)) % (1 << 64) - (1 << 63) for t in templates]
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart that share an id, or have none."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, leaf, template, body: the distinct lines of each row."""
+    """id, key, leaf, template, body, flat: the distinct lines of each row; flat is null where there is no leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, leaf, template, body = [], [], [], []
-            for row, text in enumerate(as_bytes(batch.column(1))):
-                found = {p[1]: p[0] for line in (text or b"").split(b"\n") if line and (p := parse(line))}
-                at += [row] * len(found)
-                leaf += found.values()
-                template += found
-                body += bodies(list(found)) if found else ()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (leaf, template, body))], names=["id", "leaf", "template", "body"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                at, leaf, template, body, flat = [], [], [], [], []
+                for row, text in enumerate(as_bytes(batch.column(2))):
+                    found = {p[1]: p for line in (text or b"").split(b"\n") if line and (p := parse(line))}
+                    if found:
+                        at += [row] * len(found)
+                        leaf += [p[0] for p in found.values()]
+                        template += found
+                        body += bodies(list(found))
+                        flat += [p[2] if p[0] is not None else None for p in found.values()]
+                rows = pa.array(at, pa.int64())
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x, pa.int64()) for x in (leaf, template, body)), pa.array(flat, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "leaf", "template", "body", "flat"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, leaf long, template long, body long")
+    rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, key long, leaf long, template long, body long, flat string")
 
 
-def _recurring(lines: DataFrame, *key: str) -> DataFrame:
+def _recurring(lines: DataFrame, key: str) -> DataFrame:
     """key, first: keys found in MIN_DOCS bodies or more, and the smallest id that has them.
 
     Counted in two steps, so that a very common line is spread by its bodies first.
     """
-    each = lines.groupBy(*key, "body").agg(F.min("id").alias("first"))
-    return each.groupBy(*key).agg(F.count("*").alias("bodies"), F.min("first").alias("first")).where(F.col("bodies") >= MIN_DOCS).select(*key, "first")
-
-
-def _leaf_templates(docs: DataFrame, leaves: list[Row], known: np.ndarray, text_col: str) -> DataFrame:
-    """leaf, size, positions, tokens: what stays in each of the given leaves, of lines that do not recur as they are."""
-    wanted, known_set = {r["leaf"] for r in leaves}, set(known.tolist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for text in as_bytes(batch.column(0)):
-                for line in (text or b"").split(b"\n"):
-                    if line and (p := parse(line)) and p[0] in wanted and p[1] not in known_set:
-                        tokens = p[2].split(b" ")
-                        counts.update((p[0], len(tokens), k, _hash(t)) for k, t in enumerate(tokens) if t != _WILD)
-                        counts[p[0], len(tokens), -1, 0] += 1
-            if counts:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(counts.values(), pa.int64())], names=["leaf", "size", "position", "token", "n"])
+    each = lines.groupBy(key, "body").agg(F.min("id").alias("first"))
+    return each.groupBy(key).agg(F.count("*").alias("bodies"), F.min("first").alias("first")).where(F.col("bodies") >= MIN_DOCS).select(key, "first")
 
-    tokens = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "leaf long, size long, position long, token long, n long")
-    counts = written(tokens.groupBy("leaf", "size", "position", "token").agg(F.sum("n").alias("n")), "tokens")
-    of = counts.where("position < 0").select("leaf", F.col("n").alias("lines"))
-    stays = counts.where("position >= 0").join(of, "leaf").where(F.col("n") >= STAYS * F.col("lines"))
-    packed = stays.groupBy("leaf", "size").agg(F.sort_array(F.collect_list(F.struct("position", "token"))).alias("kept"))
-    return packed.where(F.size("kept") >= SIMILARITY * F.col("size")).where(F.size("kept") > DEPTH).select("leaf", F.col("kept.position").alias("positions"), F.col("kept.token").alias("tokens"))
 
+def _tokens() -> Column:
+    return F.transform(F.split("flat", " "), lambda t: F.xxhash64(t))
 
-class Templates:
-    """What recurs, as a lookup: of lines that recur as they are, and of generalised leaves."""
 
-    def __init__(self, same: dict[int, object], leaves: dict[int, tuple[list[int], list[int], object]]):
-        self.same, self.leaves = same, leaves
+def _verdicts(nodes: DataFrame) -> DataFrame:
+    """node, kept (position and token of what stays, null if that is no template), split (the position to divide by, null if there is none).
 
-    def first(self, parsed: tuple[int, int, bytes]) -> tuple[bool, object]:
-        """Whether a line recurs, and the first document that has it."""
-        leaf, template, flat = parsed
-        if template in self.same:
-            return True, self.same[template]
-        if leaf in self.leaves:
-            positions, kept, first = self.leaves[leaf]
-            tokens = flat.split(b" ")
-            if all(_hash(tokens[p]) == t for p, t in zip(positions, kept)):
-                return True, first
-        return False, None
+    The tokens of a node are counted by position and token, then by position, then by node, so no task has a node's lines.
+    Positions to divide by are those where no token stays, the most even lines last; where all stay, the least common.
+    """
+    each = nodes.select("node", "divide", F.posexplode(_tokens()).alias("position", "token"))
+    counts = each.groupBy("node", "divide", "position", "token").agg(F.count("*").alias("n"))
+    position = counts.groupBy("node", "divide", "position").agg(
+        F.sum("n").alias("lines"), F.max(F.struct("n", "token")).alias("top"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.count("*").alias("kinds")
+    )
+    share, wild = F.col("top.n") / F.col("lines"), F.col("top.token") == F.xxhash64(F.lit(_WILD.decode()))
+    stays = (share >= STAYS) & ~wild
+    order = F.struct((share < STAYS).alias("open"), F.when(share < STAYS, F.col("squares") / F.col("lines") / F.col("lines")).otherwise(-share).alias("even"), (-F.col("position")).alias("at"))
+    node = position.groupBy("node", "divide").agg(
+        F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(stays, F.struct("position", F.col("top.token").alias("token"))))).alias("kept"), F.max(F.when(F.col("kinds") > 1, order)).alias("order")
+    )
+    formed = ~F.col("divide") & (F.size("kept") >= SIMILARITY * F.col("size")) & (F.size("kept") > DEPTH)
+    return node.select("node", F.when(formed, F.col("kept")).alias("kept"), (-F.col("order.at")).alias("split"))
+
+
+def generalised(rest: DataFrame) -> DataFrame | None:
+    """id, key, template, body, node: the lines that fit a generalised template, which is named by its node; None if there are none.
+
+    rest: lines with a leaf that do not recur as they are. A round divides all groups at once, into groups of at most
+    STAYS of the lines, or without the lines that fit, so rounds are few. A group of fewer than MIN_DOCS bodies ends.
+    """
+    found: DataFrame | None = None
 
+    def open_(of: DataFrame) -> DataFrame:
+        return written(of.join(_recurring(of, "node").select("node"), "node", "left_semi"), "nodes")
 
-def _small(df: DataFrame, row_bytes: int) -> list[Row] | None:
-    """The rows of a written table, if they fit in what may be broadcast."""
-    return df.collect() if df.count() * row_bytes <= BROADCAST_LIMIT else None
+    nodes = open_(rest.select("id", "key", "template", "body", "flat", F.col("leaf").alias("node"), F.lit(False).alias("divide")))
+    while nodes.head(1):
+        judged = nodes.join(written(_verdicts(nodes), "verdicts"), "node").withColumn("tokens", _tokens())
+        fits = F.coalesce(F.forall("kept", lambda k: F.get("tokens", k["position"]) == k["token"]), F.lit(False))
+        judged = written(judged.withColumn("fits", fits), "judged")
+        now = judged.where("fits").select("id", "key", "template", "body", "node")
+        found = now if found is None else found.unionByName(now)
+        child = F.when(F.col("kept").isNotNull(), F.xxhash64("node", F.lit("others"))).otherwise(F.xxhash64("node", "split", F.get("tokens", F.col("split"))))
+        nodes = open_(judged.where("not fits and (kept is not null or split is not null)").select("id", "key", "template", "body", "flat", child.alias("node"), F.col("kept").isNotNull().alias("divide")))
+    return found
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Templates | None]:
-    """(template, first) of lines that recur as they are, and all templates as a lookup, None if it is too large."""
+def losses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key, gone: for each row that loses lines, told by its id and _row_key, the templates that it loses."""
     lines = written(_lines(docs, id_col, text_col), "lines")
     same = written(_recurring(lines, "template"), "templates")
-    rest = lines.join(same.select("template"), "template", "left_anti")
-    wide = written(_recurring(rest, "leaf"), "leaves")
-    rows, leaves = _small(same, 400), _small(wide, 400)
-    if rows is None or leaves is None:
-        return same, None
-    known, general = {r["template"]: r["first"] for r in rows}, {}
-    if leaves:
-        found = _small(written(_leaf_templates(docs, leaves, np.array(list(known), np.int64), text_col), "general"), 4000)
-        if found:
-            trial = Templates(known, {r["leaf"]: (r["positions"], r["tokens"], None) for r in found})
-            recurring = _small(written(_recurring(_matches(docs, trial, id_col, text_col), "leaf"), "general"), 400) or []
-            first = {r["leaf"]: r["first"] for r in recurring}
-            general = {r["leaf"]: (r["positions"], r["tokens"], first[r["leaf"]]) for r in found if r["leaf"] in first}
-    return same, Templates(known, general)
-
-
-def _matches(docs: DataFrame, trial: Templates, id_col: str, text_col: str) -> DataFrame:
-    """id, leaf, body: lines that fit a generalised leaf."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, leaf, body = [], [], []
-            for row, text in enumerate(as_bytes(batch.column(1))):
-                found = {p[1]: p for line in (text or b"").split(b"\n") if line and (p := parse(line))}
-                for key, b in zip(found, bodies(list(found)) if found else ()):
-                    if key not in trial.same and trial.first(found[key])[0]:
-                        at.append(row), leaf.append(found[key][0]), body.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int64()), pa.array(body, pa.int64())], names=["id", "leaf", "body"])
-
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, leaf long, body long")
-
-
-def strip(text: bytes, row_id: object, lookup: Templates) -> tuple[bytes, int, int]:
-    """(the text without lines that recur and were first in another document, its lines, those dropped)."""
-    kept, dropped, lines = [], 0, text.split(b"\n")
-    for line in lines:
-        parsed = parse(line) if line else None
-        recurs, first = lookup.first(parsed) if parsed else (False, None)
-        if recurs and (row_id is None or first != row_id):
-            dropped += 1
-        else:
-            kept.append(line)
-    return b"\n".join(kept) if dropped else text, len(lines), dropped
-
-
-def _apply(docs: DataFrame, lookup: Templates, id_col: str, text_col: str, more: bool) -> DataFrame:
-    """docs with the text stripped; with more, n_lines and n_dropped too."""
-    from pyspark.sql import types as T
+    elsewhere = F.col("id").isNull() | (F.col("first") != F.col("id"))
+    gone = lines.select("id", "key", "template").join(same, "template").where(elsewhere).select("id", "key", "template")
+    found = generalised(lines.where("leaf is not null").join(same.select("template"), "template", "left_anti"))
+    if found is not None:
+        gone = gone.unionByName(found.join(written(_recurring(found, "node"), "general"), "node").where(elsewhere).select("id", "key", "template"))
+    return gone.groupBy("id", "key").agg(F.collect_set("template").alias("gone"))
 
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
-    i, t = docs.columns.index(id_col), docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n, dropped = [], [], []
-            for row_id, text in zip(batch.column(i).to_pylist(), as_bytes(batch.column(t)), strict=True):
-                s, lines, d = strip(text, row_id, shared.value) if text is not None else (None, 0, 0)
-                texts.append(s), n.append(lines), dropped.append(d)
-            columns = [*batch.columns]
-            columns[t] = pa.array(texts, pa.binary()).cast(pa.string())
-            if more:
-                columns += [pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(["n_lines", "n_dropped"] if more else [])])
-
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if more else [])])
-    return docs.mapInArrow(run, schema)
+def strip(text: bytes, gone: set[int]) -> tuple[bytes, int]:
+    """(the text without the lines of these templates, their number)."""
+    lines = text.split(b"\n")
+    kept = [line for line in lines if not (line and (p := parse(line)) and p[1] in gone)]
+    return (b"\n".join(kept), len(lines) - len(kept)) if len(kept) < len(lines) else (text, 0)
 
 
-def _apply_joined(docs: DataFrame, same: DataFrame, id_col: str, text_col: str, more: bool) -> DataFrame:
-    """As _apply, where templates are too many to broadcast: each row's own recurring lines are joined to it.
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """docs with recurring lines dropped from the text; all rows and columns stay. With counts, n_lines and n_dropped too.
 
-    Lines that recur as they are only. Rows need an id; those without one keep their lines.
+    A line's template is dropped from every row but those with the smallest id that has it. A row with a null id is
+    never the first, and loses all templates that recur. Null texts stay null with 0 lines, empty ones empty with 1; lines
+    of under 3 tokens stay; texts and lines may be of any length. Repeated rows are one body, and lose the same. An empty table gives an
+    empty result. A column of docs named n_lines or n_dropped clashes with counts only, and is left out then; other
+    columns may have any name.
     """
-    lines = _lines(docs, id_col, text_col)
-    own = lines.join(same, "template").groupBy("id").agg(F.collect_set(F.struct("template", "first")).alias("_own"))
-    i, t = docs.columns.index(id_col), docs.columns.index(text_col)
-    joined = docs.join(own.withColumnRenamed("id", "_own_id"), F.col(id_col) == F.col("_own_id"), "left").drop("_own_id")
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
+    own = ["_id", "_key", "_gone"]
+    while set(own) & set(docs.columns):
+        own = [f"_{c}" for c in own]
+    i, k, g = own
+    lost = losses(docs, id_col, text_col).toDF(i, k, g)
+    joined = docs.join(lost, (_row_key(id_col, text_col) == F.col(k)) & F.col(id_col).eqNullSafe(F.col(i)), "left").select(*(docs[c] for c in docs.columns), g)
+    t = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, dropped = [], [], []
-            for row_id, text, own in zip(batch.column(i).to_pylist(), as_bytes(batch.column(t)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                lookup = Templates({o["template"]: o["first"] for o in own or ()}, {})
-                s, lines, d = strip(text, row_id, lookup) if text is not None else (None, 0, 0)
-                texts.append(s), n.append(lines), dropped.append(d)
+            for text, gone in zip(as_bytes(batch.column(t)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                left, lost = strip(text, set(gone)) if gone else (text, 0)
+                texts.append(left), n.append(0 if text is None else text.count(b"\n") + 1), dropped.append(lost)
             columns = [*batch.columns[:-1]]
             columns[t] = pa.array(texts, pa.binary()).cast(pa.string())
-            if more:
+            if counts:
                 columns += [pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(["n_lines", "n_dropped"] if more else [])])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if more else [])])
-    return joined.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(["n_lines", "n_dropped"] if counts else [])])
 
-
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with recurring lines dropped from the text; all rows and columns stay. With counts, n_lines and n_dropped too.
-
-    A line's template is dropped from every row but those with the smallest id that has it. A row with a null id is
-    never the first. Null texts stay null with 0 lines, empty ones empty with 1; lines of under 3 tokens, or of
-    fields mostly, stay; texts may be of any length. Repeated rows are one body. An empty table gives an empty result. A column of docs named
-    n_lines or n_dropped clashes with counts only, and is left out then.
-    """
-    if counts:
-        docs = docs.drop("n_lines", "n_dropped")
-    same, lookup = templates(docs, id_col, text_col)
-    if lookup is None:
-        return _apply_joined(docs, same, id_col, text_col, counts)
-    return _apply(docs, lookup, id_col, text_col, counts)
+    more = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if counts else []
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))

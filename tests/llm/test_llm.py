@@ -147,6 +147,15 @@ def test_archives(spark, sf):
         assert g["url"] == r["url"]
 
 
+def test_an_id_on_several_pages_keeps_each_payload(spark):
+    rows = [(1, "a", "x"), (1, "b", "only here"), (2, "c", "x"), (2, "c", "x"), (None, "d", "x"), (3, "e", None), (3, "f", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload"]) for r in warc.round_trip(pages).collect()), key=str)
+    expected = [(1, "a", "revisit", 2, None), (1, "b", "response", None, b"only here"), (2, "c", "response", None, b"x"), (2, "c", "response", None, b"x")]
+    expected += [(None, "d", "response", None, b"x"), (3, "e", "response", None, b""), (3, "f", "response", None, b"")]
+    assert got == sorted(expected, key=str)
+
+
 def test_broken_archives():
     import zstandard
 
@@ -212,6 +221,53 @@ def test_contaminated_against_brute_force(spark):
         assert local_score(decontaminate.words(dict(items)[r["item_id"]].encode()), span) / 40 == pytest.approx(r["score"])
 
 
+def test_every_alignment_around_a_seed_is_found():
+    """Against whole alignments of 3,000 texts with edited, repeated and gapped copies, wherever a seed is left."""
+    import numpy as np
+
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(30)]
+    items = []
+    for k in range(6):
+        item = [rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(10**6)}" for _ in range(rng.choice((8, 20, 40)))]
+        item[len(item) // 2 : len(item) // 2 + 3] = item[:3]  # a first 3-gram that comes again
+        items.append((k, decontaminate.word_hashes([w.encode() for w in item], decontaminate.WordHashes())))
+    words = {k: h.tolist() for k, h in items}
+    noise = decontaminate.word_hashes([w.encode() for w in common], decontaminate.WordHashes()).tolist()
+    seeds = decontaminate.Seeds(items, {}, 1)
+    found = missed = 0
+    for _ in range(3000):
+        k = rng.randrange(6)
+        copy = list(words[k])
+        for _ in range(rng.randrange(len(copy) // 2)):
+            edit, at = rng.randrange(3), rng.randrange(len(copy))
+            copy[at : at + 1] = [[rng.choice(noise)], [], [copy[at], *rng.choices(noise, k=rng.randrange(1, 9))]][edit]
+            copy = copy or [noise[0]]
+        text = np.array([*rng.choices(noise, k=rng.randrange(60)), *copy, *rng.choices(noise, k=rng.randrange(60))], np.uint64)
+        got = {name: round(score * 2 * len(words[name])) for name, score, *_ in seeds.find(text)}
+        grams = set(decontaminate.gram_hashes(text, 3).tolist())
+        for name, own in items:
+            score = decontaminate.smith_waterman(own, text)[0]
+            if score < len(own):
+                assert name not in got
+            elif name in got:
+                found += 1
+                assert got[name] == score
+            else:
+                missed += 1
+                assert not grams & {g for g, at in seeds.at.items() if name in {i for i, _ in at}}
+    assert found > 1500 and missed < 0.02 * found
+
+
+def test_a_repeated_first_gram_hides_nothing(spark):
+    item = ["a", "b", "c", *(f"x{k}" for k in range(17)), "a", "b", "c", *(f"y{k}" for k in range(17))]
+    text = ["other"] * 30 + item[:3] + ["new"] * 17 + item[20:] + ["other"] * 30
+    docs, bench = docs_of(spark, [(1, " ".join(text))]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    row = decontaminate.contaminated(docs, bench).first()
+    assert round(row["score"] * 80) == local_score(item, text)
+    assert decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng, 20, 3000)) for k in range(12)]
@@ -339,15 +395,105 @@ def test_blocks_of_lines_recur(spark, block, docs, own):
     assert got == {i: block if i else 0 for i in range(docs)}
 
 
-def test_many_templates_are_joined(spark, monkeypatch):
-    rng = random.Random(4)
-    lines = ["common line number one here", "another common line of text"]
-    rows = [(i, "\n".join([letters(rng, 9), lines[i % 2], letters(rng, 9)])) for i in range(30)]
-    docs = docs_of(spark, rows)
-    one = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs).collect()}
-    monkeypatch.setattr(line_dedup, "BROADCAST_LIMIT", 0)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs).collect()} == one
-    assert Counter(t.count("\n") for t in one.values()) == {1: 28, 2: 2}
+def brute_lines(rows):
+    """The same templates line by line: {row: text}, by groups in plain lists."""
+    parsed = []
+    for k, (i, text) in enumerate(rows):
+        found = {p[1]: p for line in (text or "").encode().split(b"\n") if (p := line_dedup.parse(line))}
+        parsed += [(k, i, p, frozenset(found) - {p[1]}) for p in found.values()]
+    gone = {}
+
+    def drop(lines):
+        if len({body for *_, body in lines}) >= 5:
+            first = min((i for _, i, *_ in lines if i is not None), default=None)
+            for k, i, p, _ in lines:
+                if i is None or i != first:
+                    gone.setdefault(k, set()).add(p[1])
+            return True
+        return False
+
+    def group(lines, divide):
+        if len({body for *_, body in lines}) < 5:
+            return
+        tokens = [p[2].decode().split(" ") for _, _, p, _ in lines]
+        n, kept, best = len(lines), {}, None
+        for at in range(len(tokens[0])):
+            counts = Counter(t[at] for t in tokens)
+            most = max(counts.values())
+            (top,) = [t for t in counts if counts[t] == most] if 2 * most > n else [None]
+            if most >= 0.6 * n and top != "<*>":
+                kept[at] = top
+            if len(counts) > 1:
+                open_ = most < 0.6 * n
+                best = max(filter(None, (best, (open_, sum(c * c for c in counts.values()) / n / n if open_ else -most / n, -at))))
+        if not divide and 2 * len(kept) >= len(tokens[0]) and len(kept) > 3:
+            fits = [all(t[at] == w for at, w in kept.items()) for t in tokens]
+            drop([x for x, f in zip(lines, fits) if f])
+            group([x for x, f in zip(lines, fits) if not f], True)
+        elif best:
+            parts = {}
+            for x, t in zip(lines, tokens):
+                parts.setdefault(t[-best[2]], []).append(x)
+            for part in parts.values():
+                group(part, False)
+
+    same, leaves = {}, {}
+    for x in parsed:
+        same.setdefault(x[2][1], []).append(x)
+    for lines in same.values():
+        if not drop(lines) and lines[0][2][0] is not None:
+            leaves.setdefault(lines[0][2][0], []).extend(lines)
+    for lines in leaves.values():
+        group(lines, False)
+    kept = lambda k, line: not ((p := line_dedup.parse(line)) and p[1] in gone.get(k, ()))
+    return [(i, text and b"\n".join(x for x in text.encode().split(b"\n") if kept(k, x)).decode()) for k, (i, text) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def templated():
+    """Lines from templates with few or many values in several places, two of a leaf, null and repeated ids, ties."""
+    rng, rows = random.Random(21), []
+    words = [letters(rng, 1) for _ in range(6)]
+    for i in range(160):
+        own = [letters(rng, rng.randrange(3, 9)) for _ in range(3)]
+        extra = []
+        if i < 38:
+            extra.append(f"posted by user {letters(rng, 1)} {'in the forum of' if i % 2 else 'on a blog about'} things")
+        if rng.random() < 0.4:
+            extra.append(f"the city of {rng.choice(words)} has {rng.choice(words)} and {rng.choice(words)} too")
+        if rng.random() < 0.3:
+            extra.append(f"we are the {rng.choice(words)} {rng.choice(words)} {rng.choice(words)} {rng.choice(words)}")
+        if rng.random() < 0.3:
+            extra.append(f"read {rng.randrange(9)} more items from {rng.choice(words)} and {letters(rng, 1)}")
+        if rng.random() < 0.2:
+            extra += ["Tel 555 123 4567", f"1 2 {rng.randrange(3)}"]
+        rows.append((None if i % 20 == 19 else i - i % 17 // 16, "\n".join(rng.sample(own + extra, len(own + extra)))))
+    return rows + [rows[3], rows[3], (None, rows[19][1]), (900, ""), (901, None)]
+
+
+def test_templates_against_brute_force(spark, templated):
+    got = line_dedup.drop_recurring(docs_of(spark, templated)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_lines(templated), key=str)
+
+
+def test_two_templates_of_a_leaf(spark):
+    rng = random.Random(22)
+    ends = ("in the forum of the town", "on a blog about a river")
+    for kinds in ((0,), (1,), (0, 1)):
+        rows = [(20 * k + i, "\n".join([letters(rng, 9), f"posted by user {letters(rng, 1)} {ends[k]}", letters(rng, 9)])) for k in kinds for i in range(20)]
+        got = line_dedup.drop_recurring(docs_of(spark, rows), counts=True)
+        assert got.agg(F.sum("n_dropped")).first()[0] == 19 * len(kinds)
+
+
+def test_any_join_gives_the_same(spark, templated):
+    docs = cluttered(docs_of(spark, templated)).withColumn("_gone", F.lit(1))
+    one = sorted(map(tuple, line_dedup.drop_recurring(docs).select("doc_id", "text").collect()), key=str)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, line_dedup.drop_recurring(docs).select("doc_id", "text").collect()), key=str) == one
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 # 7: urls
