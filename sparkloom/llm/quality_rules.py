@@ -79,7 +79,7 @@ RULES = BASE | FURTHER
 
 
 def measure(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """rule, seconds, rejected, seen: what each rule costs and rejects, on at most `sample_rows` rows of docs.
+    """rule, seconds, rejected, seen: what each rule costs and rejects, on about `sample_rows` rows from all over docs.
 
     A rule is timed on a fresh text, so that the figures that it shares with others count for it as well.
     """
@@ -95,7 +95,8 @@ def measure(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_R
                     spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(RULES), "seconds": list(spent.values()), "rejected": list(rejected.values()), "seen": [seen] * len(RULES)})
 
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(F.col(text_col).cast("string").alias("text")).sample(share, 7)
     each = sample.mapInArrow(run, "rule string, seconds double, rejected long, seen long")
     return each.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("seen").alias("seen"))
 
@@ -115,8 +116,8 @@ def _rejecting(text: Text, rules: list[str]) -> str | None:
     return next((name for name in rules if RULES[name](text)), None)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[str] | None = None) -> DataFrame:
-    """For each row: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[str] | None = None, reasons: bool = False) -> DataFrame:
+    """For each row: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; with reasons, rejected_by.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept: false if base_failed, else
     whether no rule of the cascade rejects. rejected_by: the first rule, in the order of RULES, that rejects (null if kept).
@@ -129,7 +130,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in (*BASE_FIGURES, "base_failed", "kept", "rejected_by")}
+            out: dict[str, list] = {k: [] for k in (*BASE_FIGURES, "base_failed", "kept", *["rejected_by"] * reasons)}
             for raw in as_bytes(batch.column(1)):
                 text = Text(raw)
                 for name in BASE_FIGURES:
@@ -138,15 +139,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
                 by = failed or _rejecting(text, further)
                 out["base_failed"].append(failed is not None)
                 out["kept"].append(by is None)
-                out["rejected_by"].append(by and next(r for r in RULES if RULES[r](text)))
+                if reasons:
+                    out["rejected_by"].append(by and _rejecting(text, list(RULES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.string() if k == "rejected_by" else pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in out.items())], names=[id_col, *out])
 
-    schema = f"`{id_col}` {id_type}, {', '.join(f'{k} long' for k in BASE_FIGURES)}, base_failed boolean, kept boolean, rejected_by string"
+    schema = f"`{id_col}` {id_type}, {', '.join(f'{k} long' for k in BASE_FIGURES)}, base_failed boolean, kept boolean" + ", rejected_by string" * reasons
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[str] | None = None) -> DataFrame:
-    """The rows of docs that no rule rejects, with all their columns; the cascade stops at the first rejection."""
+    """The rows of docs that no rule rejects, with all their columns; the cascade stops at the first rejection.
+
+    Null and empty texts go; null ids, repeated rows and long texts are like any other row; an empty table stays empty.
+    """
     rules = list(rules or cascade(docs, text_col))
     at = docs.columns.index(text_col)
 
