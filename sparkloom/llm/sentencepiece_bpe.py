@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 A text is cut at word starts, which no piece crosses; a cut's symbols are merged by an agenda of adjacent pairs, the
-best score first and the leftmost among equals. What has been encoded once is kept for the next time, in a cache of
-bounded size; and each cut that is new to a worker can be checked against the sentencepiece library.
+best score first and the leftmost among equals. Many short cuts are merged together: the agenda of each is a row of pair
+ranks, of which the first least one is taken in each step; a long cut has its agenda in a heap. What has been encoded once
+is kept for the next time, in a cache of bounded size; and each cut that is new to a worker, and a whole text of each
+batch, can be checked against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -97,6 +99,9 @@ class Model:
             b"" if p.is_control(i) or p.is_unused(i) else b" \xe2\x81\x87 " if p.is_unknown(i) else bytes([int(s[3:5], 16)]) if byte[i] else s.replace(SPACE, " ").encode()
             for i, s in enumerate(pieces)
         ]
+        #: What stands before a cut where the library encodes it alone: something that no piece goes on after.
+        self.before = "\n" if alone else "\u0001"
+        self.before_ids = p.encode(self.before)
         self.is_byte = byte
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -204,9 +209,8 @@ class Model:
             named = [texts[k] for k in group]
             ids.update(zip((cuts[k] for k in group), map(self.cut_ids, named) if size == SCAN_LIMIT else self.merge_all(named), strict=True))
         if self.library is not None:
-            first = [c for c in cuts if c[0] == 32 and len(c) > 1]
-            for cut, there in zip(first, self.library.encode([c[1:].decode() for c in first], num_threads=1) if first else (), strict=True):
-                if there != ids[cut]:
+            for cut, there in zip(cuts, self.library.encode([self.before + c.decode() for c in cuts], num_threads=1), strict=True):
+                if there != self.before_ids + ids[cut]:
                     raise ValueError(f"the library encodes {cut!r} otherwise")
         self.known.update((c, array("I", x).tobytes()) for c, x in ids.items())
 
@@ -225,6 +229,12 @@ class Model:
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def check_text(self, raw: bytes, ids: bytes, decoded: bytes) -> None:
+        """ValueError if the library encodes or decodes a whole text otherwise."""
+        there = self.library.encode(raw.decode())
+        if there != array("I", ids).tolist() or self.library.decode(there).encode() != decoded:
+            raise ValueError(f"the library encodes or decodes otherwise: {raw[:200]!r}")
+
     def decode_known(self, ids: list[int]) -> bytes:
         """What whole texts' ids decode to, as UTF-8: byte pieces are known to be whole there."""
         return b"".join(map(self.surface.__getitem__, ids))[1:]
@@ -294,7 +304,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """For each row: id_col, n_tokens (with begin and end), ids_sha256, decoded_sha256; with texts, ids and decoded too.
 
     path: a vocabulary's file on the driver, from which it is sent to the executors (at most 64 MB). check: each cut
-    that is new to a worker is also encoded by the sentencepiece library, and a difference is an error. Null and empty
+    that is new to a worker is also encoded by the sentencepiece library, and of each 512 rows one whole text is encoded and
+    decoded by it; a difference is an error. Null and empty
     texts have the begin and end ids only, and decode to the empty text. Null ids and repeated rows are like any other
     row; a text's length is bound by its row only; an empty table gives an empty result; other columns are not read.
     """
@@ -308,8 +319,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 n, digest, decoded, id_lists, out_texts = [], [], [], [], []
-                for ids in m.encode_batch([raw or b"" for raw in as_bytes(batch.column(1))]):
+                texts_ = [raw or b"" for raw in as_bytes(batch.column(1))]
+                for raw, ids in zip(texts_, m.encode_batch(texts_), strict=True):
                     back = m.decode_known(array("I", ids).tolist())
+                    if check and not n:
+                        m.check_text(raw, ids, back)
                     ids = bos + ids + eos
                     n.append(len(ids) // 4)
                     digest.append(hashlib.sha256(ids).hexdigest())
