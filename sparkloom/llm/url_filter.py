@@ -1,8 +1,8 @@
 """URL filters: rules for hosts and paths, then naive Bayes over words of segmented hosts and path tokens.
 
 Host names are cut into words by a unigram model (the most probable cut, found by Viterbi), with word counts from the
-pages themselves. A multinomial naive Bayes scores the words; it begins with a short list of labelled names, and is then
-fitted on all hosts as it judges them.
+pages themselves. A multinomial naive Bayes scores the words; it begins with labelled names, which are a parameter, and
+is then fitted on all hosts as it judges them.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-# Names that the classifier begins with.
+#: Labelled names that the classifier begins with, if no others are given.
 BLOCKED_NAMES = (
     "casino-bonus", "online-casino", "poker-win", "free-spins", "slots-jackpot", "sports-bets", "betting-odds", "lottery-win",
-    "cheap-pills", "buy-pills", "online-pharmacy", "viagra-shop", "diet-pills", "payday-loans", "fast-loans", "replica-watches",
+    "herbal-pills", "buy-pills", "online-pharmacy", "viagra-shop", "diet-pills", "payday-loans", "fast-loans", "replica-watches",
     "adult-video", "adult-chat", "xxx-video", "porn-tube", "sex-cams", "escort-girls", "hot-dating", "spam-mail", "spam-links",
     "link-farm", "click-ads", "ads-server", "ads-banner", "track-clicks", "web-tracker", "malware-site", "free-warez", "crack-keys",
-    "free-bets", "win-prizes",
+    "quick-bets", "win-prizes",
 )
 ALLOWED_NAMES = (
     "daily-news", "city-library", "music-school", "garden-club", "history-museum", "travel-guide", "weather-report", "science-journal",
@@ -42,8 +42,8 @@ ALLOWED_NAMES = (
 
 #: Words of a host are at most so long; longer runs of letters are cut letter by letter or into known words.
 LONGEST = 24
-#: Share of blocked pages before anything is known, and what is added to each count.
-PRIOR, SMOOTHING = 0.05, 0.5
+#: Share of blocked hosts before anything is known, and what is added to each count.
+PRIOR, SMOOTHING = 0.2, 0.5
 _DIGITS = "<num>"
 
 
@@ -65,13 +65,13 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def vocabulary(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def vocabulary(pages: DataFrame, html_col: str = "html", names: tuple[tuple[str, ...], tuple[str, ...]] = (BLOCKED_NAMES, ALLOWED_NAMES)) -> DataFrame:
     """word, n: letter runs of all pages' visible text, and of the names that the classifier begins with."""
     text = F.regexp_replace(F.col(html_col).cast("string"), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>|&\w+;", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,%d}" % LONGEST), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
     spark = pages.sparkSession
-    own = spark.createDataFrame([(w,) for name in (*BLOCKED_NAMES, *ALLOWED_NAMES) for w in name.split("-")], "word string").groupBy("word").agg(F.count("*").alias("n"))
+    own = spark.createDataFrame([(w,) for name in (*names[0], *names[1]) for w in name.split("-")], "word string").groupBy("word").agg(F.count("*").alias("n"))
     return counted.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -119,24 +119,25 @@ def _weights(blocked: Column, allowed: Column, counts: DataFrame) -> DataFrame:
     return counts.select("word", odds.alias("weight"))
 
 
-def _first_weights(spark: SparkSession) -> DataFrame:
-    rows = [(w, int(k), 1 - int(k)) for k, names in ((True, BLOCKED_NAMES), (False, ALLOWED_NAMES)) for n in names for w in n.split("-")]
+def _first_weights(spark: SparkSession, names: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
+    rows = [(w, 1 - k, k) for k in (0, 1) for n in names[k] for w in n.split("-")]
     counts = spark.createDataFrame(rows, "word string, b long, a long").groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     return _weights(F.col("b"), F.col("a"), counts)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, names: tuple[tuple[str, ...], tuple[str, ...]] = (BLOCKED_NAMES, ALLOWED_NAMES)) -> DataFrame:
     """For each row: id_col, host, path, rule, verdict, words (of the host), score.
 
     rule: the longest that fits (null if none); verdict: the rule's, or block where the score (the log odds of a blocked
-    page) is above 0, else allow. A null url, or one without ://, has an empty host and path, no words, and is allowed
+    page) is above 0, else allow. names: blocked and allowed names, of words with hyphens between them, that the classifier
+    begins with; both hold a word at least. A null url, or one without ://, has an empty host and path, no words, and is allowed
     unless a rule fits. Null ids and repeated rows are like any other row; a host may be of any length; words of over 24
     letters are cut. Without html the host's words are those of the built-in names. An empty table gives an empty result.
     Columns other than the three named are not read.
     """
     host, path = split_url(F.col(url_col).cast("string"))
     parsed = written(pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")), "urls")
-    words = written(vocabulary(pages, html_col), "words")
+    words = written(vocabulary(pages, html_col, names), "words")
     urls = written(parsed.groupBy("host", "path").agg(F.count("*").alias("n")), "hosts")
     letters = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
     hosts = urls.groupBy("host").agg(F.sum("n").alias("n")).withColumn("runs", letters("host"))
@@ -149,7 +150,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         return of.join(weights, "word").groupBy(*key).agg(F.sum("weight").alias("total"))
 
     host_words = spelled.select("host", "n", F.explode("words").alias("word"))
-    first = totals(host_words, _first_weights(pages.sparkSession), "host").select("host", (F.col("total") + prior > 0).alias("bad"))
+    first = totals(host_words, _first_weights(pages.sparkSession, names), "host").select("host", (F.col("total") + prior > 0).alias("bad"))
     marked = written(hosts.select("host").join(first, "host", "left").select("host", F.coalesce("bad", F.lit(False)).alias("bad")), "marked")
     tokens = F.transform(F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}+$"), F.lit(_DIGITS)).otherwise(t))
     path_words = urls.select("host", "path", "n", F.explode(tokens).alias("word"))
@@ -167,6 +168,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         F.when(F.col("host_total").isNull(), F.lit(float("-inf"))).otherwise(F.lit(math.log(p / (1 - p))) + F.col("host_total") + F.coalesce("path_total", F.lit(0.0))).alias("score"),
     )
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    return parsed.join(scored, ["host", "path"]).select(
+    # Rows without a url share a key; they have no words, and are not joined.
+    named = parsed.where(F.col("host") != "").join(scored, ["host", "path"])
+    nameless = parsed.where(F.col("host") == "").withColumns({"words": F.array().cast("array<string>"), "score": F.lit(float("-inf"))}).select("host", "path", "_id", "words", "score")
+    return named.select(*nameless.columns).unionByName(nameless).select(
         F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score"
     )
