@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import names as N
 from .functions.tails import t_p
-from .operators import annotate, clean, composition, merge, multivariate, normalize, tests
+from .operators import annotate, clean, composition, merge, multivariate, normalize
+from .operators import group_tests as tests
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,9 +178,9 @@ def a4_sample_totals(spark: SparkSession, sf: str) -> DataFrame:
     return composition.sample_totals(cells(spark, sf)).select("sample_id", "grp", r("total", 2).alias("total"))
 
 
-@query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL) SELECT grp, count(*) AS n, round(avg(total), 4) AS mean, round(stddev_samp(total), 2) AS sd, round(stddev_samp(total) / sqrt(count(*)), 2) AS stderr, round(100 * stddev_samp(total) / avg(total), 6) AS rsd_pct FROM t GROUP BY grp")
+@query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL) SELECT grp, count(*) AS n, round(avg(total), 4) AS mean, round(stddev_samp(total), 3) AS sd, round(stddev_samp(total) / sqrt(count(*)), 3) AS stderr, round(100 * stddev_samp(total) / avg(total), 6) AS rsd_pct FROM t GROUP BY grp")
 def a5_group_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return composition.group_totals(cells(spark, sf)).select("grp", "n", r("mean", 4).alias("mean"), r("sd", 2).alias("sd"), r("stderr", 2).alias("stderr"), r("rsd_pct").alias("rsd_pct"))
+    return composition.group_totals(cells(spark, sf)).select("grp", "n", r("mean", 4).alias("mean"), r("sd", 3).alias("sd"), r("stderr", 3).alias("stderr"), r("rsd_pct").alias("rsd_pct"))
 
 
 @query(", t AS (SELECT sample_id, grp, sum(value) AS total FROM cells GROUP BY ALL), m AS (SELECT grp, avg(total) AS m FROM t GROUP BY grp) SELECT a.grp AS grp1, b.grp AS grp2, round(a.m / b.m, 6) AS fold_change, round(log2(a.m / b.m), 6) AS log2fc FROM m a JOIN m b ON a.grp <> b.grp")

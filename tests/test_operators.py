@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import annotate, clean, merge, normalize, plausibility, tests as T
+from sparkloom.operators import annotate, clean, merge, normalize, plausibility
+from sparkloom.operators import group_tests as T
 from sparkloom.sources import tables
 
 

@@ -42,3 +42,14 @@ def test_query_is_its_sql(spark, sf, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_other_queries_without_the_training_data_operators(monkeypatch):
+    """Whatever can't be imported, the queries of the feature tables are there."""
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith(("sparkloom.llm", "corpus_pipeline", "public_tokenizers"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert __spark_entry__.queries().keys() == reference.QUERIES.keys()
+    assert __spark_entry__.oracle_sql() == reference.SQL
