@@ -3,8 +3,8 @@
 Lines are parsed to a fixed depth: by their number of tokens, then by their leading tokens; a token that holds a digit
 is a variable field and counts as a wildcard. Lines of a leaf that are equal, wildcards aside, are one template. The
 other lines of a leaf are grouped by the tokens that they share: where one token holds in most of a group's lines at
-enough positions, these positions are a generalised template, and the others become wildcards; lines that don't fit, and
-groups without such a template, are divided further by the tokens at one position. A template recurs if it is found in
+enough positions, these positions are a generalised template, and the others become wildcards; groups without such a
+template, or of which most lines don't fit it, are divided further by the tokens at one position. A template recurs if it is found in
 documents of several different bodies (so that copies of one document, which are for other operators, count once); it
 is dropped from all documents but the first.
 
@@ -114,43 +114,45 @@ def _verdicts(nodes: DataFrame) -> DataFrame:
     """node, kept (position and token of what stays, null if that is no template), split (the position to divide by, null if there is none).
 
     The tokens of a node are counted by position and token, then by position, then by node, so no task has a node's lines.
-    Positions to divide by are those where no token stays, the most even lines last; where all stay, the least common.
+    Positions to divide by are those where no token stays; of them that with the least even lines, and the first of equals.
     """
-    each = nodes.select("node", "divide", F.posexplode(_tokens()).alias("position", "token"))
-    counts = each.groupBy("node", "divide", "position", "token").agg(F.count("*").alias("n"))
-    position = counts.groupBy("node", "divide", "position").agg(
-        F.sum("n").alias("lines"), F.max(F.struct("n", "token")).alias("top"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.count("*").alias("kinds")
-    )
+    each = nodes.select("node", F.posexplode(_tokens()).alias("position", "token"))
+    counts = each.groupBy("node", "position", "token").agg(F.count("*").alias("n"))
+    position = counts.groupBy("node", "position").agg(F.sum("n").alias("lines"), F.max(F.struct("n", "token")).alias("top"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
     share, wild = F.col("top.n") / F.col("lines"), F.col("top.token") == F.xxhash64(F.lit(_WILD.decode()))
-    stays = (share >= STAYS) & ~wild
-    order = F.struct((share < STAYS).alias("open"), F.when(share < STAYS, F.col("squares") / F.col("lines") / F.col("lines")).otherwise(-share).alias("even"), (-F.col("position")).alias("at"))
-    node = position.groupBy("node", "divide").agg(
-        F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(stays, F.struct("position", F.col("top.token").alias("token"))))).alias("kept"), F.max(F.when(F.col("kinds") > 1, order)).alias("order")
-    )
-    formed = ~F.col("divide") & (F.size("kept") >= SIMILARITY * F.col("size")) & (F.size("kept") > DEPTH)
-    return node.select("node", F.when(formed, F.col("kept")).alias("kept"), (-F.col("order.at")).alias("split"))
+    node = position.groupBy("node").agg(
+        F.count("*").alias("size"), F.sort_array(F.collect_list(F.when((share >= STAYS) & ~wild, F.struct("position", F.col("top.token").alias("token"))))).alias("kept"),
+        F.max(F.when(share < STAYS, F.struct("squares", (-F.col("position")).alias("at")))).alias("open"),
+    )
+    enough = (F.size("kept") >= SIMILARITY * F.col("size")) & (F.size("kept") > DEPTH)
+    return node.select("node", F.when(enough, F.col("kept")).alias("kept"), (-F.col("open.at")).alias("split"))
 
 
 def generalised(rest: DataFrame) -> DataFrame | None:
-    """id, key, template, body, node: the lines that fit a generalised template, which is named by its node; None if there are none.
+    """template, node: the lines that fit a generalised template, which is named by its node; None if there are none.
 
-    rest: lines with a leaf that do not recur as they are. A round divides all groups at once, into groups of at most
-    STAYS of the lines, or without the lines that fit, so rounds are few. A group of fewer than MIN_DOCS bodies ends.
+    rest: template, leaf, flat, bodies (few, for a line that does not recur as it is), a row for each distinct line. In a
+    round, of each node whose template fits half of its lines or more, or that has no position to divide by, the lines that
+    fit are taken, and in the first case the others are a new node; all other nodes are divided. So a node has at most
+    STAYS of the lines of the one before, and rounds are few. A node of fewer than MIN_DOCS bodies ends.
     """
     found: DataFrame | None = None
 
     def open_(of: DataFrame) -> DataFrame:
-        return written(of.join(_recurring(of, "node").select("node"), "node", "left_semi"), "nodes")
+        live = of.select("node", F.explode("bodies").alias("body")).distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("node")
+        return written(of.join(live, "node", "left_semi"), "nodes")
 
-    nodes = open_(rest.select("id", "key", "template", "body", "flat", F.col("leaf").alias("node"), F.lit(False).alias("divide")))
+    nodes = open_(rest.select("template", "flat", "bodies", F.col("leaf").alias("node")))
     while nodes.head(1):
-        judged = nodes.join(written(_verdicts(nodes), "verdicts"), "node").withColumn("tokens", _tokens())
+        judged = nodes.join(_verdicts(nodes), "node").withColumn("tokens", _tokens())
         fits = F.coalesce(F.forall("kept", lambda k: F.get("tokens", k["position"]) == k["token"]), F.lit(False))
-        judged = written(judged.withColumn("fits", fits), "judged")
-        now = judged.where("fits").select("id", "key", "template", "body", "node")
+        judged = written(judged.withColumn("fits", fits).withColumn("child", F.xxhash64("node", "split", F.get("tokens", F.col("split")))).drop("tokens", "kept"), "judged")
+        shares = judged.groupBy("node").agg((2 * F.count_if("fits") >= F.count("*")).alias("mostly"))
+        judged = judged.join(shares, "node").withColumn("taken", F.col("fits") & (F.col("mostly") | F.col("split").isNull()))
+        now = judged.where("taken").select("template", "node")
         found = now if found is None else found.unionByName(now)
-        child = F.when(F.col("kept").isNotNull(), F.xxhash64("node", F.lit("others"))).otherwise(F.xxhash64("node", "split", F.get("tokens", F.col("split"))))
-        nodes = open_(judged.where("not fits and (kept is not null or split is not null)").select("id", "key", "template", "body", "flat", child.alias("node"), F.col("kept").isNotNull().alias("divide")))
+        child = F.when(F.col("mostly"), F.xxhash64("node", F.lit("others"))).otherwise(F.col("child"))
+        nodes = open_(judged.where("not taken and (mostly or split is not null)").select("template", "flat", "bodies", child.alias("node")))
     return found
 
 
@@ -160,9 +162,13 @@ def losses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     same = written(_recurring(lines, "template"), "templates")
     elsewhere = F.col("id").isNull() | (F.col("first") != F.col("id"))
     gone = lines.select("id", "key", "template").join(same, "template").where(elsewhere).select("id", "key", "template")
-    found = generalised(lines.where("leaf is not null").join(same.select("template"), "template", "left_anti"))
+    # Of lines that don't recur as they are, those of leaves that several bodies have; each distinct line is one row, with its bodies.
+    rest = lines.where("leaf is not null").join(same.select("template"), "template", "left_anti")
+    some = rest.join(_recurring(rest, "leaf").select("leaf"), "leaf", "left_semi")
+    found = generalised(written(some.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("flat").alias("flat"), F.collect_set("body").alias("bodies")), "rest"))
     if found is not None:
-        gone = gone.unionByName(found.join(written(_recurring(found, "node"), "general"), "node").where(elsewhere).select("id", "key", "template"))
+        own = written(lines.select("id", "key", "template", "body").join(found, "template"), "fitting")
+        gone = gone.unionByName(own.join(_recurring(own, "node"), "node").where(elsewhere).select("id", "key", "template"))
     return gone.groupBy("id", "key").agg(F.collect_set("template").alias("gone"))
 
 

@@ -459,30 +459,32 @@ def brute_lines(rows):
             return True
         return False
 
-    def group(lines, divide):
+    def group(lines):
         if len({body for *_, body in lines}) < 5:
             return
-        tokens = [p[2].decode().split(" ") for _, _, p, _ in lines]
-        n, kept, best = len(lines), {}, None
-        for at in range(len(tokens[0])):
-            counts = Counter(t[at] for t in tokens)
-            most = max(counts.values())
-            (top,) = [t for t in counts if counts[t] == most] if 2 * most > n else [None]
-            if most >= 0.6 * n and top != "<*>":
-                kept[at] = top
-            if len(counts) > 1:
-                open_ = most < 0.6 * n
-                best = max(filter(None, (best, (open_, sum(c * c for c in counts.values()) / n / n if open_ else -most / n, -at))))
-        if not divide and 2 * len(kept) >= len(tokens[0]) and len(kept) > 3:
-            fits = [all(t[at] == w for at, w in kept.items()) for t in tokens]
-            drop([x for x, f in zip(lines, fits) if f])
-            group([x for x, f in zip(lines, fits) if not f], True)
+        tokens = {p[1]: p[2].decode().split(" ") for _, _, p, _ in lines}
+        n, kept, best = len(tokens), {}, None
+        size = len(next(iter(tokens.values())))
+        for at in range(size):
+            counts = Counter(t[at] for t in tokens.values())
+            (top, most), *_ = counts.most_common()
+            if most >= 0.6 * n:
+                if top != "<*>":
+                    kept[at] = top
+            else:
+                best = max(filter(None, (best, (sum(c * c for c in counts.values()), -at))))
+        fits = {k for k, t in tokens.items() if 2 * len(kept) >= size and len(kept) > 3 and all(t[at] == w for at, w in kept.items())}
+        mostly = 2 * len(fits) >= n
+        if mostly or not best:
+            drop([x for x in lines if x[2][1] in fits])
+        if mostly:
+            group([x for x in lines if x[2][1] not in fits])
         elif best:
             parts = {}
-            for x, t in zip(lines, tokens):
-                parts.setdefault(t[-best[2]], []).append(x)
+            for x in lines:
+                parts.setdefault(tokens[x[2][1]][-best[1]], []).append(x)
             for part in parts.values():
-                group(part, False)
+                group(part)
 
     same, leaves = {}, {}
     for x in parsed:
@@ -491,7 +493,7 @@ def brute_lines(rows):
         if not drop(lines) and lines[0][2][0] is not None:
             leaves.setdefault(lines[0][2][0], []).extend(lines)
     for lines in leaves.values():
-        group(lines, False)
+        group(lines)
     kept = lambda k, line: not ((p := line_dedup.parse(line)) and p[1] in gone.get(k, ()))
     return [(i, text and b"\n".join(x for x in text.encode().split(b"\n") if kept(k, x)).decode()) for k, (i, text) in enumerate(rows)]
 
