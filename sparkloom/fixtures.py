@@ -75,3 +75,22 @@ intensity AS (SELECT l_partkey AS feature_id, (l_suppkey % 20)::INT AS sample_id
 cells AS (SELECT i.feature_id, i.sample_id, i.value, s.grp, s.is_qc, f.lipid_class, f.polarity, f.carbons, f.dbe, f.is_standard
   FROM intensity i JOIN samples s USING (sample_id) JOIN features f USING (feature_id))
 """
+
+
+#: Names as they come: ethers, several chains, modifications, deuterium tags, marks of positions, blanks and nothing.
+NAMES = (
+    "concat('PC ', c1, ':', d1, '_', c2, ':', d2)", "concat('PE O-', c1, ':', d1, '_', c2, ':', d2)", "concat('[D7]PC ', c1, ':', d1, '_18:1')", "concat('Cer ', c1, ':', d1, ';O2/', c2, ':0')",
+    "concat('  FA ', c1, ':', d1, ';O', 1 + d2, '  ')", "concat('CL ', c1, ':', d1, '_18:2_16:0_', c2, ':', d2)", "concat('TG ', c1, ':', d1, '_16:0_', c2, ':', d2, '-SN1')",
+    "'cholestenone'", "concat('ST ', c1, ':', d1, ';2OH;OOH')", "''", "cast(null as {text})", "concat('SM ', c1 + c2, ':', d1, ';O2')", "'unknown'",
+)
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_id, name, lipid_class: names of all kinds, by the feature's number."""
+    cases = " ".join(f"WHEN {k} THEN {e.format(text='string')}" for k, e in enumerate(NAMES))
+    of = features(spark, sf_dir).selectExpr("feature_id", "lipid_class", "cast(12 + feature_id % 13 AS int) AS c1", "cast(feature_id % 5 AS int) AS d1", "cast(14 + feature_id % 11 AS int) AS c2", "cast(feature_id % 4 AS int) AS d2")
+    return of.selectExpr("feature_id", "lipid_class", f"CASE feature_id % {len(NAMES)} {cases} END AS name")
+
+
+NAMED_SQL = SQL + f""", nm AS (SELECT feature_id, lipid_class, CASE feature_id % {len(NAMES)} {' '.join(f"WHEN {k} THEN {e.format(text='varchar')}" for k, e in enumerate(NAMES))} END AS name
+  FROM (SELECT feature_id, lipid_class, 12 + feature_id % 13 AS c1, feature_id % 5 AS d1, 14 + feature_id % 11 AS c2, feature_id % 4 AS d2 FROM features)) """

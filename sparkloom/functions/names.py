@@ -162,13 +162,14 @@ def species_label(head: Column, carbons: Column, dbe: Column, mods: Column, name
 
 # Fatty-acyl chains of a class, by number.
 ONE_CHAIN = (
-    "FA FOH FAG FAL HC CAR CoA NA NAE NAT MG MGMG MGDG LPC LPE LPI LPS LPG LPA LSM LPT CE ST Other PK PR SL SPB SPBP SulfateHexSPB"
-)
+    "FA", "FOH", "FAG", "FAL", "HC", "CAR", "CoA", "NA", "NAE", "NAT", "MG", "MGMG", "MGDG", "LPC", "LPE", "LPI", "LPS", "LPG", "LPA", "LSM", "LPT", "CE", "ST", "Other",
+    "PK", "PR", "SL", "SPB", "SPBP", "SulfateHexSPB",
+)
 TWO_CHAINS = (
-    "WE Cer CerP GlcCer HexCer Hex2Cer SM HexSBP PE-Cer PI-Cer SCer SHexCer M(IP)2C MIPC PC PE PI PS PG PA BMP Glc-GP GP PIM PIP "
-    "PnC PnE PPA PT DG CDP-DG DGCC DGDG DGMG DGTA DGTS GlcADG SQDG SQMG FAHFA"
-)
-THREE_CHAINS, FOUR_CHAINS = "TG NAPE ACer", "CL"
+    "WE", "Cer", "CerP", "GlcCer", "HexCer", "Hex2Cer", "SM", "HexSBP", "PE-Cer", "PI-Cer", "SCer", "SHexCer", "M(IP)2C", "MIPC", "PC", "PE", "PI", "PS", "PG", "PA", "BMP",
+    "Glc-GP", "GP", "PIM", "PIP", "PnC", "PnE", "PPA", "PT", "DG", "CDP-DG", "DGCC", "DGDG", "DGMG", "DGTA", "DGTS", "GlcADG", "SQDG", "SQMG", "FAHFA",
+)
+THREE_CHAINS, FOUR_CHAINS = ("TG", "NAPE", "ACer"), ("CL",)
 
 
 def n_chains(lipid_class: Column, head: Column, name: Column) -> Column:
@@ -177,7 +178,7 @@ def n_chains(lipid_class: Column, head: Column, name: Column) -> Column:
     for key in (F.trim(head), F.trim(lipid_class)):
         found = F.lit(None).cast("int")
         for n, names in enumerate((ONE_CHAIN, TWO_CHAINS, THREE_CHAINS, FOUR_CHAINS), 1):
-            found = F.when(key.isin(*names.split()), F.lit(n)).otherwise(found)
+            found = F.when(key.isin(*names), F.lit(n)).otherwise(found)
         out = F.coalesce(found, out)
     group = F.upper(F.trim(head))
     nape = F.when(group.rlike("^L.*NAPE$"), F.lit(2)).when(group.endswith("NAPE"), F.lit(3))
@@ -209,11 +210,15 @@ def standard_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\s*\(.*?\)", ""))
 
 
-def motifs(name: Column) -> Column:
-    """The distinct chains of a name that are accepted as fatty-acid motifs: two or more, or with a separator."""
+def motifs(name: Column, single_chain: Column | None = None, sum_composition: Column | None = None) -> Column:
+    """The distinct chains of a name that are accepted as fatty-acid motifs: two or more, with a separator, or of a
+    class with one chain, or that is only known as a sum composition (both conditions, false if they are not given)."""
     text = F.coalesce(name, F.lit(""))
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d{1,2}:\d{1,2}"), F.lit(0)))
-    return F.when((F.size(found) >= 2) | text.rlike("[_/;]"), found).otherwise(F.array().cast("array<string>"))
+    accepted = (F.size(found) >= 2) | text.rlike("[_/;]")
+    for more in (single_chain, sum_composition):
+        accepted = accepted if more is None else accepted | F.coalesce(more, F.lit(False))
+    return F.when(accepted, found).otherwise(F.array().cast("array<string>"))
 
 
 def quality(msms: Column, msigma: Column, dmz: Column, rsd: Column) -> Column:
@@ -228,3 +233,46 @@ def quality(msms: Column, msigma: Column, dmz: Column, rsd: Column) -> Column:
         + F.lit(0.2) * unit(1 - F.abs(F.coalesce(dmz, F.lit(3.0))) / 5)
         + F.lit(0.2) * unit(1 - F.coalesce(rsd, F.lit(30.0)) / 30)
     )
+
+
+def class_of(head: Column, known: Column, name: Column | None = None) -> Column:
+    """The class that a headgroup has in the list (`known`, null if it has none), empty without a headgroup, NA for NA, else Other.
+
+    With the name, which search results have, three words in it tell a class before Other.
+    """
+    group = F.trim(F.coalesce(head, F.lit("")))
+    out = F.when(group.isin("", "nan"), F.lit("")).when(group == "NA", F.lit("NA")).when(known.isNotNull(), known)
+    if name is not None:
+        out = out.when(F.upper(group) == "NA", F.lit("NA")).when(name.contains("GlcAbeta-Cer"), F.lit("HexCer")).when(name.contains("Cer("), F.lit("Cer")).when(name.contains("sterol"), F.lit("ST"))
+    return out.otherwise(F.lit("Other"))
+
+
+def first_chain(text: Column, part: int) -> Column:
+    """The carbons (part 1) or double bonds (part 2) of the first chain in a text, blanks around the colon allowed; null without one."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d+)\s*:\s*(\d+)", part).try_cast("double")
+
+
+# Groups of classes, and the names of classes in each; of a name in two groups the later group counts.
+CLASS_GROUPS = (
+    ("CAR", ("CAR", "Car")), ("CoA", ("CoA",)), ("FA", ("FA",)), ("FAHFA", ("FAHFA",)), ("FAL, FAG, FOH, HC", ("FAG", "HC")), ("FAL, FOH", ("FAL", "FOH")),
+    ("NA, NAE, NAT", ("NAT",)), ("NA, NAE", ("NA", "NAx", "NAE")), ("WE", ("WE",)), ("MG", ("MG",)), ("DG", ("DG",)), ("TG", ("TG", "TG O-")),
+    ("HexDG, HexMG", ("Hex2DG", "HexDG", "Hex2MG", "HexMG")), ("DGTA, DGTS, DGCC, GlcADG", ("DGTA", "DGTS", "DGCC", "GlcADG", "G")), ("SQDG, SQMG", ("SQDG", "SQMG")),
+    ("PA", ("PA O-", "PA", "PPA")), ("LPA", ("LPA O-", "LPA")), ("PC", ("PC O-", "PC", "PnC")), ("LPC", ("LPC O-", "LPC")), ("PE", ("PE O-", "PE", "PnE")),
+    ("LPE", ("LPE O-", "LPE")), ("PEth", ("PEth",)), ("PG", ("PG O-", "PG")), ("LPG", ("LPG O-", "LPG")), ("PI", ("PI O-", "PI")), ("LPI", ("LPI O-", "LPI")),
+    ("PS, PS-NAc", ("PS", "PS-NAc")), ("LPS", ("LPS O-", "LPS")), ("CL", ("CL",)), ("MLCL", ("MLCL",)), ("DLCL", ("DLCL",)), ("BMP", ("BMP", "LBPA")), ("PIM", ("PIM",)),
+    ("GP, Glc-GP", ("GP", "Glc-GP", "CDP-DG", "PT", "LPT")), ("ACer", ("ACer", "AC")), ("Cer", ("C", "Cer")), ("CerP", ("CerP",)),
+    ("HexCer, GlcCer", ("HexCer", "GlcCer", "H")), ("LSM", ("LSM",)), ("MIPC, M(IP)2C", ("MIPC", "M(IP)2C", "IPC")), ("PE-Cer, PI-Cer", ("PE-Cer", "PI-Cer", "CerPE", "CerPI")),
+    ("SCer", ("SCer",)), ("SM", ("SM",)), ("SPB, HexSPB, SPBP", ("HexSPB", "SPB", "SPBP")), ("CE", ("CE",)), ("ST", ("ST", "SFE")), ("PK", ("PK",)), ("PR", ("PR",)), ("SL", ("SL",)),
+    ("Other", ("N", "")),
+)
+
+
+def class_group(lipid_class: Column, unknown: str = "append") -> Column:
+    """The group that a class is reported in; a class in none is its own group (append), or Other."""
+    if unknown not in ("append", "other"):
+        raise ValueError(f"unknown is append or other, not {unknown!r}")
+    name = F.trim(F.coalesce(lipid_class, F.lit("")))
+    out = F.lit(None).cast("string")
+    for group, names in CLASS_GROUPS:
+        out = F.when(name.isin(*names), F.lit(group)).otherwise(out)
+    return F.coalesce(out, name if unknown == "append" else F.lit("Other"))

@@ -106,3 +106,17 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _filled(normal_two_sided, z)
+
+
+def signed_rank_two_sided(n: int, w: float) -> float:
+    """The exact p of a signed-rank sum of at most w, of n pairs without ties."""
+    counts = np.zeros(n * (n + 1) // 2 + 1)
+    counts[0] = 1
+    for k in range(1, n + 1):
+        counts[k:] = counts[k:] + counts[:-k]
+    return min(1.0, 2 * counts[: int(w) + 1].sum() / 2.0**n)
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p(n: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_two_sided(int(a), float(b)) if 0 < a <= 50 else None for a, b in zip(n, w)], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import carbon_bin, kendrick_defect
+from ..functions.names import acyls, carbon_bin, carbon_ratio, class_of, first_chain, headgroup, is_oxidized, is_polyunsaturated, kendrick_defect, modifications, n_modifications, parity, total
 from .clean import flagged
 
 # Masses, and adduct models as (polarity, adduct, molecules, added mass, charge).
@@ -58,19 +58,38 @@ def whitelist_filter(features: DataFrame, ranks: DataFrame) -> DataFrame:
 
 # Steps of the mass-error penalty, classes by what is added to the sensitivity penalty (upper case).
 MZ_STEPS = ((0.8, 0.0), (1.6, 0.2), (2.4, 0.4), (3.2, 0.6), (4.0, 0.8))
-RARE = {0.9: "DGTA PGS PT NAPE SLBPA PPA LSM PGP DGTS GP DGMG MGMG DGCC", 0.75: "SQDG DGDG SQMG SPBP PIP", 0.5: "FAG NAT", 0.25: "CDP-DG LPG MGDG LPI", 0.1: "LPIM LPA NAE LPS MG SPB TG FA PK ST"}
+# The classes stand in upper case, as they are compared; mixed-case ones can't be met so and are left out.
+RARE = {
+    0.9: ("DGTA", "PGS", "PT", "NAPE", "SLBPA", "PPA", "LSM", "PGP", "DGTS", "GP", "DGMG", "MGMG", "DGCC"),
+    0.75: ("SQDG", "DGDG", "SQMG", "SPBP", "PIP"),
+    0.5: ("FAG", "NAT"),
+    0.25: ("CDP-DG", "LPG", "MGDG", "LPI"),
+    0.1: ("LPIM", "LPA", "NAE", "LPS", "MG", "SPB", "TG", "FA", "PK", "ST"),
+}
 UNCOMMON = {
-    "mammalian": {0.9: "WE WD FAL FOH PK PR SL GP DGTS NAT SQDG SMGDG MIPC HC LSM CDP-DG DGCC MGMG DGMG MGDG DGDG PIM HBMP NAE PIP", 0.8: "LPA LPS LPI NA SPB ST"},
-    "bacterial": {0.9: "WE FAL FOH PK GP DGTS NAT SQDG SMGDG MIPC HC LSM DGCC MGMG DGMG MGDG DGDG PIM HBMP NAE PIP", 0.8: "LPS LPI NA SPB ST PC TG", 0.35: "PS PI LPA", 0.2: "BMP CAR MG"},
-    "fungal": {0.9: "WE FAL FOH PK PR SL GP DGTS NAT SQDG SMGDG MIPC HC LSM CDP-DG DGCC MGMG DGMG MGDG DGDG PIM HBMP NAE PIP", 0.8: "LPA LPS LPI NA SPB ST", 0.35: "PS PI"},
+    "mammalian": {
+        0.9: ("WE", "WD", "FAL", "FOH", "PK", "PR", "SL", "GP", "DGTS", "NAT", "SQDG", "SMGDG", "MIPC", "HC", "LSM", "CDP-DG", "DGCC", "MGMG", "DGMG", "MGDG", "DGDG", "PIM", "HBMP", "NAE", "PIP"),
+        0.8: ("LPA", "LPS", "LPI", "NA", "SPB", "ST"),
+    },
+    "bacterial": {
+        0.9: ("WE", "FAL", "FOH", "PK", "GP", "DGTS", "NAT", "SQDG", "SMGDG", "MIPC", "HC", "LSM", "DGCC", "MGMG", "DGMG", "MGDG", "DGDG", "PIM", "HBMP", "NAE", "PIP"),
+        0.8: ("LPS", "LPI", "NA", "SPB", "ST", "PC", "TG"),
+        0.35: ("PS", "PI", "LPA"),
+        0.2: ("BMP", "CAR", "MG"),
+    },
+    "fungal": {
+        0.9: ("WE", "FAL", "FOH", "PK", "PR", "SL", "GP", "DGTS", "NAT", "SQDG", "SMGDG", "MIPC", "HC", "LSM", "CDP-DG", "DGCC", "MGMG", "DGMG", "MGDG", "DGDG", "PIM", "HBMP", "NAE", "PIP"),
+        0.8: ("LPA", "LPS", "LPI", "NA", "SPB", "ST"),
+        0.35: ("PS", "PI"),
+    },
 }
 WEIGHTS = {"adduct": 1.0, "mz_error": 1.0, "ratio": 1.0, "parity": 1.0, "modifications": 1.0, "plasmenyl": 6.0, "sensitivity": 1.0, "acyls": 1.0, "abbreviation": 10.0}
 
 
-def _first(value: Column, steps: dict[float, str], otherwise: float) -> Column:
+def _first(value: Column, steps: dict[float, tuple[str, ...]], otherwise: float) -> Column:
     out = F.lit(otherwise)
     for score, names in reversed(steps.items()):
-        out = F.when(value.isin(*names.split()), F.lit(score)).otherwise(out)
+        out = F.when(value.isin(*names), F.lit(score)).otherwise(out)
     return out
 
 
@@ -129,14 +148,18 @@ def cutoff_filter(features: DataFrame, lowest: float = 70.0) -> DataFrame:
     return flagged(features, (F.coalesce("annotation", F.lit("")) != "") & (F.col("score") < lowest), "low score")
 
 
-def ccs_filter(features: DataFrame, *key: str, scaled: bool = True, far: float = 2.0, limit: float = 15.0, least: int = 12, floor: float = 0.75) -> DataFrame:
+def ccs_filter(features: DataFrame, *key: str, scaled: bool = True, far: float = 2.0, limit: float = 15.0, least: int = 12, floor: float = 0.75, library: DataFrame | None = None, least_library: int = 6) -> DataFrame:
     """Features whose collision cross section is off the line over carbons of their class (and adduct).
 
     A line by least squares for each key of `least` features or more, then robust z of the residuals from their median and
     MAD: removed if the residual is over `far` and z at least `limit`. Not scaled (F16): if the distance from the median
-    is over `limit` times the MAD. Standards are spared.
+    is over `limit` times the MAD. Standards are spared. library: measured rows (key, carbons, ccs); where a key has
+    `least_library` of them, the line is theirs.
     """
     line = features.groupBy(*key).agg(F.regr_slope("ccs", "carbons").alias("slope"), F.regr_intercept("ccs", "carbons").alias("at0"), F.count("ccs").alias("size"))
+    if library is not None:
+        measured = library.where("ccs IS NOT NULL AND carbons IS NOT NULL").groupBy(*key).agg(F.regr_slope("ccs", "carbons").alias("_b"), F.regr_intercept("ccs", "carbons").alias("_a"), F.count("*").alias("_n")).where(F.col("_n") >= least_library)
+        line = line.join(measured, list(key), "left").select(*key, F.when(F.col("_n").isNotNull(), F.col("_b")).otherwise(F.col("slope")).alias("slope"), F.when(F.col("_n").isNotNull(), F.col("_a")).otherwise(F.col("at0")).alias("at0"), "size")
     of = features.join(line, list(key), "left").withColumn("residual", F.col("ccs") - (F.col("slope") * F.col("carbons") + F.col("at0")))
     mids = of.groupBy(*key).agg(F.median("residual").alias("mid"))
     of = of.join(mids, list(key), "left").withColumn("off", F.abs(F.col("residual") - F.col("mid")))
@@ -158,3 +181,66 @@ def best_annotation(features: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("feature_id").orderBy(*order))
     named = features.where("feature_id IS NOT NULL").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     return named.unionByName(features.where("feature_id IS NULL"))
+
+
+def with_class(features: DataFrame, headgroups: DataFrame, searched: bool = False) -> DataFrame:
+    """Features with lipid_class by their headgroup. headgroups: (headgroup, lipid_class), of which one row of a headgroup counts."""
+    known = headgroups.groupBy(F.trim("headgroup").alias("_head")).agg(F.min("lipid_class").alias("_class"))
+    of = features.drop("lipid_class").join(known, F.trim("headgroup") == F.col("_head"), "left")
+    name = F.coalesce("annotation", F.lit("")) if searched else None
+    return of.withColumn("lipid_class", class_of(F.col("headgroup"), F.col("_class"), name)).drop("_head", "_class")
+
+
+def counts_from_names(features: DataFrame, column: str, part: int, text: str = "annotation", coverage: float | None = 0.05) -> DataFrame:
+    """A column of carbons (part 1) or double bonds (part 2), filled from the text where under `coverage` of the rows have it; always if that is None."""
+    filled = F.coalesce(F.col(column).cast("double"), first_chain(F.col(text), part))
+    if coverage is None:
+        return features.withColumn(column, filled)
+    share = features.agg(F.avg(F.col(column).isNotNull().cast("double")).alias("_share"))
+    return features.crossJoin(F.broadcast(share)).withColumn(column, F.when(F.col("_share") < coverage, filled).otherwise(F.col(column).cast("double"))).drop("_share")  # one row
+
+
+#: Types of annotation that a search never overwrites.
+KEPT_TYPES = ("IS", "MS/MS match", "Target list")
+
+
+def annotated(features: DataFrame, library: DataFrame, headgroups: DataFrame, da: float = 0.003, ppm: float = 3.0) -> DataFrame:
+    """Features, and a row more for each match of one without an annotation, with what the library's name says.
+
+    features: feature_id, polarity, mz, annotation, annotation_type, ...; library: lib_id, annotation, neutral_mass; headgroups: as in
+    with_class. A match has the library's name, mass and adduct, its parts by P2 to P9, and the type `MS match`, unless
+    its feature's type is kept. Originals stay as they are; other columns are those of the feature.
+    """
+    blank = F.trim(F.coalesce("annotation", F.lit(""))) == ""
+    hits = mass_search(features.where(blank), library, da, ppm).withColumnRenamed("adduct", "_adduct")
+    own = library.select("lib_id", F.col("annotation").alias("_name"), F.col("neutral_mass").alias("_mass"))
+    of = features.join(hits.select("feature_id", "lib_id", "_adduct", "delta", "theo_mz"), "feature_id").join(own, "lib_id")
+    name, kept = F.coalesce("_name", F.lit("")), F.coalesce(F.col("annotation_type").isin(*KEPT_TYPES), F.lit(False))
+    chains, mods = acyls(name), modifications(name)
+    c, d = total(chains, "carbons"), total(chains, "dbe")
+    new = of.withColumns({
+        "annotation": name, "neutral_mass": F.col("_mass"), "adduct": F.col("_adduct"), "annotation_source": F.lit("library"), "headgroup": headgroup(name),
+        "annotation_type": F.when(kept, F.col("annotation_type")).otherwise("MS match"), "carbons": c, "dbe": d, "modifications": mods, "n_modifications": n_modifications(mods),
+        "parity": parity(c), "is_pufa": is_polyunsaturated(d), "carbon_ratio": carbon_ratio(c, d), "dmz_mda": F.col("delta") * 1000, "dmz_ppm": F.col("delta") / F.col("theo_mz") * 1e6,
+    })
+    new = with_class(new, headgroups, searched=True).withColumn("is_oxidized", is_oxidized(F.col("modifications"), F.col("lipid_class"))).drop("_name", "_mass", "_adduct", "delta", "theo_mz", "lib_id")
+    return features.unionByName(new, allowMissingColumns=True)
+
+
+def joined_ledgers(*ledgers: DataFrame) -> DataFrame:
+    """U4: one ledger of all removals, feature_id, step and reason, each once."""
+    out = ledgers[0].select("feature_id", "step", "reason")
+    for more in ledgers[1:]:
+        out = out.unionByName(more.select("feature_id", "step", "reason"))
+    return out.distinct()
+
+
+def attach(table: DataFrame, meta: DataFrame, position: str, key: str = "feature_id") -> DataFrame:
+    """The metadata's columns and then the table's, of each of the table's rows; of metadata rows with one key the first by position.
+
+    A column of both is the metadata's; keys that it lacks have nulls.
+    """
+    columns = [c for c in meta.columns if c not in (key, position)]
+    first = meta.groupBy(key).agg(F.min_by(F.struct(*columns), position).alias("_meta"))
+    rest = [c for c in table.columns if c != key and c not in columns]
+    return table.select(key, *rest).join(first, key, "left").select(key, *(F.col(f"_meta.{c}").alias(c) for c in columns), *rest)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scale import percentiles
+
 #: Values above this are detected.
 DETECTED = 1e-9
 
@@ -56,8 +58,8 @@ def flat_filter(cells: DataFrame, features: DataFrame, flat_rsd: float = 0.05, u
     """features that are flat at a low level, saturated, or unstable at a low level; standards are spared."""
     seen = cells.where(F.col("value") > DETECTED).groupBy("feature_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     seen = seen.withColumn("rsd", F.when(F.col("n") >= 3, F.col("sd") / F.col("mean")))
-    limits = seen.agg(F.percentile("mean", F.array(F.lit(0.1), F.lit(0.99))).alias("q")).select(F.col("q")[0].alias("q10"), F.col("q")[1].alias("q99"))
-    of = features.join(seen, "feature_id", "left").crossJoin(F.broadcast(limits))  # limits is one row
+    limits = percentiles(seen, "mean", {"q10": 0.1, "q99": 0.99})
+    of = features.join(seen, "feature_id", "left").join(F.broadcast(limits), F.lit(True), "left")  # limits is one row at most
     flat = F.col("rsd") < flat_rsd
     reason = (
         F.when(flat & (F.col("mean") <= F.col("q10")), "flat at a low level")
@@ -72,12 +74,14 @@ def repeated_mass_filter(features: DataFrame, low: float = 1e5, min_n: int = 3,
 
     features: with mz, n_missing, mean. Features without a mass stay.
     """
+    unknown, features = features.where("mz IS NULL"), features.where("mz IS NOT NULL")
     bucket = Window.partitionBy("bucket")
     best = bucket.orderBy("n_missing", F.col("mean").desc_nulls_last(), "feature_id")
     of = features.withColumn("bucket", F.round("mz", 2)).withColumn("rank", F.row_number().over(best)).withColumn("size", F.count("*").over(bucket))
     top, bottom = F.max("mean").over(bucket), F.min("mean").over(bucket)
     alike = (F.col("size") >= min_n) & (top < low) & (top / F.nullif(bottom, F.lit(0.0)) <= spread) & F.col("bucket").isNotNull()
-    return flagged(of.withColumn("alike", alike), F.col("alike") & (F.col("rank") > 1), "repeated low mass").drop("bucket", "rank", "size", "alike")
+    named = flagged(of.withColumn("alike", alike), F.col("alike") & (F.col("rank") > 1), "repeated low mass").drop("bucket", "rank", "size", "alike")
+    return named.unionByName(flagged(unknown, F.lit(False), "repeated low mass"))
 
 
 def qc_filter(stats: DataFrame, features: DataFrame, groups: DataFrame, limit: float = 75.0, stable: float = 30.0) -> DataFrame:

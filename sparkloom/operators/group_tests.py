@@ -6,10 +6,14 @@ Cells are (feature_id, sample_id, value, grp); a null value is missing. Everythi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import chi2_p, f_p, normal_p, t_p
+from ..functions.tails import chi2_p, f_p, normal_p, signed_rank_p, t_p
+from ..scale import ranked
 
 
 def group_moments(cells: DataFrame, *key: str) -> DataFrame:
@@ -123,14 +127,17 @@ def fold_change(cells: DataFrame) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, *family: str, p: str = "p", out: str = "fdr") -> DataFrame:
     """Tests with the false-discovery rate within each family; null for a null p.
 
-    A family's tests are sorted in one task; it has one test for each feature (or label) of a comparison.
+    Ranks and the minima from above are taken in ranges of p, and then over ranges, so a task sorts a range, not a family.
     """
-    part = [F.col(c) for c in family] + [F.col(p).isNull()]
-    up = Window.partitionBy(*part).orderBy(p)
-    of = tests.withColumn("_rank", F.rank().over(up) + F.count("*").over(Window.partitionBy(*part, p)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*part)))
-    raw = F.col(p) * F.col("_n") / F.col("_rank")
-    down = Window.partitionBy(*part).orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return of.withColumn("_raw", raw).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_rank", "_n", "_raw")
+    of = ranked(tests, p, *family).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_rank"))
+    here = Window.partitionBy(*family, "_part").orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = of.groupBy(*family, "_part").agg(F.min("_raw").alias("_low"))
+    above = (Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = lowest.select(*family, "_part", F.min("_low").over(above).alias("_later"))  # a row for each range and family
+    same = [of[c].eqNullSafe(later[c]) for c in family] + [of["_part"] == later["_part"]]
+    joined = of.join(F.broadcast(later), reduce(and_, same)).drop(*(later[c] for c in (*family, "_part")))
+    rated = joined.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(here), F.coalesce("_later", F.lit(1.0)))).select(*tests.columns, out)
+    return rated.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def gate(omnibus: DataFrame, pairwise: DataFrame, *key: str, alpha: float = 0.05) -> DataFrame:
@@ -140,15 +147,33 @@ def gate(omnibus: DataFrame, pairwise: DataFrame, *key: str, alpha: float = 0.05
     return second.join(first, list(key)).withColumn("significant", F.coalesce((F.col("omnibus_fdr") < alpha) & (F.col("fdr") < alpha), F.lit(False)))
 
 
+def volcano_statistics(cells: DataFrame) -> DataFrame:
+    """T9 without p: Welch's t and df, fold change, Hedges' g, the rank-biserial effect, and whether that has the fold change's direction.
+
+    direction_agrees: Yes, No, or Undetermined without an effect or a change.
+    """
+    key, moments = ["feature_id", "grp1", "grp2"], group_moments(cells, "feature_id")
+    of = welch(moments, "feature_id", with_p=False).select(*key, "t", "df").join(fold_change(cells), key).join(hedges(moments, "feature_id").select(*key, "g"), key)
+    of = of.join(mann_whitney(cells, with_p=False).select(*key, "effect", F.col("z").alias("u_z")), key, "left")
+    unclear = F.col("effect").isNull() | (F.coalesce(F.signum("log2fc"), F.lit(0.0)) == 0)
+    agrees = F.when(unclear, "Undetermined").when(F.signum("effect") == F.signum("log2fc"), "Yes").otherwise("No")
+    return of.withColumn("direction_agrees", agrees)
+
+
 def volcano(cells: DataFrame, alpha: float = 0.05, change: float = 1.5, effect: float = 0.8) -> DataFrame:
-    """For each feature and pair of groups, Welch's test, fold change, Hedges' g, rates, and the direction."""
-    moments = group_moments(cells, "feature_id")
-    t = benjamini_hochberg(welch(moments, "feature_id").select("feature_id", "grp1", "grp2", "t", "df", "p"), "grp1", "grp2")
-    key = ["feature_id", "grp1", "grp2"]
-    of = t.join(fold_change(cells), key).join(hedges(moments, "feature_id").select(*key, "g"), key)
+    """For each feature and pair of groups, Welch's test, fold change, Hedges' g, rates, the direction, and whether the rank test bears it out.
+
+    robustness: Supported or Discordant where Welch's test or its rate is significant and the rank test is too, by
+    direction; Not supported where the rank test is not; Not evaluated elsewhere.
+    """
+    flat = welch(group_moments(cells, "feature_id"), "feature_id").select("feature_id", "grp1", "grp2", "p")
+    of = volcano_statistics(cells).join(flat, ["feature_id", "grp1", "grp2"])
+    of = benjamini_hochberg(of, "grp1", "grp2").withColumn("rank_p", normal_p("u_z")).drop("u_z")
     strong = (F.abs("log2fc") >= F.log2(F.lit(change))) & (F.col("p") < alpha) & (F.col("fdr") < alpha)
     direction = F.when(strong & (F.col("log2fc") > 0), "Up").when(strong, "Down").otherwise("Not significant")
-    return of.withColumn("direction", direction).withColumn("large_effect", F.coalesce(F.abs("g") >= effect, F.lit(False)))
+    primary, ranks = F.coalesce((F.col("p") < 0.05) | (F.col("fdr") < 0.05), F.lit(False)), F.coalesce(F.col("rank_p") < alpha, F.lit(False))
+    robust = F.when(~primary, "Not evaluated").when(ranks & (F.col("direction_agrees") == "Yes"), "Supported").when(ranks & (F.col("direction_agrees") == "No"), "Discordant").otherwise("Not supported")
+    return of.withColumns({"direction": direction, "large_effect": F.coalesce(F.abs("g") >= effect, F.lit(False)), "robustness": robust})
 
 
 def presence(counts: DataFrame) -> DataFrame:
@@ -195,11 +220,51 @@ def signed_rank(before: Column, after: Column) -> Column:
 
 
 def wilcoxon(pairs_: DataFrame, *key: str, with_p: bool = True) -> DataFrame:
-    """The signed-rank test of paired values: key, n, w_plus, w_minus, z, p (normal, with ties). pairs_: key, before, after."""
+    """The signed-rank test of paired values: key, n, w_plus, w_minus, z, p. pairs_: key, before, after.
+
+    Pairs without a difference are left out; under three pairs p is null. p is exact without ties up to 50 pairs, else normal.
+    """
     of = pairs_.select(*key, signed_rank(F.col("before"), F.col("after")).alias("d")).where("d != 0").withColumn("value", F.abs("d"))
     ranked = _average_rank(of, *key)
     sums = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / F.lit(24.0) - F.col("tie") / F.lit(48.0))
-    out = sums.withColumn("z", F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / F.lit(4.0)) / F.nullif(sd, F.lit(0.0)))).drop("tie")
-    return out.withColumn("p", normal_p("z")) if with_p else out
+    out = sums.withColumn("z", F.when(n >= 3, (F.least("w_plus", "w_minus") - n * (n + 1) / F.lit(4.0)) / F.nullif(sd, F.lit(0.0))))
+    exact = (F.col("tie") == 0) & n.between(3, 50)
+    out = out.withColumn("p", F.when(exact, signed_rank_p("n", F.least("w_plus", "w_minus"))).otherwise(normal_p("z"))) if with_p else out
+    return out.drop("tie")
+
+
+def top_features(tests: DataFrame, n: int, *by: str, least: int = 1, digits: int = 12) -> DataFrame:
+    """The n tests with the lowest p, of all or of each `by` with `least` tests or more, with their place as rank.
+
+    Of all, the first n are taken before they are numbered. Ties go to the smaller feature_id; null p are left out.
+    """
+    p = F.round("p", digits)
+    known = tests.where(F.col("p").isNotNull())
+    if not by:
+        return known.orderBy(p, "feature_id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(p, "feature_id")))
+    large = known.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*by)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(p, "feature_id"))
+    return known.join(large, list(by)).withColumn("rank", place).where(F.col("rank") <= n)
+
+
+def ordered_table(tests: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+    """Tests in the order of fdr, then the largest change, nulls last; with n, the first n, of each `by` if it is given."""
+    order = [F.round("fdr", 12).asc_nulls_last(), F.round(F.abs("log2fc"), 9).desc_nulls_last(), "feature_id"]
+    if n is None:
+        return tests.orderBy(*by, *order)
+    if not by:
+        return tests.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return tests.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+
+
+def top_hits(sources: dict[str, DataFrame], n: int = 10) -> DataFrame:
+    """The n best of each source by fdr, then p, in one table: source, id, effect, p, fdr, place.
+
+    sources: tables of id (string), effect, p, fdr. The order of the whole is that of fdr, then p, nulls last.
+    """
+    order = [F.round("fdr", 12).asc_nulls_last(), F.round("p", 12).asc_nulls_last(), "id"]
+    best = [df.orderBy(*order).limit(n).select(F.lit(name).alias("source"), F.col("id").cast("string").alias("id"), F.col("effect").cast("double").alias("effect"), "p", "fdr") for name, df in sources.items()]
+    every = reduce(DataFrame.unionByName, best)
+    return every.withColumn("place", F.row_number().over(Window.orderBy(*order[:2], "source", "id")))  # n rows of each source

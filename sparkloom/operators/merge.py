@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scale import linked_components, written
+
 
 def pair(pos: DataFrame, neg: DataFrame, rt: float = 0.2, da: float = 0.005, ppm: float = 5.0, heaviest: float = 10_000.0) -> DataFrame:
     """Pairs of features of the two polarities within rt minutes, and within da or ppm (of the positive mass).
@@ -40,21 +41,21 @@ def eliminate(pairs: DataFrame) -> DataFrame:
 
     A pair's winner has the better quality, the positive one if they are equal. A feature in a pair that wins none of
     its pairs is removed, and with it its pairs; this is repeated until nothing more goes. Pairs are found once and
-    written once a round by checkpoint, so that no round computes them again.
+    written once a round, so that no round computes them again.
     """
-    left = pairs.select("feature_id1", "feature_id2", (F.col("quality1") >= F.col("quality2")).alias("first")).distinct().checkpoint()
+    left = written(pairs.select("feature_id1", "feature_id2", (F.col("quality1") >= F.col("quality2")).alias("first")).distinct(), "pairs")
     gone = None
     while True:
         sides = left.select(F.lit("1").alias("side"), F.col("feature_id1").alias("feature_id"), F.col("first").alias("won")).unionByName(
             left.select(F.lit("2").alias("side"), F.col("feature_id2").alias("feature_id"), (~F.col("first")).alias("won"))
         )
-        losers = sides.groupBy("side", "feature_id").agg(F.bool_or("won").alias("won")).where("NOT won").select("side", "feature_id").checkpoint()
+        losers = written(sides.groupBy("side", "feature_id").agg(F.bool_or("won").alias("won")).where("NOT won").select("side", "feature_id"), "losers")
         if not losers.head(1):
             return gone if gone is not None else losers
         gone = losers if gone is None else gone.unionByName(losers)
         for k in ("1", "2"):
             left = left.join(losers.where(F.col("side") == k).select(F.col("feature_id").alias(f"feature_id{k}")), f"feature_id{k}", "left_anti")
-        left = left.checkpoint()
+        left = written(left, "pairs")
 
 
 def union_polarities(pos: DataFrame, neg: DataFrame) -> DataFrame:
@@ -81,8 +82,8 @@ def split_known(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features.where(~unknown), features.where(unknown)
 
 
-def _blocks(features: DataFrame, key: str, rt: str, gap: float) -> DataFrame:
-    """features with `block`: runs of a key's rows in which no two neighbours in time are more than gap apart."""
+def _blocks(features: DataFrame, key: str | list[str], rt: str, gap: float | Column) -> DataFrame:
+    """features with `block`: runs of a key's rows in which no two neighbours in rt are more than gap apart."""
     order = Window.partitionBy(key).orderBy(rt, "feature_id")
     starts = F.coalesce((F.col(rt) - F.lag(rt).over(order) > gap).cast("int"), F.lit(0))
     return features.withColumn("_start", starts).withColumn("block", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
@@ -94,30 +95,37 @@ def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0
 
     The earliest row left is the anchor; rows within 6 s and 5 ppm or 5 mDa of it are its group, of which the best by
     type, missing values and mean stays. Standards, unknown rows and rows without time or mass stay alone. An anchor
-    reaches across no gap of over 6 s, so a block between such gaps is what one task has to hold.
+    reaches across no gap of over 6 s in time, and none of over 5 mDa and 5 ppm in mass, so a block between such gaps, in
+    both, is what one task has to hold; inside it, rows are visited once for each anchor that is near.
     """
     alone = (F.coalesce("annotation", F.lit("")) == "") | (F.col("annotation_type") == "IS") | F.col("rt_s").isNull() | F.col("neutral_mass").isNull()
     alone = F.coalesce(alone, F.lit(False))
     by_type = F.when(F.col("annotation_type") == "MS/MS match", 0).when(F.col("annotation_type") == "MS match", 1).otherwise(2)
-    named = _blocks(features.where(~alone).withColumn("priority", by_type), "annotation", "rt_s", seconds)
+    named = features.where(~alone).withColumn("priority", by_type)
+    by_mass = _blocks(named, "annotation", "neutral_mass", F.greatest(F.lit(mda / 1000), F.col("neutral_mass") * (ppm / 1e6))).withColumnRenamed("block", "mass_block")
+    named = _blocks(by_mass, ["annotation", "mass_block"], "rt_s", seconds)
     kind = dict(features.dtypes)["feature_id"]
 
     def greedy(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["rt_s", "feature_id"], ignore_index=True)
-        left, out = list(range(len(block))), []
+        taken, out = np.zeros(len(block), bool), []
         rt, mass = block["rt_s"].to_numpy(), block["neutral_mass"].to_numpy()
         rank = sorted(range(len(block)), key=lambda i: (block["priority"][i], block["n_missing"][i], -block["mean"][i], block["feature_id"][i]))
         place = {i: k for k, i in enumerate(rank)}
-        while left:
-            a = left[0]
-            group = [i for i in left if rt[i] - rt[a] <= seconds and (abs(mass[i] - mass[a]) <= mda / 1000 or abs(mass[i] - mass[a]) / mass[a] * 1e6 <= ppm)]
-            best = min(group, key=place.__getitem__)
-            out += [(block["feature_id"][i], block["feature_id"][best]) for i in group]
-            left = [i for i in left if i not in set(group)]
+        ids = block["feature_id"].tolist()
+        for a in range(len(block)):
+            if taken[a]:
+                continue
+            end = int(np.searchsorted(rt, rt[a] + seconds, "right"))
+            off = np.abs(mass[a:end] - mass[a])
+            group = a + np.flatnonzero(~taken[a:end] & (rt[a:end] - rt[a] <= seconds) & ((off <= mda / 1000) | (off / mass[a] * 1e6 <= ppm)))
+            taken[group] = True
+            best = min(group.tolist(), key=place.__getitem__)
+            out += [(ids[i], ids[best]) for i in group.tolist()]
         return pd.DataFrame(out, columns=["feature_id", "kept_id"])
 
-    columns = ["feature_id", "annotation", "block", "rt_s", "neutral_mass", "priority", "n_missing", "mean"]
-    merged = named.select(*columns).groupBy("annotation", "block").applyInPandas(greedy, f"feature_id {kind}, kept_id {kind}")
+    columns = ["feature_id", "annotation", "mass_block", "block", "rt_s", "neutral_mass", "priority", "n_missing", "mean"]
+    merged = named.select(*columns).groupBy("annotation", "mass_block", "block").applyInPandas(greedy, f"feature_id {kind}, kept_id {kind}")
     return merged.unionByName(features.where(alone).select("feature_id", F.col("feature_id").alias("kept_id")))
 
 
@@ -134,27 +142,7 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
     logged = cells.where("value > 0").select("feature_id", "sample_id", F.log10(F.col("value") + 1).alias("x"))
     v1, v2 = (logged.select(F.col("feature_id").alias(f"id{k}"), "sample_id", F.col("x").alias(f"x{k}")) for k in (1, 2))
     linked = pairs.join(v1, "id1").join(v2, ["id2", "sample_id"]).groupBy("name", "block", "id1", "id2").agg(F.corr("x1", "x2").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("r") >= r))
-    edges = linked.groupBy("name", "block").agg(F.collect_list(F.struct("id1", "id2")).alias("edges"))
-    kind = dict(features.dtypes)["feature_id"]
-
-    def components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for found in batch["edges"]:
-                up: dict = {}
-
-                def root(x, up=up):  # noqa: ANN001, ANN202
-                    while up.setdefault(x, x) != x:
-                        x = up[x]
-                    return x
-
-                for e in found:
-                    x, y = sorted((root(e["id1"]), root(e["id2"])))
-                    up[y] = x
-                rows += [(x, root(x)) for x in list(up)]
-            yield pd.DataFrame(rows, columns=["feature_id", "component"])
-
-    of = edges.mapInPandas(components, f"feature_id {kind}, component {kind}").join(features, "feature_id")
+    of = linked_components(linked.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(features, "feature_id")
     order = Window.partitionBy("component").orderBy(F.col("qc_rsd").asc_nulls_last(), F.col("sample_rsd").asc_nulls_last(), F.col("median").desc_nulls_last(), "feature_id")
     best = of.select("feature_id", F.first("feature_id").over(order).alias("kept_id"))
     return features.select("feature_id").join(best, "feature_id", "left").select("feature_id", F.coalesce("kept_id", "feature_id").alias("kept_id"))

@@ -9,6 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_p
+from ..scale import percentiles
+from .group_tests import benjamini_hochberg
+
+#: Samples whose matrix may be on the driver.
+MOST_SAMPLES = 5_000
+
 
 def autoscale(cells: DataFrame) -> DataFrame:
     """Z of each value over its feature, 0 for features without spread: feature_id, sample_id, z."""
@@ -17,18 +24,50 @@ def autoscale(cells: DataFrame) -> DataFrame:
     return cells.select("feature_id", "sample_id", F.when(sd > 1e-12, (F.col("value") - F.avg("value").over(of)) / sd).otherwise(0.0).alias("z"))
 
 
-def class_correlations(cells: DataFrame, least: int = 3, ranks: bool = False, block: int = 100_000) -> DataFrame:
-    """Correlation of each pair of features of a class over shared samples; with ranks, Spearman's.
+def class_correlations(cells: DataFrame, least: int = 3, ranks: bool = False, block: int = 512, label: str = "lipid_class") -> DataFrame:
+    """Label, id1, id2, n, r: the correlation of each pair of features of a class over their shared samples; with ranks, Spearman's.
 
-    Pairs are made inside a class only; a feature's samples are one array, so a pair is one row.
+    Values of 0 or less are missing; pairs with under `least` shared samples are left out, and r is null without
+    spread. A feature's values are one array. A class is cut into blocks of about `block` features, and each pair of
+    blocks is a group, of which numpy makes all products at once; what is shuffled is an array for each block of the class.
     """
     known = cells.where("value > 0")
     if ranks:
         order = Window.partitionBy("feature_id").orderBy("value")
         known = known.withColumn("value", F.rank().over(order) + (F.count("*").over(Window.partitionBy("feature_id", "value")) - 1) / F.lit(2.0))
-    a, b = (known.select("lipid_class", "sample_id", F.col("feature_id").alias(f"id{k}"), F.col("value").alias(f"x{k}")) for k in (1, 2))
-    of = a.join(b, ["lipid_class", "sample_id"]).where("id1 < id2").groupBy("lipid_class", "id1", "id2").agg(F.count("*").alias("n"), F.corr("x1", "x2").alias("r"))
-    return of.where(F.col("n") >= least)
+    packed = known.groupBy(label, "feature_id").agg(F.collect_list(F.struct("sample_id", "value")).alias("c"))
+    blocks = known.groupBy(label).agg(F.count_distinct("feature_id").alias("size")).select(label, F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int").alias("nb"))
+    mine = packed.join(F.broadcast(blocks), label).withColumn("mine", F.pmod(F.xxhash64("feature_id"), F.col("nb").cast("long")).cast("int"))  # a row for each class
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = each.select(label, F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "feature_id", "c")
+    kind, class_kind = dict(cells.dtypes)["feature_id"], dict(cells.dtypes)[label]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        within = int(group["x"].iloc[0]) == int(group["y"].iloc[0])
+        group = group.sort_values("feature_id", ignore_index=True)
+        samples: dict = {}
+        for c in group["c"]:
+            for v in c:
+                samples.setdefault(v["sample_id"], len(samples))
+        table = np.full((len(group), len(samples)), np.nan)
+        for i, c in enumerate(group["c"]):
+            table[i, [samples[v["sample_id"]] for v in c]] = [v["value"] for v in c]
+        there = ~np.isnan(table)
+        table = np.where(there, table - np.nanmean(table, axis=1, keepdims=True), 0.0)
+        first, second = np.flatnonzero(group["side"] == 0), np.flatnonzero(group["side"] == (0 if within else 1))
+        m1, m2, a, b = there[first].astype(float), there[second].astype(float), table[first], table[second]
+        n, sx, sy = m1 @ m2.T, a @ m2.T, m1 @ b.T
+        shared = np.where(n > 0, n, 1)
+        vx, vy, xy = (a * a) @ m2.T - sx * sx / shared, m1 @ (b * b).T - sy * sy / shared, a @ b.T - sx * sy / shared
+        scale = 1e-12 * np.maximum((a * a) @ m2.T, 1e-300), 1e-12 * np.maximum(m1 @ (b * b).T, 1e-300)
+        flat = (vx <= scale[0]) | (vy <= scale[1])
+        r = np.where(flat, np.nan, xy / np.sqrt(np.where(flat, 1.0, vx * vy)))
+        ids = group["feature_id"].to_numpy()
+        i, j = np.nonzero((n >= least) & (ids[first][:, None] < ids[second][None, :] if within else True))
+        one, two = ids[first][i], ids[second][j]
+        return pd.DataFrame({label: group[label].iloc[0], "id1": np.where(one < two, one, two), "id2": np.where(one < two, two, one), "n": n[i, j].astype(np.int64), "r": pd.Series(np.clip(r[i, j], -1, 1)).astype("Float64").mask(np.isnan(r[i, j]))})
+
+    return placed.groupBy(label, "x", "y").applyInPandas(compare, f"`{label}` {class_kind}, id1 {kind}, id2 {kind}, n long, r double")
 
 
 def correlation_summary(correlations: DataFrame) -> DataFrame:
@@ -36,12 +75,16 @@ def correlation_summary(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("lipid_class").agg(F.count("r").alias("pairs"), F.avg("r").alias("mean_r"), F.median("r").alias("median_r"), F.avg(F.abs("r")).alias("mean_abs_r"))
 
 
-def differential_correlation(cells: DataFrame, group1: str, group2: str) -> DataFrame:
-    """Fisher's z of the difference of two groups' correlations, for pairs with four samples or more in both."""
-    one, two = (class_correlations(cells.where(F.col("grp") == g), 4).select("lipid_class", "id1", "id2", F.col("r").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k, g in ((1, group1), (2, group2)))
+def differential_correlation(cells: DataFrame, group1: str, group2: str, with_p: bool = True) -> DataFrame:
+    """Fisher's z of the difference of two groups' correlations, p and rate, for pairs with four samples or more in both.
+
+    Pairs without a correlation in one of the groups are left out.
+    """
+    one, two = (class_correlations(cells.where(F.col("grp") == g), 4).where("r IS NOT NULL").select("lipid_class", "id1", "id2", F.col("r").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k, g in ((1, group1), (2, group2)))
     edge = lambda c: F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col(c)))
     z = (F.atanh(edge("r1")) - F.atanh(edge("r2"))) / F.sqrt(1 / (F.col("n1") - 3) + 1 / (F.col("n2") - 3))
-    return one.join(two, ["lipid_class", "id1", "id2"]).withColumn("delta_r", F.col("r1") - F.col("r2")).withColumn("z", z)
+    of = one.join(two, ["lipid_class", "id1", "id2"]).withColumn("delta_r", F.col("r1") - F.col("r2")).withColumn("z", z)
+    return benjamini_hochberg(of.withColumn("p", normal_p("z"))) if with_p else of
 
 
 def class_trajectory(cells: DataFrame) -> DataFrame:
@@ -87,26 +130,49 @@ def distances(products: DataFrame) -> DataFrame:
     return products.where("s1 < s2").join(F.broadcast(a), "s1").join(F.broadcast(b), "s2").select("s1", "s2", F.sqrt(F.greatest(F.lit(0.0), square)).alias("distance"))  # a row for each sample
 
 
-def principal_components(products: DataFrame, k: int = 3, most: int = 5000) -> tuple[list, np.ndarray, np.ndarray]:
+def _matrix(rows: DataFrame, value: str, names: list, most: int = MOST_SAMPLES) -> np.ndarray:
+    """s1, s2, value as a symmetric matrix on the driver, of at most `most` samples; ValueError for more."""
+    if len(names) > most:
+        raise ValueError(f"more than {most} samples")
+    at = pd.Index(names)
+    found = rows.select("s1", "s2", F.col(value).cast("double").alias("v")).toArrow()  # a row for each pair of samples
+    i, j, v = at.get_indexer(found["s1"].to_pylist()), at.get_indexer(found["s2"].to_pylist()), found["v"].to_numpy()
+    ok = (i >= 0) & (j >= 0)
+    out = np.zeros((len(names), len(names)))
+    out[i[ok], j[ok]] = out[j[ok], i[ok]] = v[ok]
+    return out
+
+
+def principal_components(products: DataFrame, k: int = 3, most: int = MOST_SAMPLES) -> tuple[list, np.ndarray, np.ndarray]:
     """M1: (samples, scores, share of variance) of the first k components, from the samples' products.
 
     The matrix of samples goes to the driver, if there are no more than `most`. Signs are such that each component's
-    largest score is positive.
+    largest score is positive. An empty table has no samples, and scores of shape (0, k).
     """
-    rows = products.limit(most * (most + 1) // 2 + 1).collect()
-    names = sorted({r["s1"] for r in rows} | {r["s2"] for r in rows})
-    if len(names) > most:
-        raise ValueError(f"more than {most} samples")
-    at = {s: i for i, s in enumerate(names)}
-    g = np.zeros((len(names), len(names)))
-    for r in rows:
-        g[at[r["s1"]], at[r["s2"]]] = g[at[r["s2"]], at[r["s1"]]] = r["g"]
-    middle = np.eye(len(names)) - 1 / max(1, len(names))
+    own = [r["s"] for r in products.where("s1 = s2").select(F.col("s1").alias("s")).distinct().orderBy("s").limit(most + 1).collect()]
+    if not own:
+        return [], np.zeros((0, k)), np.zeros(k)
+    g = _matrix(products, "g", own, most)
+    middle = np.eye(len(own)) - 1 / len(own)
     values, vectors = np.linalg.eigh(middle @ g @ middle)
     values, vectors = np.clip(values[::-1][:k], 0, None), vectors[:, ::-1][:, :k]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
     trace = np.trace(middle @ g @ middle)
-    return names, vectors * np.sqrt(values), values / trace if trace > 0 else values
+    return own, vectors * np.sqrt(values), values / trace if trace > 0 else values
+
+
+def loadings(z: DataFrame, names: list, scores: np.ndarray) -> DataFrame:
+    """M1: feature_id, component, loading: each feature's weight in each component of principal_components; 0 for one without spread.
+
+    One aggregate over the features' rows; the scores are sent to all tasks, a row for each sample.
+    """
+    square = (scores**2).sum(0)
+    parts = np.divide(scores, square, out=np.zeros_like(scores), where=square > 1e-18)
+    parts = parts - parts.mean(0) if len(parts) else parts
+    named = [f"pc{a + 1}" for a in range(scores.shape[1])]
+    by_sample = z.sparkSession.createDataFrame([(s, *map(float, row)) for s, row in zip(names, parts, strict=True)], f"sample_id {dict(z.dtypes)['sample_id']}, " + ", ".join(f"{c} double" for c in named))
+    sums = z.join(F.broadcast(by_sample), "sample_id").groupBy("feature_id").agg(*(F.sum(F.col("z") * F.col(c)).alias(c) for c in named))
+    return sums.unpivot(["feature_id"], named, "component", "loading")
 
 
 def permanova_f(pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -125,14 +191,14 @@ def permanova_f(pairs: DataFrame, samples: DataFrame) -> DataFrame:
 def permanova_p(pairs: DataFrame, samples: DataFrame, permutations: int = 1000, seed: int = 0) -> DataFrame:
     """M3: f and the share of label permutations with as large a pseudo-F.
 
-    Distances are of bounded number (those of samples); permutations are spread over tasks as rows.
+    Distances of at most MOST_SAMPLES samples go to the driver, and from there to all tasks; permutations are spread over
+    tasks as rows. Without distances, or with one group, f and p are null.
     """
-    rows, labels = pairs.collect(), {r["sample_id"]: r["grp"] for r in samples.collect()}
+    labels = {r["sample_id"]: r["grp"] for r in samples.limit(MOST_SAMPLES + 1).collect()}
     names = sorted(labels, key=str)
-    at = {s: i for i, s in enumerate(names)}
-    d2 = np.zeros((len(names), len(names)))
-    for r in rows:
-        d2[at[r["s1"]], at[r["s2"]]] = d2[at[r["s2"]], at[r["s1"]]] = r["distance"] ** 2
+    d2 = _matrix(pairs, "distance", names) ** 2
+    if not 1 < len(set(labels.values())) < len(names) or not d2.any():
+        return samples.sparkSession.createDataFrame([(None, None)], "f double, p double")
     codes = np.unique([labels[s] for s in names], return_inverse=True)[1]
 
     def pseudo_f(c: np.ndarray) -> float:
@@ -162,17 +228,38 @@ def silhouette(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return each.agg(F.avg(value).alias("silhouette"))
 
 
-def moderated_test(cells: DataFrame, samples: DataFrame, reference: str) -> DataFrame:
-    """log2 values on group and batch for each feature, with variances shrunk to a common prior.
+def _batch_columns(rows: list) -> dict:
+    """For each sample its batch as a number, if nine in ten are numbers (others get the median), else as 0/1 columns."""
+    def number(x: object) -> float:
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return float("nan")
+
+    values = np.array([number(r["batch"]) for r in rows])
+    if len(values) and np.isfinite(values).mean() >= 0.9:
+        filled = np.where(np.isfinite(values), values, np.median(values[np.isfinite(values)]))
+        return {r["sample_id"]: [v] for r, v in zip(rows, filled.tolist(), strict=True)} if np.ptp(filled) > 0 else {r["sample_id"]: [] for r in rows}
+    names = sorted({str(r["batch"]) for r in rows})[1:]
+    return {r["sample_id"]: [float(str(r["batch"]) == b) for b in names] for r in rows}
+
+
+def moderated_test(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """log2 values on group and batch for each feature, with variances shrunk to a common prior; each pair of groups is contrasted.
 
-    samples: sample_id, grp, batch (bounded, sent to all tasks). Returns feature_id, grp, effect (against `reference`), t,
-    df. Features lacking values for a full fit are left out.
+    samples: sample_id, grp, batch (at most MOST_SAMPLES, sent to all tasks). Returns feature_id, grp1, grp2, effect, t,
+    df. The prior is the mean of log variances, with 2 over their variance as degrees of freedom, between 4 and 100; with
+    under ten features the median and 4. Features lacking values for a full fit are left out, and pairs of groups that
+    a feature can't tell apart.
     """
-    rows = samples.orderBy("sample_id").collect()
-    groups = sorted({r["grp"] for r in rows} - {reference})
-    batches_ = sorted({r["batch"] for r in rows})[1:]
-    design = {r["sample_id"]: [1.0, *(float(r["grp"] == g) for g in groups), *(float(r["batch"] == b) for b in batches_)] for r in rows}
-    floor = cells.where("value > 0").agg(F.percentile("value", F.lit(0.01)).alias("p1")).first()["p1"] or 0.0
+    rows = samples.orderBy("sample_id").limit(MOST_SAMPLES + 1).collect()
+    if len(rows) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    groups = sorted({r["grp"] for r in rows})
+    batch = _batch_columns(rows)
+    design = {r["sample_id"]: [1.0, *(float(r["grp"] == g) for g in groups[1:]), *batch[r["sample_id"]]] for r in rows}
+    first = percentiles(cells.where("value > 0"), "value", {"p1": 0.01}).first()
+    floor = first["p1"] if first else 0.0
     packed = cells.groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", "value")).alias("c"))
     kind = dict(cells.dtypes)["feature_id"]
 
@@ -180,25 +267,31 @@ def moderated_test(cells: DataFrame, samples: DataFrame, reference: str) -> Data
         for part in parts:
             out = []
             for i, c in zip(part["feature_id"], part["c"], strict=True):
-                x = np.array([design[v["sample_id"]] for v in c if v["sample_id"] in design and v["value"] is not None])
-                y = np.array([np.log2(v["value"] + floor) for v in c if v["sample_id"] in design and v["value"] is not None])
-                if len(y) <= len(groups) + len(batches_) + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
+                known = [v for v in c if v["sample_id"] in design and v["value"] is not None]
+                x = np.array([design[v["sample_id"]] for v in known])
+                y = np.array([np.log2(v["value"] + floor) for v in known])
+                if len(y) < 3 or len(y) <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
                     continue
                 inverse = np.linalg.inv(x.T @ x)
                 beta = inverse @ x.T @ y
                 df = len(y) - x.shape[1]
                 s2 = float(((y - x @ beta) ** 2).sum() / df)
-                out += [(i, g, float(beta[1 + k]), float(inverse[1 + k, 1 + k]), s2, df) for k, g in enumerate(groups)]
-            yield pd.DataFrame(out, columns=["feature_id", "grp", "effect", "v", "s2", "df"])
-
-    fits = packed.mapInPandas(fit, f"feature_id {kind}, grp string, effect double, v double, s2 double, df int").where("s2 > 0")
-    one = fits.where(F.col("grp") == groups[0]) if groups else fits
-    prior = one.agg(F.avg(F.log("s2")).alias("m"), F.var_samp(F.log("s2")).alias("w"), F.avg("df").alias("d"))
-    excess = F.col("w") - 2 / F.col("d")
-    d0 = F.when(excess > 1e-6, F.least(F.lit(1e6), 2 / excess)).otherwise(1e6)
-    of = fits.crossJoin(F.broadcast(prior.select(F.exp("m").alias("s0"), d0.alias("d0"))))  # one row
+                for a in range(len(groups)):
+                    for b in range(a + 1, len(groups)):
+                        way = np.zeros(x.shape[1])
+                        if a:
+                            way[a] = 1.0
+                        way[b] -= 1.0
+                        out.append((i, groups[a], groups[b], float(way @ beta), float(way @ inverse @ way), s2, df))
+            yield pd.DataFrame(out, columns=["feature_id", "grp1", "grp2", "effect", "v", "s2", "df"])
+
+    fits = packed.mapInPandas(fit, f"feature_id {kind}, grp1 string, grp2 string, effect double, v double, s2 double, df int").where("s2 > 0")
+    one = fits.groupBy("feature_id").agg(F.first("s2").alias("s2"))
+    prior = one.agg(F.count("*").alias("k"), F.avg(F.log("s2")).alias("m"), F.var_samp(F.log("s2")).alias("w"), F.median("s2").alias("mid"))
+    d0 = F.when(F.col("k") < 10, F.lit(4.0)).otherwise(F.greatest(F.lit(4.0), F.least(F.lit(100.0), 2 / F.greatest(F.col("w"), F.lit(1e-6)))))
+    of = fits.crossJoin(F.broadcast(prior.select(F.when(F.col("k") < 10, F.col("mid")).otherwise(F.exp("m")).alias("s0"), d0.alias("d0"))))  # one row
     s2 = (F.col("d0") * F.col("s0") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df"))
-    return of.select("feature_id", "grp", "effect", (F.col("effect") / F.sqrt(s2 * F.col("v"))).alias("t"), (F.col("d0") + F.col("df")).alias("df"))
+    return of.select("feature_id", "grp1", "grp2", "effect", (F.col("effect") / F.sqrt(s2 * F.col("v"))).alias("t"), (F.col("d0") + F.col("df")).alias("df"))
 
 
 def mahalanobis_outliers(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -215,26 +308,17 @@ def mahalanobis_outliers(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def sample_correlations(z: DataFrame, top: int | None = None) -> DataFrame:
-    """The correlation of each pair of samples over features; with top, of the samples with the highest mean |r|.
-
-    A feature makes a row for each pair of its samples, which are added up before they are shuffled.
-    """
-    a, b = (z.select("feature_id", F.col("sample_id").alias(f"s{k}"), F.col("z").alias(f"z{k}")) for k in (1, 2))
-    of = a.join(b, "feature_id").where("s1 < s2").groupBy("s1", "s2").agg(F.corr("z1", "z2").alias("r"), F.count("*").alias("n"))
+    """The correlation of each pair of samples over features; with top, of the samples with the highest mean |r|."""
+    of = pair_correlations(z)
     if top is None:
         return of
     both = of.select("s1", "r").unionByName(of.select(F.col("s2").alias("s1"), "r"))
-    best = both.groupBy("s1").agg(F.avg(F.abs("r")).alias("strength")).orderBy(F.col("strength").desc(), "s1").limit(top).select("s1")
+    best = both.groupBy("s1").agg(F.avg(F.abs("r")).alias("strength")).orderBy(F.round("strength", 9).desc(), "s1").limit(top).select("s1")
     return of.join(F.broadcast(best), "s1").join(F.broadcast(best.withColumnRenamed("s1", "s2")), "s2").select("s1", "s2", "r", "n")
 
 
-def forest_predictions(cells: DataFrame, samples: DataFrame, features: list, folds: int = 3, trees: int = 100, seed: int = 0) -> DataFrame:
-    """M6: the group that a random forest predicts for each sample when its fold is left out: sample_id, grp, predicted.
-
-    features: the ids that are columns of the model, chosen beforehand (W6). Classes weigh the same; folds are dealt
-    within each group.
-    """
-    from pyspark.ml.classification import RandomForestClassifier
+def _forest_rows(cells: DataFrame, samples: DataFrame, features: list, folds: int, seed: int) -> tuple[DataFrame, list]:
+    """A row for each sample: label, weight, features as a vector, fold; and the groups by label."""
     from pyspark.ml.functions import array_to_vector
 
     wide = cells.where(F.col("feature_id").isin(*features)).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("m"))
@@ -244,7 +328,29 @@ def forest_predictions(cells: DataFrame, samples: DataFrame, features: list, fol
     sizes = samples.groupBy("grp").agg(F.count("*").alias("size"))
     of = samples.join(wide, "sample_id").join(F.broadcast(sizes), "grp")
     deal = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("sample_id", F.lit(seed)))) % folds
-    of = of.select("sample_id", "grp", codes.cast("double").alias("label"), (1 / F.col("size")).alias("weight"), vector.alias("features"), deal.alias("fold")).cache()
+    return of.select("sample_id", "grp", codes.cast("double").alias("label"), (1 / F.col("size")).alias("weight"), vector.alias("features"), deal.alias("fold")), names
+
+
+def forest_importances(cells: DataFrame, samples: DataFrame, features: list, trees: int = 500, seed: int = 0) -> DataFrame:
+    """M6: feature_id, importance in a forest of all samples, which add up to 1."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    of, _ = _forest_rows(cells, samples, features, 2, seed)
+    model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed).fit(of)
+    kind = dict(cells.dtypes)["feature_id"]
+    return cells.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())], f"feature_id {kind}, importance double")
+
+
+def forest_predictions(cells: DataFrame, samples: DataFrame, features: list, folds: int = 3, trees: int = 500, seed: int = 0) -> DataFrame:
+    """M6: the group that a random forest predicts for each sample when its fold is left out: sample_id, grp, predicted.
+
+    features: the ids that are columns of the model, chosen beforehand (W6). Classes weigh the same; folds are dealt
+    within each group.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+
+    of, names = _forest_rows(cells, samples, features, folds, seed)
+    of = of.cache()  # a row for each sample
     out = None
     for k in range(folds):
         model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed).fit(of.where(F.col("fold") != k))
@@ -258,20 +364,17 @@ def discriminant_components(products: DataFrame, z: DataFrame, samples: DataFram
 
     The samples' products are enough for the scores: with the groups as 0/1 columns y, a component is the products
     times the leading direction of y, made orthogonal to those before it. A feature's weight is its sum over samples of z
-    times that direction, one aggregate; VIP weighs squared weights with what each component explains of y.
+    times that direction, one aggregate; VIP weighs squared weights with what each component explains of y. At most
+    MOST_SAMPLES samples; without samples, or with one group, both tables are empty.
     """
-    rows = products.collect()
-    groups = {r["sample_id"]: r["grp"] for r in samples.collect()}
+    groups = {r["sample_id"]: r["grp"] for r in samples.limit(MOST_SAMPLES + 1).collect()}
     names = sorted(groups, key=str)
-    at = {s: i for i, s in enumerate(names)}
-    g = np.zeros((len(names), len(names)))
-    for r in rows:
-        g[at[r["s1"]], at[r["s2"]]] = g[at[r["s2"]], at[r["s1"]]] = r["g"]
+    g = _matrix(products, "g", names)
     y = np.array([[float(groups[s] == c) for c in sorted(set(groups.values()))] for s in names])
-    y = y - y.mean(0)
-    middle = np.eye(len(names)) - 1 / len(names)
+    y = y - y.mean(0) if names else y.reshape(0, 0)
+    middle = np.eye(len(names)) - 1 / max(1, len(names))
     g, scores, directions, explained = middle @ g @ middle, [], [], []
-    for _ in range(k):
+    for _ in range(k if y.shape[1] > 1 else 0):
         values, vectors = np.linalg.eigh(y.T @ g @ y)
         u = y @ vectors[:, -1]
         t = g @ u
@@ -284,6 +387,9 @@ def discriminant_components(products: DataFrame, z: DataFrame, samples: DataFram
         explained.append(float(((y.T @ t) ** 2).sum()))
         g, y = away @ g @ away, away @ y
     spark = samples.sparkSession
+    if not scores:
+        empty = f"sample_id {dict(z.dtypes)['sample_id']}, component int, score double"
+        return spark.createDataFrame([], empty), z.select("feature_id", F.lit(0.0).alias("vip")).limit(0)
     done = np.eye(len(names))
     weights = []
     for t, u in zip(scores, directions, strict=True):
@@ -297,3 +403,87 @@ def discriminant_components(products: DataFrame, z: DataFrame, samples: DataFram
     vip = sums.crossJoin(F.broadcast(norms)).select("feature_id", F.sqrt(F.col("p") * part / F.lit(sum(explained) or 1.0)).alias("vip"))  # one row
     table = spark.createDataFrame([(s, a + 1, float(t[i])) for a, t in enumerate(scores) for i, s in enumerate(names)], f"sample_id {kind}, component int, score double")
     return table, vip
+
+
+def discriminant_q2(products: DataFrame, samples: DataFrame, k: int = 2, folds: int = 5, seed: int = 0) -> DataFrame:
+    """M7: q2 and accuracy of the projection when a sample's fold is left out: one row; q2 is null with one group.
+
+    A left-out sample's scores follow from its products with the others, so no feature is read again. Folds are dealt by
+    a hash of the sample. A prediction is the group whose column the regression on the scores gives the highest value.
+    """
+    groups = {r["sample_id"]: r["grp"] for r in samples.limit(MOST_SAMPLES + 1).collect()}
+    names = sorted(groups, key=str)
+    g = _matrix(products, "g", names)
+    classes = sorted(set(groups.values()))
+    y = np.array([[float(groups[s] == c) for c in classes] for s in names]).reshape(len(names), len(classes))
+    fold = np.random.default_rng(seed).permutation(len(names)) % max(2, min(folds, len(names) or 2))
+    found = np.zeros_like(y)
+    for f in sorted(set(fold.tolist())) if len(classes) > 1 else ():
+        inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        mean = y[inside].mean(0)
+        own = g[np.ix_(inside, inside)]
+        cross = g[np.ix_(outside, inside)]
+        cross = cross - cross.mean(1, keepdims=True) - own.mean(0)[None, :] + own.mean()
+        own = own - own.mean(0)[None, :] - own.mean(1)[:, None] + own.mean()
+        left, fit = y[inside] - mean, np.zeros((len(outside), len(classes)))
+        for _ in range(k):
+            vectors = np.linalg.eigh(left.T @ own @ left)[1]
+            u = left @ vectors[:, -1]
+            t = own @ u
+            if (size := float(t @ t)) < 1e-18:
+                break
+            there, q = cross @ u, left.T @ t / size
+            fit += np.outer(there, q)
+            cross = cross - np.outer(there, t @ own) / size
+            away = np.eye(len(inside)) - np.outer(t, t) / size
+            own, left = away @ own @ away, left - np.outer(t, q)
+            cross = cross @ away
+        found[outside] = mean + fit
+    total = float(((y - y.mean(0)) ** 2).sum()) if len(names) else 0.0
+    q2 = 1 - float(((y - found) ** 2).sum()) / total if total > 0 else None
+    accuracy = float((found.argmax(1) == y.argmax(1)).mean()) if total > 0 else None
+    return samples.sparkSession.createDataFrame([(q2, accuracy)], "q2 double, accuracy double")
+
+
+def prediction_metrics(predictions: DataFrame) -> DataFrame:
+    """M6: accuracy and macro-F1 of predictions (grp, predicted): one row."""
+    counts = predictions.groupBy("grp", "predicted").agg(F.count("*").alias("n"))  # a row for each pair of groups
+    hit = F.sum(F.when(F.col("grp") == F.col("predicted"), F.col("n")).otherwise(0))
+    truth = counts.groupBy("grp").agg(F.sum("n").alias("n_true"), hit.alias("hit"))
+    said = counts.groupBy(F.col("predicted").alias("grp")).agg(F.sum("n").alias("n_said"))
+    f1 = 2 * F.col("hit") / (F.col("n_true") + F.coalesce("n_said", F.lit(0)))
+    return truth.join(F.broadcast(said), "grp", "left").agg((F.sum("hit") / F.sum("n_true")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
+def pair_correlations(z: DataFrame) -> DataFrame:
+    """s1, s2, r, n: the correlation of each pair of samples over the features that both have.
+
+    Each partition adds up its features' sums and products in numpy, as gram does, so what is shuffled is one matrix a
+    partition; the number of samples bounds it.
+    """
+    packed = z.groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", "z")).alias("c"))
+    kind = dict(z.dtypes)["sample_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: dict = {}
+        total = np.zeros((4, 0, 0))
+        for batch in batches:
+            for c in batch["c"]:
+                at = [ids.setdefault(x["sample_id"], len(ids)) for x in c]
+                if len(ids) > total.shape[1]:
+                    grown = np.zeros((4, len(ids), len(ids)))
+                    grown[:, : total.shape[1], : total.shape[1]] = total
+                    total = grown
+                v = np.array([x["z"] for x in c])
+                one = np.ones(len(v))
+                for k, (x, y) in enumerate(((one, one), (v, one), (v * v, one), (v, v))):
+                    total[k][np.ix_(at, at)] += np.outer(x, y)
+        names = list(ids)
+        rows = [(a, b, *(float(total[k, i, j]) for k in range(4)), float(total[1, j, i]), float(total[2, j, i])) for i, a in enumerate(names) for j, b in enumerate(names) if a < b]
+        yield pd.DataFrame(rows, columns=["s1", "s2", "n", "x", "xx", "xy", "y", "yy"])
+
+    sums = packed.select("c").mapInPandas(run, f"s1 {kind}, s2 {kind}, n double, x double, xx double, xy double, y double, yy double")
+    t = sums.groupBy("s1", "s2").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx", "xy", "y", "yy"))).where("n > 0")
+    vx, vy = F.col("xx") - F.col("x") ** 2 / F.col("n"), F.col("yy") - F.col("y") ** 2 / F.col("n")
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(F.when((vx > 1e-12) & (vy > 1e-12), vx * vy))
+    return t.select("s1", "s2", r.alias("r"), F.col("n").cast("long").alias("n"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scale import percentiles
+
 
 def grid(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Every feature in every sample, with a null value where there is none; zeros count as none.
@@ -28,8 +30,9 @@ def impute_detection_limit(cells: DataFrame, samples: DataFrame) -> DataFrame:
     low = F.percentile("value", F.lit(0.01))
     by_group = full.groupBy("feature_id", "grp").agg(low.alias("l1"), (F.count("value") / F.count("*")).alias("rate"))
     by_feature = full.groupBy("feature_id").agg(low.alias("l2"))
-    rest = full.groupBy("grp").agg(low.alias("l3")).crossJoin(F.broadcast(full.agg(low.alias("l4"))))  # a row for each group
-    of = full.join(by_group, ["feature_id", "grp"]).join(by_feature, "feature_id").join(F.broadcast(rest), "grp")
+    every = percentiles(full, "value", {"l4": 0.01})
+    of = full.join(by_group, ["feature_id", "grp"]).join(by_feature, "feature_id")
+    of = of.join(F.broadcast(percentiles(full, "value", {"l3": 0.01}, "grp")), "grp", "left").join(F.broadcast(every), F.lit(True), "left")  # a row for each group, and one
     limit = F.coalesce("l1", "l2", "l3", "l4")
     fill = F.when(F.col("rate") >= 0.8, limit / 3).when(F.col("rate") >= 0.5, F.greatest(limit / 3, F.col("l4") / 5)).otherwise(limit / 5)
     return of.select("feature_id", "sample_id", "grp", F.coalesce("value", fill).alias("value"), F.col("value").isNull().alias("imputed"))
@@ -46,14 +49,45 @@ def impute_minimum(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return of.select("feature_id", "sample_id", F.coalesce("value", fill).alias("value"))
 
 
+def fill_minimum(cells: DataFrame, samples: DataFrame, features: DataFrame) -> DataFrame:
+    """Every feature in every sample, missing values and zeros as the feature's minimum; features without a value are left out.
+
+    samples: sample_id, of bounded number; features: feature_id.
+    """
+    known = cells.where(F.col("value") > 0).select("feature_id", "sample_id", "value")
+    lowest = known.groupBy("feature_id").agg(F.min("value").alias("_min"))
+    every = features.join(lowest, "feature_id").crossJoin(F.broadcast(samples.select("sample_id")))
+    return every.join(known, ["feature_id", "sample_id"], "left").select("feature_id", "sample_id", F.coalesce("value", "_min").alias("value"))
+
+
+def main_ions(cells: DataFrame, *by: str) -> DataFrame:
+    """The best feature of each `by` (a standard and polarity): the highest median, then detection rate, then the lowest RSD."""
+    of = cells.groupBy(*by, "feature_id").agg(F.median("value").alias("median"), F.avg((F.col("value") > 0).cast("double")).alias("rate"), (100 * F.stddev_samp("value") / F.nullif(F.avg("value"), F.lit(0.0))).alias("rsd"))
+    order = Window.partitionBy(*by).orderBy(F.round("median", 6).desc(), F.col("rate").desc(), F.round("rsd", 6).asc_nulls_last(), "feature_id")
+    return of.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
+
 def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2, listed: DataFrame | None = None) -> DataFrame:
     """For each feature the first listed standard that worsens its QC RSD by a fifth at most, else the one of its
     polarity that lowers it most (within the same limit), else that with the lowest.
 
     standards: (standard_id, polarity, sample_id, value), of bounded number, broadcast; listed: (lipid_class, polarity,
     pref, standard_id). Ties go to the larger id. Returns feature_id, standard_id, rsd_before, rsd_after, stage (listed,
-    preferred or lowest).
+    preferred, lowest, or mean: where no standard has a QC RSD, or there are no QC samples, the one with the highest mean).
     """
+    of = standard_candidates(cells, standards, allowed, listed)
+    within, first = F.col("within"), F.when(F.col("within"), F.col("pref"))
+    order = Window.partitionBy("feature_id").orderBy(first.asc_nulls_last(), within.desc(), F.round("rsd_after", 9), F.when(within, F.col("standard_id")).desc_nulls_last(), "standard_id")
+    best = of.withColumn("stage", F.when(first.isNotNull(), "listed").when(within, "preferred").otherwise("lowest")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    best = best.select("feature_id", "standard_id", "rsd_before", "rsd_after", "stage")
+    means = standards.groupBy("polarity", "standard_id").agg(F.round(F.avg("value"), 9).alias("mean")).groupBy("polarity").agg(F.max(F.struct("mean", "standard_id")).alias("top"))
+    rest = cells.select("feature_id", "polarity").distinct().join(best.select("feature_id"), "feature_id", "left_anti").join(F.broadcast(means), "polarity")
+    none = F.lit(None).cast("double")
+    return best.unionByName(rest.select("feature_id", F.col("top.standard_id").alias("standard_id"), none.alias("rsd_before"), none.alias("rsd_after"), F.lit("mean").alias("stage")))
+
+
+def standard_candidates(cells: DataFrame, standards: DataFrame, allowed: float = 0.2, listed: DataFrame | None = None) -> DataFrame:
+    """N3, the audit: each standard with a QC RSD for a feature: feature_id, standard_id, rsd_before, rsd_after, within, pref."""
     qc = cells.where("is_qc").select("feature_id", "polarity", "sample_id", "value")
     s = standards.select("standard_id", "polarity", "sample_id", F.col("value").alias("s_value"))
     both = qc.join(F.broadcast(s), ["polarity", "sample_id"]).withColumn("r", F.col("value") / F.nullif("s_value", F.lit(0.0)))
@@ -66,10 +100,7 @@ def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2
     else:
         own = cells.select("feature_id", "lipid_class", "polarity").distinct()
         of = of.join(own.join(F.broadcast(listed), ["lipid_class", "polarity"]).select("feature_id", "standard_id", "pref"), ["feature_id", "standard_id"], "left")
-    first = F.when(within, F.col("pref"))
-    order = Window.partitionBy("feature_id").orderBy(first.asc_nulls_last(), within.desc(), F.round("rsd_after", 9), F.when(within, F.col("standard_id")).desc_nulls_last(), "standard_id")
-    best = of.withColumn("stage", F.when(first.isNotNull(), "listed").when(within, "preferred").otherwise("lowest")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return best.select("feature_id", "standard_id", "rsd_before", "rsd_after", "stage")
+    return of.select("feature_id", "standard_id", "rsd_before", "rsd_after", within.alias("within"), "pref")
 
 
 def vote(choice: DataFrame, features: DataFrame) -> DataFrame:
@@ -103,16 +134,16 @@ def semi_quantify(ratios: DataFrame, stock: DataFrame, dilution: float | None) -
 def median_normalize(cells: DataFrame, *by: str) -> DataFrame:
     """Values over the median of their sample (and of by); zeros are missing."""
     known = cells.withColumn("value", F.nullif("value", F.lit(0.0)))
-    mids = known.groupBy("sample_id", *by).agg(F.median("value").alias("mid"))
-    return known.join(F.broadcast(mids), ["sample_id", *by]).withColumn("value", F.col("value") / F.nullif("mid", F.lit(0.0))).drop("mid")
+    mids = percentiles(known, "value", {"mid": 0.5}, "sample_id", *by)
+    return known.join(F.broadcast(mids), ["sample_id", *by], "left").withColumn("value", F.col("value") / F.nullif("mid", F.lit(0.0))).drop("mid")
 
 
 def class_median_normalize(cells: DataFrame, least: int = 5) -> DataFrame:
     """Values over the median of their class in the sample, for classes of five features or more."""
     sizes = cells.groupBy("lipid_class").agg(F.count_distinct("feature_id").alias("size"))
-    mids = cells.groupBy("lipid_class", "sample_id").agg(F.median("value").alias("mid")).join(F.broadcast(sizes), "lipid_class")
+    mids = percentiles(cells, "value", {"mid": 0.5}, "lipid_class", "sample_id").join(F.broadcast(sizes), "lipid_class")
     divisor = F.when(F.col("size") >= least, F.coalesce(F.nullif("mid", F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
-    return cells.join(mids, ["lipid_class", "sample_id"]).withColumn("value", F.col("value") / divisor).drop("mid", "size")
+    return cells.join(mids, ["lipid_class", "sample_id"], "left").withColumn("value", F.col("value") / divisor).drop("mid", "size")
 
 
 def normalization_effect(before: DataFrame, after: DataFrame, allowed: float = 20.0) -> DataFrame:

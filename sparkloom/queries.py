@@ -233,7 +233,7 @@ s AS (SELECT lipid_class, grp, sum(y * x) / sum(y) AS mean_carbons, sum(yd) / su
 SELECT lipid_class, grp, round(mean_carbons, 6) AS mean_carbons, round(mean_dbe, 6) AS mean_dbe, round(CASE WHEN sxx - sx * sx / sw > 1e-9 THEN (sxy - sx * sy / sw) / (sxx - sx * sx / sw) END, 2) AS slope,
   round(mean_carbons - avg(mean_carbons) OVER (PARTITION BY lipid_class), 6) AS carbons_shift FROM s""")
 def a13_class_trends(spark: SparkSession, sf: str) -> DataFrame:
-    return composition.class_trends(cells(spark, sf)).select("lipid_class", "grp", r("mean_carbons").alias("mean_carbons"), r("mean_dbe").alias("mean_dbe"), r("slope", 2).alias("slope"), r("carbons_shift").alias("carbons_shift"))
+    return composition.class_trends(cells(spark, sf)).select("lipid_class", "grp", r("mean_carbons").alias("mean_carbons"), r("mean_dbe").alias("mean_dbe"), r("carbons_slope", 2).alias("slope"), r("carbons_shift").alias("carbons_shift"))
 
 
 @query("SELECT lipid_class, grp, carbons, dbe, round(avg(value), 6) AS mean FROM cells GROUP BY ALL")
@@ -528,22 +528,25 @@ def n2_impute_minimum(spark: SparkSession, sf: str) -> DataFrame:
 
 CHOICE = """, sd AS (SELECT feature_id AS standard_id, polarity, sample_id, value AS sv FROM cells WHERE is_standard), bo AS (SELECT c.feature_id, standard_id, c.value / nullif(sv, 0) AS x FROM cells c JOIN sd USING (polarity, sample_id) WHERE c.is_qc),
 ra AS (SELECT feature_id, standard_id, 100 * stddev_samp(x) / nullif(avg(x), 0) AS after FROM bo GROUP BY ALL HAVING count(x) > 1), rb AS (SELECT feature_id, 100 * stddev_samp(value) / nullif(avg(value), 0) AS before FROM cells WHERE is_qc GROUP BY ALL),
-ch AS (SELECT feature_id, standard_id, before, after, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) WHERE after IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY coalesce(after <= before * 1.2, FALSE) DESC, round(after, 9), CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN standard_id END DESC NULLS LAST, standard_id) = 1) """
+ca AS (SELECT feature_id, standard_id, before, after, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) WHERE after IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY coalesce(after <= before * 1.2, FALSE) DESC, round(after, 9), CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN standard_id END DESC NULLS LAST, standard_id) = 1),
+mx AS (SELECT polarity, standard_id FROM (SELECT polarity, standard_id, avg(sv) AS m FROM sd GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY polarity ORDER BY round(m, 9) DESC, standard_id DESC) = 1),
+fb AS (SELECT DISTINCT feature_id, standard_id FROM cells JOIN mx USING (polarity) WHERE feature_id NOT IN (SELECT feature_id FROM ra JOIN rb USING (feature_id) WHERE after IS NOT NULL)),
+ch AS (SELECT * FROM ca UNION ALL SELECT feature_id, standard_id, NULL, NULL, NULL FROM fb) """
 
 
 def standards(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).where("is_standard").select(F.col("feature_id").alias("standard_id"), "polarity", "sample_id", "value")
 
 
-@query(CHOICE + "SELECT feature_id, standard_id, CASE WHEN ok THEN 'preferred' ELSE 'lowest' END AS stage, round(after, 6) AS rsd_after FROM ch")
+@query(CHOICE + "SELECT feature_id, standard_id, CASE WHEN ok THEN 'preferred' WHEN ok IS NULL THEN 'mean' ELSE 'lowest' END AS stage, round(after, 6) AS rsd_after FROM ch")
 def n3_choose_standard(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.choose_standard(cells(spark, sf), standards(spark, sf)).select("feature_id", "standard_id", "stage", r("rsd_after").alias("rsd_after"))
 
 
-LISTED = CHOICE.split(",\nch AS (")[0] + """, pf AS (SELECT DISTINCT f.feature_id, s.standard_id, (s.standard_id % 7)::INT AS pref FROM features f JOIN sd s USING (polarity) WHERE s.standard_id % 3 = 0 AND f.lipid_class IN ('PC', 'TG')),
-ch AS (SELECT ra.feature_id, ra.standard_id, after, CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN pref END AS pref, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) LEFT JOIN pf ON pf.feature_id = ra.feature_id AND pf.standard_id = ra.standard_id WHERE after IS NOT NULL)
-SELECT feature_id, standard_id, CASE WHEN pref IS NOT NULL THEN 'listed' WHEN ok THEN 'preferred' ELSE 'lowest' END AS stage FROM ch
-QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY pref NULLS LAST, ok DESC, round(after, 9), CASE WHEN ok THEN standard_id END DESC NULLS LAST, standard_id) = 1"""
+LISTED = CHOICE + """, pf AS (SELECT DISTINCT f.feature_id, s.standard_id, (s.standard_id % 7)::INT AS pref FROM features f JOIN sd s USING (polarity) WHERE s.standard_id % 3 = 0 AND f.lipid_class IN ('PC', 'TG')),
+lc AS (SELECT ra.feature_id, ra.standard_id, after, CASE WHEN coalesce(after <= before * 1.2, FALSE) THEN pref END AS pref, coalesce(after <= before * 1.2, FALSE) AS ok FROM ra JOIN rb USING (feature_id) LEFT JOIN pf ON pf.feature_id = ra.feature_id AND pf.standard_id = ra.standard_id WHERE after IS NOT NULL)
+SELECT feature_id, standard_id, CASE WHEN pref IS NOT NULL THEN 'listed' WHEN ok THEN 'preferred' ELSE 'lowest' END AS stage FROM lc
+QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY pref NULLS LAST, ok DESC, round(after, 9), CASE WHEN ok THEN standard_id END DESC NULLS LAST, standard_id) = 1 UNION ALL SELECT feature_id, standard_id, 'mean' FROM fb"""
 
 
 @query(LISTED)
@@ -651,11 +654,8 @@ def t7_t6_kruskal_fdr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(KRUSKAL + "SELECT feature_id, lipid_class, row_number() OVER (PARTITION BY lipid_class ORDER BY round(p, 9), feature_id) AS rank FROM kp JOIN features USING (feature_id) WHERE p IS NOT NULL QUALIFY rank <= 5")
 def w6_top_features(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    of = tests.kruskal(tested(spark, sf), closed_form=True).where("p IS NOT NULL").join(X.features(spark, sf).select("feature_id", "lipid_class"), "feature_id")
-    rank = F.row_number().over(Window.partitionBy("lipid_class").orderBy(r("p", 9), "feature_id"))
-    return of.select("feature_id", "lipid_class", rank.alias("rank")).where("rank <= 5")
+    of = tests.kruskal(tested(spark, sf), closed_form=True).join(X.features(spark, sf).select("feature_id", "lipid_class"), "feature_id")
+    return tests.top_features(of, 5, "lipid_class", digits=9).select("feature_id", "lipid_class", "rank")
 
 
 @query()
@@ -742,31 +742,43 @@ def w4_best_standard(spark: SparkSession, sf: str) -> DataFrame:
 
 # Correlation and projections
 
-SMALL = "lipid_class = 'FA' AND feature_id % 3 = 0"
+PEARSON = ", k AS (SELECT lipid_class, feature_id, sample_id, value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) "
+SPEARMAN = ", k AS (SELECT feature_id, sample_id, lipid_class, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.feature_id, b.feature_id AS id2, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) "
+
+
+@query(PEARSON + "SELECT lipid_class, id1, id2, n, round(r, 6) AS r FROM c")
+def t13_all_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return multivariate.class_correlations(cells(spark, sf)).select("lipid_class", "id1", "id2", "n", r("r").alias("r"))
+
+
+@query(SPEARMAN + "SELECT lipid_class, count(r) AS pairs, round(avg(r), 5) AS mean_r, round(avg(abs(r)), 5) AS mean_abs_r FROM c GROUP BY lipid_class")
+def t13_all_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
+    of = multivariate.correlation_summary(multivariate.class_correlations(cells(spark, sf), ranks=True))
+    return of.select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
 
 
-@query(f", k AS (SELECT feature_id, sample_id, value FROM cells WHERE {SMALL} AND value > 0), c AS (SELECT a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b USING (sample_id) WHERE a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT id1, id2, n, round(r, 6) AS r FROM c")
+@query(PEARSON + "SELECT lipid_class, count(r) AS pairs, round(avg(r), 5) AS mean_r, round(median(r), 5) AS median_r, round(avg(abs(r)), 5) AS mean_abs_r FROM c GROUP BY lipid_class")
 def t13_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return multivariate.class_correlations(cells(spark, sf).where(SMALL)).select("id1", "id2", "n", r("r").alias("r"))
+    of = multivariate.correlation_summary(multivariate.class_correlations(cells(spark, sf)))
+    return of.select("lipid_class", "pairs", *(r(c, 5).alias(c) for c in ("mean_r", "median_r", "mean_abs_r")))
 
 
-@query(", k AS (SELECT feature_id, sample_id, lipid_class, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS value FROM cells WHERE value > 0 AND feature_id % 5 = 0), c AS (SELECT a.lipid_class, a.feature_id, b.feature_id AS id2, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT lipid_class, count(r) AS pairs, round(avg(r), 5) AS mean_r, round(avg(abs(r)), 5) AS mean_abs_r FROM c GROUP BY lipid_class")
+@query(SPEARMAN + "SELECT lipid_class, feature_id AS id1, id2, round(r, 6) AS r FROM c")
 def t13_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
-    of = multivariate.class_correlations(cells(spark, sf).where("feature_id % 5 = 0"), ranks=True)
-    return multivariate.correlation_summary(of).select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
+    """Spearman's correlation of each pair of a class; t13_all_spearman_summary sums them up."""
+    return multivariate.class_correlations(cells(spark, sf), ranks=True).select("lipid_class", "id1", "id2", r("r").alias("r"))
 
 
-@query()
-def t13_all_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    """All classes and features; t13_class_correlations is the part that its SQL compares."""
-    return multivariate.class_correlations(cells(spark, sf)).select("lipid_class", "id1", "id2", "n", r("r").alias("r"))
+FISHER = """, k AS (SELECT lipid_class, grp, feature_id, sample_id, value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.grp, a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 4)
+SELECT lipid_class, id1, id2, x.n AS n1, y.n AS n2, round(x.r - y.r, 6) AS delta_r, round((atanh(greatest(-0.999999, least(0.999999, x.r))) - atanh(greatest(-0.999999, least(0.999999, y.r)))) / sqrt(1.0 / (x.n - 3) + 1.0 / (y.n - 3)), 4) AS z
+FROM c x JOIN c y USING (lipid_class, id1, id2) WHERE x.grp = 'A' AND y.grp = 'B' AND x.r IS NOT NULL AND y.r IS NOT NULL"""
 
 
-@query()
-def t13_all_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """All features; t13_spearman_summary is the part that its SQL compares."""
-    of = multivariate.correlation_summary(multivariate.class_correlations(cells(spark, sf), ranks=True))
-    return of.select("lipid_class", "pairs", r("mean_r", 5).alias("mean_r"), r("mean_abs_r", 5).alias("mean_abs_r"))
+@query(FISHER)
+def t14_fisher_z(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistic of t14_differential_correlation, without p and rates."""
+    of = multivariate.differential_correlation(cells(spark, sf), "A", "B", with_p=False)
+    return of.select("lipid_class", "id1", "id2", "n1", "n2", r("delta_r").alias("delta_r"), r("z", 4).alias("z"))
 
 
 @query()
@@ -813,7 +825,7 @@ def m3_permanova_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def t11_moderated(spark: SparkSession, sf: str) -> DataFrame:
-    of = multivariate.moderated_test(X.intensity(spark, sf), X.samples(spark), "QC")
+    of = multivariate.moderated_test(X.intensity(spark, sf), X.samples(spark))
     return of.withColumn("p", t_p("t", "df"))
 
 
@@ -842,10 +854,6 @@ def j3_compatible(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def u2_merge_best(spark: SparkSession, sf: str) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     return merge.merge_best(side(spark, sf, "Pos"), side(spark, sf, "Neg"))
 
 
@@ -971,10 +979,14 @@ def t16_sample_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.sample_correlations(_scaled(spark, sf)).withColumn("r", r("r"))
 
 
+def top_ids(spark: SparkSession, sf: str, n: int = 30) -> list[int]:
+    """The features that tell the groups apart best: the columns of a model, which are of a bounded number."""
+    return [x["feature_id"] for x in tests.top_features(tests.kruskal(tested(spark, sf), closed_form=True), n).collect()]
+
+
 @query()
 def m6_forest(spark: SparkSession, sf: str) -> DataFrame:
-    top = [x["feature_id"] for x in tests.kruskal(tested(spark, sf), closed_form=True).where("p IS NOT NULL").orderBy("p", "feature_id").limit(30).collect()]
-    return multivariate.forest_predictions(_scaled(spark, sf), X.samples(spark).where("NOT is_qc").select("sample_id", "grp"), top, trees=30)
+    return multivariate.forest_predictions(_scaled(spark, sf), X.samples(spark).where("NOT is_qc").select("sample_id", "grp"), top_ids(spark, sf))
 
 
 @query()
@@ -987,3 +999,6 @@ def m7_vip(spark: SparkSession, sf: str) -> DataFrame:
 def a23_directions(spark: SparkSession, sf: str) -> DataFrame:
     of = change(spark, sf).withColumn("direction", F.when(F.col("log2fc") > 0.2, "Up").when(F.col("log2fc") < -0.2, "Down").otherwise("Not significant"))
     return composition.class_directions(of)
+
+
+from . import queries_reports  # noqa: E402, F401  (registers the rest)

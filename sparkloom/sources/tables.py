@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scale import ranged
+
 _DROPPED = ("Flags", "Boxplot", "AQ")
 _MISSING = ("", "nan", "na", "n/a", "none", "null")
 
@@ -19,11 +21,11 @@ def read_features(spark: SparkSession, path: str, key: str | None = None) -> Dat
         return df
     if key is None:
         raise ValueError("a table without feature_id needs a key to number its rows by")
-    # Ranges of the key are numbered in parallel, each from where those before it end.
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    sizes = inside.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # a row for each partition
+    # Ranges of the key, which are written, are numbered in parallel, each from where those before it end.
+    parts = ranged(df, key)
+    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))  # a row for each range
     return inside.join(F.broadcast(before), "_part").withColumn("feature_id", F.col("_at") + F.coalesce("before", F.lit(0))).drop("_part", "_at", "before")
 
 
@@ -46,10 +48,18 @@ def to_wide(cells: DataFrame, samples: list[str]) -> DataFrame:
     return cells.groupBy("feature_id").pivot("sample_id", samples).agg(F.first("value"))
 
 
-def read_groups(df: DataFrame, sample: str = "Sample", group: str = "Group") -> DataFrame:
-    """Trimmed samples and groups, the first of a sample (by group) stays; is_qc, is_blank and a key to match by."""
-    of = df.select(F.trim(sample).alias("sample_id"), F.trim(group).alias("grp")).where("sample_id <> ''")
-    one = of.groupBy("sample_id").agg(F.min("grp").alias("grp"))
+def to_samples(cells: DataFrame, block: int = 1000) -> DataFrame:
+    """S3: sample_id, block, features: samples by features, in blocks of so many ids, each a map from feature_id to value."""
+    of = cells.groupBy("sample_id", F.floor(F.col("feature_id") / block).alias("block"))
+    return of.agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("features"))
+
+
+def read_groups(df: DataFrame, sample: str = "Sample", group: str = "Group", position: str | None = None) -> DataFrame:
+    """Trimmed samples and groups, is_qc, is_blank and a key to match by; of a sample's rows the first stays, by the
+    column that tells their order, or by group without one."""
+    place = F.col(position or group)
+    of = df.select(F.trim(sample).alias("sample_id"), F.trim(group).alias("grp"), place.alias("_place")).where("sample_id <> ''")
+    one = of.groupBy("sample_id").agg(F.min_by("grp", F.struct("_place", "grp")).alias("grp"))
     return one.select("sample_id", "grp", F.lower("sample_id").alias("match_key"), (F.lower("grp") == "qc").alias("is_qc"), F.lower("grp").contains("blank").alias("is_blank"))
 
 
@@ -68,6 +78,12 @@ def read_adduct_ranks(df: DataFrame) -> DataFrame:
     return each.where("trim(adduct) <> ''").groupBy("polarity", "lipid_class", F.trim("adduct").alias("adduct")).agg(F.max("rank").alias("rank"))
 
 
+def read_sensitivity(df: DataFrame, positive: str, negative: str) -> DataFrame:
+    """(lipid_class, polarity, sensitivity) from a column for each polarity; what is no number is left out."""
+    of = df.select(F.upper(F.trim("lipid_class")).alias("lipid_class"), known(positive).alias("Pos"), known(negative).alias("Neg"))
+    return of.unpivot(["lipid_class"], ["Pos", "Neg"], "polarity", "sensitivity").where("sensitivity IS NOT NULL")
+
+
 def read_windows(groups: DataFrame, windows: DataFrame) -> DataFrame:
     """(lipid_class, carbon_bin, lo, hi). groups: lipid_class and a group id for each bin (0 for none); windows: group_id, lo, hi."""
     bins = [c for c in groups.columns if c != "lipid_class"]
