@@ -94,3 +94,33 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMED_SQL = SQL + f""", nm AS (SELECT feature_id, lipid_class, CASE feature_id % {len(NAMES)} {' '.join(f"WHEN {k} THEN {e.format(text='varchar')}" for k, e in enumerate(NAMES))} END AS name
   FROM (SELECT feature_id, lipid_class, 12 + feature_id % 13 AS c1, feature_id % 5 AS d1, 14 + feature_id % 11 AS c2, feature_id % 4 AS d2 FROM features)) """
+
+
+#: Starts of names that rules on plausibility are about, and what may follow the first chain.
+RULE_STARTS = (
+    "PC ", "PC O-", "PE ", "PE O-", "PA ", "PG ", "PS ", "PI ", "PIP ", "PIP3 ", "BMP ", "CL ", "MLCL ", "TG ", "TG O-", "DG ", "DG O-", "MG ", "SM ", "Cer ", "CerP ", "HexCer ", "Hex2Cer ", "SHexCer ",
+    "ACer ", "SPB ", "SPBP ", "FA ", "FAL ", "FOH ", "FAHFA ", "HC ", "FAG ", "SFE ", "WE ", "WD ", "CAR ", "Car ", "CoA ", "NA ", "NAE ", "NAT ", "CE ", "ST ", "LPC ", "LPE ", "LPA ", "LPC O-", "LPI ",
+    "PE-NMe ", "PE-NMe2 ", "PE-N[FA] ", "PEth ", "PIM1 ", "IPC ", "MIPC ", "PK ", "PR ", "SL ", "SQDG ", "HexDG ", "DGTS ", "PnC ", "NoAbbrev:", "DEET ", "fungi ", "plant ", "Hex(2)Cer ", "LBPA ", "GlcADG ",
+)
+RULE_ENDS = ("", "_18:1", "/16:0", "/25:0", ";O", ";O2", ";O3/16:0;O", ";O7", ";O12", ";Gly", ";Tau", ";Hex", "_27:0", "_12:0", ";N4", "_8:0_7:0", "/31:0", "_20:5")
+
+
+def _rule_names(list_: object) -> str:
+    starts, ends = (list_(x) for x in (RULE_STARTS, RULE_ENDS))
+    return f"""concat({starts}, 1 + (feature_id * 7 + rep * 31) % 90, ':', (feature_id * 5 + rep * 3) % 17, {ends})"""
+
+
+def rule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_id, annotation, lipid_class, polarity, rt_min: 20 names for each feature, of all starts, sizes and ends."""
+    at = iter((f"cast((feature_id + 13 * rep) % {len(RULE_STARTS)} + 1 AS int)", f"cast((feature_id * 3 + rep) % {len(RULE_ENDS)} + 1 AS int)"))
+    name = _rule_names(lambda x: f"element_at({_array(x)}, {next(at)})")
+    return features(spark, sf_dir).selectExpr("*", "explode(sequence(0, 19)) AS rep").selectExpr("feature_id * 20 + rep AS feature_id", f"{name} AS annotation", "lipid_class", "polarity", "rt_min")
+
+
+def _rule_names_sql() -> str:
+    at = iter((f"(feature_id + 13 * rep) % {len(RULE_STARTS)} + 1", f"(feature_id * 3 + rep) % {len(RULE_ENDS)} + 1"))
+    name = _rule_names(lambda x: f"({_list(x)})[{next(at)}]")
+    return f", rn AS (SELECT feature_id * 20 + rep AS feature_id, {name} AS annotation, lipid_class, polarity FROM features CROSS JOIN range(20) t(rep)) "
+
+
+RULE_NAMES_SQL = _rule_names_sql()

@@ -895,25 +895,58 @@ def w3_collapse_correlated(spark: SparkSession, sf: str) -> DataFrame:
 # Plausibility
 
 
-def _rules_sql() -> str:
+def _rules_sql(organism: str, table: str = "features") -> str:
+    """The rules' values as tests of substrings, one by one, which the compiled expressions have to agree with; tests check the values."""
     from .operators import plausibility
 
-    def test(rule: plausibility.Rule) -> str:
-        found, never = rule.patterns()
-        quoted = lambda p: p.replace("\\ ", " ").replace("'", "''")
-        return " AND ".join([f"regexp_matches(annotation, '{quoted(p)}')" for p in found] + ([f"NOT regexp_matches(annotation, '{quoted(never)}')"] if never else []))
+    def text(word: str) -> str:
+        return "'" + word.replace("'", "''") + "'"
+
+    def some(words: tuple[str, ...], test: str) -> str:
+        return f"len(list_filter([{', '.join(map(text, words))}], lambda w: {test}(annotation, w))) > 0"
+
+    def fits(rule: plausibility.Rule) -> str:
+        one = [some(rule.words, "contains")] if rule.words else []
+        for place, numbers in rule.numbers.items():
+            before, after = map(text, place.split("{}"))
+            one.append(f"len(list_filter([{', '.join(map(str, numbers))}], lambda i: contains(annotation, {before} || i || {after}))) > 0")
+        tests_ = [some(rule.starts, "starts_with")] if rule.starts else []
+        tests_ += [f"({' OR '.join(one)})"] if one else []
+        tests_ += [some(rule.also, "contains")] if rule.also else []
+        tests_ += ["NOT " + some(rule.unless, "contains")] if rule.unless else []
+        tests_ += ["NOT " + some(rule.not_starts, "starts_with")] if rule.not_starts else []
+        return " AND ".join(tests_)
 
     wrong = "(polarity = 'Neg' AND lipid_class IN ('TG', 'CE', 'MG', 'DG', 'WE', 'HC')) OR (polarity = 'Pos' AND lipid_class = 'FA')"
-    parts = [f"SELECT feature_id, 'plausibility' AS step, 'Implausible polarity' AS reason FROM features WHERE {wrong}"]
-    parts += [f"SELECT feature_id, 'plausibility', '{r.reason}' FROM features WHERE {test(r)}" for r in plausibility.MAMMALIAN]
+    parts = [f"SELECT feature_id, 'plausibility' AS step, 'Implausible polarity' AS reason FROM {table} WHERE {wrong}"]
+    parts += [f"SELECT feature_id, 'plausibility', '{reason}' FROM {table} WHERE {fits(rule)}" for reason, rules in plausibility.RULES[organism].items() for rule in rules]
     return " UNION ".join(parts)
 
 
-@query(_rules_sql())
-def f11_plausibility_ledger(spark: SparkSession, sf: str) -> DataFrame:
+def _ledger(features: DataFrame, organism: str) -> DataFrame:
     from .operators import plausibility
 
-    return plausibility.ledger(plausibility.plausibility_filter(X.features(spark, sf)))
+    return plausibility.ledger(plausibility.plausibility_filter(features, organism))
+
+
+@query(_rules_sql("mammalian"))
+def f11_plausibility_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(X.features(spark, sf), "mammalian")
+
+
+@query(X.SQL + X.RULE_NAMES_SQL + _rules_sql("mammalian", "rn"))
+def f11_mammalian_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(X.rule_names(spark, sf), "mammalian")
+
+
+@query(X.SQL + X.RULE_NAMES_SQL + _rules_sql("fungal", "rn"))
+def f11_fungal_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(X.rule_names(spark, sf), "fungal")
+
+
+@query(X.SQL + X.RULE_NAMES_SQL + _rules_sql("bacterial", "rn"))
+def f11_bacterial_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(X.rule_names(spark, sf), "bacterial")
 
 
 @query("SELECT feature_id, msms_score > 400 AND feature_id % 2 = 0 AS exempt FROM features")

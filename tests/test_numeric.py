@@ -5,7 +5,6 @@ import pytest
 
 from sparkloom.functions import tails
 from sparkloom.operators.normalize import correct_one, lowess
-from sparkloom.operators.plausibility import numbers
 
 
 def test_tails_against_closed_forms():
@@ -34,5 +33,8 @@ def test_drift_is_removed():
     assert correct_one(order, value, order == 0) is value  # under three QC samples
 
 
-def test_number_lists():
-    assert numbers("3,7-9,21-25/2") == [3, 7, 8, 9, 21, 23, 25]
+def test_signed_ranks_by_enumeration():
+    for n in (1, 3, 5, 8):
+        sums = [sum(k + 1 for k in range(n) if m >> k & 1) for m in range(2**n)]
+        for w in range(n * (n + 1) // 2 + 1):
+            assert tails.signed_rank_two_sided(n, w) == pytest.approx(min(1, 2 * sum(x <= w for x in sums) / 2**n))

@@ -98,6 +98,123 @@ def test_plausibility(spark):
     assert "Odd Car or CoA" in got[3][1] and got[5] == (True, []) and got[6] == (True, []) and got[7] == (True, [])
 
 
+# What each organism's rules say of a name: worked out by hand from the published conditions.
+JUDGED = [
+    ("PC 16:0_18:1", (), (), ()),
+    ("TG 16:0_18:1_18:2", (), (), ()),
+    ("PC 34:7", (), (), ("Odd FAs", "Lipids with 2 fatty acyls and too many carbons")),
+    ("PE-NMe 32:1", ("Implausible classes",), (), ()),
+    ("SHexCer 34:1", (), ("Implausible classes",), ("Implausible classes",)),
+    ("PS 33:1", ("Lipids with 2 fatty acyls and odd chains",), (), ()),
+    ("DGTS 34:1", ("Implausible classes",), (), ("Implausible classes",)),
+    ("my fungi", ("Contaminants",), (), ("Contaminants",)),
+    ("PE O-18:1_20:4", (), (), ("Impossible plasmalogens",)),
+    ("PC O-33:1", ("Impossible plasmalogens",), ("Impossible plasmalogens",), ("Impossible plasmalogens",)),
+    ("PC 12:0_12:0", ("Odd FAs",), ("Lipids with 2 fatty acyls or more and too few carbons", "Lipids with 2 fatty acyls or more and too few carbons"), ("Odd FAs",)),
+    ("PC 17:0_12:0", ("Odd FAs",), ("Lipids with 2 fatty acyls or more and too few carbons",), ()),
+    ("Cer 19:1;O2/16:0", ("Odd FAs", "Odd sphingolipids"), ("Odd FAs",), ("Implausible classes", "Odd sphingolipids")),
+    ("Cer 24:1;O2/16:0", (), ("Odd FAs", "Odd sphingolipids"), ("Implausible classes", "Odd FAs")),
+    ("TG 50:9", ("Odd FAs - Part II",), ("Odd FAs - Part II",), ("Odd FAs", "Lipids with 3 fatty acyls and too few carbons")),
+    ("TG 50:7", (), (), ("Odd FAs", "Lipids with 3 fatty acyls and too few carbons")),
+    ("ST 27:1;O;Gly", ("Sterols / Steroids",), ("Sterols / Steroids",), ("Implausible classes", "Sterols / Steroids")),
+    ("ST 24:4;O", (), ("Sterols / Steroids", "Sterols / Steroids - special cases"), ("Implausible classes", "Sterols / Steroids - special cases")),
+    ("PC 26:1", ("Odd FAs - summed compositions for 2 fatty acyls",), (), ("Odd FAs - summed compositions for 2 fatty acyls",)),
+    ("PC 28:1", (), (), ("Implausible E. coli lipids",)),
+    ("CL 72:8", (), (), ()),
+    ("CL 80:8", (), (), ("Lipids with 4 fatty acyls and too many carbons",)),
+    ("CAR 18:1", (), (), ()),
+    ("CAR 22:1", (), (), ("Odd Car or CoA",)),
+    ("WE 20:0;O5", ("Odd FAHFA or WE", "Odd FAs - summed compositions for 2 fatty acyls", "Lipids with 2 fatty acyls and too many carbons", "Lipids with 2 fatty acyls and odd chains"), None, None),
+    ("LPE 18:3", (), (), ("Lipids with one fatty acyl and too few or too many carbons or too many double bonds",)),
+    ("FAHFA 36:0;O", (), (), ("Implausible classes", "PK, PR and others - special cases")),
+]
+
+
+def test_names_by_organism(spark):
+    df = spark.createDataFrame([(i, r[0], "x", "Pos", 1.0) for i, r in enumerate(JUDGED)], "feature_id int, annotation string, lipid_class string, polarity string, rt_min double")
+    for k, organism in enumerate(("mammalian", "fungal", "bacterial"), 1):
+        for r in plausibility.plausibility_filter(df, organism).collect():
+            expected = JUDGED[r["feature_id"]][k]
+            if expected is not None:
+                assert set(r["reasons"]) == set(expected), (organism, r["annotation"], r["reasons"])
+                assert r["keep"] == (not expected)
+
+
+def test_empty_tables_and_extra_columns(spark):
+    """Nothing in, nothing out; columns with the names that operators make don't get in the way."""
+    from sparkloom.operators import composition, multivariate
+
+    cells = spark.createDataFrame([], "feature_id int, sample_id int, value double, grp string, lipid_class string, carbons int, dbe int, is_qc boolean")
+    samples = spark.createDataFrame([], "sample_id int, grp string, batch string")
+    products = multivariate.gram(multivariate.autoscale(cells))
+    names, scores, _ = multivariate.principal_components(products)
+    assert names == [] and scores.shape == (0, 3) and multivariate.loadings(multivariate.autoscale(cells), names, scores).count() == 0
+    assert multivariate.permanova_p(multivariate.distances(products), samples).first()["p"] is None
+    assert [t.count() for t in multivariate.discriminant_components(products, multivariate.autoscale(cells), samples)] == [0, 0]
+    assert multivariate.discriminant_q2(products, samples).first()["q2"] is None
+    for df in (T.volcano(cells), T.kruskal(cells), T.benjamini_hochberg(T.kruskal(cells)), composition.class_totals(cells), composition.class_trends(cells), multivariate.class_correlations(cells), multivariate.moderated_test(cells, samples)):
+        assert df.count() == 0
+    p = spark.createDataFrame([(1, 0.01, 5, 7), (2, None, 5, 7)], "feature_id int, p double, _n int, _rank int")
+    assert sorted(T.benjamini_hochberg(p.drop("_n", "_rank")).columns) == ["fdr", "feature_id", "p"]
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    from sparkloom.scale import percentiles
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *map(float, range(12))]) if g != "c" else None) for g in "aabc" * 60] + [("d", 5.0)]
+    got = {r["g"]: (r["lo"], r["mid"]) for r in percentiles(spark.createDataFrame(rows, "g string, v double"), "v", {"lo": 0.1, "mid": 0.5}, "g").collect()}
+    for g in "abd":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == pytest.approx((np.quantile(v, 0.1), np.quantile(v, 0.5)))
+    assert "c" not in got
+
+
+def test_moderated_test_against_least_squares(spark):
+    import numpy as np
+
+    from sparkloom.operators import multivariate
+
+    rng = np.random.default_rng(5)
+    samples = [(s, "ABC"[s % 3], str(s // 2)) for s in range(18)]
+    values = {f: 100 * np.exp(rng.normal(0, 0.3 + 0.02 * f, 18)) for f in range(14)}
+    cells = spark.createDataFrame([(f, s, float(v[s])) for f, v in values.items() for s in range(18)], "feature_id int, sample_id int, value double")
+    for numeric in (True, False):
+        table = spark.createDataFrame([(s, g, b if numeric else f"b{int(b) % 2}") for s, g, b in samples], "sample_id int, grp string, batch string")
+        got = {(r["feature_id"], r["grp1"], r["grp2"]): (r["effect"], r["t"], r["df"]) for r in multivariate.moderated_test(cells, table).collect()}
+        batch = [float(b) if numeric else float(int(b) % 2) for _, _, b in samples]
+        x = np.array([[1.0, g == "B", g == "C", b] for (_, g, _), b in zip(samples, batch)], float)
+        floor, inverse = np.quantile(np.concatenate(list(values.values())), 0.01), np.linalg.inv(x.T @ x)
+        fits = {f: inverse @ x.T @ np.log2(v + floor) for f, v in values.items()}
+        s2 = {f: ((np.log2(v + floor) - x @ fits[f]) ** 2).sum() / 14 for f, v in values.items()}
+        logs = np.log(list(s2.values()))
+        s0, d0 = np.exp(logs.mean()), max(4.0, min(100.0, 2 / max(logs.var(ddof=1), 1e-6)))
+        for f, beta in fits.items():
+            for (a, b), way in ((("A", "B"), [0, -1, 0, 0]), (("A", "C"), [0, 0, -1, 0]), (("B", "C"), [0, 1, -1, 0])):
+                way = np.array(way, float)
+                post = (d0 * s0 + 14 * s2[f]) / (d0 + 14)
+                assert got[f, a, b] == pytest.approx((way @ beta, way @ beta / np.sqrt(post * (way @ inverse @ way)), d0 + 14))
+
+
+def test_loadings_and_scores(spark):
+    import numpy as np
+
+    from sparkloom.operators import multivariate
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8, 30))
+    z = (x - x.mean(0)) / x.std(0)
+    df = spark.createDataFrame([(f, s, float(z[s, f])) for f in range(30) for s in range(8)], "feature_id int, sample_id int, z double")
+    names, scores, share = multivariate.principal_components(multivariate.gram(df))
+    u, w, v = np.linalg.svd(z, full_matrices=False)
+    assert np.abs(scores) == pytest.approx(np.abs(u[:, :3] * w[:3])) and share == pytest.approx(w[:3] ** 2 / (w**2).sum())
+    got = {(r["feature_id"], r["component"]): r["loading"] for r in multivariate.loadings(df, names, scores).collect()}
+    for k in range(3):
+        assert [abs(got[f, f"pc{k + 1}"]) for f in range(30)] == pytest.approx(np.abs(v[k]))
+
+
 def test_read_and_reshape(spark, tmp_path):
     path = str(tmp_path / "wide.csv")
     with open(path, "w") as f:
