@@ -164,7 +164,8 @@ def losses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     gone = lines.select("id", "key", "template").join(same, "template").where(elsewhere).select("id", "key", "template")
     # Of lines that don't recur as they are, those of leaves that several bodies have; each distinct line is one row, with its bodies.
     rest = lines.where("leaf is not null").join(same.select("template"), "template", "left_anti")
-    some = rest.join(_recurring(rest, "leaf").select("leaf"), "leaf", "left_semi")
+    leaves = written(_recurring(rest.select("leaf", "body", "id"), "leaf").select("leaf"), "leaves")  # its size is known, and texts need not move to a short list
+    some = rest.join(leaves, "leaf", "left_semi")
     found = generalised(written(some.groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("flat").alias("flat"), F.collect_set("body").alias("bodies")), "rest"))
     if found is not None:
         own = written(lines.select("id", "key", "template", "body").join(found, "template"), "fitting")
