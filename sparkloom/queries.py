@@ -852,9 +852,19 @@ def j3_compatible(spark: SparkSession, sf: str) -> DataFrame:
     return of.select(F.col("feature_id1").alias("id1"), F.col("feature_id2").alias("id2"), r("quality1").alias("quality1"), r("quality2").alias("quality2"))
 
 
-@query()
+def _elimination_sql(rounds: int = 12) -> str:
+    """Rounds of elimination one after the other; the last ones find nothing more to remove (checked: no loser is left)."""
+    parts = [", e0 AS (SELECT DISTINCT id1, id2, q1 * CASE WHEN a1 <> a2 AND l1 = 'Molecular level' THEN 1.1::DOUBLE ELSE 1 END >= q2 * CASE WHEN a1 <> a2 AND l2 = 'Molecular level' THEN 1.1::DOUBLE ELSE 1 END AS f FROM pa WHERE a1 = a2 OR (c1 = c2 AND (l1 = 'Molecular level' OR l2 = 'Molecular level')))"]
+    for k in range(rounds):
+        parts.append(f", x{k} AS (SELECT id1 AS id FROM e{k} GROUP BY id1 HAVING NOT bool_or(f)), y{k} AS (SELECT id2 AS id FROM e{k} GROUP BY id2 HAVING bool_and(f)), e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} WHERE id1 NOT IN (SELECT id FROM x{k}) AND id2 NOT IN (SELECT id FROM y{k}))")
+    gone = " UNION ALL ".join(f"SELECT id FROM {s}{k}" for k in range(rounds) for s in "xy")
+    last = rounds - 1
+    return "".join(parts) + f", go AS ({gone}) SELECT CASE WHEN polarity = 'Pos' THEN 'P_' ELSE 'N_' END || feature_id AS feature_id, annotation, lipid_class, level, quality FROM ft WHERE feature_id NOT IN (SELECT id FROM go) AND (SELECT count(*) FROM x{last}) + (SELECT count(*) FROM y{last}) = 0"
+
+
+@query(SIDES + _elimination_sql())
 def u2_merge_best(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.merge_best(side(spark, sf, "Pos"), side(spark, sf, "Neg"))
+    return merge.merge_best(side(spark, sf, "Pos"), side(spark, sf, "Neg")).select("feature_id", "annotation", "lipid_class", "level", "quality")
 
 
 @query("SELECT CASE WHEN polarity = 'Pos' THEN 'P_' ELSE 'N_' END || feature_id AS feature_id, lipid_class, CASE WHEN polarity = 'Pos' THEN msms_score END AS msms_score FROM features")
@@ -884,7 +894,15 @@ def w2_collapse_adducts(spark: SparkSession, sf: str) -> DataFrame:
     return merge.collapse_adducts(f.join(of, "feature_id"))
 
 
-@query()
+CORRELATED = """, fa AS (SELECT feature_id, lipid_class || ' ' || (carbons % 4) AS a, rt_min FROM features), sp AS (SELECT feature_id, 100 * stddev_samp(value) / nullif(avg(value), 0) AS q, median(value) AS m FROM intensity GROUP BY feature_id),
+pw AS (SELECT x.feature_id AS i, y.feature_id AS j FROM fa x JOIN fa y ON x.a = y.a AND x.feature_id < y.feature_id AND abs(x.rt_min - y.rt_min) <= 0.05),
+ln AS (SELECT i, j FROM pw JOIN intensity a ON a.feature_id = i JOIN intensity b ON b.feature_id = j AND b.sample_id = a.sample_id WHERE a.value > 0 AND b.value > 0 GROUP BY i, j HAVING count(*) >= 4 AND round(corr(log10(a.value + 1), log10(b.value + 1)), 12) >= 0.5),
+bo AS MATERIALIZED (SELECT i, j FROM ln UNION SELECT j, i FROM ln), rc AS (SELECT i AS a, i AS b FROM bo UNION SELECT rc.a, bo.j FROM rc JOIN bo ON rc.b = bo.i), cp AS (SELECT a AS feature_id, min(b) AS c FROM rc GROUP BY a),
+be AS (SELECT c, feature_id AS kept_id FROM cp JOIN sp USING (feature_id) QUALIFY row_number() OVER (PARTITION BY c ORDER BY q NULLS LAST, m DESC NULLS LAST, feature_id) = 1)
+SELECT feature_id, coalesce(kept_id, feature_id) AS kept_id FROM sp LEFT JOIN cp USING (feature_id) LEFT JOIN be USING (c)"""
+
+
+@query(CORRELATED)
 def w3_collapse_correlated(spark: SparkSession, sf: str) -> DataFrame:
     every = X.intensity(spark, sf)
     of = every.groupBy("feature_id").agg(clean.rsd(F.col("value")).alias("qc_rsd"), F.median("value").alias("median")).withColumn("sample_rsd", F.col("qc_rsd"))

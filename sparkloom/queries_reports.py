@@ -449,3 +449,46 @@ def m6_forest_importances(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m7_q2(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.discriminant_q2(multivariate.gram(_scaled(spark, sf)), _grouped(spark))
+
+
+# Whole flows
+
+
+def _study(spark: SparkSession, sf: str):  # noqa: ANN202
+    """The features of one polarity, taken through all steps; a third of them have no annotation at first."""
+    from .plans import flows
+
+    f = X.features(spark, sf).where("polarity = 'Pos'").withColumns({
+        "annotation": F.when((F.col("feature_id") % 3 == 0) & ~F.col("is_standard"), "").otherwise(F.col("annotation")), "annotation_type": F.when(F.col("is_standard"), "IS").otherwise("MS/MS match"),
+    })
+    samples = X.samples(spark)
+    of = X.intensity(spark, sf).join(F.broadcast(samples), "sample_id").join(f.select("feature_id", "lipid_class"), "feature_id")
+    study = flows.Study(f, of, samples.groupBy("grp", "is_qc").agg(F.count("*").alias("size")))
+    flows.cleanse(study, spark.createDataFrame([(700.0, "none", "Pos", 1)], "target double, name string, polarity string, position int"))
+    lib = library(spark, sf).withColumn("annotation", F.format_string("PC %d:%d_18:1", 14 + F.col("lib_id") % 8 * 2, F.col("lib_id") % 3))
+    flows.identify(study, lib, spark.createDataFrame([("PC", "PC")], "headgroup string, lipid_class string"), cutoff=0.0)
+    flows.collapse(study)
+    return flows, study, samples
+
+
+@query()
+def flow_annotated_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The final table of a polarity, and what was removed: feature_id, step (kept for what is left), reason (its species)."""
+    flows, study, _ = _study(spark, sf)
+    flows.finalize(study)
+    kept = flows.final_table(study).select("feature_id", F.lit("kept").alias("step"), F.col("species").alias("reason"))
+    return kept.unionByName(study.ledger())
+
+
+@query()
+def flow_normalized_cells(spark: SparkSession, sf: str) -> DataFrame:
+    flows, study, samples = _study(spark, sf)
+    return flows.normalized(study, samples)
+
+
+@query()
+def flow_differential_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The best hits of all analyses of a study."""
+    from .plans import flows
+
+    return flows.differential_report(tested(spark, sf), X.features(spark, sf))["top"]

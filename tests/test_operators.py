@@ -49,6 +49,23 @@ def test_adduct_anchor(spark):
     assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_adducts(df.orderBy(F.desc("feature_id"))).collect()} == got
 
 
+def test_adduct_groups_against_brute_force(spark):
+    """The greedy anchors over whole annotations, with times and masses in which blocks end and go on."""
+    rng = random.Random(8)
+    rows = [(i, f"A{rng.randrange(3)}", "MS match", float(rng.randrange(60)), 700 + rng.randrange(30) * 0.002, rng.randrange(3), float(rng.randrange(4))) for i in range(240)]
+    df = spark.createDataFrame(rows, "feature_id int, annotation string, annotation_type string, rt_s double, neutral_mass double, n_missing int, mean double")
+    expected = {}
+    for a in sorted({r[1] for r in rows}):
+        left = sorted((r for r in rows if r[1] == a), key=lambda r: (r[3], r[0]))
+        while left:
+            anchor = left[0]
+            near = [r for r in left if r[3] - anchor[3] <= 6 and (abs(r[4] - anchor[4]) <= 0.005 or abs(r[4] - anchor[4]) / anchor[4] * 1e6 <= 5)]
+            best = min(near, key=lambda r: (r[5], -r[6], r[0]))
+            expected.update({r[0]: best[0] for r in near})
+            left = [r for r in left if r not in near]
+    assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_adducts(df).collect()} == expected
+
+
 def test_correlated_chain(spark):
     features = spark.createDataFrame([(i, "PC 1:0", "PC", 1.0 + 0.2 * i, float(9 - i), 1.0, 1.0) for i in range(3)] + [(9, "PC 1:0", "PC", 5.0, 0.0, 0.0, 0.0)], "feature_id int, annotation string, lipid_class string, rt_min double, qc_rsd double, sample_rsd double, median double")
     cells = spark.createDataFrame([(i, s, float((s + 1) * 10 + i * (s % 2) * 0.1)) for i in (0, 1, 2, 9) for s in range(6)], "feature_id int, sample_id int, value double")
@@ -215,6 +232,15 @@ def test_loadings_and_scores(spark):
         assert [abs(got[f, f"pc{k + 1}"]) for f in range(30)] == pytest.approx(np.abs(v[k]))
 
 
+def test_flow_keeps_or_removes_each_feature(spark, sf):
+    from sparkloom import queries
+
+    rows = queries.QUERIES["flow_annotated_table"](spark, sf).collect()
+    ids = {r["feature_id"] for r in queries.X.features(spark, sf).where("polarity = 'Pos'").collect()}
+    assert len(rows) == len(ids) and {r["feature_id"] for r in rows} == ids
+    assert len({r["step"] for r in rows}) > 4
+
+
 def test_read_and_reshape(spark, tmp_path):
     path = str(tmp_path / "wide.csv")
     with open(path, "w") as f:
