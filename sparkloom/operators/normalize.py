@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import percentiles
+from ..scale import percentiles, written
 
 
 def grid(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def impute_detection_limit(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Missing values become a part of the detection limit: the lowest percentile of what is known, in the feature's
     group, else of the feature, else of the group, else of all. A third of it where the group detects 80 % or more, the
     larger of a third and a fifth of the overall limit from 50 %, else a fifth. Adds `imputed`."""
-    full = grid(cells, samples)
+    full = written(grid(cells, samples), "grid")
     low = F.percentile("value", F.lit(0.01))
     by_group = full.groupBy("feature_id", "grp").agg(low.alias("l1"), (F.count("value") / F.count("*")).alias("rate"))
     by_feature = full.groupBy("feature_id").agg(low.alias("l2"))
