@@ -15,27 +15,30 @@ from sparkloom.llm.shared import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
+    """Documents that no rule of the cascade rejects: null and empty texts go, repeated rows and null ids are like any other."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur across documents; n_chars follows the text."""
+    """Documents without lines that recur across documents; n_chars follows the text.
+
+    All rows stay; null texts stay null, with null n_chars; rows with a null id keep no recurring line; repeated rows lose the same.
+    """
     return line_dedup.drop_recurring(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest id; null and empty texts, and rows with a null id, stay."""
     return near_dedup.keep_first(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; rows without text stay, and of repeated rows all or none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, as counts and digests."""
+    """Token ids of each document, as counts and digests; a null text is an empty one, and each row has a row."""
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -46,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the scratch folder for the next."""
+    """All stages over documents; what a stage returns is written to the scratch folder for the next. Empty documents give an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")

@@ -76,10 +76,22 @@ def place(df: DataFrame, key_col: str, shards: Sequence[str], size: int | None =
 
 
 def write_shards(df: DataFrame, key_col: str, shards: Sequence[str], path: str, files_per_shard: int = 1) -> None:
-    """df's rows under path/shard=NAME. A shard's rows go to several tasks and files, by a hash of all columns' text."""
-    if "shard" in df.columns or "_slot" in df.columns:
-        raise ValueError("columns named shard or _slot are in the way")
+    """df's rows under path/shard=NAME. A shard's rows go to several tasks and files, by a hash of all columns' text.
+
+    A null key is like an empty string; repeated rows are each written, and go to one file. A column of df named shard is
+    written as _shard (with more underscores if that is taken too); an empty table writes no shard.
+    """
+    named = df
+    for c in df.columns:
+        if c == "shard":
+            new = "_shard"
+            while new in df.columns:
+                new = f"_{new}"
+            named, key_col = df.withColumnRenamed("shard", new), new if key_col == "shard" else key_col
+    at = "_slot"
+    while at in named.columns:
+        at = f"_{at}"
     table, n = _table(df, shards, None)
-    placed = df.withColumn("_slot", slot(F.col(key_col), n)).join(F.broadcast(table.withColumnRenamed("slot", "_slot")), "_slot").drop("_slot")
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in df.columns)), F.lit(files_per_shard))
+    placed = named.withColumn(at, slot(F.col(key_col), n)).join(F.broadcast(table.withColumnRenamed("slot", at)), at).drop(at)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in named.columns)), F.lit(files_per_shard))
     placed.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)

@@ -685,6 +685,36 @@ def test_shards_are_written(spark, tmp_path):
     assert {r["doc_id"]: r["shard"] for r in spark.read.parquet(path).collect()} == placed
 
 
+def test_shards_of_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x", "old", 7), (None, None, None, None), (1, "x", "old", 7)], "doc_id long, text string, shard string, _slot int")
+    sharding.write_shards(docs, "shard", ["a", "b"], path := str(tmp_path / "s"), 3)
+    got = spark.read.parquet(path)
+    assert sorted(got.columns) == ["_shard", "_slot", "doc_id", "shard", "text"] and got.count() == 3
+    placed = {r["shard"]: r["_shard"] for r in got.select("shard", "_shard").collect()}
+    expected = {r["shard"] for r in sharding.place(docs.withColumnRenamed("shard", "k"), "k", ["a", "b"]).collect()}
+    assert placed.keys() == expected
+    sharding.write_shards(docs.limit(0), "doc_id", ["a"], str(tmp_path / "t"))
+
+
+def test_edges_have_defined_results(spark, edges):
+    """What becomes of nulls, empty and very long texts, repeated rows and ids, and clashing columns."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = quality_rules.judge(edges).collect()
+    assert not any(r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4, 5)) and {r["n_words"] for r in got if r["doc_id"] == 7} == {30_000}
+    near = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(edges).collect()), key=str)
+    assert near == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (7, 1, 7, True), (8, 1, 8, True), (None, 1, None, True)], key=str)
+    lines = {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_recurring(edges, counts=True).collect()}
+    assert lines == {(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 1, 0), (5, 1, 0), (None, 1, 0), (7, 1, 0), (8, 1, 0)}
+    tokens = {r["doc_id"]: r for r in sentencepiece_bpe.encode_decode(edges, path).collect()}
+    assert tokens[1]["n_tokens"] == tokens[2]["n_tokens"] == 2 and tokens[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert tokens[8]["decoded_sha256"] == hashlib.sha256(("é" * 5_000).encode()).hexdigest()
+    scored = [(r["doc_id"], r["score"]) for r in toxicity.score(edges, toxicity._constant(0.25)).collect()]
+    assert len(scored) == len(EDGES) and {round(s, 9) for _, s in scored} == {0.25}
+    long = docs_of(spark, [(k, " ".join(f"w{k}{i}" for i in range(40_000))) for k in range(2)])
+    assert [r["n_shingles"] for r in near_dedup.near_duplicates(long).collect()] == [39_996] * 2
+    assert line_dedup.drop_recurring(long).select("text").exceptAll(long.select("text")).count() == 0
+
+
 # 10: quality rules
 
 
