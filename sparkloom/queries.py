@@ -253,7 +253,7 @@ def p24_a16_motifs(spark: SparkSession, sf: str) -> DataFrame:
     return composition.motif_summary(cells(spark, sf), N.motifs(name)).select("motif", "n_features", "n_samples", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("highest", 2).alias("highest"))
 
 
-@query(", t AS (SELECT sample_id, grp, lipid_class, sum(value) AS total FROM cells GROUP BY ALL), d AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in composition.CLASS_RATIOS) + ") v(a, b)) SELECT x.sample_id, x.grp, a || '/' || b AS ratio, round((x.total + 1e-9) / (y.total + 1e-9), 6) AS value, round(log2((x.total + 1e-9) / (y.total + 1e-9)), 6) AS log2_value FROM d JOIN t x ON x.lipid_class = a JOIN t y ON y.lipid_class = b AND y.sample_id = x.sample_id")
+@query(", t AS (SELECT sample_id, grp, lipid_class, sum(value) AS total FROM cells GROUP BY ALL), d AS (SELECT * FROM (VALUES ('FA', 'TG'), ('MG', 'TG'), ('DG', 'TG'), ('DG', 'PC'), ('DG', 'PE'), ('DG', 'PA'), ('CL', 'PG'), ('PE', 'PG'), ('PE', 'PS'), ('PE', 'PA'), ('PG', 'PA'), ('PS', 'PA'), ('SM', 'Cer'), ('CE', 'ST')) v(a, b)) SELECT x.sample_id, x.grp, a || '/' || b AS ratio, round((x.total + 1e-9) / (y.total + 1e-9), 6) AS value, round(log2((x.total + 1e-9) / (y.total + 1e-9)), 6) AS log2_value FROM d JOIN t x ON x.lipid_class = a JOIN t y ON y.lipid_class = b AND y.sample_id = x.sample_id")
 def a17_class_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return composition.class_ratios(cells(spark, sf)).select("sample_id", "grp", "ratio", r("value").alias("value"), r("log2_value").alias("log2_value"))
 
@@ -421,7 +421,7 @@ def flow_class_totals(spark: SparkSession, sf: str) -> DataFrame:
 # Annotation
 
 
-LIBRARY = ", lib AS (SELECT feature_id AS lib_id, neutral_mass * (1 + 1e-6::DOUBLE * ((feature_id / 50) % 5)) AS neutral_mass FROM features WHERE feature_id % 50 = 0), md AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{a}', {n}, {x!r}::DOUBLE, {abs(z)})" for p, a, n, x, z in annotate.ADDUCT_MODELS) + ") v(polarity, adduct, n, added, z)), th AS (SELECT lib_id, polarity, adduct, (n * neutral_mass + added) / z AS theo FROM lib CROSS JOIN md) "
+LIBRARY = ", lib AS (SELECT feature_id AS lib_id, neutral_mass * (1 + 1e-6::DOUBLE * ((feature_id / 50) % 5)) AS neutral_mass FROM features WHERE feature_id % 50 = 0), md AS (SELECT * FROM (VALUES ('Pos', '[M+H]+', 1, 1.007825, 1), ('Pos', '[M+NH4]+', 1, 18.033823, 1), ('Pos', '[M-H2O+H]+', 1, -17.002740, 1), ('Pos', '[M+Na]+', 1, 22.989769, 1), ('Pos', '[M+2Na-H]+', 1, 44.971714, 1), ('Pos', '[2M+H]+', 2, 1.007825, 1), ('Pos', '[3M+H]+', 3, 1.007825, 1), ('Pos', '[2M+NH4]+', 2, 18.033823, 1), ('Pos', '[3M+NH4]+', 3, 18.033823, 1), ('Pos', '[2M+Na]+', 2, 22.989769, 1), ('Pos', '[3M+Na]+', 3, 22.989769, 1), ('Pos', '[2M+2Na-H]+', 2, 44.971714, 1), ('Pos', '[M+2H]2+', 1, 2.015650, 2), ('Pos', '[M+2NH4]2+', 1, 36.067646, 2), ('Neg', '[M-H]-', 1, -1.007825, 1), ('Neg', '[M+HCOO]-', 1, 44.998201, 1), ('Neg', '[2M-H]-', 2, -1.007825, 1), ('Neg', '[2M+HCOO]-', 2, 44.998201, 1), ('Neg', '[3M-H]-', 3, -1.007825, 1), ('Neg', '[3M+HCOO]-', 3, 44.998201, 1), ('Neg', '[M-2H]2-', 1, -2.015650, 2), ('Neg', '[M+2HCOO]2-', 1, 89.996402, 2)) v(polarity, adduct, n, added, z)), th AS (SELECT lib_id, polarity, adduct, (n * neutral_mass + added::DOUBLE) / z AS theo FROM lib CROSS JOIN md) "
 
 
 def library(spark: SparkSession, sf: str) -> DataFrame:

@@ -406,6 +406,32 @@ def t16_correlations_of_a_group(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.class_correlations(of).select("lipid_class", "id1", "id2", r("r", 5).alias("r"))
 
 
+TOP = KRUSKAL + ", tp AS (SELECT feature_id FROM kp WHERE p IS NOT NULL ORDER BY round(p, 12), feature_id LIMIT 50)"
+
+
+@query(TOP + ", k AS (SELECT feature_id, sample_id, value FROM cells JOIN tp USING (feature_id) WHERE value > 0), c AS (SELECT a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT id1, id2, n, round(r, 6) AS r FROM c")
+def t13_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The correlations of the 50 features that tell the groups apart best, of any class."""
+    top = tests.top_features(tests.kruskal(tested(spark, sf), closed_form=True), 50).select("feature_id")
+    of = cells(spark, sf).join(F.broadcast(top), "feature_id").withColumn("lipid_class", F.lit("all"))  # 50 rows
+    return multivariate.class_correlations(of).select("id1", "id2", "n", r("r").alias("r"))
+
+
+@query(", k AS (SELECT lipid_class, grp, feature_id, sample_id, value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.grp, a.feature_id, b.feature_id AS id2, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 3) SELECT lipid_class, grp, count(r) AS pairs, round(avg(r), 4) AS mean_r, round(avg(abs(r)), 4) AS mean_abs_r FROM c GROUP BY ALL")
+def t13_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of each class's correlations inside each group of samples."""
+    of = cells(spark, sf).withColumn("lipid_class", F.concat_ws("|", "lipid_class", "grp"))
+    out = multivariate.correlation_summary(multivariate.class_correlations(of))
+    part = lambda k: F.split_part("lipid_class", F.lit("|"), F.lit(k))
+    return out.select(part(1).alias("lipid_class"), part(2).alias("grp"), "pairs", r("mean_r", 4).alias("mean_r"), r("mean_abs_r", 4).alias("mean_abs_r"))
+
+
+@query("SELECT feature_id, sample_id, value FROM cells JOIN (SELECT feature_id, msms_score FROM features) USING (feature_id) WHERE msms_score > 400")
+def s11_high_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    tier = X.features(spark, sf).select("feature_id", N.annotation_tier(F.lit(""), F.col("msms_score")).alias("annotation_tier"))
+    return tables.variant(cells(spark, sf).join(tier, "feature_id"), with_qc=True, high_confidence=True).select("feature_id", "sample_id", "value")
+
+
 # Projections
 
 
