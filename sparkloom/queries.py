@@ -763,10 +763,10 @@ def t13_class_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("lipid_class", "pairs", *(r(c, 5).alias(c) for c in ("mean_r", "median_r", "mean_abs_r")))
 
 
-@query(SPEARMAN + "SELECT lipid_class, feature_id AS id1, id2, round(r, 6) AS r FROM c")
+@query(SPEARMAN + "SELECT lipid_class, feature_id AS id1, id2, round(r + 1e-9, 6) AS r FROM c")
 def t13_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Spearman's correlation of each pair of a class; t13_all_spearman_summary sums them up."""
-    return multivariate.class_correlations(cells(spark, sf), ranks=True).select("lipid_class", "id1", "id2", r("r").alias("r"))
+    """Spearman's correlation of each pair of a class; t13_all_spearman_summary sums them up. Ratios of ranks are moved off ties."""
+    return multivariate.class_correlations(cells(spark, sf), ranks=True).select("lipid_class", "id1", "id2", r(F.col("r") + 1e-9).alias("r"))
 
 
 FISHER = """, k AS (SELECT lipid_class, grp, feature_id, sample_id, value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.grp, a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 4)
