@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import percentiles
+from ..scale import percentiles, written
 
 #: Values above this are detected.
 DETECTED = 1e-9
@@ -57,7 +57,7 @@ def contaminant_filter(features: DataFrame, contaminants: DataFrame, ppm: float
 def flat_filter(cells: DataFrame, features: DataFrame, flat_rsd: float = 0.05, unstable_rsd: float = 1.2) -> DataFrame:
     """features that are flat at a low level, saturated, or unstable at a low level; standards are spared."""
     seen = cells.where(F.col("value") > DETECTED).groupBy("feature_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    seen = seen.withColumn("rsd", F.when(F.col("n") >= 3, F.col("sd") / F.col("mean")))
+    seen = written(seen.withColumn("rsd", F.when(F.col("n") >= 3, F.col("sd") / F.col("mean"))), "seen")
     limits = percentiles(seen, "mean", {"q10": 0.1, "q99": 0.99})
     of = features.join(seen, "feature_id", "left").join(F.broadcast(limits), F.lit(True), "left")  # limits is one row at most
     flat = F.col("rsd") < flat_rsd

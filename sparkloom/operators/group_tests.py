@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_p, f_p, normal_p, signed_rank_p, t_p
-from ..scale import ranked
+from ..scale import ranked, written
 
 
 def group_moments(cells: DataFrame, *key: str) -> DataFrame:
@@ -129,6 +129,7 @@ def benjamini_hochberg(tests: DataFrame, *family: str, p: str = "p", out: str =
 
     Ranks and the minima from above are taken in ranges of p, and then over ranges, so a task sorts a range, not a family.
     """
+    tests = written(tests, "tests")  # read three times below
     of = ranked(tests, p, *family).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_rank"))
     here = Window.partitionBy(*family, "_part").orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     lowest = of.groupBy(*family, "_part").agg(F.min("_raw").alias("_low"))

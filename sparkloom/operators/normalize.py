@@ -133,13 +133,14 @@ def semi_quantify(ratios: DataFrame, stock: DataFrame, dilution: float | None) -
 
 def median_normalize(cells: DataFrame, *by: str) -> DataFrame:
     """Values over the median of their sample (and of by); zeros are missing."""
-    known = cells.withColumn("value", F.nullif("value", F.lit(0.0)))
+    known = written(cells.withColumn("value", F.nullif("value", F.lit(0.0))), "known")  # read three times below
     mids = percentiles(known, "value", {"mid": 0.5}, "sample_id", *by)
     return known.join(F.broadcast(mids), ["sample_id", *by], "left").withColumn("value", F.col("value") / F.nullif("mid", F.lit(0.0))).drop("mid")
 
 
 def class_median_normalize(cells: DataFrame, least: int = 5) -> DataFrame:
     """Values over the median of their class in the sample, for classes of five features or more."""
+    cells = written(cells, "cells")  # read four times below
     sizes = cells.groupBy("lipid_class").agg(F.count_distinct("feature_id").alias("size"))
     mids = percentiles(cells, "value", {"mid": 0.5}, "lipid_class", "sample_id").join(F.broadcast(sizes), "lipid_class")
     divisor = F.when(F.col("size") >= least, F.coalesce(F.nullif("mid", F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
