@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -195,13 +195,14 @@ def a13_other_regressions(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("lipid_class", "grp", "dbe_n", "ratio_n", r("mean_ratio").alias("mean_ratio"), r("dbe_slope").alias("dbe_slope"), r("ratio_slope", 5).alias("ratio_slope"))
 
 
-MOTIF = F.concat("lipid_class", F.lit(" "), F.col("carbons").cast("string"), F.lit(":"), F.col("dbe").cast("string"), F.lit("_16:0"))
+def motif_name() -> Column:
+    return F.concat("lipid_class", F.lit(" "), F.col("carbons").cast("string"), F.lit(":"), F.col("dbe").cast("string"), F.lit("_16:0"))
 
 
 @query(""", x AS (SELECT sample_id, grp, value, unnest(list_distinct([carbons || ':' || dbe, '16:0'])) AS motif FROM cells), t AS (SELECT sample_id, grp, motif, sum(value) AS v FROM x GROUP BY ALL), p AS (SELECT *, v / sum(v) OVER (PARTITION BY sample_id) AS share FROM t), g AS (SELECT grp, motif, avg(share) AS share FROM p GROUP BY ALL)
 SELECT grp, motif, split_part(motif, ':', 1)::INT AS carbons, split_part(motif, ':', 2)::INT AS dbe, round(share, 6) AS share, round(log2(share / avg(share) OVER (PARTITION BY motif)), 5) AS log2_enrichment FROM g""")
 def a16_motif_surface(spark: SparkSession, sf: str) -> DataFrame:
-    return composition.motif_enrichment(cells(spark, sf), N.motifs(MOTIF)).select("grp", "motif", "carbons", "dbe", r("share").alias("share"), r("log2_enrichment", 5).alias("log2_enrichment"))
+    return composition.motif_enrichment(cells(spark, sf), N.motifs(motif_name())).select("grp", "motif", "carbons", "dbe", r("share").alias("share"), r("log2_enrichment", 5).alias("log2_enrichment"))
 
 
 RATIOS = """, x AS (SELECT c.*, feature_id % 3 = 0 AS plas, mid, known FROM cells c LEFT JOIN (SELECT lipid_class, median(carbons) AS mid, count(*) AS known FROM features GROUP BY lipid_class) USING (lipid_class)),
@@ -377,7 +378,7 @@ def t8_gate_of_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def t8_gate_of_motifs(spark: SparkSession, sf: str) -> DataFrame:
-    of = composition.motif_cells(tested(spark, sf), N.motifs(MOTIF)).groupBy("motif", "sample_id", "grp").agg(F.sum("value").alias("value"))
+    of = composition.motif_cells(tested(spark, sf), N.motifs(motif_name())).groupBy("motif", "sample_id", "grp").agg(F.sum("value").alias("value"))
     return tests.gate(tests.kruskal(of, "motif"), tests.welch(tests.group_moments(of, "motif"), "motif"), "motif")
 
 

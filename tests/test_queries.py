@@ -53,3 +53,13 @@ def test_other_queries_without_the_training_data_operators(monkeypatch):
     monkeypatch.setitem(sys.modules, "public_tokenizers", None)
     assert __spark_entry__.queries().keys() == reference.QUERIES.keys()
     assert __spark_entry__.oracle_sql() == reference.SQL
+
+
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and len(e.oracle_sql()) > 120"
+    assert subprocess.run([sys.executable, "-c", code], cwd=here, check=False).returncode == 0
