@@ -134,21 +134,22 @@ def generalised(rest: DataFrame) -> DataFrame | None:
     rest: template, leaf, flat, bodies (few, for a line that does not recur as it is), a row for each distinct line. In a
     round, of each node whose template fits half of its lines or more, or that has no position to divide by, the lines that
     fit are taken, and in the first case the others are a new node; all other nodes are divided. So a node has at most
-    STAYS of the lines of the one before, and rounds are few. A node of fewer than MIN_DOCS bodies ends.
+    STAYS of the lines of the one before, and rounds are few. A node of fewer than MIN_DOCS bodies ends. What is known of
+    nodes is written before lines are joined to it: so a short list is sent to the lines, and a join with a long one can be split.
     """
     found: DataFrame | None = None
 
     def open_(of: DataFrame) -> DataFrame:
         live = of.select("node", F.explode("bodies").alias("body")).distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("node")
-        return written(of.join(live, "node", "left_semi"), "nodes")
+        return written(of.join(written(live, "live"), "node", "left_semi"), "nodes")
 
     nodes = open_(rest.select("template", "flat", "bodies", F.col("leaf").alias("node")))
     while nodes.head(1):
-        judged = nodes.join(_verdicts(nodes), "node").withColumn("tokens", _tokens())
+        judged = nodes.join(written(_verdicts(nodes), "verdicts"), "node").withColumn("tokens", _tokens())
         fits = F.coalesce(F.forall("kept", lambda k: F.get("tokens", k["position"]) == k["token"]), F.lit(False))
         judged = written(judged.withColumn("fits", fits).withColumn("child", F.xxhash64("node", "split", F.get("tokens", F.col("split")))).drop("tokens", "kept"), "judged")
         shares = judged.groupBy("node").agg((2 * F.count_if("fits") >= F.count("*")).alias("mostly"))
-        judged = judged.join(shares, "node").withColumn("taken", F.col("fits") & (F.col("mostly") | F.col("split").isNull()))
+        judged = judged.join(written(shares, "shares"), "node").withColumn("taken", F.col("fits") & (F.col("mostly") | F.col("split").isNull()))
         now = judged.where("taken").select("template", "node")
         found = now if found is None else found.unionByName(now)
         child = F.when(F.col("mostly"), F.xxhash64("node", F.lit("others"))).otherwise(F.col("child"))
