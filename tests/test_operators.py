@@ -238,7 +238,7 @@ def test_flow_keeps_or_removes_each_feature(spark, sf):
     rows = queries.QUERIES["flow_annotated_table"](spark, sf).collect()
     ids = {r["feature_id"] for r in queries.X.features(spark, sf).where("polarity = 'Pos'").collect()}
     assert len(rows) == len(ids) and {r["feature_id"] for r in rows} == ids
-    assert len({r["step"] for r in rows}) > 4
+    assert {"QC", "annotation"} <= {r["step"] for r in rows}  # so small a table has few other reasons
 
 
 def test_read_and_reshape(spark, tmp_path):
