@@ -32,6 +32,31 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return written(df.repartitionByRange(*map(F.col, order)).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
+def running_sum(df: DataFrame, amount: str, order: list[str], by: list[str] | None = None, out: str = "before") -> DataFrame:
+    """df with the sum of `amount` over the rows of the same `by` that come before in the order, as `out`; nulls sort first.
+
+    Rows are ranged by (by, order), so no task holds a family: each range adds up its own rows, from where the ranges
+    before it end. Keys (by, order) have to be distinct: add up repeated ones beforehand. A null `by` is a family like any other.
+    """
+    by = by or []
+    part, size = own_name(df, "part"), own_name(df, "size")
+    of = written(df.repartitionByRange(*(F.col(f"`{c}`") for c in (*by, *order))).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = of.groupBy(*by, part).agg(F.sum(amount).alias(size))
+    family = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = sizes.select(*(F.col(c).alias(f"{c}{part}") for c in by), F.col(part).alias(f"{part}{part}"), F.coalesce(F.sum(size).over(family), F.lit(0)).alias(size))  # a row for each range and family
+    same = [F.col(c).eqNullSafe(F.col(f"{c}{part}")) for c in by] + [F.col(part) == F.col(f"{part}{part}")]
+    here = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return of.join(ends, _all(same)).withColumn(out, F.coalesce(F.sum(amount).over(here), F.lit(0)) + F.col(size)).select(*df.columns, out)
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A column's name that df doesn't have."""
+    name = f"_{name}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def ranked(df: DataFrame, value: str, *by: str) -> DataFrame:
     """The rows of df with a value, with _rank (ties share the highest) and _n among those of the same `by`; _part and `by`
     tell ranges, in the order of the value.
