@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, quality_model, quality_rules, sentencepiece_bpe, sharding, toxicity, url_filter, warc
+from . import collocations, decontaminate, divergence, line_dedup, mixing, near_dedup, quality_model, quality_rules, sentencepiece_bpe, sharding, toxicity, url_filter, warc
 
 #: The shards that the query places documents in.
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -61,6 +61,18 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rule_ensemble, op2_warc_zstd, op3_decontamination, op4_odd_sketch_dedup, op5_toxicity_factorization, op6_line_templates,
-    op7_url_segmentation, op8_sentencepiece, op9_sharding, op10_quality_cascade, pipeline,
+    op7_url_segmentation, op8_sentencepiece, op9_sharding, op10_quality_cascade, op11_systematic_mixing, op12_source_divergence, op13_collocations, pipeline,
 )}
 
 
@@ -123,6 +135,59 @@ FROM b
 """
 
 
+SQL_OP11 = r"""
+WITH w AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS z, count(*) AS n FROM w GROUP BY 1),
+r AS (SELECT *, ([3, 1, 2])[(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT]::HUGEINT AS wt FROM s),
+t AS (SELECT *, row_number() OVER o AS k, 3 * sum(z) OVER () - 4 * coalesce(sum(z) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+  2 * sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den FROM r WINDOW o AS (ORDER BY z * 6 // wt, source NULLS LAST)),
+l AS (SELECT num, den FROM t WHERE num * wt <= 2 * z * den ORDER BY k LIMIT 1),
+f AS (SELECT source, z, n, wt, CASE WHEN l.num * wt > 2 * z * l.den THEN 2 * z ELSE l.num * wt END AS num, CASE WHEN l.num * wt > 2 * z * l.den THEN 1::HUGEINT ELSE l.den END AS den FROM r, l),
+g AS (SELECT source, z, n, num::DOUBLE / den::DOUBLE AS target, CASE WHEN z > 0 THEN num ELSE 0 END AS step, greatest(1::HUGEINT, den * z) AS base,
+  ('0x' || substr(md5('11|' || coalesce('=' || source, '')), 1, 15))::BIGINT::HUGEINT AS u FROM f),
+d AS (SELECT w.doc_id, w.size, g.*, row_number() OVER (PARTITION BY w.source ORDER BY w.size, w.doc_id) - 1 AS k FROM w JOIN g ON w.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, CASE WHEN k % 2 = 0 THEN k // 2 ELSE n - 1 - k // 2 END::HUGEINT AS place, u % base AS o FROM d)
+SELECT doc_id, size, z::BIGINT AS source_size, target, (size * ((o + (place + 1) * step) // base - (o + place * step) // base))::BIGINT AS taken FROM p
+"""
+
+SQL_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+c AS MATERIALIZED (SELECT i, lang, source, t, count(*) AS c FROM (SELECT i, lang, source, unnest(ws) AS t FROM d) GROUP BY ALL),
+v AS MATERIALIZED (SELECT lang, t FROM c GROUP BY lang, t HAVING count(*) >= 30),
+s AS MATERIALIZED (SELECT lang, source, t, sum(c) AS c FROM c JOIN v USING (lang, t) GROUP BY ALL),
+g AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM s GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM v GROUP BY ALL) USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, v.t, coalesce(s.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(s.c, 0) + 5)) // (coalesce(g.n, 0) + 5 * g.v) AS p FROM g JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.t = v.t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, t, sum(c) AS c FROM s GROUP BY ALL)),
+e AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS o, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.o = b.source
+  UNION ALL SELECT lang, source, 'term', t, p - q FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM e
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+SQL_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+x AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM x GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT lang, m, g, count(*)::HUGEINT AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS g FROM x, (SELECT unnest([1, 2, 3, 4]) AS m))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, m, g, f AS a, string_split(g, ' ') AS ws FROM f WHERE m > 1),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score FROM k JOIN f l ON l.lang = k.lang AND l.m = k.k AND l.g = array_to_string(ws[1:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.m = k.m - k.k AND r.g = array_to_string(ws[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, m, g ORDER BY score, k) = 1),
+h AS (SELECT lang, m, g, max(a) AS a FROM (
+  SELECT lang, w AS m, unnest(list_transform(range(1, m - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' '))) AS g, a FROM (SELECT *, unnest(range(2, m)) AS w FROM c)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.g)::BIGINT AS rank, b.g AS phrase, b.a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n::BIGINT AS n, score::BIGINT AS score
+FROM b JOIN n USING (lang) LEFT JOIN h ON h.lang = b.lang AND h.m = b.m AND h.g = b.g WHERE h.a IS NULL OR 100 * h.a < 80 * b.a
+QUALIFY rank <= 2000
+"""
+
+
 def sql_op9() -> str:
     """The table is written out: SQL checks the placement, tests check the table."""
     slots = sharding.lookup_table(SHARDS)
@@ -133,4 +198,5 @@ SELECT doc_id, slot, 'shard-' || lpad(({slots})[slot + 1]::VARCHAR, 2, '0') AS s
 
 
 def sql() -> dict[str, str]:
-    return {"op2_warc_zstd": SQL_OP2, "op4_odd_sketch_dedup": SQL_OP4, "op9_sharding": sql_op9(), "op10_quality_cascade": SQL_OP10}
+    return {"op2_warc_zstd": SQL_OP2, "op4_odd_sketch_dedup": SQL_OP4, "op9_sharding": sql_op9(), "op10_quality_cascade": SQL_OP10,
+            "op11_systematic_mixing": SQL_OP11, "op12_source_divergence": SQL_OP12, "op13_collocations": SQL_OP13}
