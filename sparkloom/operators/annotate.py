@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import acyls, carbon_bin, carbon_ratio, class_of, first_chain, headgroup, is_oxidized, is_polyunsaturated, kendrick_defect, modifications, n_modifications, parity, total
+from ..scale import largest_family, percentiles
 from .clean import flagged
 
 # Masses, and adduct models as (polarity, adduct, molecules, added mass, charge).
@@ -136,9 +137,13 @@ def score(features: DataFrame, organism: str = "mammalian", weights: dict[str, f
 
 
 def kendrick_filter(features: DataFrame, tolerance: float = 0.95, least: int = 7) -> DataFrame:
-    """features whose Kendrick defect is off their class's median; classes of up to six features pass."""
+    """features whose Kendrick defect is off their class's median; classes of up to six features pass, and rows without a class.
+
+    A feature without a mass is removed if its class has a median. An empty table stays empty.
+    """
     of = features.withColumn("kmd", kendrick_defect(F.col("neutral_mass")))
-    mids = of.groupBy("lipid_class").agg(F.median("kmd").alias("mid"), F.count("kmd").alias("size"))
+    sizes = of.groupBy("lipid_class").agg(F.count("kmd").alias("size"))
+    mids = percentiles(of, "kmd", {"mid": 0.5}, "lipid_class").join(sizes, "lipid_class")  # a row for each class
     far = (F.col("size") >= least) & (F.coalesce(F.abs(F.col("kmd") - F.col("mid")), F.lit(float("inf"))) > tolerance)
     return flagged(of.join(F.broadcast(mids), "lipid_class", "left"), far, "Kendrick defect").drop("mid", "size")
 
@@ -161,9 +166,9 @@ def ccs_filter(features: DataFrame, *key: str, scaled: bool = True, far: float =
         measured = library.where("ccs IS NOT NULL AND carbons IS NOT NULL").groupBy(*key).agg(F.regr_slope("ccs", "carbons").alias("_b"), F.regr_intercept("ccs", "carbons").alias("_a"), F.count("*").alias("_n")).where(F.col("_n") >= least_library)
         line = line.join(measured, list(key), "left").select(*key, F.when(F.col("_n").isNotNull(), F.col("_b")).otherwise(F.col("slope")).alias("slope"), F.when(F.col("_n").isNotNull(), F.col("_a")).otherwise(F.col("at0")).alias("at0"), "size")
     of = features.join(line, list(key), "left").withColumn("residual", F.col("ccs") - (F.col("slope") * F.col("carbons") + F.col("at0")))
-    mids = of.groupBy(*key).agg(F.median("residual").alias("mid"))
-    of = of.join(mids, list(key), "left").withColumn("off", F.abs(F.col("residual") - F.col("mid")))
-    of = of.join(of.groupBy(*key).agg(F.median("off").alias("mad")), list(key), "left")
+    largest = largest_family(features, *key)
+    of = of.join(percentiles(of, "residual", {"mid": 0.5}, *key, largest=largest), list(key), "left").withColumn("off", F.abs(F.col("residual") - F.col("mid")))
+    of = of.join(percentiles(of, "off", {"mad": 0.5}, *key, largest=largest), list(key), "left")
     if scaled:
         of = of.withColumn("robust_z", F.col("off") / F.greatest(F.lit(floor), F.lit(1.4826) * F.col("mad")))
         remove = (F.abs("residual") > far) & (F.col("robust_z") >= limit)

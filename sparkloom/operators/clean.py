@@ -54,6 +54,11 @@ def contaminant_filter(features: DataFrame, contaminants: DataFrame, ppm: float
     return flagged(features.join(hit, "feature_id", "left"), F.col("contaminant").isNotNull(), F.concat(F.lit("Contaminant: "), "contaminant"))
 
 
+def median_rsd(stats: DataFrame) -> DataFrame:
+    """A3: the median RSD of each group over features: grp, median_rsd. stats: grp, rsd_pct; groups without an RSD have no row."""
+    return percentiles(stats, "rsd_pct", {"median_rsd": 0.5}, "grp")
+
+
 def flat_filter(cells: DataFrame, features: DataFrame, flat_rsd: float = 0.05, unstable_rsd: float = 1.2) -> DataFrame:
     """features that are flat at a low level, saturated, or unstable at a low level; standards are spared."""
     seen = cells.where(F.col("value") > DETECTED).groupBy("feature_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))

@@ -11,6 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scale import largest_family, percentiles
 from .group_tests import group_moments, welch
 
 # Class ratios and product/substrate ratios as (numerator, denominator).
@@ -301,14 +302,16 @@ def comparison_effects(table: DataFrame, top: float = 0.9) -> DataFrame:
     """For each comparison and class: features, those with p < .05 (also by direction), those in the strongest tenth by |g|,
     changes up and down with their shares, and medians. table: grp1, grp2, lipid_class, log2fc, g, p."""
     key = ["grp1", "grp2"]
-    cut = table.groupBy(*key).agg(F.percentile(F.abs("g"), F.lit(top)).alias("cut"))
-    of = table.join(F.broadcast(cut), key)  # a row for each comparison
+    table = table.withColumn("lipid_class", F.coalesce(F.nullif(F.trim("lipid_class"), F.lit("")), F.lit("Unknown")))
+    largest = largest_family(table, *key)
+    of = table.join(percentiles(table, F.abs("g"), {"cut": top}, *key, largest=largest), key, "left")
     low, up, down = F.coalesce(F.col("p") < 0.05, F.lit(False)), F.count_if(F.col("log2fc") > 0), F.count_if(F.col("log2fc") < 0)
-    out = of.groupBy(*key, F.coalesce(F.nullif(F.trim("lipid_class"), F.lit("")), F.lit("Unknown")).alias("lipid_class")).agg(
+    out = of.groupBy(*key, "lipid_class").agg(
         F.count("*").alias("n"), F.count_if(low).alias("n_low_p"), F.count_if(F.abs("g") >= F.col("cut")).alias("n_strong"), up.alias("up"), down.alias("down"),
-        F.count_if(low & (F.col("log2fc") > 0)).alias("low_p_up"), F.count_if(low & (F.col("log2fc") < 0)).alias("low_p_down"), F.median("log2fc").alias("median_log2fc"),
-        F.avg("log2fc").alias("mean_log2fc"), F.median(F.abs("log2fc")).alias("median_abs_log2fc"), F.median(F.abs("g")).alias("median_abs_g"),
+        F.count_if(low & (F.col("log2fc") > 0)).alias("low_p_up"), F.count_if(low & (F.col("log2fc") < 0)).alias("low_p_down"), F.avg("log2fc").alias("mean_log2fc"),
     )
+    for value, name in ((F.col("log2fc"), "median_log2fc"), (F.abs("log2fc"), "median_abs_log2fc"), (F.abs("g"), "median_abs_g")):
+        out = out.join(percentiles(table, value, {name: 0.5}, *key, "lipid_class", largest=largest), [*key, "lipid_class"], "left")
     return out.withColumns({"up_share": F.col("up") / F.col("n"), "down_share": F.col("down") / F.col("n"), "same_direction": F.greatest("up", "down") / F.col("n")})
 
 
@@ -317,12 +320,15 @@ def class_effects(table: DataFrame, top: float = 0.9) -> DataFrame:
 
     table: (feature_id, lipid_class, log2fc).
     """
-    cut = table.agg(F.percentile(F.abs("log2fc"), F.lit(top)).alias("cut"))
-    of = table.crossJoin(F.broadcast(cut))  # one row
-    return of.groupBy("lipid_class").agg(
-        F.count("*").alias("n"), F.count_if(F.abs("log2fc") >= F.col("cut")).alias("n_strong"), F.median("log2fc").alias("median_log2fc"), F.avg("log2fc").alias("mean_log2fc"),
-        F.count_if(F.col("log2fc") > 0).alias("up"), F.count_if(F.col("log2fc") < 0).alias("down"), F.median(F.abs("log2fc")).alias("median_abs"),
+    largest = largest_family(table)
+    of = table.join(F.broadcast(percentiles(table, F.abs("log2fc"), {"cut": top}, largest=largest)), F.lit(True), "left")  # one row
+    out = of.groupBy("lipid_class").agg(
+        F.count("*").alias("n"), F.count_if(F.abs("log2fc") >= F.col("cut")).alias("n_strong"), F.avg("log2fc").alias("mean_log2fc"),
+        F.count_if(F.col("log2fc") > 0).alias("up"), F.count_if(F.col("log2fc") < 0).alias("down"),
     )
+    for value, name in ((F.col("log2fc"), "median_log2fc"), (F.abs("log2fc"), "median_abs")):
+        out = out.join(percentiles(table, value, {name: 0.5}, "lipid_class", largest=largest), "lipid_class", "left")
+    return out
 
 
 def design_check(samples: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_p, f_p, normal_p, signed_rank_p, t_p
-from ..scale import ranked, written
+from ..scale import FAMILY, least_from_above, own_name, value_ranks, written
 
 
 def group_moments(cells: DataFrame, *key: str) -> DataFrame:
@@ -127,18 +127,24 @@ def fold_change(cells: DataFrame) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, *family: str, p: str = "p", out: str = "fdr") -> DataFrame:
     """Tests with the false-discovery rate within each family; null for a null p.
 
-    Ranks and the minima from above are taken in ranges of p, and then over ranges, so a task sorts a range, not a family.
+    Distinct p are ranked, with how many tests have each, and tests take their rate by a join; so equal p, however many,
+    are one row. A family of more distinct p than a task may hold is ranked in ranges, and the least from above is taken in
+    ranges too. A null family is a family; columns may have any names but `out`, which is replaced; an empty table stays empty.
     """
-    tests = written(tests, "tests")  # read three times below
-    of = ranked(tests, p, *family).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_rank"))
-    here = Window.partitionBy(*family, "_part").orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    lowest = of.groupBy(*family, "_part").agg(F.min("_raw").alias("_low"))
-    above = (Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    later = lowest.select(*family, "_part", F.min("_low").over(above).alias("_later"))  # a row for each range and family
-    same = [of[c].eqNullSafe(later[c]) for c in family] + [of["_part"] == later["_part"]]
-    joined = of.join(F.broadcast(later), reduce(and_, same)).drop(*(later[c] for c in (*family, "_part")))
-    rated = joined.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(here), F.coalesce("_later", F.lit(1.0)))).select(*tests.columns, out)
-    return rated.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    tests = written(tests.drop(out), "tests")  # read twice below
+    names = {c: own_name(tests, f"family{k}") for k, c in enumerate(family)}
+    mine, rate = own_name(tests, "p"), own_name(tests, "rate")
+    rows = tests.count()
+    of = tests.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{p}`").alias(mine))
+    of = value_ranks(of, mine, *names.values(), rows=rows).withColumn("raw", F.col(mine) * F.col("n") / F.col("rank"))
+    if rows <= FAMILY:
+        above = (Window.partitionBy(*names.values()) if names else Window.partitionBy(F.lit(0))).orderBy(F.col(mine).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        of = of.withColumn("least", F.min("raw").over(above))
+    else:
+        of = least_from_above(of, "raw", mine, *names.values(), out="least")
+    of = of.select(*names.values(), mine, F.least(F.lit(1.0), "least").alias(rate))
+    same = reduce(and_, [tests[f"`{c}`"].eqNullSafe(of[n]) for c, n in names.items()], tests[f"`{p}`"] == of[mine])
+    return tests.join(of, same, "left").select(*(tests[f"`{c}`"] for c in tests.columns), F.col(rate).alias(out))
 
 
 def gate(omnibus: DataFrame, pairwise: DataFrame, *key: str, alpha: float = 0.05) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import normal_p
-from ..scale import percentiles
+from ..functions.tails import normal_p, t_p
+from ..scale import percentiles, written
 from .group_tests import benjamini_hochberg
 
 #: Samples whose matrix may be on the driver.
@@ -71,8 +72,10 @@ def class_correlations(cells: DataFrame, least: int = 3, ranks: bool = False, bl
 
 
 def correlation_summary(correlations: DataFrame) -> DataFrame:
-    """Pairs, mean, median and mean absolute correlation for each class."""
-    return correlations.groupBy("lipid_class").agg(F.count("r").alias("pairs"), F.avg("r").alias("mean_r"), F.median("r").alias("median_r"), F.avg(F.abs("r")).alias("mean_abs_r"))
+    """Pairs, mean, median and mean absolute correlation for each class; pairs without a correlation don't count."""
+    correlations = written(correlations.where("r IS NOT NULL").select("lipid_class", "r"), "correlations")  # read twice, and costly to make
+    sums = correlations.groupBy("lipid_class").agg(F.count("r").alias("pairs"), F.avg("r").alias("mean_r"), F.avg(F.abs("r")).alias("mean_abs_r"))
+    return sums.join(percentiles(correlations, "r", {"median_r": 0.5}, "lipid_class"), "lipid_class")
 
 
 def differential_correlation(cells: DataFrame, group1: str, group2: str, with_p: bool = True) -> DataFrame:
@@ -247,51 +250,74 @@ def _batch_columns(rows: list) -> dict:
 def moderated_test(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """log2 values on group and batch for each feature, with variances shrunk to a common prior; each pair of groups is contrasted.
 
-    samples: sample_id, grp, batch (at most MOST_SAMPLES, sent to all tasks). Returns feature_id, grp1, grp2, effect, t,
-    df. The prior is the mean of log variances, with 2 over their variance as degrees of freedom, between 4 and 100; with
-    under ten features the median and 4. Features lacking values for a full fit are left out, and pairs of groups that
-    a feature can't tell apart.
+    samples: sample_id, grp, batch (at most MOST_SAMPLES, sent to all tasks). Returns feature_id, grp1, grp2, effect, t, df, p and
+    fdr (within each pair of groups). The prior is the mean of log variances, with 2 over their variance as degrees of freedom,
+    between 4 and 100; with under ten features the median and 4. Features lacking values for a full fit are left out, and
+    those without a residual. Values that are null or in no sample don't count; an empty table gives an empty result.
+
+    A feature's row holds the bitmap of the samples that it has. The design is factorized once for each bitmap that a task
+    meets, and all features of a bitmap in a batch are one product.
     """
     rows = samples.orderBy("sample_id").limit(MOST_SAMPLES + 1).collect()
     if len(rows) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples")
     groups = sorted({r["grp"] for r in rows})
     batch = _batch_columns(rows)
-    design = {r["sample_id"]: [1.0, *(float(r["grp"] == g) for g in groups[1:]), *batch[r["sample_id"]]] for r in rows}
+    design = np.array([[1.0, *(float(r["grp"] == g) for g in groups[1:]), *batch[r["sample_id"]]] for r in rows]) if rows else np.zeros((0, 1))
+    place = samples.sparkSession.createDataFrame([(r["sample_id"], i) for i, r in enumerate(rows)], f"sample_id {dict(samples.dtypes)['sample_id']}, place int")
     first = percentiles(cells.where("value > 0"), "value", {"p1": 0.01}).first()
     floor = first["p1"] if first else 0.0
-    packed = cells.groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", "value")).alias("c"))
+    known = cells.where("value IS NOT NULL").join(F.broadcast(place), "sample_id")  # a row for each sample
+    packed = known.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("place", F.log2(F.col("value") + floor).alias("y")))).alias("c"))
+    packed = packed.select("feature_id", F.col("c.place").alias("places"), F.col("c.y").alias("y"))
+    ways = {}
+    for i, a in enumerate(groups):
+        for j in range(i + 1, len(groups)):
+            way = np.zeros(design.shape[1])
+            way[j] = -1.0
+            if i:
+                way[i] = 1.0
+            ways[a, groups[j]] = way
     kind = dict(cells.dtypes)["feature_id"]
 
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for i, c in zip(part["feature_id"], part["c"], strict=True):
-                known = [v for v in c if v["sample_id"] in design and v["value"] is not None]
-                x = np.array([design[v["sample_id"]] for v in known])
-                y = np.array([np.log2(v["value"] + floor) for v in known])
-                if len(y) < 3 or len(y) <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solved: dict[bytes, tuple[np.ndarray, np.ndarray] | None] = {}
+        for part in batches:
+            lengths, flat, values = part.column(1).value_lengths().to_numpy(), part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            there = np.zeros((len(lengths), len(rows)), bool)
+            there[np.repeat(np.arange(len(lengths)), lengths), flat] = True
+            bits, pattern = np.unique(np.packbits(there, axis=1), axis=0, return_inverse=True)
+            of: list[tuple] = []
+            for k in range(len(bits)):
+                mine = np.flatnonzero(pattern.ravel() == k)
+                x, n = design[there[mine[0]]], int(lengths[mine[0]])
+                key = bits[k].tobytes()
+                if key not in solved:
+                    if len(solved) >= 4_096:
+                        solved.clear()
+                    full = n >= 3 and n > x.shape[1] and np.linalg.matrix_rank(x) == x.shape[1]
+                    solved[key] = (np.linalg.inv(x.T @ x) @ x.T, np.linalg.inv(x.T @ x)) if full else None
+                if solved[key] is None:
                     continue
-                inverse = np.linalg.inv(x.T @ x)
-                beta = inverse @ x.T @ y
-                df = len(y) - x.shape[1]
-                s2 = float(((y - x @ beta) ** 2).sum() / df)
-                for a in range(len(groups)):
-                    for b in range(a + 1, len(groups)):
-                        way = np.zeros(x.shape[1])
-                        if a:
-                            way[a] = 1.0
-                        way[b] -= 1.0
-                        out.append((i, groups[a], groups[b], float(way @ beta), float(way @ inverse @ way), s2, df))
-            yield pd.DataFrame(out, columns=["feature_id", "grp1", "grp2", "effect", "v", "s2", "df"])
-
-    fits = packed.mapInPandas(fit, f"feature_id {kind}, grp1 string, grp2 string, effect double, v double, s2 double, df int").where("s2 > 0")
+                solve, inverse = solved[key]
+                y = values[starts[mine][:, None] + np.arange(n)]
+                beta = y @ solve.T
+                s2 = ((y - beta @ x.T) ** 2).sum(1) / (n - x.shape[1])
+                for (a, b), way in ways.items():
+                    of.append((mine, np.full(len(mine), a), np.full(len(mine), b), beta @ way, np.full(len(mine), way @ inverse @ way), s2, np.full(len(mine), n - x.shape[1])))
+            if of:
+                columns = [np.concatenate(c) for c in zip(*of)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0])), *(pa.array(c.tolist(), t) for c, t in zip(columns[1:], (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32())))], names=["feature_id", "grp1", "grp2", "effect", "v", "s2", "df"])
+
+    fits = written(packed.mapInArrow(fit, f"feature_id {kind}, grp1 string, grp2 string, effect double, v double, s2 double, df int").where("s2 > 0"), "fits")
     one = fits.groupBy("feature_id").agg(F.first("s2").alias("s2"))
-    prior = one.agg(F.count("*").alias("k"), F.avg(F.log("s2")).alias("m"), F.var_samp(F.log("s2")).alias("w"), F.median("s2").alias("mid"))
+    prior = one.agg(F.count("*").alias("k"), F.avg(F.log("s2")).alias("m"), F.var_samp(F.log("s2")).alias("w")).join(one.limit(10).agg(F.median("s2").alias("mid")))  # the median counts with under ten features only
     d0 = F.when(F.col("k") < 10, F.lit(4.0)).otherwise(F.greatest(F.lit(4.0), F.least(F.lit(100.0), 2 / F.greatest(F.col("w"), F.lit(1e-6)))))
     of = fits.crossJoin(F.broadcast(prior.select(F.when(F.col("k") < 10, F.col("mid")).otherwise(F.exp("m")).alias("s0"), d0.alias("d0"))))  # one row
     s2 = (F.col("d0") * F.col("s0") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df"))
-    return of.select("feature_id", "grp1", "grp2", "effect", (F.col("effect") / F.sqrt(s2 * F.col("v"))).alias("t"), (F.col("d0") + F.col("df")).alias("df"))
+    out = of.select("feature_id", "grp1", "grp2", "effect", (F.col("effect") / F.sqrt(s2 * F.col("v"))).alias("t"), (F.col("d0") + F.col("df")).alias("df"))
+    return benjamini_hochberg(out.withColumn("p", t_p("t", "df")), "grp1", "grp2")
 
 
 def mahalanobis_outliers(scores: DataFrame, alpha: float = 0.05) -> DataFrame:

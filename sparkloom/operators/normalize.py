@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import percentiles, written
+from ..scale import largest_family, percentiles
 
 
 def grid(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -25,16 +25,24 @@ def grid(cells: DataFrame, samples: DataFrame) -> DataFrame:
 def impute_detection_limit(cells: DataFrame, samples: DataFrame) -> DataFrame:
     """Missing values become a part of the detection limit: the lowest percentile of what is known, in the feature's
     group, else of the feature, else of the group, else of all. A third of it where the group detects 80 % or more, the
-    larger of a third and a fifth of the overall limit from 50 %, else a fifth. Adds `imputed`."""
-    full = written(grid(cells, samples), "grid")
+    larger of a third and a fifth of the overall limit from 50 %, else a fifth. Adds `imputed`.
+
+    samples: sample_id, grp, of bounded number; cells of other samples are left out. Zeros and nulls are missing. Without any value
+    nothing can be filled, and values stay null; an empty table stays empty.
+    """
+    design = samples.select("sample_id", "grp")
+    known = cells.where("value > 0").select("feature_id", "sample_id", "value").join(F.broadcast(design), "sample_id")  # a row for each sample
     low = F.percentile("value", F.lit(0.01))
-    by_group = full.groupBy("feature_id", "grp").agg(low.alias("l1"), (F.count("value") / F.count("*")).alias("rate"))
-    by_feature = full.groupBy("feature_id").agg(low.alias("l2"))
-    every = percentiles(full, "value", {"l4": 0.01})
-    of = full.join(by_group, ["feature_id", "grp"]).join(by_feature, "feature_id")
-    of = of.join(F.broadcast(percentiles(full, "value", {"l3": 0.01}, "grp")), "grp", "left").join(F.broadcast(every), F.lit(True), "left")  # a row for each group, and one
-    limit = F.coalesce("l1", "l2", "l3", "l4")
-    fill = F.when(F.col("rate") >= 0.8, limit / 3).when(F.col("rate") >= 0.5, F.greatest(limit / 3, F.col("l4") / 5)).otherwise(limit / 5)
+    mine = known.repartition("feature_id")
+    by_group = mine.groupBy("feature_id", "grp").agg(low.alias("l1"), F.count("value").alias("known"))
+    by_feature = mine.groupBy("feature_id").agg(low.alias("l2"))
+    largest = largest_family(known)
+    limits = design.groupBy("grp").agg(F.count("*").alias("size")).join(percentiles(known, "value", {"l3": 0.01}, "grp", largest=largest), "grp", "left")
+    limits = limits.join(percentiles(known, "value", {"l4": 0.01}, largest=largest), F.lit(True), "left")  # a row for each group
+    every = cells.select("feature_id").distinct().crossJoin(F.broadcast(design.join(limits, "grp")))
+    of = every.join(mine.select("feature_id", "sample_id", "value"), ["feature_id", "sample_id"], "left").join(by_group, ["feature_id", "grp"], "left").join(by_feature, "feature_id", "left")
+    limit, rate = F.coalesce("l1", "l2", "l3", "l4"), F.coalesce("known", F.lit(0)) / F.col("size")
+    fill = F.when(rate >= 0.8, limit / 3).when(rate >= 0.5, F.greatest(limit / 3, F.col("l4") / 5)).otherwise(limit / 5)
     return of.select("feature_id", "sample_id", "grp", F.coalesce("value", fill).alias("value"), F.col("value").isNull().alias("imputed"))
 
 
@@ -131,88 +139,142 @@ def semi_quantify(ratios: DataFrame, stock: DataFrame, dilution: float | None) -
     return ratios.join(F.broadcast(stock), "standard_id", "left").withColumn("value", F.col("value") * F.coalesce(F.col("conc") / factor, F.lit(1.0))).drop("conc")
 
 
-def median_normalize(cells: DataFrame, *by: str) -> DataFrame:
-    """Values over the median of their sample (and of by); zeros are missing."""
-    known = written(cells.withColumn("value", F.nullif("value", F.lit(0.0))), "known")  # read three times below
-    mids = percentiles(known, "value", {"mid": 0.5}, "sample_id", *by)
-    return known.join(F.broadcast(mids), ["sample_id", *by], "left").withColumn("value", F.col("value") / F.nullif("mid", F.lit(0.0))).drop("mid")
+def median_normalize(cells: DataFrame, *by: str, largest: int | None = None) -> DataFrame:
+    """Values over the median of their sample (and of by); zeros and nulls are missing, and stay so.
+
+    largest: the most cells that a sample has, if it is known (see scale.percentiles). A sample of missing values has no
+    median, and its values stay null; a null `by` is none either.
+    """
+    known = cells.withColumn("value", F.nullif("value", F.lit(0.0)))
+    mids = percentiles(known, "value", {"mid": 0.5}, "sample_id", *by, largest=largest)
+    return known.join(mids, ["sample_id", *by], "left").withColumn("value", F.col("value") / F.nullif("mid", F.lit(0.0))).drop("mid")
 
 
-def class_median_normalize(cells: DataFrame, least: int = 5) -> DataFrame:
-    """Values over the median of their class in the sample, for classes of five features or more."""
-    cells = written(cells, "cells")  # read four times below
+def class_median_normalize(cells: DataFrame, least: int = 5, largest: int | None = None) -> DataFrame:
+    """Values over the median of their class in the sample, for classes of `least` features or more; others stay as they are.
+
+    largest: as in median_normalize. A class of missing values in a sample is divided by 1; rows without a class too.
+    """
     sizes = cells.groupBy("lipid_class").agg(F.count_distinct("feature_id").alias("size"))
-    mids = percentiles(cells, "value", {"mid": 0.5}, "lipid_class", "sample_id").join(F.broadcast(sizes), "lipid_class")
+    mids = percentiles(cells, "value", {"mid": 0.5}, "lipid_class", "sample_id", largest=largest).join(sizes, "lipid_class")
     divisor = F.when(F.col("size") >= least, F.coalesce(F.nullif("mid", F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
     return cells.join(mids, ["lipid_class", "sample_id"], "left").withColumn("value", F.col("value") / divisor).drop("mid", "size")
 
 
 def normalization_effect(before: DataFrame, after: DataFrame, allowed: float = 20.0) -> DataFrame:
-    """Features whose QC RSD is better, equal, worse within the limit, and worse; the medians and their difference."""
+    """Features whose QC RSD is better, equal, worse within the limit, and worse; the medians and their difference: one row.
+
+    Features with an RSD on one side only are left out; without any, counts are 0 and medians null.
+    """
     of = before.withColumnRenamed("rsd_pct", "b").join(after.withColumnRenamed("rsd_pct", "a"), "feature_id").where("a IS NOT NULL AND b IS NOT NULL")
+    largest = largest_family(of)
     a, b = F.col("a"), F.col("b")
     out = of.agg(
         F.count_if(a < b).alias("improved"), F.count_if(a == b).alias("equal"), F.count_if((a > b) & (a <= b * (1 + allowed / 100))).alias("worse_allowed"),
-        F.count_if(a > b * (1 + allowed / 100)).alias("worse"), F.median("b").alias("median_before"), F.median("a").alias("median_after"),
+        F.count_if(a > b * (1 + allowed / 100)).alias("worse"),
     )
+    for value, name in (("b", "median_before"), ("a", "median_after")):
+        out = out.join(percentiles(of, value, {name: 0.5}, largest=largest), F.lit(True), "left")  # one row each
     return out.withColumn("change", F.col("median_after") - F.col("median_before"))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, frac: float) -> np.ndarray:
-    """Locally weighted lines with tricube weights at each x, without robustness passes (H4). x is sorted."""
+def lowess_matrix(x: np.ndarray, frac: float) -> np.ndarray:
+    """H4: the matrix that makes locally weighted lines of values at x, which is sorted: tricube weights, no robustness passes.
+
+    Weights depend on x alone, so a row holds the weights of all values in the line's value at one x.
+    """
     n = len(x)
     k = min(n, max(2, int(frac * n + 1e-10)))
-    out = np.empty(n)
-    for i in range(n):
-        far = np.abs(x - x[i])
-        reach = np.partition(far, k - 1)[k - 1]
-        w = np.where(far < reach, (1 - (far / max(reach, 1e-12)) ** 3) ** 3, 0.0) if reach > 0 else (far == 0).astype(float)
-        w = w / w.sum()
-        mx, my = (w * x).sum(), (w * y).sum()
-        sxx = (w * (x - mx) ** 2).sum()
-        out[i] = my + ((w * (x - mx) * (y - my)).sum() / sxx * (x[i] - mx) if sxx > 1e-12 else 0.0)
+    far = np.abs(x[:, None] - x[None, :])
+    reach = np.partition(far, k - 1, axis=1)[:, k - 1][:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        w = np.where(reach > 0, np.where(far < reach, (1 - (far / np.maximum(reach, 1e-12)) ** 3) ** 3, 0.0), (far == 0).astype(float))
+    w = w / w.sum(1, keepdims=True)
+    mean = w @ x
+    away = x[None, :] - mean[:, None]
+    spread = (w * away**2).sum(1)
+    slope = np.divide(x - mean, spread, out=np.zeros(n), where=spread > 1e-12)
+    return w * (1 + away * slope[:, None])
+
+
+def _between(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The matrix that makes linear interpolation of values at x, which is sorted, at other places, flat beyond the ends."""
+    out, n = np.zeros((len(at), len(x))), len(x)
+    right = np.clip(np.searchsorted(x, at, "right"), 1, max(1, n - 1))
+    if n == 1:
+        out[:, 0] = 1.0
+        return out
+    gap = x[right] - x[right - 1]
+    part = np.clip(np.divide(at - x[right - 1], gap, out=np.ones(len(at)), where=gap > 0), 0, 1)
+    rows = np.arange(len(at))
+    out[rows, right - 1] = 1 - part
+    out[rows, right] += part
     return out
 
 
-def _trend(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _trend_matrix(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The matrix from values at x to their trend at other places: lines of neighbours from five values on, one line, or their mean."""
     order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
+    x = x[order]
     if len(x) >= 5:
-        fitted = lowess(x, y, 1.0 if len(x) <= 6 else 0.3)
+        fit = lowess_matrix(x, 1.0 if len(x) <= 6 else 0.3)
     elif len(x) >= 2 and np.ptp(x) > 0:
-        fitted = np.polyval(np.polyfit(x, y, 1), x)
+        design = np.stack([np.ones(len(x)), x], 1)
+        fit = design @ np.linalg.pinv(design)
     else:
-        fitted = np.full(len(x), y.mean())
-    return np.interp(at, x, fitted)
+        fit = np.full((len(x), len(x)), 1 / len(x))
+    out = np.zeros((len(at), len(x)))
+    out[:, order] = _between(x, at) @ fit
+    return out
 
 
-def correct_one(order: np.ndarray, value: np.ndarray, is_qc: np.ndarray) -> np.ndarray:
-    """Values of a feature over its QC trend along the injection order; a QC sample's trend leaves the sample out."""
-    usable = is_qc & np.isfinite(value) & (value > 0)
-    if usable.sum() < 3:
-        return value
-    x, y = order[usable], np.log10(value[usable])
-    trend = _trend(x, y, order)
-    own = np.array([_trend(np.delete(x, i), np.delete(y, i), x[i : i + 1])[0] for i in range(len(x))])
-    trend[usable] = own
-    trend[~np.isfinite(trend)] = np.median(trend[np.isfinite(trend)])
-    return value / 10**trend * 10 ** np.median(own)
+def drift_matrix(order: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """The matrix from the logarithms of the usable QC values to the trend at all samples; a QC sample's row leaves itself out."""
+    x, n = order[usable], int(usable.sum())
+    out = _trend_matrix(x, order)
+    for i, row in enumerate(np.flatnonzero(usable)):
+        others = np.delete(np.arange(n), i)
+        out[row] = 0.0
+        out[row, others] = _trend_matrix(x[others], x[i : i + 1])[0]
+    return out
 
 
 def drift_correct(cells: DataFrame) -> DataFrame:
-    """N8 for all features. cells: (feature_id, sample_id, inj_order, is_qc, value).
+    """Values over their QC trend along the injection order, at the level of the median trend: feature_id, sample_id, value.
+
+    cells: feature_id, sample_id, inj_order, is_qc, value. A QC sample's trend leaves the sample out. Features with under three
+    QC values above 0 stay as they are; null values stay null. Orders and QC samples are those of the feature's cells, so equal
+    orders are allowed; an empty table stays empty.
 
-    A feature's row holds its samples as arrays, whose number is that of samples, and batches of features go to numpy.
+    A feature's row holds its samples as arrays, whose number is that of samples. The trend is linear in the logarithms, so there is
+    one matrix for each pattern of orders and usable QC samples that a task meets, and all features of a pattern in a batch are one product.
     """
-    packed = cells.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("inj_order", "sample_id", "is_qc", "value"))).alias("c"))
+    schema = {c: t for c, t in cells.dtypes}
+    of = F.sort_array(F.collect_list(F.struct(F.col("inj_order").cast("double").alias("inj_order"), "sample_id", F.coalesce("is_qc", F.lit(False)).alias("is_qc"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))))
+    packed = cells.groupBy("feature_id").agg(of.alias("c")).select("feature_id", *(F.col(f"c.{k}").alias(k) for k in ("sample_id", "inj_order", "is_qc", "value")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[bytes, bytes], np.ndarray] = {}
         for batch in batches:
-            parts = []
-            for i, c in zip(batch["feature_id"], batch["c"], strict=True):
-                order, value, qc = (np.array([x[k] for x in c], t) for k, t in (("inj_order", float), ("value", float), ("is_qc", bool)))
-                parts.append(pd.DataFrame({"feature_id": i, "sample_id": [x["sample_id"] for x in c], "value": correct_one(order, value, qc)}))
-            if parts:
-                yield pd.concat(parts)
-
-    return packed.mapInPandas(run, f"feature_id {dict(cells.dtypes)['feature_id']}, sample_id {dict(cells.dtypes)['sample_id']}, value double")
+            lengths = batch.column(1).value_lengths().to_numpy()
+            order, qc, value = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            value = value.copy()
+            starts, usable = np.cumsum(lengths) - lengths, qc.astype(bool) & np.isfinite(value) & (value > 0)
+            alike: dict[tuple[bytes, bytes], list[int]] = {}
+            for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
+                alike.setdefault((order[a : a + n].tobytes(), usable[a : a + n].tobytes()), []).append(i)
+            for key, rows in alike.items():
+                there = np.frombuffer(key[1], bool)
+                if there.sum() < 3:
+                    continue
+                if key not in known:
+                    if len(known) >= 1_024:
+                        known.clear()
+                    known[key] = drift_matrix(np.frombuffer(key[0], float), there)
+                at = starts[rows][:, None] + np.arange(len(there))
+                trend = np.log10(value[at][:, there]) @ known[key].T
+                value[at] = value[at] / 10**trend * 10 ** np.median(trend[:, there], axis=1, keepdims=True)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1).flatten(), pa.array(value, pa.float64(), mask=np.isnan(value))], names=["feature_id", "sample_id", "value"])
+
+    return packed.mapInArrow(run, f"feature_id {schema['feature_id']}, sample_id {schema['sample_id']}, value double")

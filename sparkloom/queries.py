@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import names as N
-from .functions.tails import t_p
+from .functions.tails import sql_chi2_p, sql_normal_p, sql_t_p
 from .operators import annotate, clean, composition, merge, multivariate, normalize
 from .operators import group_tests as tests
+from .scale import largest_family
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,7 +171,7 @@ def a2_group_rsd(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(STATS + "SELECT grp, round(median(rsd_pct), 6) AS median_rsd FROM st GROUP BY grp")
 def a3_median_rsd(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.group_stats(cells(spark, sf)).groupBy("grp").agg(r(F.median("rsd_pct")).alias("median_rsd"))
+    return clean.median_rsd(clean.group_stats(cells(spark, sf))).withColumn("median_rsd", r("median_rsd"))
 
 
 @query("SELECT sample_id, grp, round(sum(value), 2) AS total FROM cells GROUP BY sample_id, grp")
@@ -574,12 +575,27 @@ def n4_n5_semi_quantify(spark: SparkSession, sf: str) -> DataFrame:
 @query(""", n6 AS (SELECT feature_id, sample_id, lipid_class, value / nullif(median(value) OVER (PARTITION BY sample_id), 0) AS value FROM cells), sz AS (SELECT lipid_class, count(DISTINCT feature_id) AS size FROM n6 GROUP BY ALL), md AS (SELECT lipid_class, sample_id, median(value) AS mid FROM n6 GROUP BY ALL)
 SELECT feature_id, sample_id, round(value / CASE WHEN size >= 5 THEN coalesce(nullif(mid, 0), 1) ELSE 1 END, 6) AS value FROM n6 JOIN sz USING (lipid_class) JOIN md USING (lipid_class, sample_id)""")
 def n6_n7_median_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.class_median_normalize(normalize.median_normalize(cells(spark, sf))).select("feature_id", "sample_id", r("value").alias("value"))
+    every, largest = cells(spark, sf), largest_family(X.intensity(spark, sf), "sample_id")
+    return normalize.class_median_normalize(normalize.median_normalize(every, largest=largest), largest=largest).select("feature_id", "sample_id", r("value").alias("value"))
 
 
-@query()
+#: The trend of up to six QC samples, of which all are neighbours: weighted lines of five on, a line below, and the same without each of them.
+DRIFT = """, q AS (SELECT feature_id, sample_id::DOUBLE AS x, log10(value) AS y FROM intensity WHERE sample_id % 4 = 0 AND value > 0 QUALIFY count(*) OVER (PARTITION BY feature_id) >= 3),
+ru AS (SELECT DISTINCT feature_id, NULL::DOUBLE AS o FROM q UNION ALL SELECT feature_id, x FROM q),
+pt AS (SELECT ru.feature_id, ru.o, q.x, q.y, count(*) OVER (PARTITION BY ru.feature_id, ru.o) AS n FROM ru JOIN q ON q.feature_id = ru.feature_id AND (ru.o IS NULL OR q.x <> ru.o)),
+pw AS (SELECT a.feature_id, a.o, a.x, b.x AS bx, b.y AS bv, abs(a.x - b.x) AS d, max(abs(a.x - b.x)) OVER (PARTITION BY a.feature_id, a.o, a.x) AS reach FROM pt a JOIN pt b ON a.feature_id = b.feature_id AND a.o IS NOT DISTINCT FROM b.o WHERE a.n >= 5),
+ws AS (SELECT feature_id, o, x, sum(w) AS w, sum(w * bx) / sum(w) AS mx, sum(w * bv) / sum(w) AS mv, sum(w * bx * bx) / sum(w) AS xx, sum(w * bx * bv) / sum(w) AS xv FROM (SELECT *, CASE WHEN d < reach THEN (1 - (d / reach) ** 3) ** 3 ELSE 0 END AS w FROM pw) GROUP BY ALL),
+li AS (SELECT feature_id, o, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pt WHERE n < 5 GROUP BY ALL),
+ft AS (SELECT feature_id, o, x, mv + (xv - mx * mv) / (xx - mx * mx) * (x - mx) AS f FROM ws UNION ALL SELECT pt.feature_id, pt.o, pt.x, a + b * pt.x FROM pt JOIN li ON li.feature_id = pt.feature_id AND li.o IS NOT DISTINCT FROM pt.o),
+al AS (SELECT i.feature_id, i.sample_id, i.sample_id::DOUBLE AS x, q.x AS o FROM intensity i LEFT JOIN q ON q.feature_id = i.feature_id AND q.x = i.sample_id),
+tr AS (SELECT al.feature_id, al.sample_id, al.x, al.o, max(ft.x) FILTER (ft.x <= al.x) AS lx, arg_max(f, ft.x) FILTER (ft.x <= al.x) AS lv, min(ft.x) FILTER (ft.x >= al.x) AS hx, arg_min(f, ft.x) FILTER (ft.x >= al.x) AS hv FROM al JOIN ft ON ft.feature_id = al.feature_id AND ft.o IS NOT DISTINCT FROM al.o GROUP BY ALL),
+tv AS (SELECT *, CASE WHEN lx IS NULL THEN hv WHEN hx IS NULL OR lx = hx THEN lv ELSE lv + (hv - lv) * (x - lx) / (hx - lx) END AS t FROM tr), md AS (SELECT feature_id, median(t) AS m FROM tv WHERE o IS NOT NULL GROUP BY feature_id)
+SELECT feature_id, sample_id, round(value * CASE WHEN m IS NULL THEN 1 ELSE 10 ** (m - t) END, 4) AS value FROM intensity LEFT JOIN tv USING (feature_id, sample_id) LEFT JOIN md USING (feature_id)"""
+
+
+@query(DRIFT)
 def n8_drift_correct(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.drift_correct(X.intensity(spark, sf).join(F.broadcast(X.samples(spark)), "sample_id"))
+    return normalize.drift_correct(X.intensity(spark, sf).join(F.broadcast(X.samples(spark)), "sample_id")).withColumn("value", r("value", 4))
 
 
 @query(""", nm AS (SELECT feature_id, sample_id, is_qc, value, value / median(value) OVER (PARTITION BY sample_id) AS nv FROM cells), rb AS (SELECT feature_id, 100 * stddev_samp(value) / avg(value) AS b, 100 * stddev_samp(nv) / avg(nv) AS a FROM nm WHERE is_qc GROUP BY ALL)
@@ -658,18 +674,68 @@ def w6_top_features(spark: SparkSession, sf: str) -> DataFrame:
     return tests.top_features(of, 5, "lipid_class", digits=9).select("feature_id", "lipid_class", "rank")
 
 
-@query()
+def sql_rates(table: str, *family: str, p: str = "p", out: str = "fdr") -> str:
+    """SQL of a table's rows with their false-discovery rate in each family."""
+    of = ", ".join([*family, f"{p} IS NULL"])
+    raw = f"SELECT *, {p} * count(*) OVER (PARTITION BY {of}) / count(*) OVER (PARTITION BY {of} ORDER BY {p}) AS raw FROM {table}"
+    return f"(SELECT * EXCLUDE (raw), CASE WHEN {p} IS NOT NULL THEN least(1, min(raw) OVER (PARTITION BY {of} ORDER BY {p} DESC)) END AS {out} FROM ({raw}))"
+
+
+def sql_welch(table: str, key: str) -> str:
+    """SQL of Welch's t, df and p for each pair of groups of a table of key, grp, value."""
+    moments = f"SELECT {key}, grp, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM {table} GROUP BY ALL"
+    both = f"SELECT a.{key}, a.grp AS grp1, b.grp AS grp2, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS v1, b.v AS v2, a.n > 1 AND b.n > 1 AS enough, a.v < 1e-24 AND b.v < 1e-24 AS flat FROM ({moments}) a JOIN ({moments}) b ON a.{key} = b.{key} AND a.grp < b.grp"
+    t = "CASE WHEN enough AND NOT flat THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END"
+    df = "CASE WHEN enough AND NOT flat THEN (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) END"
+    return f"(SELECT {key}, grp1, grp2, t, df, CASE WHEN enough AND flat THEN 1 ELSE {sql_t_p('t', 'df')} END AS p FROM (SELECT *, {t} AS t, {df} AS df FROM ({both})))"
+
+
+def sql_kruskal(table: str, key: str) -> str:
+    """SQL of Kruskal-Wallis' h and p of a table of key, grp, value."""
+    ranked = f"SELECT {key}, grp, rank() OVER (PARTITION BY {key} ORDER BY value) + (count(*) OVER (PARTITION BY {key}, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {key}, value) AS tie FROM {table} WHERE value IS NOT NULL"
+    sums = f"SELECT {key}, count(*) AS k, sum(n)::DOUBLE AS n, sum(s * s / n) AS q, sum(tt) AS tt FROM (SELECT {key}, grp, count(*) AS n, sum(rk) AS s, sum(tie * tie - 1) AS tt FROM ({ranked}) GROUP BY ALL) GROUP BY ALL"
+    h = "CASE WHEN k >= 2 AND n > 2 THEN (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - tt / (n * n * n - n), 0) END"
+    return f"(SELECT {key}, h, {sql_chi2_p('h', 'k - 1')} AS p FROM (SELECT {key}, k, {h} AS h FROM ({sums})))"
+
+
+def sql_gate(table: str, key: str) -> str:
+    """SQL of the gated pairwise tests of a table of key, grp, value."""
+    omnibus = f"(SELECT {key}, p AS omnibus_p, fdr AS omnibus_fdr FROM {sql_rates(sql_kruskal(table, key))})"
+    return f"SELECT {key}, grp1, grp2, round(p, 9) AS p, round(fdr, 9) AS fdr, round(omnibus_p, 9) AS omnibus_p, round(omnibus_fdr, 9) AS omnibus_fdr, coalesce(omnibus_fdr < 0.05 AND fdr < 0.05, FALSE) AS significant FROM {sql_rates(sql_welch(table, key))} JOIN {omnibus} USING ({key})"
+
+
+def gated(values: DataFrame, key: str) -> DataFrame:
+    of = tests.gate(tests.kruskal(values, key), tests.welch(tests.group_moments(values, key), key), key)
+    return of.select(key, "grp1", "grp2", *(r(c, 9).alias(c) for c in ("p", "fdr", "omnibus_p", "omnibus_fdr")), "significant")
+
+
+TESTED = ", tc AS (SELECT * FROM cells WHERE grp <> 'QC'), cl AS (SELECT lipid_class, sample_id, grp, sum(value) AS value FROM tc GROUP BY ALL) "
+
+
+@query(TESTED + sql_gate("cl", "lipid_class"))
 def t8_gate(spark: SparkSession, sf: str) -> DataFrame:
     totals = tested(spark, sf).groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("value"))
-    return tests.gate(tests.kruskal(totals, "lipid_class"), tests.welch(tests.group_moments(totals, "lipid_class"), "lipid_class"), "lipid_class")
+    return gated(totals, "lipid_class")
 
 
-@query()
+VOLCANO = MOMENTS + f""", tc AS (SELECT * FROM cells WHERE grp <> 'QC'), hg AS (SELECT feature_id, grp1, grp2, CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2) - 9)) END AS g FROM pr),
+md AS (SELECT feature_id, grp, median(nullif(value, 0)) AS m FROM tc GROUP BY ALL), po AS (SELECT pr.feature_id, grp1, grp2, a.m AS a, b.m AS b, 0.01 * median(nullif(value, 0)) + 1e-9 AS eps FROM pr JOIN md a ON a.feature_id = pr.feature_id AND a.grp = grp1 JOIN md b ON b.feature_id = pr.feature_id AND b.grp = grp2 JOIN tc c ON c.feature_id = pr.feature_id AND c.grp IN (grp1, grp2) GROUP BY ALL),
+ef AS (SELECT pr.feature_id, grp1, grp2, count(DISTINCT x.sample_id) AS n1, count(DISTINCT y.sample_id) AS n2, sum(CASE WHEN x.value > y.value THEN 1.0 WHEN x.value = y.value THEN 0.5 ELSE 0.0 END)::DOUBLE AS u FROM pr JOIN tc x ON x.feature_id = pr.feature_id AND x.grp = grp1 JOIN tc y ON y.feature_id = pr.feature_id AND y.grp = grp2 GROUP BY ALL),
+ti AS (SELECT feature_id, grp1, grp2, sum(t ** 3 - t) AS tie FROM (SELECT pr.feature_id, grp1, grp2, value, count(*) AS t FROM pr JOIN tc c ON c.feature_id = pr.feature_id AND c.grp IN (grp1, grp2) GROUP BY ALL) GROUP BY ALL),
+vs AS (SELECT feature_id, grp1, grp2, w.t, w.df, w.p, log2((a + eps) / (b + eps)) AS l, g, 2 * u / (n1 * n2) - 1 AS e, (u - n1 * n2 / 2.0) / nullif(sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z
+  FROM {sql_welch('tc', 'feature_id')} w JOIN po USING (feature_id, grp1, grp2) JOIN hg USING (feature_id, grp1, grp2) JOIN ef USING (feature_id, grp1, grp2) JOIN ti USING (feature_id, grp1, grp2)),
+vp AS (SELECT *, CASE WHEN l = 0 OR e IS NULL THEN 'Undetermined' WHEN sign(round(e, 12)) = sign(l) THEN 'Yes' ELSE 'No' END AS agrees, {sql_normal_p('z')} AS rank_p FROM vs),
+vo AS (SELECT *, CASE WHEN abs(l) >= log2(1.5) AND p < 0.05 AND fdr < 0.05 THEN CASE WHEN l > 0 THEN 'Up' ELSE 'Down' END ELSE 'Not significant' END AS direction, coalesce(p < 0.05 OR fdr < 0.05, FALSE) AS found FROM {sql_rates('vp', 'grp1', 'grp2')}) """
+
+
+@query(VOLCANO + """SELECT feature_id, grp1, grp2, round(t, 6) AS t, round(l, 6) AS log2fc, round(p, 9) AS p, round(fdr, 9) AS fdr, round(rank_p, 9) AS rank_p, direction, coalesce(abs(g) >= 0.8, FALSE) AS large_effect,
+  CASE WHEN NOT found THEN 'Not evaluated' WHEN coalesce(rank_p < 0.05, FALSE) AND agrees = 'Yes' THEN 'Supported' WHEN coalesce(rank_p < 0.05, FALSE) AND agrees = 'No' THEN 'Discordant' ELSE 'Not supported' END AS robustness FROM vo""")
 def t9_volcano(spark: SparkSession, sf: str) -> DataFrame:
-    return tests.volcano(tested(spark, sf))
+    of = tests.volcano(tested(spark, sf))
+    return of.select("feature_id", "grp1", "grp2", r("t").alias("t"), r("log2fc").alias("log2fc"), *(r(c, 9).alias(c) for c in ("p", "fdr", "rank_p")), "direction", "large_effect", "robustness")
 
 
-@query()
+@query(VOLCANO + "SELECT grp1, grp2, count(*) FILTER (direction = 'Up') AS up, count(*) FILTER (direction = 'Down') AS down, count(*) FILTER (direction = 'Not significant') AS unchanged FROM vo GROUP BY ALL")
 def a25_comparison_summary(spark: SparkSession, sf: str) -> DataFrame:
     return composition.comparison_summary(tests.volcano(tested(spark, sf)))
 
@@ -687,9 +753,15 @@ def t12_presence(spark: SparkSession, sf: str) -> DataFrame:
     return tests.presence(presence_counts(spark, sf)).select("feature_id", r("chi2").alias("chi2"))
 
 
-@query()
+HURDLE = PRESENCE.split("\nSELECT")[0] + f""", tc AS (SELECT * FROM cells WHERE grp <> 'QC'), cx AS (SELECT feature_id, sum((d - size * s) ** 2 / nullif(size * s * (1 - s), 0)) AS chi2, count(*) - 1 AS df FROM ct JOIN tt USING (feature_id) GROUP BY feature_id),
+en AS (SELECT feature_id, grp, value FROM tc QUALIFY count(*) OVER (PARTITION BY feature_id, grp) >= 2), hp AS (SELECT * FROM {sql_rates(f"(SELECT feature_id, chi2, {sql_chi2_p('chi2', 'df')} AS p FROM cx)")}), hl AS (SELECT * FROM {sql_rates(sql_kruskal('en', 'feature_id'))})
+SELECT feature_id, round(hp.chi2, 6) AS chi2, round(hp.fdr, 9) AS presence_fdr, round(hl.h, 6) AS h, round(hl.fdr, 9) AS level_fdr, coalesce(hp.fdr < 0.05, FALSE) OR coalesce(hl.fdr < 0.05, FALSE) AS differs FROM hp LEFT JOIN hl USING (feature_id)"""
+
+
+@query(HURDLE)
 def t12_hurdle(spark: SparkSession, sf: str) -> DataFrame:
-    return tests.hurdle(tested(spark, sf), presence_counts(spark, sf))
+    of = tests.hurdle(tested(spark, sf), presence_counts(spark, sf))
+    return of.select("feature_id", r("chi2").alias("chi2"), r("presence_fdr", 9).alias("presence_fdr"), r("h").alias("h"), r("level_fdr", 9).alias("level_fdr"), "differs")
 
 
 CHANGE = ", lf AS (SELECT feature_id, lipid_class, carbons, dbe, round(ln(1 + avg(value) FILTER (grp = 'A')) - ln(1 + avg(value) FILTER (grp = 'B')), 6) AS log2fc FROM cells GROUP BY ALL HAVING avg(value) FILTER (grp = 'A') IS NOT NULL AND avg(value) FILTER (grp = 'B') IS NOT NULL) "
@@ -769,21 +841,22 @@ def t13_spearman_summary(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.class_correlations(cells(spark, sf), ranks=True).select("lipid_class", "id1", "id2", r(F.col("r") + 1e-9).alias("r"))
 
 
-FISHER = """, k AS (SELECT lipid_class, grp, feature_id, sample_id, value FROM cells WHERE value > 0), c AS (SELECT a.lipid_class, a.grp, a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 4)
-SELECT lipid_class, id1, id2, x.n AS n1, y.n AS n2, round(x.r - y.r, 6) AS delta_r, round((atanh(greatest(-0.999999, least(0.999999, x.r))) - atanh(greatest(-0.999999, least(0.999999, y.r)))) / sqrt(1.0 / (x.n - 3) + 1.0 / (y.n - 3)), 4) AS z
-FROM c x JOIN c y USING (lipid_class, id1, id2) WHERE x.grp = 'A' AND y.grp = 'B' AND x.r IS NOT NULL AND y.r IS NOT NULL"""
+FISHER = """, k AS MATERIALIZED (SELECT lipid_class, grp, feature_id, sample_id, value FROM cells WHERE value > 0 AND grp IN ('A', 'B')), c AS MATERIALIZED (SELECT a.lipid_class, a.grp, a.feature_id AS id1, b.feature_id AS id2, count(*) AS n, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.lipid_class = b.lipid_class AND a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 4),
+fz AS (SELECT lipid_class, id1, id2, x.n AS n1, y.n AS n2, x.r - y.r AS delta_r, (atanh(greatest(-0.999999, least(0.999999, x.r))) - atanh(greatest(-0.999999, least(0.999999, y.r)))) / sqrt(1.0 / (x.n - 3) + 1.0 / (y.n - 3)) AS z
+  FROM (FROM c WHERE grp = 'A') x JOIN (FROM c WHERE grp = 'B') y USING (lipid_class, id1, id2) WHERE x.r IS NOT NULL AND y.r IS NOT NULL) """
 
 
-@query(FISHER)
+@query(FISHER + "SELECT lipid_class, id1, id2, n1, n2, round(delta_r, 6) AS delta_r, round(z, 4) AS z FROM fz")
 def t14_fisher_z(spark: SparkSession, sf: str) -> DataFrame:
     """The statistic of t14_differential_correlation, without p and rates."""
     of = multivariate.differential_correlation(cells(spark, sf), "A", "B", with_p=False)
     return of.select("lipid_class", "id1", "id2", "n1", "n2", r("delta_r").alias("delta_r"), r("z", 4).alias("z"))
 
 
-@query()
+@query(FISHER + f"SELECT lipid_class, id1, id2, round(p, 7) AS p, round(fdr, 7) AS fdr FROM {sql_rates(f'(SELECT *, {sql_normal_p("z")} AS p FROM fz)')}")
 def t14_differential_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return multivariate.differential_correlation(cells(spark, sf), "A", "B")
+    of = multivariate.differential_correlation(cells(spark, sf), "A", "B")
+    return of.select("lipid_class", "id1", "id2", r("p", 7).alias("p"), r("fdr", 7).alias("fdr"))
 
 
 @query(", z AS (SELECT lipid_class, grp, sample_id, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM cells WINDOW w AS (PARTITION BY feature_id)), s AS (SELECT lipid_class, grp, sample_id, avg(z) AS z FROM z GROUP BY ALL) SELECT lipid_class, grp, round(avg(z), 6) AS score FROM s GROUP BY ALL")
@@ -823,10 +896,25 @@ def m3_permanova_p(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.permanova_p(of, X.samples(spark))
 
 
-@query()
+def sql_moderated(batch: str) -> str:
+    """SQL of the moderated test by sums: what is left of groups and one batch column, whose effect comes from inside the groups."""
+    return f""", fl AS (SELECT quantile_cont(value, 0.01) AS p1 FROM intensity WHERE value > 0), y0 AS (SELECT feature_id, grp, {batch} AS b, log2(value + p1) AS y FROM intensity JOIN samples USING (sample_id) CROSS JOIN fl),
+gm AS (SELECT feature_id, grp, count(*) AS n, avg(b) AS mb, avg(y) AS my, sum((y - m) ** 2) AS yy, sum((b - c) ** 2) AS bb, sum((b - c) * (y - m)) AS yb FROM (SELECT *, avg(y) OVER w AS m, avg(b) OVER w AS c FROM y0 WINDOW w AS (PARTITION BY feature_id, grp)) GROUP BY ALL),
+fm AS (SELECT feature_id, sum(n) - 5 AS df, sum(bb) AS sb, sum(yb) / sum(bb) AS beta, (sum(yy) - sum(yb) ** 2 / sum(bb)) / (sum(n) - 5) AS s2 FROM gm GROUP BY feature_id HAVING count(*) = 4 AND sum(n) > 5 AND sum(bb) > 1e-9),
+ok AS (SELECT * FROM fm WHERE s2 > 0), pr0 AS (SELECT exp(avg(ln(s2))) AS s0, greatest(4, least(100, 2 / greatest(var_samp(ln(s2)), 1e-6))) AS d0 FROM ok),
+mt AS (SELECT feature_id, x.grp AS grp1, y.grp AS grp2, x.my - beta * x.mb - (y.my - beta * y.mb) AS effect, 1.0 / x.n + 1.0 / y.n + (x.mb - y.mb) ** 2 / sb AS v, s2, ok.df AS df FROM ok JOIN gm x USING (feature_id) JOIN gm y USING (feature_id) WHERE x.grp < y.grp),
+tt AS (SELECT feature_id, grp1, grp2, effect, effect / sqrt((d0 * s0 + df * s2) / (d0 + df) * v) AS t, d0 + df AS df FROM mt CROSS JOIN pr0), tp AS (SELECT *, {sql_t_p('t', 'df')} AS p FROM tt)
+SELECT feature_id, grp1, grp2, round(effect, 6) AS effect, round(t, 6) AS t, round(df, 5) AS df, round(p, 8) AS p, round(fdr, 8) AS fdr FROM {sql_rates('tp', 'grp1', 'grp2')}"""
+
+
+def moderated(spark: SparkSession, sf: str, samples: DataFrame) -> DataFrame:
+    of = multivariate.moderated_test(X.intensity(spark, sf), samples)
+    return of.select("feature_id", "grp1", "grp2", r("effect").alias("effect"), r("t").alias("t"), r("df", 5).alias("df"), r("p", 8).alias("p"), r("fdr", 8).alias("fdr"))
+
+
+@query(sql_moderated("(sample_id >= 10)::INT::DOUBLE"))
 def t11_moderated(spark: SparkSession, sf: str) -> DataFrame:
-    of = multivariate.moderated_test(X.intensity(spark, sf), X.samples(spark))
-    return of.withColumn("p", t_p("t", "df"))
+    return moderated(spark, sf, X.samples(spark))
 
 
 # Merge

@@ -11,7 +11,7 @@ from .operators import annotate, composition, multivariate, normalize
 from .operators import group_tests as tests
 from .queries import (
     CATEGORY_SQL, CCS, CHANGE, CHOICE, CLASS_SQL, DETECTED, KRUSKAL, LIBRARY, MOMENTS, PRESENCE, SCORED, ZG, _scaled, cells, change, detected, library, off_ccs, presence_counts, query, r, scored, standards,
-    tested, top_ids,
+    gated, moderated, sql_gate, sql_moderated, tested, top_ids, TESTED,
 )
 from .scale import scratch
 from .sources import tables
@@ -364,22 +364,21 @@ def w8_top_hits(spark: SparkSession, sf: str) -> DataFrame:
 # Gates of other labels, and the volcano's statistics
 
 
-@query()
+@query(TESTED + sql_gate("tc", "feature_id"))
 def t8_gate_of_features(spark: SparkSession, sf: str) -> DataFrame:
-    every = tested(spark, sf)
-    return tests.gate(tests.kruskal(every), tests.welch(tests.group_moments(every, "feature_id"), "feature_id"), "feature_id")
+    return gated(tested(spark, sf), "feature_id")
 
 
-@query()
+@query(RATIOS + ", lr AS (SELECT lipid_class || ' ' || ratio AS label, sample_id, grp, log2(value) AS value FROM rt WHERE grp <> 'QC') " + sql_gate("lr", "label"))
 def t8_gate_of_ratios(spark: SparkSession, sf: str) -> DataFrame:
     of = structural(spark, sf).where("grp <> 'QC'").select(F.concat_ws(" ", "lipid_class", "ratio").alias("label"), "sample_id", "grp", F.col("log2_value").alias("value"))
-    return tests.gate(tests.kruskal(of, "label"), tests.welch(tests.group_moments(of, "label"), "label"), "label")
+    return gated(of, "label")
 
 
-@query()
+@query(", mt AS (SELECT motif, sample_id, grp, sum(value) AS value FROM (SELECT sample_id, grp, value, unnest(list_distinct([carbons || ':' || dbe, '16:0'])) AS motif FROM cells WHERE grp <> 'QC') GROUP BY ALL) " + sql_gate("mt", "motif"))
 def t8_gate_of_motifs(spark: SparkSession, sf: str) -> DataFrame:
     of = composition.motif_cells(tested(spark, sf), N.motifs(motif_name())).groupBy("motif", "sample_id", "grp").agg(F.sum("value").alias("value"))
-    return tests.gate(tests.kruskal(of, "motif"), tests.welch(tests.group_moments(of, "motif"), "motif"), "motif")
+    return gated(of, "motif")
 
 
 @query(HEDGES + """, md AS (SELECT feature_id, grp, median(nullif(value, 0)) AS m FROM cells WHERE grp <> 'QC' GROUP BY ALL), po AS (SELECT pr.feature_id, grp1, grp2, a.m AS a, b.m AS b, 0.01 * median(nullif(value, 0)) + 1e-9 AS eps FROM pr JOIN md a ON a.feature_id = pr.feature_id AND a.grp = grp1 JOIN md b ON b.feature_id = pr.feature_id AND b.grp = grp2 JOIN cells c ON c.feature_id = pr.feature_id AND c.grp IN (grp1, grp2) GROUP BY ALL),
@@ -390,9 +389,9 @@ def t9_volcano_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("feature_id", "grp1", "grp2", r("log2fc").alias("log2fc"), r("g").alias("g"), r("effect").alias("effect"), "direction_agrees")
 
 
-@query()
+@query(sql_moderated("inj_order"))
 def t11_numeric_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return multivariate.moderated_test(X.intensity(spark, sf), X.samples(spark).withColumn("batch", F.col("inj_order").cast("string")))
+    return moderated(spark, sf, X.samples(spark).withColumn("batch", F.col("inj_order").cast("string")))
 
 
 @query(ZG.split(", g AS (")[0] + ", x AS (SELECT a.sample_id AS s1, b.sample_id AS s2, corr(a.z, b.z) AS r FROM za a JOIN za b ON a.feature_id = b.feature_id AND a.sample_id < b.sample_id GROUP BY ALL), bo AS (SELECT s1 AS s, r FROM x UNION ALL SELECT s2, r FROM x), t AS (SELECT s FROM bo GROUP BY s ORDER BY round(avg(abs(r)), 9) DESC, s LIMIT 10) SELECT s1, s2, round(r, 6) AS r FROM x WHERE s1 IN (FROM t) AND s2 IN (FROM t)")

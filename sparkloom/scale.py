@@ -49,6 +49,17 @@ def running_sum(df: DataFrame, amount: str, order: list[str], by: list[str] | No
     return of.join(ends, _all(same)).withColumn(out, F.coalesce(F.sum(amount).over(here), F.lit(0)) + F.col(size)).select(*df.columns, out)
 
 
+def least_from_above(df: DataFrame, value: str, order: str, *by: str, out: str) -> DataFrame:
+    """df with the least `value` of the rows of the same `by` from this one on upwards in the order. Keys (by, order) are distinct."""
+    part = own_name(df, "part")
+    of = written(df.repartitionByRange(*(F.col(f"`{c}`") for c in (*by, order))).withColumn(part, F.spark_partition_id()), "ranges")
+    family = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(part).rowsBetween(1, Window.unboundedFollowing)
+    later = of.groupBy(*by, part).agg(F.min(value).alias("low")).select(*(F.col(c).alias(f"{c}{part}") for c in by), F.col(part).alias(f"{part}{part}"), F.min("low").over(family).alias(f"{part}low"))  # a row for each range and family
+    same = [F.col(c).eqNullSafe(F.col(f"{c}{part}")) for c in by] + [F.col(part) == F.col(f"{part}{part}")]
+    here = Window.partitionBy(*by, part).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return of.join(later, _all(same)).withColumn(out, F.least(F.min(value).over(here), F.col(f"{part}low"))).select(*df.columns, out)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column's name that df doesn't have."""
     name = f"_{name}"
@@ -57,24 +68,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ranked(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """The rows of df with a value, with _rank (ties share the highest) and _n among those of the same `by`; _part and `by`
-    tell ranges, in the order of the value.
-
-    Each range is ranked by itself, from where those before it end, so a task sorts a range, however large the family is.
-    """
-    of = ranged(df.where(F.col(value).isNotNull()), *by, value)
-    sizes = of.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
-    family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_size").over(family.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = sizes.select(*by, "_part", before.alias("_before"), F.sum("_size").over(family).alias("_n"))  # a row for each range and family
-    same = [of[c].eqNullSafe(places[c]) for c in by] + [of["_part"] == places["_part"]]
-    joined = of.join(F.broadcast(places), _all(same)).drop(*(places[c] for c in (*by, "_part")))
-    here = Window.partitionBy(*by, "_part")
-    local = F.rank().over(here.orderBy(value)) + F.count("*").over(Window.partitionBy(*by, "_part", value)) - 1
-    return joined.withColumn("_rank", local + F.col("_before")).drop("_before")
-
-
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -82,19 +75,106 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """by, and a column for each name of shares: the exact percentile, linear between neighbours; families without values have no row."""
-    of = ranked(df.select(*by, value), value, *by).groupBy(*by, value).agg(F.max("_rank").alias("_rank"), F.max("_n").alias("_n"), F.count("*").alias("_ties"))
-    at = lambda k: (F.col("_rank") >= k) & (F.col("_rank") - F.col("_ties") < k)
-    out = []
-    for name, q in shares.items():
-        place = (F.col("_n") - 1) * F.lit(float(q))
-        low, high = F.floor(place) + 1, F.least(F.floor(place) + 2, F.col("_n"))
-        part = place - F.floor(place)
-        # With a value v of the lower place and w of the higher, v + part * (w - v).
-        out += [F.max(F.when(at(low), F.col(value))).alias(f"_{name}_low"), F.max(F.when(at(high), F.col(value))).alias(f"_{name}_high"), F.max(part).alias(f"_{name}_part")]
-    packed = of.groupBy(*by).agg(*out)
-    return packed.select(*by, *((F.col(f"_{n}_low") + F.col(f"_{n}_part") * (F.col(f"_{n}_high") - F.col(f"_{n}_low"))).alias(n) for n in shares))
+def same_family(left: DataFrame, right: DataFrame, *by: str) -> Column:
+    """Whether the rows are of one family; a null is equal to a null."""
+    return _all([left[f"`{c}`"].eqNullSafe(right[f"`{c}`"]) for c in by])
+
+
+#: Values of a family that a task may hold: sorted in a window, or as an array.
+FAMILY = 500_000
+
+
+def value_ranks(df: DataFrame, value: str, *by: str, rows: int | None = None) -> DataFrame:
+    """by, value, ties, rank, n: the distinct values of each family with how many rows have them, the rank that these share (the
+    highest) and the family's size. Null values have no rank.
+
+    Equal values are one row before anything is sorted, so that a family of a million equal ones is as light as one of a single
+    row. Families of more distinct values than FAMILY are ranked in ranges. rows: what df has, if it is known.
+    """
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
+    family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if (df.count() if rows is None else rows) <= FAMILY:
+        up = family.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return distinct.select(*by, value, "ties", F.sum("ties").over(up).alias("rank"), F.sum("ties").over(family).alias("n"))
+    before = running_sum(distinct, "ties", [value], list(by), out="rank").withColumn("rank", F.col("rank") + F.col("ties"))
+    before = written(before, "ranks")
+    sizes = before.groupBy(*(F.col(c).alias(f"{c} of") for c in by)).agg(F.max("rank").alias("n"))
+    return before.join(sizes, _all([F.col(f"`{c}`").eqNullSafe(F.col(f"`{c} of`")) for c in by])).select(*(f"`{c}`" for c in by), value, "ties", "rank", "n")
+
+
+#: Families that are narrowed down, at most: their searches are sent to all tasks.
+_SEARCHED = 20_000
+
+
+def largest_family(df: DataFrame, *by: str) -> int:
+    """The rows of the largest family."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def percentiles(df: DataFrame, value: str | Column, shares: dict[str, float], *by: str, largest: int | None = None) -> DataFrame:
+    """by, and a column for each name of shares: the exact percentile, linear between neighbours; families without values have no row.
+
+    largest: the most rows that a family has, if it is known; else they are counted. Up to FAMILY rows a family's values are
+    one aggregate. Larger families are narrowed down: a pass counts the values in ranges, and the next looks at the range only that
+    holds the place. Nothing is sorted or written but the searches, of which there are two for each large family and share.
+    """
+    of = df.select(*by, (F.col(value) if isinstance(value, str) else value).cast("double").alias("value")).where("value IS NOT NULL")
+    if (largest_family(of, *by) if largest is None else largest) <= FAMILY:
+        return _at_once(of, shares, *by)
+    sizes = written(of.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")), "sizes")
+    limit = max(FAMILY, (sizes.agg(F.sum("n")).first()[0] or 0) // _SEARCHED)
+    large = sizes.where(F.col("n") > limit)
+    if not by:
+        return _narrowed(of, large, shares) if large.head(1) else _at_once(of, shares)
+    names = F.broadcast(large.select(*by))  # _SEARCHED rows at most
+    return _at_once(of.join(names, same_family(of, names, *by), "left_anti"), shares, *by).unionByName(_narrowed(of.join(names, same_family(of, names, *by), "left_semi"), large, shares, *by))
+
+
+def _at_once(of: DataFrame, shares: dict[str, float], *by: str) -> DataFrame:
+    every = of.groupBy(*by).agg(F.percentile("value", F.array(*(F.lit(float(q)) for q in shares.values()))).alias("found"))
+    every = every.where("found IS NOT NULL")
+    return every.select(*by, *(F.get("found", F.lit(k)).alias(n) for k, n in enumerate(shares)))
+
+
+#: Ranges that a pass divides the values into.
+_RANGES = 4_096
+
+
+def _narrowed(of: DataFrame, sizes: DataFrame, shares: dict[str, float], *by: str) -> DataFrame:
+    """percentiles of families of any size. of: by, value; sizes: by, n, lo, hi of those that are looked at.
+
+    For each family and share two places are looked for, that below and that above. A search is a row: by, name, side, the place
+    among the values from lo to hi, and part (how far between both places). Each pass divides lo to hi into _RANGES equal ranges, which
+    is in the order of the values, and goes on with the least and the largest value of the range that holds the place; so it
+    ends when both are the same.
+    """
+    names = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.lit(side).alias("side")) for name, q in shares.items() for side in (0, 1)))
+    place = (F.col("n") - 1) * F.col("s.q")
+    open_ = sizes.withColumn("s", F.explode(names)).select(
+        *by, "s.name", "s.side", F.least(F.floor(place) + F.col("s.side"), F.col("n") - 1).alias("place"), (place - F.floor(place)).alias("part"), "lo", "hi")
+    open_, done = written(open_, "places"), None
+    while True:
+        found = open_.where("lo = hi")
+        done = found if done is None else done.unionByName(found)
+        open_ = open_.where("lo < hi")
+        if not open_.head(1):
+            break
+        # Searches in the same range are one; there are two for each share and family at most.
+        areas = open_.select(*(F.col(c).alias(f"{c} of") for c in by), F.col("lo").alias("from"), F.col("hi").alias("to")).distinct()
+        same = _all([F.col(f"`{c}`").eqNullSafe(F.col(f"`{c} of`")) for c in by])
+        mine = of.join(F.broadcast(areas), same & F.col("value").between(F.col("from"), F.col("to")))  # two rows at most for each of _SEARCHED families and share
+        step = (F.col("to") / 2 - F.col("from") / 2) / _RANGES  # of halves, so that nothing overflows
+        at = F.when(step > 0, F.least(F.lit(_RANGES - 1.0), F.floor((F.col("value") / 2 - F.col("from") / 2) / step).cast("double"))).otherwise((F.col("value") > F.col("from")).cast("double"))
+        family = [f"`{c} of`" for c in by]
+        counts = mine.select(*family, "from", "to", "value", at.cast("int").alias("at"))
+        counts = counts.groupBy(*family, "from", "to", "at").agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+        up = Window.partitionBy(*family, "from", "to").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("end", F.sum("size").over(up)).withColumn("start", F.col("end") - F.col("size"))  # _RANGES rows at most
+        here = open_.join(counts, same & (F.col("lo") == F.col("from")) & (F.col("hi") == F.col("to")) & (F.col("place") < F.col("end")) & (F.col("place") >= F.col("start")))
+        open_ = written(here.select(*by, "name", "side", (F.col("place") - F.col("start")).alias("place"), "part", F.col("low").alias("lo"), F.col("high").alias("hi")), "places")
+    value = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo")))
+    both = done.groupBy(*by).agg(*(x for name in shares for x in (value(name, 0).alias(f"{name}_0"), value(name, 1).alias(f"{name}_1"), F.max(F.when(F.col("name") == name, F.col("part"))).alias(f"{name}_part"))))
+    return both.select(*by, *((F.col(f"{n}_0") + F.col(f"{n}_part") * (F.col(f"{n}_1") - F.col(f"{n}_0"))).alias(n) for n in shares))
 
 
 def linked_components(edges: DataFrame) -> DataFrame:

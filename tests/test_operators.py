@@ -171,8 +171,59 @@ def test_empty_tables_and_extra_columns(spark):
     assert multivariate.discriminant_q2(products, samples).first()["q2"] is None
     for df in (T.volcano(cells), T.kruskal(cells), T.benjamini_hochberg(T.kruskal(cells)), composition.class_totals(cells), composition.class_trends(cells), multivariate.class_correlations(cells), multivariate.moderated_test(cells, samples)):
         assert df.count() == 0
-    p = spark.createDataFrame([(1, 0.01, 5, 7), (2, None, 5, 7)], "feature_id int, p double, _n int, _rank int")
-    assert sorted(T.benjamini_hochberg(p.drop("_n", "_rank")).columns) == ["fdr", "feature_id", "p"]
+    names = ["_n", "_rank", "_part", "_raw", "_low", "_p", "_rate", "_family0", "n", "rank", "raw", "ties", "least"]
+    rows = [(1, 0.01, "a", *range(13)), (2, None, "a", *range(13)), (3, 0.04, "a", *range(13)), (4, 0.5, None, *range(13))]
+    p = spark.createDataFrame(rows, "feature_id int, p double, family string, " + ", ".join(f"{n} int" for n in names))
+    got = T.benjamini_hochberg(p, "family")
+    assert got.columns == [*p.columns, "fdr"]
+    assert sorted(tuple(x) for x in got.collect()) == sorted((*x, {1: 0.02, 2: None, 3: 0.04, 4: 0.5}[x[0]]) for x in rows)
+
+
+@pytest.mark.parametrize("ranges", [False, True])
+def test_rates_of_many_equal_values(spark, monkeypatch, ranges):
+    """A family of which most p are equal, ranked at once and in ranges."""
+    from sparkloom import scale
+
+    if ranges:
+        monkeypatch.setattr(scale, "FAMILY", 5)
+        monkeypatch.setattr(T, "FAMILY", 5)
+    rng = random.Random(2)
+    rows = [(k, "ab"[k % 2], 0.05 if k % 3 else round(rng.random(), 3)) for k in range(3000)] + [(5000, None, 0.3), (5001, "a", None)]
+    got = {r["feature_id"]: r["fdr"] for r in T.benjamini_hochberg(spark.createDataFrame(rows, "feature_id int, family string, p double"), "family").collect()}
+    for family in ("a", "b", None):
+        of = sorted((p, k) for k, f, p in rows if f == family and p is not None)
+        low = 1.0
+        expected = {}
+        for i in range(len(of) - 1, -1, -1):
+            low = min(low, of[i][0] * len(of) / (i + 1))
+            expected[of[i][0]] = min(low, expected.get(of[i][0], 1.0))
+        assert all(got[k] == pytest.approx(min(expected[p], 1.0)) for p, k in of)
+    assert got[5001] is None and len(got) == len(rows)
+
+
+def test_narrowed_percentiles(spark, monkeypatch):
+    """Families beyond what a task may hold, with ties, both signs and magnitudes far apart."""
+    import numpy as np
+
+    from sparkloom import scale
+
+    monkeypatch.setattr(scale, "FAMILY", 50)
+    rng = np.random.default_rng(3)
+    values = {
+        "normal": rng.normal(size=4000), "wide": np.exp(rng.normal(0, 40, 3000)) * rng.choice([-1, 1], 3000), "ties": rng.integers(0, 4, 2000).astype(float), "one": np.full(500, 7.5),
+        "small": rng.normal(size=9), "extreme": np.array([-1.7e308, 1.7e308, 0.0] * 40), "near": 1 + np.arange(300) * 2.0**-52, None: rng.normal(size=100),
+    }
+    rows = [(g, float(v)) for g, of in values.items() for v in of] + [("empty", None)]
+    shares = {"p1": 0.01, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: [r[n] for n in shares] for r in scale.percentiles(df, "v", shares, "g").collect()}
+    assert set(got) == set(values)
+    for g, of in values.items():
+        if g != "extreme":
+            assert got[g] == pytest.approx([np.quantile(of, q) for q in shares.values()], rel=1e-12), g
+    every = np.concatenate([of for g, of in values.items() if g != "extreme"])
+    assert list(scale.percentiles(df.where("g <> 'extreme' OR g IS NULL"), "v", shares).first()) == pytest.approx([np.quantile(every, q) for q in shares.values()], rel=1e-12)
+    assert got["extreme"][2] == 0.0 and got["extreme"][4] == 1.7e308
 
 
 def test_exact_percentiles(spark):
