@@ -28,13 +28,15 @@ DICTIONARY_BYTES = 48 << 20
 #: Parts that words are numbered in.
 PARTS = 64
 #: Phrases of the text that a task holds before it makes a filter of them; occurrences that a shard merges, about; shards at least, in bits.
-HELD, SHARD, LEAST_BITS = 1 << 21, 4 << 20, 7
+HELD, SHARD, LEAST_BITS = 1 << 19, 4 << 20, 7
+#: Texts that are taken apart at a time.
+ROWS = 256
 #: Bits of the table of frequent phrases that is shipped, at least and at most (bounds of 128 KB and 64 MB).
 TABLE_BITS = (20, 29)
 
 _STOP = b"\xff"  # in no text: the end of a piece
 _PLAIN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 200_000
 
 
 def pieces(text: bytes | None) -> list[bytes]:
@@ -146,7 +148,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.array(list(of), pa.string()), pa.array(list(of.values()), pa.int64())], names=["lang", "word", "f"])
             counts.clear()
 
-        for batch in batches:
+        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 counts.setdefault(lang, Counter()).update(pieces(text))
             if sum(map(len, counts.values())) > _CACHE_LIMIT:
@@ -184,7 +186,7 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last, again=again) -> Iterator[pa.RecordBatch]:
             none: dict[bytes, int] = {}
-            for batch in batches:
+            for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
                 ids = []
                 for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)):
                     get = shared.value.get(lang, none).get
@@ -286,7 +288,7 @@ def phrase_counts(ids: DataFrame, m: int, bits: int, occurrences: int, least: in
             made = [(int(shard[a]), filter_of(left[a:b], right[a:b], counts[a:b], half, int(shard[a]), shard_bits)) for a, b in zip(starts, starts[1:])]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in made], pa.int32()), pa.array([f for _, f in made], pa.binary())], names=["shard", "filter"])
 
-        for batch in batches:
+        for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
             column = batch.column(0)
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             # Texts one after the other, with a zero after each.
