@@ -7,14 +7,13 @@ terms that one of the two has; for all others both are at the value of a count o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,70 +24,70 @@ from .shared import as_bytes, written
 MIN_DOCS, ADDED, ONE = 30, 5, 1_000_000_000
 #: Terms of the largest excess that a source is given.
 TOP_TERMS = 50
-#: Terms that one vocabulary holds, about: it is on the driver and on each executor. More are counted in slices of their hashes.
+#: Terms that one vocabulary holds: it is on the driver and on each executor. More are counted in slices of their hashes.
 SLICE_TERMS = 1_000_000
-#: The part of all hashes over which the number of kept terms is found out beforehand.
-_PROBE = 64
 #: Terms and sources of a block, in which sources are compared.
 TERM_BLOCK, SOURCE_BLOCK = 1_024, 128
-#: Sums that a task holds before it returns them.
-_HELD = 2_000_000
-
-#: ASCII letters in lower case, bytes of other characters as they are, the rest as blanks.
-_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_END, _BREAK = b"\x00", b"\xff"  # the end of a language's name; a byte that is in no text
-
-
-def _tagged(text: bytes | None, lang: bytes) -> list[bytes]:
-    """The terms of a text, each after its language, so that one vocabulary keeps languages apart. A term has no control characters."""
-    words = text.translate(_LETTERS).split() if text else ()
-    tag = lang + _END
-    return (tag + (_BREAK + tag).join(words)).split(_BREAK) if words else []
-
-
-def _slice_of(term: bytes, n: int) -> int:
-    return xxhash.xxh3_64_intdigest(term) % n
+#: Sums that a task holds before it returns them; texts whose terms are made at a time.
+_HELD, _ROWS = 1_500_000, 256
+
+#: ASCII letters in lower case, bytes of other characters as they are, the rest as 0.
+_LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 0 for c in range(256)], np.uint8)
+_END = "\x00"  # of a language's name; a term has no control characters
+
+
+def split_terms(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The terms of texts, one text after the other, and how many each has. No text is null."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    lower = _LETTERS[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data is not None else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    inside = lower != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    borders = ends[:-1][ends[:-1] < len(lower)]
+    first[borders] = inside[borders]  # a text's first character begins a term, whatever the text before ends with
+    starts = np.append(np.flatnonzero(first[inside]), int(inside.sum())).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.tobytes()), pa.py_buffer(lower[inside].tobytes()))
+    return found, np.diff(np.searchsorted(np.flatnonzero(first), ends))
 
 
 def _plain(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
 
 
-def kept_terms(plain: DataFrame, min_docs: int) -> int:
-    """About how many terms are kept: those of one in _PROBE hashes, counted, times _PROBE."""
+def terms(plain: DataFrame, k: int = 0, n: int = 1, once: bool = False) -> DataFrame:
+    """lang, source, terms: the terms of each text (once: each once), each after its language, so that one vocabulary keeps
+    languages apart; of n slices of them the k-th."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probed, counts = {}, Counter()
-        for batch in batches:
-            for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1)), strict=True):
-                for term in set(_tagged(text, lang)):
-                    mark = probed.get(term)
-                    if mark is None:
-                        mark = probed[term] = _slice_of(term, _PROBE) == 0
-                    if mark:
-                        counts[term] += 1
-            if len(probed) > _HELD // 4:
-                probed.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):  # few texts at a time, so that their terms are few
+                batch = whole.slice(start, _ROWS)
+                found, counts = split_terms(batch.column(2).cast(pa.string()))
+                rows, flat = np.repeat(np.arange(batch.num_rows), counts), pc.dictionary_encode(pc.binary_join_element_wise(batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts))), found, _END))
+                code = flat.indices.to_numpy()
+                if n > 1:
+                    mine = np.array([xxhash.xxh3_64_intdigest(t) % n == k for t in as_bytes(flat.dictionary)], bool)[code]
+                    rows, code = rows[mine], code[mine]
+                if once:
+                    both = np.unique((rows << 32) | code)
+                    rows, code = both >> 32, both & 0xFFFFFFFF
+                ends = np.append(0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), flat.dictionary.take(pa.array(code)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["lang", "source", "terms"])
 
-    found = plain.select("lang", "text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return _PROBE * found.where(F.col("n") >= min_docs).count()
-
-
-def terms(plain: DataFrame, k: int = 0, n: int = 1) -> DataFrame:
-    """lang, source, terms: the terms of each text, each after its language; of n slices of them the k-th."""
+    return plain.mapInArrow(run, "lang string, source string, terms array<string>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = [], [0]
-            for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(2)), strict=True):
-                found = _tagged(text, lang)
-                flat += found if n == 1 else [t for t in found if _slice_of(t, n) == k]
-                ends.append(len(flat))
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["lang", "source", "terms"])
 
-    return plain.mapInArrow(run, "lang string, source string, terms array<string>")
+def _vocabulary(plain: DataFrame, k: int, n: int, min_docs: int):  # noqa: ANN202
+    """The fitted model of a slice of the terms, or None where no term is kept."""
+    try:
+        return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(terms(plain, k, n, once=True))
+    except IllegalArgumentException as e:
+        if "vocabulary" not in str(e).lower():
+            raise
+        return None
 
 
 def _sums(vectors: DataFrame) -> DataFrame:
@@ -102,8 +101,7 @@ def _sums(vectors: DataFrame) -> DataFrame:
             key, value = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
             key, at = np.unique(key, return_inverse=True)
             total, known = np.bincount(at, value, len(key)), list(names)
-            group = (key >> 32).tolist()
-            columns = [pa.array([known[g][c] for g in group], pa.string()) for c in (0, 1)]
+            columns = [pa.array([x[c] for x in known], pa.string()).take(pa.array(key >> 32)) for c in (0, 1)]
             return pa.RecordBatch.from_arrays([*columns, pa.array(key & 0xFFFFFFFF), pa.array(total.astype(np.int64))], names=["lang", "source", "place", "count"])
 
         for batch in batches:
@@ -127,22 +125,27 @@ def source_counts(docs: DataFrame, min_docs: int = MIN_DOCS, lang_col: str = "la
     Both are written. A term is kept if `min_docs` documents of its language have it.
     """
     plain = _plain(docs, lang_col, source_col, text_col)
-    spark, slices = docs.sparkSession, max(1, -(-kept_terms(plain, min_docs) // slice_terms))
-    vocabulary, counts, first = None, None, 0
-    for k in range(slices):
-        of = terms(plain, k, slices)
+    spark, slices, vocabulary, counts, first, k = docs.sparkSession, 1, None, None, 0, 0
+    while k < slices:
         try:
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(of)
-        except IllegalArgumentException as e:
-            if "vocabulary" not in str(e).lower():
+            model = _vocabulary(plain, k, slices, min_docs)
+            size = len(model.vocabulary) if model else 0
+        except PySparkException as e:
+            if "maxResultSize" not in str(e):
                 raise
-            continue  # no term is kept
-        named = [t.rpartition("\x00") for t in model.vocabulary]
-        table = pa.table({"place": pa.array(range(first, first + len(named)), pa.int64()), "lang": pa.array([x[0] for x in named], pa.string()), "term": pa.array([x[2] for x in named], pa.string())})
-        part = written(_sums(model.transform(of).select("lang", "source", "vector")).groupBy("lang", "source", "place").agg(F.sum("count").alias("count")), "sums").withColumn("place", F.col("place") + first)
+            size = 4 * slice_terms  # more than the driver takes: in quarters
+        if size > slice_terms:
+            slices, vocabulary, counts, first, k = slices * -(-size // slice_terms) + 1, None, None, 0, 0
+            continue
+        k += 1
+        if not size:
+            continue
+        named = [t.rpartition(_END) for t in model.vocabulary]
+        table = pa.table({"place": pa.array(range(first, first + size), pa.int64()), "lang": pa.array([x[0] for x in named], pa.string()), "term": pa.array([x[2] for x in named], pa.string())})
+        part = written(_sums(model.transform(terms(plain, k - 1, slices)).select("lang", "source", "vector")).groupBy("lang", "source", "place").agg(F.sum("count").alias("count")), "sums").withColumn("place", F.col("place") + first)
         words = written(spark.createDataFrame(table), "vocabulary")
         vocabulary, counts = (words, part) if vocabulary is None else (vocabulary.unionByName(words), counts.unionByName(part))
-        first += len(named)
+        first += size
     if vocabulary is None:
         return spark.createDataFrame([], "place long, lang string, term string"), spark.createDataFrame([], "lang string, source string, place long, count long")
     return vocabulary, counts
@@ -170,10 +173,10 @@ def _compared(cells: DataFrame, groups: DataFrame, term_block: int, source_block
 
     def compare(table: pa.Table) -> pa.Table:
         lang, place = table["lang"][0].as_py(), table["place"]
-        head = pa.compute.is_null(place)
+        head = pc.is_null(place)
         top = table.filter(head)
         names, base, own = top["source"].to_pylist(), top["base"].to_numpy(), top["own"].to_numpy()
-        at, body = {n: i for i, n in enumerate(names)}, table.filter(pa.compute.invert(head))
+        at, body = {n: i for i, n in enumerate(names)}, table.filter(pc.invert(head))
         known, column = np.unique(body["place"].to_numpy(), return_inverse=True)
         shares = np.repeat(base[:, None], len(known), 1)
         shares[[at[n] for n in body["source"].to_pylist()], column] = body["share"].to_numpy()
