@@ -1,7 +1,7 @@
 """A factorization machine over hashed terms that scores a text's toxicity.
 
-Terms are words in lower case, their first four and six letters, and what two words share of these, hashed to buckets. All buckets of the
-labelled texts are features, each as large as what is known of it: the more surely it tells toxic from other texts, or the more texts have it. The
+Terms are words in lower case, their first four and six letters, and what two words share of these, hashed to buckets. All buckets that two
+labelled texts have are features, each as large as what is known of it: the more surely it tells toxic from other texts, or the more texts have it. The
 machine has a weight for each and for each pair of them, through factors.
 """
 
@@ -30,9 +30,10 @@ FACTORS = 4
 PREFIXES = (4, 6)
 #: Labelled rows that a model is fitted on, about; chosen by a hash of their id.
 TRAINING_ROWS = 8_000
-STEPS, STEP_SIZE, PENALTY = 100, 0.05, 1e-3
-#: Tasks that a step is split to, at most, and rows that a task takes at a time.
-TASKS, BLOCK = 6, 1_000
+#: Passes over them, rows of a step, and how far a step goes and draws weights back.
+PASSES, BATCH, STEP_SIZE, PENALTY = 30, 256, 0.05, 1e-2
+#: Rows that have a bucket, at least: what one text alone has tells nothing of others.
+LEAST_ROWS = 2
 #: Score at which a text is predicted to be toxic.
 CUT = 0.5
 
@@ -105,7 +106,7 @@ def _bucket_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Machine:
-    """Weighs features and fits the machine on labelled rows that are not held out.
+    """Weighs features and fits the machine on about `rows` labelled rows that are not held out, in one task.
 
     Without labels of both kinds the score is the share of toxic labels, 0.5 if there are none.
     """
@@ -117,23 +118,28 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     odds = F.log((a + 0.5) / (ta + 1)) - F.log((b + 0.5) / (tb + 1))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     known = F.pow(F.least(F.abs(odds / error) / FULL_Z, F.lit(1.0)), POWER) + FREQUENT * (a + b) / n
-    found = _bucket_counts(sample).select("bucket", known.alias("known")).orderBy("bucket").toArrow()
+    found = _bucket_counts(sample).where(a + b >= LEAST_ROWS).select("bucket", known.alias("known")).orderBy("bucket").toArrow()  # BUCKETS rows at most
     if not found.num_rows:
         return _constant(toxic / n)
     values, places = found["known"].to_numpy().astype(np.float32), np.full(BUCKETS, -1, np.int32)
     places[found["bucket"].to_numpy()] = np.arange(len(values))
-    shared = docs.sparkSession.sparkContext.broadcast(places)
+    shared = docs.sparkSession.sparkContext.broadcast((places, values))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            at = [places_of(terms.of(t), shared.value) for t in as_bytes(batch.column(1))]
+            at = [places_of(terms.of(t), shared.value[0]) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], names=["label", "at"])
 
-    features = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features").coalesce(TASKS).cache()
-    weights = _descend(features, values, n)
-    features.unpersist()
-    known = values.astype(np.float64)
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(float(y), at.values.to_numpy()) for batch in batches for y, at in zip(batch.column(0).to_pylist(), batch.column(1))]
+        weights = _descend(sorted(rows, key=lambda x: (x[0], x[1].tobytes())), shared.value[1])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
+    # The labelled rows are about `rows`, however many documents there are: their features are a few numbers a word, and one task fits them.
+    features = written(sample.select("label", "text").mapInArrow(vectors, "label double, at array<int>"), "features")
+    fitted = features.coalesce(1).mapInArrow(descend, "weights binary").first()["weights"]
+    weights, known = np.frombuffer(fitted, np.float32).reshape(2 + FACTORS, -1), values.astype(np.float64)
     return Machine(float(weights[0, 0]), places, weights[1, 1:] * known, (weights[2:, 1:] * known).T)
 
 
@@ -154,33 +160,22 @@ def _gradient(label: np.ndarray, flat: np.ndarray, lengths: np.ndarray, values:
     return out
 
 
-def _descend(features: DataFrame, values: np.ndarray, n: int) -> np.ndarray:
-    """The intercept at [0, 0]; from column 1 on, row 1 has the linear weights and the others the factors.
+def _descend(rows: list[tuple[float, np.ndarray]], values: np.ndarray) -> np.ndarray:
+    """The intercept at [0, 0]; from column 1 on, row 1 has the linear weights and the others the factors. rows: label, features.
 
-    Adam with decoupled decay on full gradients. Spark's own FMClassifier makes a dense gradient for each row; these are sparse, so all buckets can be
-    features. What a task returns is bounded by BUCKETS.
+    Adam with decoupled decay on batches of rows, in an order that depends on the rows only. Gradients are sparse in the
+    features of a batch, so all buckets can be features; Spark's own FMClassifier makes a dense gradient for each row.
     """
-    context = features.sparkSession.sparkContext
     weights = np.zeros((2 + FACTORS, 1 + len(values)), np.float32)
     weights[2:, 1:] = np.random.default_rng(5).normal(0, 0.01, (FACTORS, len(values)))
-    mean, square, sizes = np.zeros_like(weights), np.zeros_like(weights), context.broadcast(values)
-    for step in range(1, STEPS + 1):
-        now = context.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(now.value.shape)
-            for batch in batches:
-                for start in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(start, BLOCK)
-                    total += _gradient(part.column(0).to_numpy(), part.column(1).flatten().to_numpy(), part.column(1).value_lengths().to_numpy(), sizes.value, now.value)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["gradient"])
-
-        parts = features.mapInArrow(run, "gradient binary").toArrow()["gradient"]
-        g = sum(np.frombuffer(x.as_buffer(), np.float32).reshape(weights.shape) for x in parts) / np.float32(n)
-        now.destroy()
-        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
-        weights = weights * np.float32(1 - STEP_SIZE * PENALTY) - STEP_SIZE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    sizes.destroy()
+    mean, square, order, step = np.zeros_like(weights), np.zeros_like(weights), np.random.default_rng(7), 0
+    for _ in range(PASSES):
+        dealt = order.permutation(len(rows))
+        for start in range(0, len(rows), BATCH):
+            mine, step = [rows[i] for i in dealt[start : start + BATCH]], step + 1
+            g = _gradient(np.array([y for y, _ in mine]), np.concatenate([at for _, at in mine]), np.array([len(at) for _, at in mine]), values, weights).astype(np.float32) / len(mine)
+            mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+            weights = weights * np.float32(1 - STEP_SIZE * PENALTY) - STEP_SIZE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return weights
 
 
