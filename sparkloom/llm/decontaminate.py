@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A benchmark item's seeds are its 3-grams that are rare in the corpus, and of every few neighbouring ones the rarest, so
-that an item of common 3-grams, or one that very many texts copy, has seeds too. A text that has a seed is aligned with
-the item around it, word by word, and is contaminated if the local alignment's score reaches a share of the item's own.
+A benchmark item's seeds are its 3-grams that are rare in the corpus, and of every two neighbouring ones the rarer, so
+that an item of common 3-grams, or one that very many texts copy, has seeds too; the others are seeds where two of an item's
+are near each other. A text that has a seed is aligned with the item around it, word by word, and is contaminated if the
+local alignment's score reaches a share of the item's own. Items of one or two words are looked for as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ WIDTH = 3
 #: A 3-gram is rare if it is in such a share of the corpus's rows, or so many rows, at most.
 RARE, RARE_ROWS = 0.01, 100
 #: Of so many neighbouring 3-grams of an item the rarest is a seed, rare or not.
-NEIGHBOURS = 4
+NEIGHBOURS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an item aligned with itself.
 MIN_SCORE = 0.5
@@ -72,20 +73,20 @@ class Grams:
         return at[same].tolist(), k[same].tolist()
 
 
-def spans(starts: list[int], size: int) -> list[tuple[int, int]]:
-    """Windows around the places where an item of `size` words would begin, those that overlap as one.
+def spans(starts: list[tuple[int, bool]], size: int) -> list[tuple[int, int]]:
+    """Windows around the places where an item of `size` words would begin, those that overlap as one: (place, whether its seed counts alone).
 
     An alignment that reaches the least score has as many gaps as the item has words at most, so it lies within as many
-    words around the place that one of its seeds points to.
+    words around the place that one of its seeds points to. A window of one seed that doesn't count alone is none.
     """
-    out: list[tuple[int, int]] = []
-    for start in sorted(set(starts)):
+    out: list[list[int]] = []
+    for start, alone in sorted(starts):
         lo, hi = max(0, start - size), start + 2 * size
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
+            out[-1][1:] = [hi, out[-1][2] + 1 + alone]
         else:
-            out.append((lo, hi))
-    return out
+            out.append([lo, hi, 1 + alone])
+    return [(lo, hi) for lo, hi, n in out if n > 1]
 
 
 class Seeds:
@@ -93,26 +94,37 @@ class Seeds:
 
     def __init__(self, items: list[tuple[object, np.ndarray]], frequency: dict[int, int], rows: int):
         self.items = items
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, hashed) in enumerate(items):
+        at: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+        self.short: dict[int, list[object]] = defaultdict(list)  # items of one or two words, by their hash
+        for k, (name, hashed) in enumerate(items):
+            if len(hashed) < WIDTH:
+                self.short[int(gram_hashes(hashed, WIDTH)[0])].append(name)
+                continue
             grams = gram_hashes(hashed, WIDTH).tolist()
             chosen = {p for p, g in enumerate(grams) if frequency.get(g, 0) <= max(RARE * rows, RARE_ROWS)}
             for start in range(max(1, len(grams) - NEIGHBOURS + 1)):
                 chosen.add(min(range(start, min(start + NEIGHBOURS, len(grams))), key=lambda p: (frequency.get(grams[p], 0), grams[p], p)))
-            for p in chosen:
-                at[grams[p]].append((k, p))
+            for p, g in enumerate(grams):
+                at[g].append((k, p, p in chosen))
         self.at = dict(at)
         self.grams = Grams(np.array(sorted(self.at), np.uint64))
+        self.whole = Grams(np.array(sorted(self.short), np.uint64))
 
     def find(self, hashed: np.ndarray) -> list[tuple[object, float, int, int]]:
-        """(item, score, first word, word after the last) of the items that a text contains."""
+        """(item, score, first word, word after the last) of the items that a text contains, of short ones where each is first."""
+        out = []
+        for width in range(1, WIDTH) if self.short else ():
+            first: dict[object, int] = {}
+            for position, gram in zip(*self.whole.find(gram_hashes(hashed, width))) if len(hashed) >= width else ():
+                for name in self.short[int(self.whole.sorted[gram])]:
+                    first.setdefault(name, position)
+            out += [(name, 1.0, position, position + width) for name, position in first.items()]
         if len(hashed) < WIDTH:
-            return []
-        windows: dict[int, list[int]] = defaultdict(list)
+            return out
+        windows: dict[int, list[tuple[int, bool]]] = defaultdict(list)
         for position, gram in zip(*self.grams.find(gram_hashes(hashed, WIDTH))):
-            for item, offset in self.at[int(self.grams.sorted[gram])]:
-                windows[item].append(position - offset)
-        out = []
+            for item, offset, alone in self.at[int(self.grams.sorted[gram])]:
+                windows[item].append((position - offset, alone))
         for item, starts in windows.items():
             name, own = self.items[item]
             best = (0, 0)
@@ -129,7 +141,7 @@ class Seeds:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """The items of at least 3 words, in blocks of a bounded size."""
+    """The items of one word or more, in blocks of a bounded size."""
     sized = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
@@ -137,12 +149,12 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
     for k in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(blocks)) == k) if blocks > 1 else sized
         items = [(r["id"], word_hashes(words(r["text"].encode()), cache)) for r in rows.collect()]
-        yield sorted((x for x in items if len(x[1]) >= WIDTH), key=lambda x: str(x[0]))
+        yield sorted((x for x in items if len(x[1])), key=lambda x: str(x[0]))
 
 
 def _frequencies(docs: DataFrame, text_col: str, items: list[tuple[object, np.ndarray]]) -> tuple[dict[int, int], int]:
     """In how many rows of the whole corpus each 3-gram of the items is, and the number of rows."""
-    wanted = np.unique(np.concatenate([gram_hashes(h, WIDTH) for _, h in items])) if items else np.empty(0, np.uint64)
+    wanted = np.unique(np.concatenate([gram_hashes(h, WIDTH) for _, h in items if len(h) >= WIDTH] or [np.empty(0, np.uint64)]))
     if not len(wanted):
         return {}, 0
     shared = docs.sparkSession.sparkContext.broadcast(Grams(wanted))
@@ -171,8 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """id_col, item_col, score, start_word, end_word: the items that each row's text contains, whole or edited.
 
     score: the best local alignment's, 1 for an item that is contained as it is; start_word and end_word count words
-    without punctuation. Rows without text contain nothing; items that are null, have a null id or under 3 words are
-    in no text. A null row id is returned as it is; repeated rows are each returned; of equal items each is returned.
+    without punctuation. Rows without text contain nothing; items that are null, have a null id or no word are in no text,
+    and those of one or two words in the texts that have them as they are. A null row id is returned as it is; repeated rows are each returned; of equal items each is returned.
     Empty tables give an empty result. Columns other than the four named are not read.
     """
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -202,7 +214,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The rows of docs that contain no item, with all their columns.
 
     Rows without text stay, as do rows with a null id or extra columns; of repeated rows all stay or all go. Items that are null,
-    have a null id or under 3 words are in no text. Empty tables give docs as it is.
+    have a null id or no word are in no text, and those of one or two words in the texts that have them as they are. Empty tables give docs as it is.
     """
     t = docs.columns.index(text_col)
     source = docs

@@ -55,8 +55,8 @@ def test_edges(spark, edges, sf):
         assert near_dedup.keep_first(docs).count() == (len(EDGES) and n and n - 2)  # doc 5, on two rows, is a copy of 4
         kept = line_dedup.drop_recurring(docs, counts=True)
         assert kept.count() == n and set(docs.columns) <= set(kept.columns)
-        assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == ({None} if n else set())
-        assert decontaminate.drop_contaminated(docs, bench).count() == max(0, n - 1)
+        assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == ({None, 7} if n else set())  # 7 has the item of one word
+        assert decontaminate.drop_contaminated(docs, bench).count() == max(0, n - 2)
         assert sentencepiece_bpe.encode_decode(docs, path).count() == n
         assert sharding.place(docs, "doc_id", ["a", "b"]).count() == n
         assert quality_model.score(docs, quality_model.fit(docs, labels)).count() == n
@@ -73,10 +73,13 @@ def test_edges(spark, edges, sf):
 def test_models_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    for module, label, least in ((quality_model, "quality", 0.9), (toxicity, "toxic", 0.9)):
-        scored = module.score(docs, module.fit(docs, labels)).join(labels, "doc_id").where("held_out")
-        right, n = scored.agg(F.sum((F.col("predicted") == F.col(label)).cast("int")), F.count("*")).first()
-        assert n > 40 and right / n >= least, (label, right, n)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels)).join(labels, "doc_id").where("held_out")
+    right, n = scored.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert n > 40 and right / n >= 0.9
+    # Few rows are toxic, so what counts is how many of these are found.
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out")
+    found, toxic, wrong = scored.agg(F.sum(F.expr("int(toxic = 1 AND predicted = 1)")), F.sum("toxic"), F.sum(F.expr("int(toxic = 0 AND predicted = 1)"))).first()
+    assert toxic >= 5 and found / toxic >= 0.6 and wrong == 0
 
 
 def test_rules_compile_to_one_expression(spark):
@@ -268,8 +271,16 @@ def test_contaminated_against_brute_force(spark):
         assert local_score(decontaminate.words(dict(items)[r["item_id"]].encode()), span) / 40 == pytest.approx(r["score"])
 
 
-def test_every_alignment_around_a_seed_is_found():
-    """Against whole alignments of 3,000 texts with edited, repeated and gapped copies, wherever a seed is left."""
+class Everywhere(dict):
+    """Frequencies of 3-grams that very many rows have."""
+
+    def get(self, gram, default=0):
+        return 10**6
+
+
+@pytest.mark.parametrize(("frequency", "least"), [({}, 0.99), (Everywhere(), 0.97)])
+def test_every_alignment_around_a_seed_is_found(frequency, least):
+    """Against whole alignments of 3,000 texts with edited, repeated and gapped copies: with rare 3-grams, and with common ones only."""
     import numpy as np
 
     rng = random.Random(11)
@@ -281,7 +292,7 @@ def test_every_alignment_around_a_seed_is_found():
         items.append((k, decontaminate.word_hashes([w.encode() for w in item], decontaminate.WordHashes())))
     words = {k: h.tolist() for k, h in items}
     noise = decontaminate.word_hashes([w.encode() for w in common], decontaminate.WordHashes()).tolist()
-    seeds = decontaminate.Seeds(items, {}, 1)
+    seeds = decontaminate.Seeds(items, frequency, 1)
     found = missed = 0
     for _ in range(3000):
         k = rng.randrange(6)
@@ -302,8 +313,17 @@ def test_every_alignment_around_a_seed_is_found():
                 assert got[name] == score
             else:
                 missed += 1
-                assert not grams & {g for g, at in seeds.at.items() if name in {i for i, _ in at}}
-    assert found > 1500 and missed < 0.02 * found
+                left = [alone for g, at in seeds.at.items() if g in grams for i, _, alone in at if i == name]
+                assert not any(left) and len(left) < 3
+    assert found > 1500 and found / (found + missed) >= least
+
+
+def test_items_of_one_and_two_words(spark):
+    docs = docs_of(spark, [(1, "It was, Xyzzy! again"), (2, "plugh twice: plugh twice."), (3, "xyzzyplugh twice"), (4, "twice plugh"), (5, None)])
+    bench = spark.createDataFrame([(1, "xyzzy"), (2, "Plugh, twice"), (3, "..."), (4, "")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 1.0, 2, 3), (2, 2, 1.0, 0, 2)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 4, 5}
 
 
 def test_a_repeated_first_gram_hides_nothing(spark):
