@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import linked_components, written
+from .multivariate import correlations
 
 
 def pair(pos: DataFrame, neg: DataFrame, rt: float = 0.2, da: float = 0.005, ppm: float = 5.0, heaviest: float = 10_000.0) -> DataFrame:
@@ -36,26 +37,84 @@ def compatible(pairs: DataFrame) -> DataFrame:
     return of.withColumn("quality1", more(1, molecular1)).withColumn("quality2", more(2, molecular2))
 
 
-def eliminate(pairs: DataFrame) -> DataFrame:
+#: Pairs of a component that one task resolves.
+COMPONENT = 100_000
+
+
+def _resolved(pairs: list[tuple[object, object, bool]]) -> list[tuple[str, object]]:
+    """The (side, id) that are removed from a component of pairs (id1, id2, whether the first wins).
+
+    Each keeps how many of its pairs it wins; what wins none goes, and only its partners are looked at again.
+    """
+    of: dict[tuple[str, object], list[int]] = {}
+    for k, (one, two, _) in enumerate(pairs):
+        of.setdefault(("1", one), []).append(k)
+        of.setdefault(("2", two), []).append(k)
+    wins = {x: sum(pairs[k][2] == (x[0] == "1") for k in mine) for x, mine in of.items()}
+    left, open_, gone = [True] * len(pairs), [x for x, n in wins.items() if n == 0], set()
+    while open_:
+        x = open_.pop()
+        if x in gone or wins[x] > 0 or not any(left[k] for k in of[x]):
+            continue
+        gone.add(x)
+        for k in of[x]:
+            if left[k]:
+                left[k] = False
+                one, two, first = pairs[k]
+                other = ("2", two) if x[0] == "1" else ("1", one)
+                if first == (other[0] == "1"):
+                    wins[other] -= 1
+                    if not wins[other]:
+                        open_.append(other)
+    return sorted(gone, key=str)
+
+
+def eliminate(pairs: DataFrame, component: int | None = None) -> DataFrame:
     """The ids that lose: (feature_id1 or feature_id2, as side and feature_id).
 
-    A pair's winner has the better quality, the positive one if they are equal. A feature in a pair that wins none of
-    its pairs is removed, and with it its pairs; this is repeated until nothing more goes. Pairs are found once and
-    written once a round, so that no round computes them again.
+    A pair's winner has the better quality, the positive one if they are equal; a pair without a quality is won by the negative
+    one. A feature in a pair that wins none of its pairs is removed, and with it its pairs; this is repeated until nothing more
+    goes; one that has no pair left stays. Features that pairs link, over any number of them, depend on each other
+    and on no others: a component of up to COMPONENT pairs is resolved in one task, however long its chains of removals are.
+    Pairs of larger ones are counted in rounds, of which each touches only the partners of what went in the last.
+    An empty table removes nothing.
     """
-    left = written(pairs.select("feature_id1", "feature_id2", (F.col("quality1") >= F.col("quality2")).alias("first")).distinct(), "pairs")
-    gone = None
-    while True:
-        sides = left.select(F.lit("1").alias("side"), F.col("feature_id1").alias("feature_id"), F.col("first").alias("won")).unionByName(
-            left.select(F.lit("2").alias("side"), F.col("feature_id2").alias("feature_id"), (~F.col("first")).alias("won"))
-        )
-        losers = written(sides.groupBy("side", "feature_id").agg(F.bool_or("won").alias("won")).where("NOT won").select("side", "feature_id"), "losers")
-        if not losers.head(1):
-            return gone if gone is not None else losers
-        gone = losers if gone is None else gone.unionByName(losers)
-        for k in ("1", "2"):
-            left = left.join(losers.where(F.col("side") == k).select(F.col("feature_id").alias(f"feature_id{k}")), f"feature_id{k}", "left_anti")
-        left = written(left, "pairs")
+    limit = COMPONENT if component is None else component
+    won = F.coalesce(F.col("quality1") >= F.col("quality2"), F.lit(False))
+    left = written(pairs.select("feature_id1", "feature_id2", won.alias("first")).distinct(), "pairs")
+    kind = dict(left.dtypes)["feature_id1"]
+    node = lambda k: F.concat(F.lit(f"{k}|"), F.col(f"feature_id{k}").cast("string"))
+    labels = linked_components(left.select(node(1).alias("a"), node(2).alias("b")))
+    placed = left.withColumn("node", node(1)).join(labels, "node").drop("node")
+    sizes = placed.groupBy("label").agg(F.count("*").alias("size"))
+    placed = written(placed.join(sizes, "label"), "components")
+
+    def resolve(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_resolved(list(zip(block["feature_id1"].tolist(), block["feature_id2"].tolist(), block["first"].tolist()))), columns=["side", "feature_id"])
+
+    gone = written(placed.where(F.col("size") <= limit).groupBy("label").applyInPandas(resolve, f"side string, feature_id {kind}"), "losers")
+    large = placed.where(F.col("size") > limit).select("feature_id1", "feature_id2", "first")
+    return gone.unionByName(_in_rounds(written(large, "pairs"))) if large.head(1) else gone
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """eliminate, by counts of wins that change with what goes: a round reads the pairs of the last round's losers only."""
+    sides = pairs.select(F.lit("1").alias("side"), F.col("feature_id1").alias("feature_id"), F.col("feature_id2").alias("other"), F.col("first").alias("won")).unionByName(
+        pairs.select(F.lit("2").alias("side"), F.col("feature_id2").alias("feature_id"), F.col("feature_id1").alias("other"), (~F.col("first")).alias("won"))
+    )
+    sides = written(sides, "sides")
+    wins = written(sides.groupBy("side", "feature_id").agg(F.count_if("won").alias("wins"), F.count("*").alias("pairs")), "wins")
+    gone, new = None, written(wins.where("wins = 0").select("side", "feature_id"), "losers")
+    while new.head(1):
+        gone = new if gone is None else gone.unionByName(new)
+        # The pairs of those that go, as their partners see them; a pair of two that go together counts once for each.
+        theirs = sides.join(new, ["side", "feature_id"]).select(F.when(F.col("side") == "1", "2").otherwise("1").alias("side"), F.col("other").alias("feature_id"), (~F.col("won")).alias("won"))
+        lost = theirs.groupBy("side", "feature_id").agg(F.count_if("won").alias("fewer"), F.count("*").alias("gone"))
+        wins = written(wins.join(new, ["side", "feature_id"], "left_anti").join(lost, ["side", "feature_id"], "left").select(
+            "side", "feature_id", (F.col("wins") - F.coalesce("fewer", F.lit(0))).alias("wins"), (F.col("pairs") - F.coalesce("gone", F.lit(0))).alias("pairs"), F.coalesce("fewer", F.lit(0)).alias("fewer")), "wins")
+        new = written(wins.where("wins = 0 AND fewer > 0 AND pairs > 0").select("side", "feature_id"), "losers")
+        wins = wins.drop("fewer")
+    return gone if gone is not None else new
 
 
 def union_polarities(pos: DataFrame, neg: DataFrame) -> DataFrame:
@@ -89,60 +148,135 @@ def _blocks(features: DataFrame, key: str | list[str], rt: str, gap: float | Col
     return features.withColumn("_start", starts).withColumn("block", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
 
-def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0, mda: float = 5.0) -> DataFrame:
+#: Rows of a block that one task goes through; larger blocks are gone through in ranges of time.
+BLOCK = 20_000
+
+
+def _anchored(block: pd.DataFrame, carried: pd.DataFrame, seconds: float, ppm: float, mda: float) -> pd.DataFrame:
+    """block with anchor: the earliest row left takes those within its reach. carried: anchors of before, which come first."""
+    block = block.sort_values(["rt_s", "feature_id"], ignore_index=True)
+    carried = carried.sort_values(["rt_s", "feature_id"], ignore_index=True)
+    rt, mass, ids = block["rt_s"].to_numpy(), block["neutral_mass"].to_numpy(), block["feature_id"].tolist()
+    anchor = np.full(len(block), None, object)
+    free = np.ones(len(block), bool)
+
+    def take(own: object, at: float, m: float, start: int) -> None:
+        end = int(np.searchsorted(rt, at + seconds, "right")) + 1
+        off = np.abs(mass[start:end] - m)
+        mine = start + np.flatnonzero(free[start:end] & (rt[start:end] - at <= seconds) & ((off <= mda / 1000) | (off / m * 1e6 <= ppm)))
+        anchor[mine], free[mine] = own, False
+
+    for own, at, m in zip(carried["feature_id"].tolist(), carried["rt_s"].tolist(), carried["neutral_mass"].tolist()):
+        take(own, at, m, 0)
+    for k in range(len(block)):
+        if free[k]:
+            take(ids[k], rt[k], mass[k], k)
+    return block.assign(anchor=pd.Series(anchor.tolist(), index=block.index, dtype=block["feature_id"].dtype))
+
+
+def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0, mda: float = 5.0, most: int | None = None) -> DataFrame:
     """Of one annotation's rows near in time and mass, the best. features: feature_id, annotation, annotation_type,
     rt_s, neutral_mass, n_missing, mean. Returns feature_id, kept_id.
 
     The earliest row left is the anchor; rows within 6 s and 5 ppm or 5 mDa of it are its group, of which the best by
-    type, missing values and mean stays. Standards, unknown rows and rows without time or mass stay alone. An anchor
-    reaches across no gap of over 6 s in time, and none of over 5 mDa and 5 ppm in mass, so a block between such gaps, in
-    both, is what one task has to hold; inside it, rows are visited once for each anchor that is near.
+    type, missing values and mean stays. Standards, unknown rows and rows without time or mass stay alone; ties go to the smaller id; an
+    empty table stays empty. An anchor reaches across no gap of over 6 s in time, and none of over 5 mDa and 5 ppm in mass, so
+    rows between such gaps, in both, are a block. A block of up to BLOCK rows is gone through in one task. Larger ones are cut in
+    ranges of 6 s: an anchor reaches into the next range at most, so a round goes through one range of each block, with the
+    anchors of the range before, and hands its own on.
     """
+    limit = BLOCK if most is None else most
     alone = (F.coalesce("annotation", F.lit("")) == "") | (F.col("annotation_type") == "IS") | F.col("rt_s").isNull() | F.col("neutral_mass").isNull()
     alone = F.coalesce(alone, F.lit(False))
     by_type = F.when(F.col("annotation_type") == "MS/MS match", 0).when(F.col("annotation_type") == "MS match", 1).otherwise(2)
     named = features.where(~alone).withColumn("priority", by_type)
     by_mass = _blocks(named, "annotation", "neutral_mass", F.greatest(F.lit(mda / 1000), F.col("neutral_mass") * (ppm / 1e6))).withColumnRenamed("block", "mass_block")
     named = _blocks(by_mass, ["annotation", "mass_block"], "rt_s", seconds)
-    kind = dict(features.dtypes)["feature_id"]
+    kind, key = dict(features.dtypes)["feature_id"], ["annotation", "mass_block", "block"]
+    rows = written(named.select(*key, "feature_id", F.col("rt_s").cast("double").alias("rt_s"), F.col("neutral_mass").cast("double").alias("neutral_mass"), "priority", "n_missing", "mean"), "adducts")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("rt_s").alias("start"))
+    sized = rows.join(sizes, key)
+    schema = f"feature_id {kind}, rt_s double, neutral_mass double, anchor {kind}"
+    shown = ["feature_id", "rt_s", "neutral_mass", "anchor"]
+    none = pd.DataFrame({"feature_id": [], "rt_s": [], "neutral_mass": []})
+    found = sized.where(F.col("size") <= limit).select(*key, "feature_id", "rt_s", "neutral_mass").groupBy(*key).applyInPandas(lambda b: _anchored(b, none, seconds, ppm, mda)[shown], schema).select("feature_id", "anchor")
+
+    large = sized.where(F.col("size") > limit).select(*key, "feature_id", "rt_s", "neutral_mass", F.floor((F.col("rt_s") - F.col("start")) / (seconds * (1 + 1e-9))).alias("part"))
+    last = large.agg(F.max("part")).first()[0]
+    if last is not None:
+        large, carried = written(large, "ranges"), None
+        with_key = ", ".join(f"{c} {dict(large.dtypes)[c]}" for c in key) + ", " + schema
+
+        def go_on(names: tuple, block: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+            out = _anchored(block, before, seconds, ppm, mda)[shown] if len(block) else none.assign(anchor=[])
+            for c, v in zip(key, names):
+                out[c] = v
+            return out[[*key, *shown]]
 
-    def greedy(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["rt_s", "feature_id"], ignore_index=True)
-        taken, out = np.zeros(len(block), bool), []
-        rt, mass = block["rt_s"].to_numpy(), block["neutral_mass"].to_numpy()
-        rank = sorted(range(len(block)), key=lambda i: (block["priority"][i], block["n_missing"][i], -block["mean"][i], block["feature_id"][i]))
-        place = {i: k for k, i in enumerate(rank)}
-        ids = block["feature_id"].tolist()
-        for a in range(len(block)):
-            if taken[a]:
-                continue
-            end = int(np.searchsorted(rt, rt[a] + seconds, "right"))
-            off = np.abs(mass[a:end] - mass[a])
-            group = a + np.flatnonzero(~taken[a:end] & (rt[a:end] - rt[a] <= seconds) & ((off <= mda / 1000) | (off / mass[a] * 1e6 <= ppm)))
-            taken[group] = True
-            best = min(group.tolist(), key=place.__getitem__)
-            out += [(ids[i], ids[best]) for i in group.tolist()]
-        return pd.DataFrame(out, columns=["feature_id", "kept_id"])
-
-    columns = ["feature_id", "annotation", "mass_block", "block", "rt_s", "neutral_mass", "priority", "n_missing", "mean"]
-    merged = named.select(*columns).groupBy("annotation", "mass_block", "block").applyInPandas(greedy, f"feature_id {kind}, kept_id {kind}")
+        for part in range(int(last) + 1):
+            here = large.where(F.col("part") == part).drop("part")
+            before = carried if carried is not None else here.limit(0)
+            done = written(here.groupBy(*key).cogroup(before.groupBy(*key)).applyInPandas(go_on, with_key), "anchored")
+            found, carried = found.unionByName(done.select("feature_id", "anchor")), done.where("feature_id = anchor").drop("anchor")
+    best = found.join(rows.select("feature_id", "priority", "n_missing", "mean"), "feature_id").groupBy("anchor").agg(
+        F.min(F.struct("priority", "n_missing", (-F.col("mean")).alias("less"), "feature_id")).alias("best"))
+    merged = found.join(best, "anchor").select("feature_id", F.col("best.feature_id").alias("kept_id"))
     return merged.unionByName(features.where(alone).select("feature_id", F.col("feature_id").alias("kept_id")))
 
 
-def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float = 0.3, r: float = 0.9, least: int = 4) -> DataFrame:
+#: Features of a cell of time that are compared in one task.
+CELL = 512
+
+
+def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float = 0.3, r: float = 0.9, least: int = 4, cell: int | None = None) -> DataFrame:
     """feature_id, kept_id: of one annotation and class, rows that are near in time and correlate are one feature.
 
     features: feature_id, annotation, lipid_class, rt_min, qc_rsd, sample_rsd, median; cells: feature_id, sample_id,
-    value. Pairs within 0.3 min are linked if log10(x + 1) correlates by 0.9 over four values or more; of each linked
-    block the one with the lowest QC RSD, sample RSD and highest median stays. Blocks end at gaps of over 0.3 min.
+    value. Pairs within 0.3 min are linked if log10(x + 1) correlates by 0.9 over four values or more; of what is linked,
+    over any number of links, the one with the lowest QC RSD, sample RSD and highest median stays (nulls last, ties to the smaller id).
+    Rows without annotation or time stay alone, as do those without values; an empty table stays empty.
+
+    Time is cut in cells as wide as the reach, so both of a pair are in one cell or in neighbours. A cell is cut in tiles
+    of about CELL features, and each two tiles that pairs may be in are a group, of which numpy makes all correlations; each pair is in
+    one group. What is shuffled is a feature's array for each tile that it meets, and links.
     """
-    named = _blocks(features.where("annotation <> ''").withColumn("name", F.concat_ws("|", "annotation", "lipid_class")), "name", "rt_min", minutes)
-    a, b = (named.select("name", "block", F.col("feature_id").alias(f"id{k}"), F.col("rt_min").alias(f"rt{k}")) for k in (1, 2))
-    pairs = a.join(b, ["name", "block"]).where((F.col("id1") < F.col("id2")) & (F.abs(F.col("rt1") - F.col("rt2")) <= minutes))
-    logged = cells.where("value > 0").select("feature_id", "sample_id", F.log10(F.col("value") + 1).alias("x"))
-    v1, v2 = (logged.select(F.col("feature_id").alias(f"id{k}"), "sample_id", F.col("x").alias(f"x{k}")) for k in (1, 2))
-    linked = pairs.join(v1, "id1").join(v2, ["id2", "sample_id"]).groupBy("name", "block", "id1", "id2").agg(F.corr("x1", "x2").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("r") >= r))
-    of = linked_components(linked.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(features, "feature_id")
-    order = Window.partitionBy("component").orderBy(F.col("qc_rsd").asc_nulls_last(), F.col("sample_rsd").asc_nulls_last(), F.col("median").desc_nulls_last(), "feature_id")
-    best = of.select("feature_id", F.first("feature_id").over(order).alias("kept_id"))
-    return features.select("feature_id").join(best, "feature_id", "left").select("feature_id", F.coalesce("kept_id", "feature_id").alias("kept_id"))
+    size = CELL if cell is None else cell
+    named = features.where("annotation <> '' AND rt_min IS NOT NULL").select(F.concat_ws("|", "annotation", "lipid_class").alias("name"), "feature_id", F.col("rt_min").cast("double").alias("rt"))
+    named = named.withColumn("at", F.floor(F.col("rt") / (minutes * (1 + 1e-9))))
+    tiles = written(named.groupBy("name", "at").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")), "tiles")
+    beside = lambda step, column: tiles.select("name", (F.col("at") - step).alias("at"), F.col("tiles").alias(column))
+    mine = named.join(tiles, ["name", "at"]).join(beside(1, "later"), ["name", "at"], "left").join(beside(-1, "earlier"), ["name", "at"], "left")
+    mine = written(mine.withColumn("own", F.pmod(F.xxhash64("feature_id"), F.col("tiles")).cast("int")), "placed")
+    tile = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = ["name", "feature_id", "rt"]
+    met = F.col("met")
+    within = mine.withColumn("met", tile(F.col("tiles"))).select(*base, "at", F.lit(0).alias("next"), F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), (F.col("own") > met).cast("int").alias("side"))
+    ahead = mine.where("later IS NOT NULL").withColumn("met", tile(F.col("later"))).select(*base, "at", F.lit(1).alias("next"), F.col("own").alias("x"), met.alias("y"), F.lit(0).alias("side"))
+    behind = mine.where("earlier IS NOT NULL").withColumn("met", tile(F.col("earlier"))).select(*base, (F.col("at") - 1).alias("at"), F.lit(1).alias("next"), met.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
+    packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c"))
+    rows = within.unionByName(ahead).unionByName(behind).join(packed, "feature_id")
+    kind = dict(features.dtypes)["feature_id"]
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        one_side = not int(group["next"].iloc[0]) and int(group["x"].iloc[0]) == int(group["y"].iloc[0])
+        samples: dict = {}
+        for c in group["c"]:
+            for v in c:
+                samples.setdefault(v["sample_id"], len(samples))
+        table = np.full((len(group), len(samples)), np.nan)
+        for i, c in enumerate(group["c"]):
+            table[i, [samples[v["sample_id"]] for v in c]] = [v["v"] for v in c]
+        side, rt, ids = group["side"].to_numpy(), group["rt"].to_numpy(), group["feature_id"].to_numpy()
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one_side else 1))
+        n, found = correlations(table, first, second)
+        with np.errstate(invalid="ignore"):
+            near = (np.abs(rt[first][:, None] - rt[second][None, :]) <= minutes) & (n >= least) & (found >= r)
+        i, j = np.nonzero(near & (first[:, None] < second[None, :] if one_side else True))
+        return pd.DataFrame({"a": ids[first][i], "b": ids[second][j]})
+
+    linked = rows.groupBy("name", "at", "next", "x", "y").applyInPandas(link, f"a {kind}, b {kind}")
+    of = linked_components(linked).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(features, "feature_id")
+    order = F.struct(*(x.alias(f"k{i}") for i, x in enumerate(y for c, way in (("qc_rsd", 1), ("sample_rsd", 1), ("median", -1)) for y in (F.col(c).isNull(), way * F.col(c)))), "feature_id")
+    best = of.groupBy("component").agg(F.min(order).alias("best"))
+    kept = of.select("feature_id", "component").join(best, "component").select("feature_id", F.col("best.feature_id").alias("kept_id"))
+    return features.select("feature_id").join(kept, "feature_id", "left").select("feature_id", F.coalesce("kept_id", "feature_id").alias("kept_id"))

@@ -25,6 +25,19 @@ def autoscale(cells: DataFrame) -> DataFrame:
     return cells.select("feature_id", "sample_id", F.when(sd > 1e-12, (F.col("value") - F.avg("value").over(of)) / sd).otherwise(0.0).alias("z"))
 
 
+def correlations(table: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many columns some rows of a table share with others, and their correlation over these: NaN is missing, and the correlation without spread."""
+    there = ~np.isnan(table)
+    table = np.where(there, table - np.nanmean(table, axis=1, keepdims=True), 0.0)
+    m1, m2, a, b = there[first].astype(float), there[second].astype(float), table[first], table[second]
+    n, sx, sy = m1 @ m2.T, a @ m2.T, m1 @ b.T
+    shared = np.where(n > 0, n, 1)
+    vx, vy, xy = (a * a) @ m2.T - sx * sx / shared, m1 @ (b * b).T - sy * sy / shared, a @ b.T - sx * sy / shared
+    scale = 1e-12 * np.maximum((a * a) @ m2.T, 1e-300), 1e-12 * np.maximum(m1 @ (b * b).T, 1e-300)
+    flat = (vx <= scale[0]) | (vy <= scale[1])
+    return n, np.where(flat, np.nan, xy / np.sqrt(np.where(flat, 1.0, vx * vy)))
+
+
 def class_correlations(cells: DataFrame, least: int = 3, ranks: bool = False, block: int = 512, label: str = "lipid_class") -> DataFrame:
     """Label, id1, id2, n, r: the correlation of each pair of features of a class over their shared samples; with ranks, Spearman's.
 
@@ -53,16 +66,8 @@ def class_correlations(cells: DataFrame, least: int = 3, ranks: bool = False, bl
         table = np.full((len(group), len(samples)), np.nan)
         for i, c in enumerate(group["c"]):
             table[i, [samples[v["sample_id"]] for v in c]] = [v["value"] for v in c]
-        there = ~np.isnan(table)
-        table = np.where(there, table - np.nanmean(table, axis=1, keepdims=True), 0.0)
         first, second = np.flatnonzero(group["side"] == 0), np.flatnonzero(group["side"] == (0 if within else 1))
-        m1, m2, a, b = there[first].astype(float), there[second].astype(float), table[first], table[second]
-        n, sx, sy = m1 @ m2.T, a @ m2.T, m1 @ b.T
-        shared = np.where(n > 0, n, 1)
-        vx, vy, xy = (a * a) @ m2.T - sx * sx / shared, m1 @ (b * b).T - sy * sy / shared, a @ b.T - sx * sy / shared
-        scale = 1e-12 * np.maximum((a * a) @ m2.T, 1e-300), 1e-12 * np.maximum(m1 @ (b * b).T, 1e-300)
-        flat = (vx <= scale[0]) | (vy <= scale[1])
-        r = np.where(flat, np.nan, xy / np.sqrt(np.where(flat, 1.0, vx * vy)))
+        n, r = correlations(table, first, second)
         ids = group["feature_id"].to_numpy()
         i, j = np.nonzero((n >= least) & (ids[first][:, None] < ids[second][None, :] if within else True))
         one, two = ids[first][i], ids[second][j]

@@ -975,9 +975,19 @@ def u3_split(spark: SparkSession, sf: str) -> DataFrame:
     return known.select("feature_id", F.lit(True).alias("annotated")).unionByName(unknown.select("feature_id", F.lit(False).alias("annotated")))
 
 
-@query()
+#: One row of each annotation after the other, with the anchors that are still open as a list.
+ANCHORS = """, fa AS (SELECT feature_id, lipid_class || ' ' || (carbons % 4) AS a, rt_s, neutral_mass AS m, is_standard FROM features JOIN (SELECT DISTINCT feature_id FROM intensity) USING (feature_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rt_s, feature_id) AS i FROM fa WHERE NOT is_standard), mi AS (SELECT feature_id, 20 - count(*) AS n_missing, round(avg(value), 6) AS mean FROM intensity GROUP BY feature_id),
+g AS (SELECT a, i, feature_id, feature_id AS anchor, [{'id': feature_id, 'rt': rt_s, 'm': m}] AS open FROM o WHERE i = 1
+  UNION ALL SELECT a, i, feature_id, coalesce(hit, feature_id), CASE WHEN hit IS NULL THEN list_append(open, {'id': feature_id, 'rt': rt_s, 'm': m}) ELSE open END
+  FROM (SELECT o.*, list_filter(g.open, lambda x: o.rt_s - x.rt <= 6) AS open, list_filter(g.open, lambda x: o.rt_s - x.rt <= 6 AND (abs(o.m - x.m) <= 0.005 OR abs(o.m - x.m) / x.m * 1e6 <= 5))[1].id AS hit FROM g JOIN o ON o.a = g.a AND o.i = g.i + 1)),
+be AS (SELECT anchor, feature_id AS kept_id FROM g JOIN mi USING (feature_id) QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY n_missing, mean DESC, feature_id) = 1)
+SELECT feature_id, kept_id FROM g JOIN be USING (anchor) UNION ALL SELECT feature_id, feature_id FROM fa WHERE is_standard"""
+
+
+@query(ANCHORS)
 def w2_collapse_adducts(spark: SparkSession, sf: str) -> DataFrame:
-    of = X.intensity(spark, sf).groupBy("feature_id").agg((20 - F.count("*")).alias("n_missing"), F.avg("value").alias("mean"))
+    of = X.intensity(spark, sf).groupBy("feature_id").agg((20 - F.count("*")).alias("n_missing"), r(F.avg("value")).alias("mean"))
     f = X.features(spark, sf).withColumn("annotation", F.concat("lipid_class", F.lit(" "), (F.col("carbons") % 4).cast("string"))).withColumn("annotation_type", F.when(F.col("is_standard"), "IS").otherwise("MS match"))
     return merge.collapse_adducts(f.join(of, "feature_id"))
 

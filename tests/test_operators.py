@@ -49,8 +49,9 @@ def test_adduct_anchor(spark):
     assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_adducts(df.orderBy(F.desc("feature_id"))).collect()} == got
 
 
-def test_adduct_groups_against_brute_force(spark):
-    """The greedy anchors over whole annotations, with times and masses in which blocks end and go on."""
+@pytest.mark.parametrize("most", [None, 3, 0])
+def test_adduct_groups_against_brute_force(spark, most):
+    """The greedy anchors over whole annotations, with times and masses in which blocks end and go on: blocks at once, and in ranges of time."""
     rng = random.Random(8)
     rows = [(i, f"A{rng.randrange(3)}", "MS match", float(rng.randrange(60)), 700 + rng.randrange(30) * 0.002, rng.randrange(3), float(rng.randrange(4))) for i in range(240)]
     df = spark.createDataFrame(rows, "feature_id int, annotation string, annotation_type string, rt_s double, neutral_mass double, n_missing int, mean double")
@@ -63,7 +64,41 @@ def test_adduct_groups_against_brute_force(spark):
             best = min(near, key=lambda r: (r[5], -r[6], r[0]))
             expected.update({r[0]: best[0] for r in near})
             left = [r for r in left if r not in near]
-    assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_adducts(df).collect()} == expected
+    assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_adducts(df, most=most).collect()} == expected
+    assert merge.collapse_adducts(df.limit(0), most=most).count() == 0
+
+
+@pytest.mark.parametrize("cell", [None, 2])
+def test_correlated_features_against_brute_force(spark, cell):
+    """All pairs of a name, in whole cells of time and in tiles of about two features."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (6, 12))
+    rows, values = [], {}
+    for i in range(90):
+        v = 10 ** (3 + base[i % 6] + rng.normal(0, 0.4, 12))
+        values[i] = {s: float(v[s]) if rng.random() > 0.3 else 0.0 for s in range(12)}
+        time = [None, float(rng.integers(0, 20)) / 10, float(rng.random() * 2)][min(2, int(rng.integers(0, 9)))]
+        rows.append((i, ["PC 1:0", "PE 1:0", ""][int(rng.integers(0, 9)) // 4], "x", time, None if i % 11 == 0 else float(rng.integers(0, 4)), float(rng.integers(0, 2)), float(rng.integers(0, 3))))
+    links = {i: {i} for i in range(90)}
+    for a, b in itertools.combinations(rows, 2):
+        if a[1] == b[1] != "" and a[3] is not None and b[3] is not None and abs(a[3] - b[3]) <= 0.3:
+            both = [s for s in range(12) if values[a[0]][s] > 0 and values[b[0]][s] > 0]
+            if len(both) >= 4 and np.corrcoef(*(np.log10([values[x[0]][s] + 1 for s in both]) for x in (a, b)))[0, 1] >= 0.8:
+                links[a[0]].add(b[0]), links[b[0]].add(a[0])
+    expected, at = {}, {r[0]: r for r in rows}
+    for i in range(90):
+        seen, todo = set(), [i]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x), todo.extend(links[x])
+        expected[i] = min(seen, key=lambda x: (at[x][4] is None, at[x][4] or 0, at[x][5], -at[x][6], x))
+    features = spark.createDataFrame(rows, "feature_id int, annotation string, lipid_class string, rt_min double, qc_rsd double, sample_rsd double, median double")
+    cells = spark.createDataFrame([(i, s, v) for i, of in values.items() for s, v in of.items()], "feature_id int, sample_id int, value double")
+    assert {r["feature_id"]: r["kept_id"] for r in merge.collapse_correlated(features, cells, r=0.8, cell=cell).collect()} == expected
+    assert len(set(expected.values())) < 80
+    assert merge.collapse_correlated(features.limit(0), cells).count() == 0
 
 
 def test_correlated_chain(spark):
@@ -73,11 +108,26 @@ def test_correlated_chain(spark):
     assert got == {0: 2, 1: 2, 2: 2, 9: 9}
 
 
-def test_elimination_is_repeated(spark):
+def test_a_chain_of_a_thousand_removals(spark):
+    """Each removal takes the next feature's only win: 1-1 loses to 2-1, which is beaten by 1-2 once 1-1 is gone, and so on."""
+    rows = [(k, k, 0.1 * k, 0.1 * k + 0.05) for k in range(1, 501)] + [(k + 1, k, 0.1 * k + 0.1, 0.1 * k + 0.05) for k in range(1, 501)]
+    df = spark.createDataFrame(rows, "feature_id1 int, feature_id2 int, quality1 double, quality2 double")
+    gone = {(r["side"], r["feature_id"]) for r in merge.eliminate(df).collect()}
+    assert gone == {(s, k) for s in "12" for k in range(1, 501)}
+
+
+@pytest.mark.parametrize("component", [None, 0])
+@pytest.mark.parametrize("seed", [None, 1])
+def test_elimination_is_repeated(spark, component, seed):
     # 10-20: equal, so the positive side wins and 20 has only lost; once 20 is gone, nothing more follows from it.
     pairs = [(10, 20, 0.5, 0.5), (11, 21, 0.1, 0.9), (11, 22, 0.6, 0.5), (12, 21, 0.2, 0.9), (12, 22, 0.1, 0.5)]
+    if seed:
+        rng = random.Random(seed)
+        pairs = sorted({(rng.randrange(25), rng.randrange(25), round(rng.random(), 1), round(rng.random(), 1)) for _ in range(45)})
+        pairs = [p for p, q in zip(pairs, [None, *pairs]) if not q or p[:2] != q[:2]]
     df = spark.createDataFrame(pairs, "feature_id1 int, feature_id2 int, quality1 double, quality2 double")
-    gone = {(r["side"], r["feature_id"]) for r in merge.eliminate(df).collect()}
+    gone = {(r["side"], r["feature_id"]) for r in merge.eliminate(df, component).collect()}
+    assert merge.eliminate(df.limit(0), component).count() == 0
     left = set(pairs)
     expected: set = set()
     while True:
