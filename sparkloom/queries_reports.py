@@ -10,8 +10,8 @@ from .functions import names as N
 from .operators import annotate, composition, multivariate, normalize
 from .operators import group_tests as tests
 from .queries import (
-    CATEGORY_SQL, CCS, CHANGE, CHOICE, CLASS_SQL, DETECTED, KRUSKAL, LIBRARY, MOMENTS, PRESENCE, SCORED, ZG, _scaled, cells, change, detected, library, off_ccs, presence_counts, query, r, scored, standards,
-    gated, moderated, sql_gate, sql_moderated, tested, top_ids, TESTED,
+    CATEGORY_SQL, CCS, CHANGE, CHOICE, CLASS_SQL, DETECTED, KRUSKAL, LIBRARY, MOMENTS, PRESENCE, SCORED, SIDES, ZG, _elimination_sql, _scaled, cells, change, detected, library, off_ccs, presence_counts, query, r, scored, standards,
+    gated, moderated, side, sql_gate, sql_moderated, targets, tested, top_ids, TESTED,
 )
 from .scale import scratch
 from .sources import tables
@@ -490,9 +490,12 @@ def _study(spark: SparkSession, sf: str):  # noqa: ANN202
     samples = X.samples(spark)
     of = X.intensity(spark, sf).join(F.broadcast(samples), "sample_id").join(f.select("feature_id", "lipid_class"), "feature_id")
     study = flows.Study(f, of, samples.groupBy("grp", "is_qc").agg(F.count("*").alias("size")))
-    flows.cleanse(study, spark.createDataFrame([(700.0, "none", "Pos", 1)], "target double, name string, polarity string, position int"))
+    flows.cleanse(study, targets(spark, sf).where("position % 200 = 0"))
     lib = library(spark, sf).withColumn("annotation", F.format_string("PC %d:%d_18:1", 14 + F.col("lib_id") % 8 * 2, F.col("lib_id") % 3))
-    flows.identify(study, lib, spark.createDataFrame([("PC", "PC")], "headgroup string, lipid_class string"), cutoff=0.0)
+    windows = spark.createDataFrame([(c, f"{lo}-{hi}C", 0.0, 0.85) for c in X.CLASSES for lo, hi in N.CARBON_BINS[2:-1]], "lipid_class string, carbon_bin string, lo double, hi double")
+    ranks = tables.read_adduct_ranks(spark.createDataFrame([(c, "[M+H]+", "[M+Na]+", "[M+NH4]+") for c in X.CLASSES if c != "CL"], "lipid_class string, P0 string, P2 string, P3 string"))
+    sensitivities = spark.createDataFrame([("Pos", c, 0.1 * k) for k, c in enumerate(X.CLASSES)], "polarity string, lipid_class string, sensitivity double")
+    flows.identify(study, lib, spark.createDataFrame([("PC", "PC")], "headgroup string, lipid_class string"), cutoff=70.0, windows=windows, ranks=ranks, sensitivities=sensitivities)
     flows.collapse(study)
     return flows, study, samples
 
@@ -509,7 +512,29 @@ def flow_annotated_table(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def flow_normalized_cells(spark: SparkSession, sf: str) -> DataFrame:
     flows, study, samples = _study(spark, sf)
-    return flows.normalized(study, samples)
+    stock = study.features.where("is_standard").select(F.col("feature_id").alias("standard_id"), F.lit(2.5).alias("conc"))
+    return flows.normalized(study, samples, stock, 2.0)
+
+
+SIDES_OF_A_STUDY = SIDES.replace("round(msms_score / 1000, 3) AS quality FROM features", "0.4::DOUBLE * least(1, greatest(0, msms_score / 1000)) + 0.2::DOUBLE * least(1, greatest(0, 1 - msigma / 250)) + 0.2::DOUBLE * least(1, greatest(0, 1 - abs(dmz_ppm) / 5)) + 0.2::DOUBLE * least(1, greatest(0, 1 - (feature_id % 40)::DOUBLE / 30)) AS quality FROM features WHERE dbe < 7")
+
+
+@query(SIDES_OF_A_STUDY + _elimination_sql().rsplit(" SELECT CASE WHEN", 1)[0] + """, nc AS (SELECT feature_id, count(*) AS n_cells FROM intensity GROUP BY feature_id)
+SELECT CASE WHEN polarity = 'Pos' THEN 'P_' ELSE 'N_' END || feature_id AS feature_id, dbe < 7 AS annotated, coalesce(n_cells, 0) AS n_cells FROM features LEFT JOIN nc USING (feature_id) WHERE feature_id NOT IN (SELECT id FROM go) AND (SELECT count(*) FROM x11) + (SELECT count(*) FROM y11) = 0""")
+def flow_merged_study(spark: SparkSession, sf: str) -> DataFrame:
+    """Both polarities as one study: the better side of what both have, unknown features, and how many cells each has."""
+    from .plans import flows
+
+    def one(polarity: str) -> DataFrame:
+        more = X.features(spark, sf).select("feature_id", "dbe", "msms_score", "msigma", "dmz_ppm", (F.col("feature_id") % 40).cast("double").alias("qc_rsd"))
+        return side(spark, sf, polarity).join(more, "feature_id").withColumn("annotation", F.when(F.col("dbe") < 7, F.col("annotation")).otherwise("unknown"))
+
+    pos, neg = one("Pos"), one("Neg")
+    cell = X.intensity(spark, sf)
+    of = flows.merge_polarities(pos, neg, *(cell.join(x.select("feature_id"), "feature_id", "left_semi") for x in (pos, neg)))
+    counts = of.cells.groupBy("feature_id").agg(F.count("*").alias("n_cells"))
+    every = of.known.select("feature_id", F.lit(True).alias("annotated")).unionByName(of.unknown.select("feature_id", F.lit(False).alias("annotated")))
+    return every.join(counts, "feature_id", "left").na.fill(0, ["n_cells"])
 
 
 @query()

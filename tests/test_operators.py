@@ -339,7 +339,42 @@ def test_flow_keeps_or_removes_each_feature(spark, sf):
     rows = queries.QUERIES["flow_annotated_table"](spark, sf).collect()
     ids = {r["feature_id"] for r in queries.X.features(spark, sf).where("polarity = 'Pos'").collect()}
     assert len(rows) == len(ids) and {r["feature_id"] for r in rows} == ids
-    assert {"QC", "annotation"} <= {r["step"] for r in rows}  # so small a table has few other reasons
+    assert {"contaminant", "QC"} <= {r["step"] for r in rows}  # so small a table has few other reasons
+
+
+def test_empty_and_small_studies(spark):
+    """A study without features goes through all steps; missing values are counted over its own samples."""
+    from sparkloom.plans import flows
+
+    schema = "feature_id int, polarity string, annotation string, annotation_type string, adduct string, lipid_class string, carbons int, dbe int, mz double, neutral_mass double, rt_min double, rt_s double, ccs double, dmz_ppm double, is_standard boolean"
+    cells = spark.createDataFrame([], "feature_id int, sample_id int, value double, grp string, is_qc boolean, inj_order double, lipid_class string")
+    samples = spark.createDataFrame([(k, "QC" if k < 3 else "A", k < 3, float(k)) for k in range(7)], "sample_id int, grp string, is_qc boolean, inj_order double")
+    study = flows.Study(spark.createDataFrame([], schema), cells, samples.groupBy("grp", "is_qc").agg(F.count("*").alias("size")))
+    assert study.n_samples() == 7
+    flows.cleanse(study, spark.createDataFrame([], "target double, name string, polarity string, position int"))
+    flows.identify(study, spark.createDataFrame([], "lib_id int, neutral_mass double, annotation string"), spark.createDataFrame([], "headgroup string, lipid_class string"))
+    flows.collapse(study)
+    assert flows.normalized(study, samples).count() == 0
+    flows.finalize(study)
+    assert flows.final_table(study).count() == study.ledger().count() == 0
+
+
+def test_polarities_of_a_study(spark):
+    from sparkloom.plans import flows
+
+    schema = "feature_id int, annotation string, lipid_class string, headgroup string, level string, rt_min double, neutral_mass double, msms_score double, msigma double, dmz_ppm double, qc_rsd double"
+    row = lambda i, name, mass, score: (i, name, "PC", "PC", "x", 1.0, mass, score, None, None, None)
+    pos = spark.createDataFrame([row(1, "PC 34:1", 700.0, 100.0), row(2, "PC 36:1", 800.0, 100.0), row(3, "unknown", 900.0, 1.0)], schema)
+    neg = spark.createDataFrame([row(1, "PC 34:1", 700.001, 900.0), row(4, "PC 36:1", 800.0, 100.0), row(5, "PC 38:1", 850.0, 5.0)], schema)
+    cells = spark.createDataFrame([(i, s, 1.0) for i in (1, 2, 3) for s in (0, 1)], "feature_id int, sample_id int, value double")
+    of = flows.merge_polarities(pos, neg, cells, cells)
+    ids = lambda df: sorted(r["feature_id"] for r in df.select("feature_id").collect())
+    assert ids(of.known) == ["N_1", "N_5", "P_2"] and ids(of.unknown) == ["P_3"]
+    assert sorted(map(tuple, of.removed.collect())) == [("Neg", 4), ("Pos", 1)]
+    assert ids(of.cells) == ["N_1"] * 2 + ["P_2"] * 2 + ["P_3"] * 2 and ids(of.absent) == ["N_5"]
+    every = flows.merge_polarities(pos, neg, cells, cells, best=False)
+    assert len(ids(every.known)) == 5 and every.removed.count() == 0
+    assert flows.merge_polarities(pos.limit(0), neg.limit(0), cells, cells).known.count() == 0
 
 
 def test_read_and_reshape(spark, tmp_path):
