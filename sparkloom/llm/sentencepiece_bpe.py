@@ -74,7 +74,7 @@ class Model:
         pieces = [p.id_to_piece(i) for i in range(n)]
         special = [p.is_control(i) or p.is_unknown(i) or p.is_unused(i) for i in range(n)]
         byte = [p.is_byte(i) for i in range(n)]
-        self.library = p if check else None
+        self.library, self.check = p, check
         self.bos, self.eos, self.unknown = p.bos_id(), p.eos_id(), p.unk_id()
         self.ids = {s: i for i, s in enumerate(pieces) if not special[i] and not byte[i]}
         self.cost = {s: -p.get_score(i) for s, i in self.ids.items()}  # a merge makes any piece, the least cost first
@@ -208,7 +208,7 @@ class Model:
         for size, group in by_size.items():
             named = [texts[k] for k in group]
             ids.update(zip((cuts[k] for k in group), map(self.cut_ids, named) if size == SCAN_LIMIT else self.merge_all(named), strict=True))
-        if self.library is not None:
+        if self.check:
             for cut, there in zip(cuts, self.library.encode([self.before + c.decode() for c in cuts], num_threads=1), strict=True):
                 if there != self.before_ids + ids[cut]:
                     raise ValueError(f"the library encodes {cut!r} otherwise")
@@ -229,15 +229,10 @@ class Model:
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def check_text(self, raw: bytes, ids: bytes, decoded: bytes) -> None:
-        """ValueError if the library encodes or decodes a whole text otherwise."""
-        there = self.library.encode(raw.decode())
-        if there != array("I", ids).tolist() or self.library.decode(there).encode() != decoded:
-            raise ValueError(f"the library encodes or decodes otherwise: {raw[:200]!r}")
-
-    def decode_known(self, ids: list[int]) -> bytes:
-        """What whole texts' ids decode to, as UTF-8: byte pieces are known to be whole there."""
-        return b"".join(map(self.surface.__getitem__, ids))[1:]
+    def check_text(self, raw: bytes, ids: list[int]) -> None:
+        """ValueError if the library encodes a whole text otherwise."""
+        if self.library.encode(raw.decode()) != ids:
+            raise ValueError(f"the library encodes otherwise: {raw[:200]!r}")
 
     def encode(self, text: str, ends: bool = True) -> list[int]:
         ids = array("I", self.encode_batch([text.encode()])[0]).tolist()
@@ -303,10 +298,9 @@ def read_model(path: str) -> bytes:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, check: bool = True) -> DataFrame:
     """For each row: id_col, n_tokens (with begin and end), ids_sha256, decoded_sha256; with texts, ids and decoded too.
 
-    path: a vocabulary's file on the driver, from which it is sent to the executors (at most 64 MB). check: each cut
-    that is new to a worker is also encoded by the sentencepiece library, and of each 512 rows one whole text is encoded and
-    decoded by it; a difference is an error. Null and empty
-    texts have the begin and end ids only, and decode to the empty text. Null ids and repeated rows are like any other
+    path: a vocabulary's file on the driver, from which it is sent to the executors (at most 64 MB). All ids are decoded by the
+    sentencepiece library's decode(ids). check: each cut that is new to a worker is also encoded by the library, and of each 512 rows one
+    whole text; a difference is an error. Null and empty texts have the begin and end ids only, and decode to the empty text. Null ids and repeated rows are like any other
     row; a text's length is bound by its row only; an empty table gives an empty result; other columns are not read.
     """
     proto = docs.sparkSession.sparkContext.broadcast(read_model(path))
@@ -321,10 +315,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 n, digest, decoded, id_lists, out_texts = [], [], [], [], []
                 texts_ = [raw or b"" for raw in as_bytes(batch.column(1))]
                 for raw, ids in zip(texts_, m.encode_batch(texts_), strict=True):
-                    back = m.decode_known(array("I", ids).tolist())
+                    inner = array("I", ids).tolist()
                     if check and not n:
-                        m.check_text(raw, ids, back)
-                    ids = bos + ids + eos
+                        m.check_text(raw, inner)
+                    back, ids = m.library.decode([m.bos, *inner, m.eos]).encode(), bos + ids + eos
                     n.append(len(ids) // 4)
                     digest.append(hashlib.sha256(ids).hexdigest())
                     decoded.append(hashlib.sha256(back).hexdigest())
