@@ -25,6 +25,23 @@ def autoscale(cells: DataFrame) -> DataFrame:
     return cells.select("feature_id", "sample_id", F.when(sd > 1e-12, (F.col("value") - F.avg("value").over(of)) / sd).otherwise(0.0).alias("z"))
 
 
+def log_values(cells: DataFrame, base: int = 2, added: float | None = None) -> DataFrame:
+    """Cells with the logarithm of value + added to the base of 2 or 10, as log_value; values under 0 have none.
+
+    Without `added` it is 1 for base 10, and for base 2 the lowest percentile of the values above 0, exact over all cells (0 if
+    there are none). Null values have no logarithm, nor have zeros to which nothing is added; an empty table stays empty.
+    """
+    if base not in (2, 10):
+        raise ValueError("the base is 2 or 10")
+    if added is None and base == 2:
+        low = percentiles(cells.where("value > 0"), "value", {"_added": 0.01})
+        of = cells.join(F.broadcast(low), F.lit(True), "left").withColumn("_added", F.coalesce("_added", F.lit(0.0)))  # one row
+    else:
+        of = cells.withColumn("_added", F.lit(float(1 if added is None else added)))
+    x = F.col("value") + F.col("_added")
+    return of.withColumn("log_value", F.when((F.col("value") >= 0) & (x > 0), F.log2(x) if base == 2 else F.log10(x))).drop("_added")
+
+
 def correlations(table: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many columns some rows of a table share with others, and their correlation over these: NaN is missing, and the correlation without spread."""
     there = ~np.isnan(table)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scale import ranged
 
@@ -13,9 +14,35 @@ _DROPPED = ("Flags", "Boxplot", "AQ")
 _MISSING = ("", "nan", "na", "n/a", "none", "null")
 
 
-def read_features(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A wide feature table from Parquet or CSV. Without an id of its own, rows are numbered by the key's order."""
-    df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
+#: Types of a feature table's columns, by their names there and here; sample columns are numbers, and others texts.
+TYPES = {
+    "long": ("UniqueID", "feature_id"),
+    "integer": ("carbons", "dbe", "n_modifications", "# of modifications", "Number of carbons in fatty acyls", "Double bond equivalents"),
+    "double": ("RT (min)", "m/z", "Neutral mass", "Δm/z (mDa)", "Δm/z (ppm)", "MS/MS score", "mSigma", "CCS (Å²)", "rt_min", "rt_s", "mz", "neutral_mass", "dmz_mda", "dmz_ppm", "msms_score", "msigma", "ccs"),
+    "boolean": ("is_standard", "is_pufa", "is_plasmenyl", "is_oxidized"),
+}
+
+
+def feature_schema(columns: list[str], pattern: str = r"^[PN]_") -> StructType:
+    """The types of a feature table's columns."""
+    kinds = {name: kind for kind, names in TYPES.items() for name in names}
+    out = StructType()
+    for c in columns:
+        out.add(c, kinds.get(c, "double" if re.match(pattern, c) else "string"))
+    return out
+
+
+def read_features(spark: SparkSession, path: str, key: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """A wide feature table from Parquet or CSV. Without an id of its own, rows are numbered by the key's order.
+
+    A CSV's types are the schema's, or those that its columns' names tell, of which only the header is read beforehand; a field that is
+    not of its column's type (blank, NA) is null. An empty table stays empty.
+    """
+    if path.endswith(".parquet"):
+        df = spark.read.parquet(path)
+    else:
+        types = schema or feature_schema(spark.read.csv(path, header=True).columns)
+        df = spark.read.csv(path, header=True, schema=types, mode="PERMISSIVE", nanValue="NaN")
     df = df.drop(*_DROPPED)
     if "feature_id" in df.columns:
         return df

@@ -388,6 +388,32 @@ def test_read_and_reshape(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_types_of_a_text_table(spark, tmp_path):
+    path = str(tmp_path / "features.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("UniqueID,Annotation,m/z,RT (min),P_1,N_2,Flags\n7,PC 34:1,700.5,1.25,10,NA,x\n8,,NaN,,0,3.5,\n")
+    df = tables.read_features(spark, path, "UniqueID")
+    assert dict(df.dtypes) == {"UniqueID": "bigint", "Annotation": "string", "m/z": "double", "RT (min)": "double", "P_1": "double", "N_2": "double", "feature_id": "bigint"}
+    rows = {r["UniqueID"]: r for r in df.collect()}
+    assert rows[7]["P_1"] == 10.0 and rows[7]["N_2"] is None and rows[8]["RT (min)"] is None and rows[8]["Annotation"] is None
+    assert sorted((r["UniqueID"], r["sample_id"], r["value"]) for r in tables.to_long(df, ["UniqueID"]).collect()) == [(7, "P_1", 10.0), (8, "N_2", 3.5), (8, "P_1", 0.0)]
+    own = tables.read_features(spark, path, "UniqueID", tables.StructType().add("UniqueID", "integer").add("Annotation", "string").add("m/z", "string").add("RT (min)", "string").add("P_1", "integer").add("N_2", "string").add("Flags", "string"))
+    assert dict(own.dtypes)["P_1"] == "int"
+
+
+def test_logarithms(spark):
+    import math
+
+    from sparkloom.operators import multivariate
+
+    cells = spark.createDataFrame([(1, 0, 4.0), (1, 1, 0.0), (1, 2, None), (1, 3, -1.0), (2, 0, 8.0)], "feature_id int, sample_id int, value double")
+    got = [r["log_value"] for r in multivariate.log_values(cells).orderBy("feature_id", "sample_id").collect()]
+    assert got == pytest.approx([math.log2(4 + 4.04), math.log2(4.04), None, None, math.log2(8 + 4.04)])
+    assert [r["log_value"] for r in multivariate.log_values(cells, 10).orderBy("feature_id", "sample_id").collect()] == pytest.approx([math.log10(5), 0.0, None, None, math.log10(9)])
+    assert [r["log_value"] for r in multivariate.log_values(cells, 2, 0.0).orderBy("feature_id", "sample_id").collect()] == [2.0, None, None, None, 3.0]
+    assert multivariate.log_values(cells.limit(0)).count() == 0
+
+
 def test_correlations_of_all_classes(spark, monkeypatch):
     """The whole queries against brute force: no class and no feature is left out."""
     import numpy as np
