@@ -186,6 +186,81 @@ def principal_components(products: DataFrame, k: int = 3, most: int = MOST_SAMPL
     return own, vectors * np.sqrt(values), values / trace if trace > 0 else values
 
 
+def iterated_components(z: DataFrame, k: int = 3, passes: int = 60, tolerance: float = 1e-9, spare: int = 4) -> tuple[DataFrame, list[float]]:
+    """M1 for any number of samples: (sample_id, pc1 to pck) and the share of variance of each, by iteration of a block of directions.
+
+    z: feature_id, sample_id, z; cells that are missing are 0. A pass multiplies the long table with a thin matrix of k + spare columns, on the
+    side of the samples and then of the features, each a join and an aggregate; only sums of pairs of columns go to the driver. It
+    ends when none of the k variances changes by more than the tolerance, or after so many passes. Signs are those of principal_components. Components
+    beyond the rank are 0; an empty table has no rows, and shares of 0.
+    """
+    m = k + spare
+    cells = written(z.select("feature_id", "sample_id", F.col("z").cast("double").alias("z")).where("z IS NOT NULL"), "z")
+    names = [f"v{j}" for j in range(m)]
+    # Any start will do; this one depends on the samples only.
+    v = cells.select("sample_id").distinct().select("sample_id", *(((F.pmod(F.xxhash64("sample_id", F.lit(j)), F.lit(1 << 20)) + 0.5) / (1 << 20) - 0.5).alias(n) for j, n in enumerate(names)))
+    v, before = written(v, "directions"), None
+
+    def moments(of: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        row = of.agg(*(F.sum(F.col(a) * F.col(b)) for a in left for b in right)).first()
+        return np.array([x or 0.0 for x in row], float).reshape(len(left), len(right))
+
+    def times(of: DataFrame, matrix: np.ndarray, means: np.ndarray, out: list[str]) -> list:
+        """The columns of `of`, less their means, times a small matrix."""
+        return [sum(((F.col(n) - float(means[i])) * float(matrix[i, j]) for i, n in enumerate(names)), F.lit(0.0)).alias(c) for j, c in enumerate(out)]
+
+    def whitened(of: DataFrame) -> DataFrame:
+        n = of.count()
+        means = np.array([x or 0.0 for x in of.agg(*(F.avg(c) for c in names)).first()], float)
+        values, vectors = np.linalg.eigh(moments(of, names, names) - n * np.outer(means, means))
+        scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        return written(of.select("sample_id", *times(of, vectors * scale, means, names)), "directions")
+
+    v = whitened(v)
+    for _ in range(passes):
+        thin = cells.join(v, "sample_id").groupBy("feature_id").agg(*(F.sum(F.col("z") * F.col(n)).alias(n) for n in names))
+        next_ = written(cells.join(thin, "feature_id").groupBy("sample_id").agg(*(F.sum(F.col("z") * F.col(n)).alias(n) for n in names)), "products")
+        both = v.join(next_.select("sample_id", *(F.col(n).alias(f"u{n}") for n in names)), "sample_id")
+        inner = moments(both, names, [f"u{n}" for n in names])  # v is centred, so the mean of the products has no part in it
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+        if before is not None and np.abs(values[:k] - before[:k]).max() <= tolerance * max(values[0], 1e-300):
+            break
+        before, v = values, whitened(next_)
+    named = [f"pc{j + 1}" for j in range(k)]
+    n = v.count()
+    scores = v.select("sample_id", *times(v, vectors[:, :k] * np.sqrt(values[:k]), np.zeros(m), named))
+    total = cells.agg(F.sum(F.col("z") ** 2)).first()[0] or 0.0
+    spread = cells.groupBy("feature_id").agg((F.sum("z") ** 2).alias("s")).agg(F.sum("s")).first()[0] or 0.0
+    total -= spread / max(1, n)
+    turn = scores.agg(*(F.max_by(F.signum(c), F.abs(F.round(c, 9))) for c in named)).first()
+    scores = scores.select("sample_id", *((F.col(c) * F.lit(float(t or 1.0))).alias(c) for c, t in zip(named, turn)))
+    return scores, [float(x / total) if total > 0 else 0.0 for x in values[:k]]
+
+
+def components_without_outliers(cells: DataFrame, k: int = 3, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """M1: scores (sample_id, pc1 to pck, is_outlier) of all samples, and those of the samples that are no outliers in the first two
+    components (M4), scaled anew without them.
+
+    cells: feature_id, sample_id, value. Up to MOST_SAMPLES samples the samples' products are used, beyond an iteration. Without outliers both
+    are of the same samples; with fewer than two samples left the second table is empty.
+    """
+    def scored(of: DataFrame) -> DataFrame:
+        z = written(autoscale(of), "scaled")
+        if z.select("sample_id").distinct().limit(MOST_SAMPLES + 1).count() > MOST_SAMPLES:
+            return iterated_components(z, k)[0]
+        names, scores, _ = principal_components(gram(z), k)
+        scores = np.pad(scores, ((0, 0), (0, k - scores.shape[1])))
+        return z.sparkSession.createDataFrame([(s, *map(float, row)) for s, row in zip(names, scores, strict=True)], f"sample_id {dict(of.dtypes)['sample_id']}, " + ", ".join(f"pc{j + 1} double" for j in range(k)))
+
+    every = written(scored(cells), "scores")
+    marked = written(every.join(mahalanobis_outliers(every, alpha).select("sample_id", "is_outlier"), "sample_id"), "scores")
+    left = marked.where("NOT is_outlier").select("sample_id")
+    if left.limit(2).count() < 2:
+        return marked, every.limit(0)
+    return marked, scored(cells.join(left, "sample_id", "left_semi"))
+
+
 def loadings(z: DataFrame, names: list, scores: np.ndarray) -> DataFrame:
     """M1: feature_id, component, loading: each feature's weight in each component of principal_components; 0 for one without spread.
 
@@ -243,6 +318,53 @@ def permanova_p(pairs: DataFrame, samples: DataFrame, permutations: int = 1000,
     return spark.range(permutations).mapInPandas(run, "hit long").agg(F.lit(float(observed)).alias("f"), ((F.sum("hit") + 1) / F.lit(permutations + 1.0)).alias("p"))
 
 
+def permanova_of_values(z: DataFrame, samples: DataFrame, permutations: int = 1000, seed: int = 0) -> DataFrame:
+    """M3 without distances, for any number of samples: f and the share of label permutations with as large a pseudo-F, as permanova_p gives them.
+
+    z: feature_id, sample_id, z, of which missing cells are 0; samples: sample_id, grp. For Euclidean distances what is between groups follows from
+    the groups' sums: a feature's values are an array, and a batch of features times the groups of a block of permutations is one product. What
+    a task returns is a number for each permutation. With one group, or as many groups as samples, or no values, f and p are null.
+    """
+    labels = {r["sample_id"]: r["grp"] for r in samples.toLocalIterator()}  # a label for each sample
+    names = sorted(labels, key=str)
+    spark = samples.sparkSession
+    if not 1 < len(set(labels.values())) < len(names):
+        return spark.createDataFrame([(None, None)], "f double, p double")
+    codes = np.unique([labels[s] for s in names], return_inverse=True)[1].astype(np.int32)
+    n, k, block = len(codes), int(codes.max()) + 1, 32
+    place = spark.createDataFrame([(s, i) for i, s in enumerate(names)], f"sample_id {dict(samples.dtypes)['sample_id']}, place int")
+    packed = z.where("z IS NOT NULL").join(place, "sample_id").groupBy("feature_id").agg(F.collect_list(F.struct("place", F.col("z").cast("double").alias("z"))).alias("c")).select("c.place", "c.z")
+    shared = spark.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sizes = shared.value, np.bincount(shared.value, minlength=k)
+        between, square, sums = np.zeros(permutations + 1), 0.0, 0.0
+        rows = max(1, min(1_024, (1 << 22) // n))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                lengths = batch.column(0).value_lengths().to_numpy()
+                table = np.zeros((batch.num_rows, n))
+                table[np.repeat(np.arange(batch.num_rows), lengths), batch.column(0).flatten().to_numpy()] = batch.column(1).flatten().to_numpy()
+                square, sums = square + float((table**2).sum()), sums + float((table.sum(1) ** 2).sum())
+                for first in range(0, permutations + 1, block):
+                    last = min(first + block, permutations + 1)
+                    dealt = np.stack([own if i == 0 else np.random.default_rng((seed, i - 1)).permutation(own) for i in range(first, last)])
+                    groups = np.zeros((n, (last - first) * k))
+                    groups[np.tile(np.arange(n), last - first), (np.arange(last - first)[:, None] * k + dealt).ravel()] = 1.0
+                    between[first:last] += (((table @ groups) ** 2).sum(0).reshape(-1, k) / sizes).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(permutations + 3)), pa.array(np.append(between, [square, sums]))], names=["i", "x"])
+
+    found = {r["i"]: r["x"] for r in packed.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a row for each permutation
+    x = np.array([found.get(i, 0.0) for i in range(permutations + 3)])
+    between, square, sums = x[: permutations + 1], x[-2], x[-1]
+    sst, ssw = square - sums / n, square - between
+    if sst <= 1e-12 * max(square, 1e-300):
+        return spark.createDataFrame([(None, None)], "f double, p double")
+    f = ((sst - ssw) / (k - 1)) / (ssw / (n - k))
+    return spark.createDataFrame([(float(f[0]), float(((f[1:] >= f[0] - 1e-12).sum() + 1) / (permutations + 1)))], "f double, p double")
+
+
 def silhouette(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """M5: the mean silhouette of the groups, from distances."""
     both = pairs.unionByName(pairs.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "distance"))

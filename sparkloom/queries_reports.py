@@ -452,6 +452,29 @@ def m1_loadings(spark: SparkSession, sf: str) -> DataFrame:
     return multivariate.loadings(z, names, scores)
 
 
+@query(ZG.split(", g AS (")[0] + " SELECT feature_id, sample_id, round(z, 5) AS z FROM za")
+def m1_cells_of_components(spark: SparkSession, sf: str) -> DataFrame:
+    """All components' scores times loadings are the scaled cells again, whatever the signs."""
+    z = _scaled(spark, sf)
+    names, scores, _ = multivariate.principal_components(multivariate.gram(z), k=20)
+    of = spark.createDataFrame([(int(s), f"pc{a + 1}", float(x)) for s, row in zip(names, scores, strict=True) for a, x in enumerate(row)], "sample_id int, component string, score double")
+    again = multivariate.loadings(z, names, scores).join(F.broadcast(of), "component").groupBy("feature_id", "sample_id").agg(F.sum(F.col("loading") * F.col("score")).alias("z"))  # a row for each sample and component
+    return z.select("feature_id", "sample_id").join(again, ["feature_id", "sample_id"]).select("feature_id", "sample_id", r("z", 5).alias("z"))
+
+
+@query()
+def m1_without_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    every, without = multivariate.components_without_outliers(X.intensity(spark, sf), alpha=0.3)
+    part = lambda of, name: of.select(F.lit(name).alias("part"), "sample_id", "pc1", "pc2", "pc3")
+    return part(every, "all").unionByName(part(without, "without outliers"))
+
+
+@query(ZG + ", w AS (SELECT a.grp, sum(distance ** 2) AS q FROM ds JOIN samples a ON a.sample_id = s1 JOIN samples b ON b.sample_id = s2 WHERE a.grp = b.grp GROUP BY a.grp) SELECT round(((t / 20 - v) / 3) / (v / 16), 6) AS f FROM (SELECT sum(distance ** 2) AS t FROM ds) CROSS JOIN (SELECT sum(q / 5) AS v FROM w)")
+def m3_permanova_of_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The pseudo-F without distances."""
+    return multivariate.permanova_of_values(_scaled(spark, sf), X.samples(spark), 200).select(r("f").alias("f"))
+
+
 @query(", o AS (SELECT sample_id, sum(value) / 1e6 AS a, count(*)::DOUBLE AS b FROM intensity GROUP BY sample_id), m AS (SELECT avg(a) AS m1, avg(b) AS m2, var_samp(a) AS v1, var_samp(b) AS v2, covar_samp(a, b) AS c FROM o) SELECT sample_id, round((v2 * (a - m1) ** 2 - 2 * c * (a - m1) * (b - m2) + v1 * (b - m2) ** 2) / (v1 * v2 - c * c), 5) AS d2 FROM o CROSS JOIN m")
 def m4_squared_distances(spark: SparkSession, sf: str) -> DataFrame:
     of = X.intensity(spark, sf).groupBy("sample_id").agg((F.sum("value") / 1e6).alias("pc1"), F.count("*").cast("double").alias("pc2"))

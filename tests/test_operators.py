@@ -333,6 +333,35 @@ def test_loadings_and_scores(spark):
         assert [abs(got[f, f"pc{k + 1}"]) for f in range(30)] == pytest.approx(np.abs(v[k]))
 
 
+def test_iteration_and_permutations_without_a_matrix_of_samples(spark):
+    import numpy as np
+
+    from sparkloom.operators import multivariate
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(14, 40)) + 3 * rng.normal(size=(14, 2)) @ rng.normal(size=(2, 40))
+    x[13] *= 6
+    cells = spark.createDataFrame([(f, s, float(x[s, f])) for f in range(40) for s in range(14) if (f + s) % 11], "feature_id int, sample_id int, value double")
+    z = multivariate.autoscale(cells)
+    names, scores, share = multivariate.principal_components(multivariate.gram(z), 2)
+    found, part = multivariate.iterated_components(z, 2, passes=6, tolerance=1e-7)
+    got = {r["sample_id"]: (r["pc1"], r["pc2"]) for r in found.collect()}
+    assert part == pytest.approx(share.tolist(), rel=1e-4)
+    assert np.array([got[s] for s in names]) == pytest.approx(scores, abs=0.02)
+    samples = spark.createDataFrame([(s, "AB"[s % 2]) for s in range(14)], "sample_id int, grp string")
+    pairs = multivariate.distances(multivariate.gram(z))
+    assert tuple(multivariate.permanova_of_values(z, samples, 99).first()) == pytest.approx(tuple(multivariate.permanova_p(pairs, samples, 99).first()))
+    one = spark.createDataFrame([(s, "A") for s in range(14)], "sample_id int, grp string")
+    assert tuple(multivariate.permanova_of_values(z, one, 9).first()) == tuple(multivariate.permanova_of_values(z.limit(0), samples, 9).first()) == (None, None)
+    marked, without = multivariate.components_without_outliers(cells, 2)
+    out = {r["sample_id"] for r in marked.where("is_outlier").collect()}
+    assert 13 in out and {r["sample_id"] for r in without.collect()} == set(range(14)) - out
+    keep = cells.where(~F.col("sample_id").isin(*out))
+    names, scores, _ = multivariate.principal_components(multivariate.gram(multivariate.autoscale(keep)), 2)
+    got = {r["sample_id"]: (r["pc1"], r["pc2"]) for r in without.collect()}
+    assert np.array([got[s] for s in names]) == pytest.approx(scores)
+
+
 def test_flow_keeps_or_removes_each_feature(spark, sf):
     from sparkloom import queries
 
