@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import largest_family, percentiles
+from ..scale import largest_family, percentiles, sent
 from .group_tests import group_moments, welch
 
 # Class ratios and product/substrate ratios as (numerator, denominator).
@@ -187,10 +187,14 @@ def feature_ratio(cells: DataFrame, numerator: Column, denominator: Column, name
 
 
 def annotation_ratios(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ratio of two annotations' totals for each sample. cells: with annotation; pairs: ratio, numerator, denominator (a bounded list)."""
+    """The ratio of two annotations' totals for each sample. cells: with annotation; pairs: ratio, numerator, denominator, of any number.
+
+    Pairs of which a side is in no sample, or null, have no row; an empty table gives an empty result.
+    """
+    pairs = sent(pairs.select("ratio", "numerator", "denominator"), "pairs")
     totals = cells.groupBy("sample_id", "grp", "annotation").agg(F.sum("value").alias("total"))
-    a = totals.join(F.broadcast(pairs), F.col("annotation") == F.col("numerator")).select("sample_id", "grp", "ratio", F.col("total").alias("num"))
-    b = totals.join(F.broadcast(pairs), F.col("annotation") == F.col("denominator")).select("sample_id", "ratio", F.col("total").alias("den"))
+    a = totals.join(pairs, F.col("annotation") == F.col("numerator")).select("sample_id", "grp", "ratio", F.col("total").alias("num"))
+    b = totals.join(pairs, F.col("annotation") == F.col("denominator")).select("sample_id", "ratio", F.col("total").alias("den"))
     value = (F.col("num") + EPSILON) / (F.col("den") + EPSILON)
     return a.join(b, ["sample_id", "ratio"]).select("sample_id", "grp", "ratio", value.alias("value"), F.log2(value).alias("log2_value"))
 

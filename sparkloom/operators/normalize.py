@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import largest_family, percentiles
+from ..scale import largest_family, percentiles, sent
 
 
 def grid(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -79,11 +79,12 @@ def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2
     """For each feature the first listed standard that worsens its QC RSD by a fifth at most, else the one of its
     polarity that lowers it most (within the same limit), else that with the lowest.
 
-    standards: (standard_id, polarity, sample_id, value), of bounded number, broadcast; listed: (lipid_class, polarity,
+    standards: (standard_id, polarity, sample_id, value), sent to all tasks if they are few; listed: (lipid_class, polarity,
     pref, standard_id). Ties go to the larger id. Returns feature_id, standard_id, rsd_before, rsd_after, stage (listed,
     preferred, lowest, or mean: where no standard has a QC RSD, or there are no QC samples, the one with the highest mean).
     """
-    of = standard_candidates(cells, standards, allowed, listed)
+    standards = sent(standards.select("standard_id", "polarity", "sample_id", "value"), "standards")  # read twice below
+    of = _candidates(cells, standards, allowed, listed)
     within, first = F.col("within"), F.when(F.col("within"), F.col("pref"))
     order = Window.partitionBy("feature_id").orderBy(first.asc_nulls_last(), within.desc(), F.round("rsd_after", 9), F.when(within, F.col("standard_id")).desc_nulls_last(), "standard_id")
     best = of.withColumn("stage", F.when(first.isNotNull(), "listed").when(within, "preferred").otherwise("lowest")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
@@ -96,9 +97,13 @@ def choose_standard(cells: DataFrame, standards: DataFrame, allowed: float = 0.2
 
 def standard_candidates(cells: DataFrame, standards: DataFrame, allowed: float = 0.2, listed: DataFrame | None = None) -> DataFrame:
     """N3, the audit: each standard with a QC RSD for a feature: feature_id, standard_id, rsd_before, rsd_after, within, pref."""
+    return _candidates(cells, sent(standards.select("standard_id", "polarity", "sample_id", "value"), "standards"), allowed, listed)
+
+
+def _candidates(cells: DataFrame, standards: DataFrame, allowed: float, listed: DataFrame | None) -> DataFrame:
     qc = cells.where("is_qc").select("feature_id", "polarity", "sample_id", "value")
     s = standards.select("standard_id", "polarity", "sample_id", F.col("value").alias("s_value"))
-    both = qc.join(F.broadcast(s), ["polarity", "sample_id"]).withColumn("r", F.col("value") / F.nullif("s_value", F.lit(0.0)))
+    both = qc.join(s, ["polarity", "sample_id"]).withColumn("r", F.col("value") / F.nullif("s_value", F.lit(0.0)))
     rsd = lambda c: 100 * F.stddev_samp(c) / F.nullif(F.avg(c), F.lit(0.0))
     before = qc.groupBy("feature_id").agg(rsd("value").alias("rsd_before"))
     of = both.groupBy("feature_id", "standard_id").agg(rsd("r").alias("rsd_after")).where("rsd_after IS NOT NULL").join(before, "feature_id")
@@ -107,7 +112,7 @@ def standard_candidates(cells: DataFrame, standards: DataFrame, allowed: float =
         of = of.withColumn("pref", F.lit(None).cast("int"))
     else:
         own = cells.select("feature_id", "lipid_class", "polarity").distinct()
-        of = of.join(own.join(F.broadcast(listed), ["lipid_class", "polarity"]).select("feature_id", "standard_id", "pref"), ["feature_id", "standard_id"], "left")
+        of = of.join(own.join(sent(listed, "listed"), ["lipid_class", "polarity"]).select("feature_id", "standard_id", "pref"), ["feature_id", "standard_id"], "left")
     return of.select("feature_id", "standard_id", "rsd_before", "rsd_after", within.alias("within"), "pref")
 
 
@@ -128,15 +133,15 @@ def standard_usage(voted: DataFrame) -> DataFrame:
 
 def divide_by_standard(cells: DataFrame, choice: DataFrame, standards: DataFrame) -> DataFrame:
     """Values over the standard's in the same sample; null for a standard of 0 or none."""
-    s = standards.select("standard_id", "sample_id", F.col("value").alias("s_value"))
-    of = cells.join(choice.select("feature_id", "standard_id"), "feature_id").join(F.broadcast(s), ["standard_id", "sample_id"], "left")
+    s = sent(standards.select("standard_id", "sample_id", F.col("value").alias("s_value")), "standards")
+    of = cells.join(choice.select("feature_id", "standard_id"), "feature_id").join(s, ["standard_id", "sample_id"], "left")
     return of.select("feature_id", "sample_id", (F.col("value") / F.nullif("s_value", F.lit(0.0))).alias("value"), "standard_id")
 
 
 def semi_quantify(ratios: DataFrame, stock: DataFrame, dilution: float | None) -> DataFrame:
     """Times the standard's concentration over the dilution; unmatched standards leave values as they are. stock: (standard_id, conc)."""
     factor = dilution if dilution and dilution > 0 else 1.0
-    return ratios.join(F.broadcast(stock), "standard_id", "left").withColumn("value", F.col("value") * F.coalesce(F.col("conc") / factor, F.lit(1.0))).drop("conc")
+    return ratios.join(sent(stock.select("standard_id", "conc"), "stock"), "standard_id", "left").withColumn("value", F.col("value") * F.coalesce(F.col("conc") / factor, F.lit(1.0))).drop("conc")
 
 
 def median_normalize(cells: DataFrame, *by: str, largest: int | None = None) -> DataFrame:

@@ -27,6 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 200_000
+
+
+def sent(df: DataFrame, name: str) -> DataFrame:
+    """df, written, to be sent to all tasks if it has no more than SENT rows; a larger one is joined as Spark sees fit."""
+    of = written(df, name)
+    return F.broadcast(of) if of.count() <= SENT else of
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """df in ranges of the order's columns, written, with the range's number as _part; equal keys are in one range."""
     return written(df.repartitionByRange(*map(F.col, order)).withColumn("_part", F.spark_partition_id()), "ranged")
