@@ -35,19 +35,28 @@ def mapped(key: Column, values: dict[str, str], otherwise: Column | str) -> Colu
 
 
 def sample_totals(cells: DataFrame) -> DataFrame:
-    """A4: sample_id, grp, total."""
+    """A4: sample_id, grp, total.
+
+    Null values are missing; the total of missing values only is null. An empty table stays empty.
+    """
     return cells.groupBy("sample_id", "grp").agg(F.sum("value").alias("total"))
 
 
 def group_totals(cells: DataFrame) -> DataFrame:
-    """A5: for each group of samples: n, mean, sd, stderr and RSD of the samples' totals."""
+    """A5: for each group of samples: n, mean, sd, stderr and RSD of the samples' totals.
+
+    With one sample a group's deviations are null. An empty table stays empty.
+    """
     sd = F.stddev_samp("total")
     return sample_totals(cells).groupBy("grp").agg(
         F.count("*").alias("n"), F.avg("total").alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count("*"))).alias("stderr"), (100 * sd / F.avg("total")).alias("rsd_pct"))
 
 
 def group_changes(cells: DataFrame, with_p: bool = True) -> DataFrame:
-    """A5: fold change and log2 of the groups' mean totals, with Welch's t, df and p, for both directions of each pair."""
+    """A5: fold change and log2 of the groups' mean totals, with Welch's t, df and p, for both directions of each pair.
+
+    With under two samples on a side t, df and p are null. One group has no row.
+    """
     of = sample_totals(cells).select(F.lit(0).alias("_all"), "grp", F.col("total").alias("value"))
     one = welch(group_moments(of, "_all"), "_all", with_p=with_p)
     p = ["p"] * with_p
@@ -58,7 +67,10 @@ def group_changes(cells: DataFrame, with_p: bool = True) -> DataFrame:
 
 
 def annotation_counts(features: DataFrame, *by: str) -> DataFrame:
-    """Counts of each combination and all margins; a margin's label is `all`."""
+    """Counts of each combination and all margins; a margin's label is `all`.
+
+    A null label is a label of its own. An empty table has the margin of 0 features.
+    """
     counts = features.cube(*by).agg(F.count("*").alias("n"), *(F.grouping(b).alias(f"_{b}") for b in by))
     return counts.select(*(F.when(F.col(f"_{b}") == 1, "all").otherwise(F.col(b)).alias(b) for b in by), "n")
 
@@ -70,12 +82,18 @@ def removal_counts(flags: DataFrame, least: int = 5, top: int = 12) -> DataFrame
 
 
 def reason_counts(ledger: DataFrame) -> DataFrame:
-    """Features removed for each step and reason."""
+    """Features removed for each step and reason.
+
+    A feature that a step has twice for one reason counts once; an empty ledger has no row.
+    """
     return ledger.groupBy("step", "reason").agg(F.count_distinct("feature_id").alias("removed"))
 
 
 def species_per_class(features: DataFrame) -> DataFrame:
-    """A8."""
+    """A8.
+
+    How many distinct annotations each class has; null annotations don't count, and a null class is a class.
+    """
     return features.groupBy("lipid_class").agg(F.count_distinct("annotation").alias("species"))
 
 
@@ -90,7 +108,10 @@ def class_totals(cells: DataFrame, label: str = "lipid_class") -> DataFrame:
 
 
 def enrichment(cells: DataFrame, label: str) -> DataFrame:
-    """A10: each label's mean share of a sample for each group, and log2 of it over the mean of the groups' shares."""
+    """A10: each label's mean share of a sample for each group, and log2 of it over the mean of the groups' shares.
+
+    The total of missing values only stays null, as does a share of it; a share of 0 has no log2. An empty table stays empty.
+    """
     of = cells.groupBy("sample_id", "grp", label).agg(F.sum("value").alias("total"))
     share = of.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy("sample_id")))
     by_group = share.groupBy("grp", label).agg(F.avg("share").alias("share"))
@@ -98,13 +119,19 @@ def enrichment(cells: DataFrame, label: str) -> DataFrame:
 
 
 def saturation(cells: DataFrame, by: str = "grp") -> DataFrame:
-    """Double bonds for each carbon, weighted with the group's mean abundance, for each class and group; or each class and sample."""
+    """Double bonds for each carbon, weighted with the group's mean abundance, for each class and group; or each class and sample.
+
+    Features without abundance or carbons are left out, and so are classes of such only.
+    """
     of = cells.groupBy("feature_id", by, "lipid_class", "carbons", "dbe").agg(F.avg("value").alias("w")).where("w > 0 AND carbons > 0")
     return of.groupBy("lipid_class", by).agg((F.sum(F.col("w") * F.col("dbe") / F.col("carbons")) / F.sum("w")).alias("saturation_index"))
 
 
 def bin_composition(cells: DataFrame, field: str = "carbons") -> DataFrame:
-    """Mean over samples of the totals for each class, group and number of carbons (or double bonds)."""
+    """Mean over samples of the totals for each class, group and number of carbons (or double bonds).
+
+    Samples without a cell of the number don't count in its mean; a null number is one of its own.
+    """
     of = cells.groupBy("sample_id", "grp", "lipid_class", field).agg(F.sum("value").alias("total"))
     return of.groupBy("lipid_class", "grp", field).agg(F.avg("total").alias("mean"))
 
@@ -138,19 +165,28 @@ def class_trends(cells: DataFrame) -> DataFrame:
 
 
 def surface(cells: DataFrame) -> DataFrame:
-    """A14."""
+    """A14.
+
+    The mean value for each class, group, carbons and double bonds; null values are missing, and null numbers one of their own.
+    """
     return cells.groupBy("lipid_class", "grp", "carbons", "dbe").agg(F.avg("value").alias("mean"))
 
 
 def bin_matrix(cells: DataFrame, bin_of: Column, least: int = 3) -> DataFrame:
-    """The total for each sample and carbon bin, of bins with three features or more."""
+    """The total for each sample and carbon bin, of bins with three features or more.
+
+    Samples without a cell of a bin have no row.
+    """
     of = cells.withColumn("carbon_bin", bin_of)
     large = of.groupBy("carbon_bin").agg(F.count_distinct("feature_id").alias("n")).where(F.col("n") >= least)
     return of.groupBy("sample_id", "carbon_bin").agg(F.sum("value").alias("total")).join(F.broadcast(large.select("carbon_bin")), "carbon_bin")  # 13 bins
 
 
 def motif_summary(cells: DataFrame, motifs: Column) -> DataFrame:
-    """For each motif of a name its features, samples, and the mean, median and highest total of a sample."""
+    """For each motif of a name its features, samples, and the mean, median and highest total of a sample.
+
+    Names without motifs have no row; a feature with a motif twice counts once, as motifs are distinct.
+    """
     of = cells.select("feature_id", "sample_id", "value", F.explode(motifs).alias("motif"))
     totals = of.groupBy("motif", "sample_id").agg(F.sum("value").alias("total")).groupBy("motif").agg(F.count("*").alias("n_samples"), F.avg("total").alias("mean"), F.median("total").alias("median"), F.max("total").alias("highest"))
     return totals.join(of.groupBy("motif").agg(F.count_distinct("feature_id").alias("n_features")), "motif")
@@ -169,7 +205,10 @@ def motif_enrichment(cells: DataFrame, motifs: Column) -> DataFrame:
 
 
 def class_ratios(cells: DataFrame, ratios: tuple[tuple[str, str], ...] = CLASS_RATIOS) -> DataFrame:
-    """The ratio of class totals, and its log2, for each sample; a ratio without either class is left out."""
+    """The ratio of class totals, and its log2, for each sample; a ratio without either class is left out.
+
+    Null totals leave a ratio out too; a small constant on both sides keeps ratios of 0 finite.
+    """
     totals = cells.groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("total"))
     both = {c for r in ratios for c in r}
     wide = totals.where(F.col("lipid_class").isin(*both)).groupBy("sample_id", "grp").agg(F.map_from_entries(F.collect_list(F.struct("lipid_class", "total"))).alias("m"))
@@ -223,18 +262,27 @@ def structural_ratios(cells: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def ratio_means(ratios: DataFrame, *by: str) -> DataFrame:
-    """The groups' mean ratios and mean log2 ratios."""
+    """The groups' mean ratios and mean log2 ratios.
+
+    Null ratios don't count. An empty table stays empty.
+    """
     return ratios.groupBy(*by, "grp").agg(F.avg("value").alias("mean_value"), F.avg("log2_value").alias("mean_log2"))
 
 
 def detection(cells: DataFrame, groups: DataFrame, share: float = 0.8) -> DataFrame:
-    """feature_id, grp for groups in which at least `share` of the samples (and one) detect the feature. groups: (grp, size)."""
+    """feature_id, grp for groups in which at least `share` of the samples (and one) detect the feature. groups: (grp, size).
+
+    Nulls and zeros are not detected; a rate that is the share is enough.
+    """
     counts = cells.where(F.col("value") > 0).groupBy("feature_id", "grp").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(groups), "grp").where(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("size")))).select("feature_id", "grp")
 
 
 def intersections(detected: DataFrame) -> DataFrame:
-    """How many features each combination of groups has."""
+    """How many features each combination of groups has.
+
+    Features that no group detects are in no combination.
+    """
     of = detected.groupBy("feature_id").agg(F.array_join(F.sort_array(F.collect_set("grp")), " & ").alias("groups"))
     return of.groupBy("groups").agg(F.count("*").alias("n"))
 
@@ -258,18 +306,27 @@ def unique_features(detected: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def undetected(detected: DataFrame, features: DataFrame) -> DataFrame:
-    """Features that no group detects."""
+    """Features that no group detects.
+
+    An empty table of detections leaves all.
+    """
     return features.join(detected.select("feature_id").distinct(), "feature_id", "left_anti").select("feature_id", "lipid_class")
 
 
 def missingness(cells: DataFrame, groups: DataFrame, n_features: Column) -> DataFrame:
-    """Percent of missing values for each sample."""
+    """Percent of missing values for each sample.
+
+    Nulls and zeros are missing; samples without any value have no row.
+    """
     of = cells.where(F.col("value") > 0).groupBy("sample_id", "grp").agg(F.count("*").alias("n"))
     return of.select("sample_id", "grp", (100 * (1 - F.col("n") / n_features)).alias("missing_pct"))
 
 
 def detection_rates(cells: DataFrame, groups: DataFrame) -> DataFrame:
-    """Detected and missing rate of each feature in each group, 0 where it is never detected."""
+    """Detected and missing rate of each feature in each group, 0 where it is never detected.
+
+    Nulls and zeros are missing; features without a cell are unknown here. An empty table stays empty.
+    """
     counts = cells.where(F.col("value") > 0).groupBy("feature_id", "grp").agg(F.count("*").alias("n"))
     grid = cells.select("feature_id").distinct().crossJoin(F.broadcast(groups))  # a feature's row for each of the few groups
     of = grid.join(counts, ["feature_id", "grp"], "left").withColumn("detected", F.coalesce("n", F.lit(0)))
@@ -278,7 +335,10 @@ def detection_rates(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def overlap(detected: DataFrame) -> DataFrame:
-    """For each pair of groups the features of the first only, of both, of the second only, and of either."""
+    """For each pair of groups the features of the first only, of both, of the second only, and of either.
+
+    A pair without shared features has 0; one group has no row.
+    """
     sizes = detected.groupBy("grp").agg(F.count("*").alias("n"))
     right = detected.select("feature_id", F.col("grp").alias("grp2"))
     shared = detected.select("feature_id", F.col("grp").alias("grp1")).join(right, "feature_id").where("grp1 < grp2").groupBy("grp1", "grp2").agg(F.count("*").alias("shared"))
@@ -288,7 +348,10 @@ def overlap(detected: DataFrame) -> DataFrame:
 
 
 def comparison_summary(volcano: DataFrame) -> DataFrame:
-    """Features up, down and unchanged in each comparison."""
+    """Features up, down and unchanged in each comparison.
+
+    Other or null directions don't count. An empty table stays empty.
+    """
     return volcano.groupBy("grp1", "grp2").agg(F.count_if(F.col("direction") == "Up").alias("up"), F.count_if(F.col("direction") == "Down").alias("down"), F.count_if(F.col("direction") == "Not significant").alias("unchanged"))
 
 
@@ -304,7 +367,10 @@ def combined_table(comparisons: DataFrame, features: DataFrame, names: list[tupl
 
 def comparison_effects(table: DataFrame, top: float = 0.9) -> DataFrame:
     """For each comparison and class: features, those with p < .05 (also by direction), those in the strongest tenth by |g|,
-    changes up and down with their shares, and medians. table: grp1, grp2, lipid_class, log2fc, g, p."""
+    changes up and down with their shares, and medians. table: grp1, grp2, lipid_class, log2fc, g, p.
+
+    Null and blank classes are Unknown; null p are not low, null g not strong, and null changes neither up nor down. An empty table stays empty.
+    """
     key = ["grp1", "grp2"]
     table = table.withColumn("lipid_class", F.coalesce(F.nullif(F.trim("lipid_class"), F.lit("")), F.lit("Unknown")))
     largest = largest_family(table, *key)
@@ -345,6 +411,9 @@ def design_check(samples: DataFrame, required: tuple[str, ...] = ()) -> DataFram
 
 
 def class_directions(table: DataFrame) -> DataFrame:
-    """Features up, down and unchanged in each class. table: lipid_class, direction."""
+    """Features up, down and unchanged in each class. table: lipid_class, direction.
+
+    A null class is a class; classes lack no column.
+    """
     counts = table.groupBy("lipid_class").pivot("direction", ["Up", "Down", "Not significant"]).count().na.fill(0)
     return counts.select("lipid_class", F.col("Up").alias("up"), F.col("Down").alias("down"), F.col("Not significant").alias("unchanged"))

@@ -229,6 +229,41 @@ def test_empty_tables_and_extra_columns(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted((*x, {1: 0.02, 2: None, 3: 0.04, 4: 0.5}[x[0]]) for x in rows)
 
 
+def test_operators_on_empty_tables(spark):
+    """What becomes of no rows at all, and of nulls in every column, in the operators of clean, composition, normalize and merge."""
+    from sparkloom.operators import composition, multivariate
+
+    schema = "feature_id int, sample_id int, value double, grp string, lipid_class string, polarity string, carbons int, dbe int, is_qc boolean, is_standard boolean, is_plasmenyl boolean, inj_order double"
+    nulls = spark.createDataFrame([(None,) * 12, (1, 1, None, "A", "PC", "Pos", 30, 1, False, False, False, 1.0), (1, None, 5.0, None, None, None, None, None, None, None, None, None)], schema)
+    groups = spark.createDataFrame([("A", 2, False), ("QC", 3, True)], "grp string, size int, is_qc boolean")
+    samples = spark.createDataFrame([(1, "A"), (2, "QC")], "sample_id int, grp string")
+    f = "feature_id int, polarity string, annotation string, annotation_type string, lipid_class string, headgroup string, level string, mz double, neutral_mass double, rt_min double, rt_s double, ccs double, carbons int, dbe int, adduct string, mean double, n_missing int, score double, quality double, qc_rsd double, sample_rsd double, median double, qc_detected int, is_standard boolean"
+    odd = spark.createDataFrame([(1, *[None] * 23)], f)
+    targets = spark.createDataFrame([(1.0, "t", "Pos", 1)], "target double, name string, polarity string, position int")
+    motif = F.array(F.concat_ws(":", F.col("carbons").cast("string"), F.col("dbe").cast("string")))
+    for cells, features in ((nulls.limit(0), odd.limit(0)), (nulls, odd)):
+        stats = clean.group_stats(cells)
+        results = [
+            stats, clean.feature_stats(cells), clean.median_rsd(stats), clean.extreme_filter(cells), clean.reliable_standards(cells, 2), clean.restore_missing(cells, cells),
+            composition.sample_totals(cells), composition.group_totals(cells), composition.group_changes(cells), composition.class_totals(cells), composition.enrichment(cells, "lipid_class"), composition.saturation(cells),
+            composition.bin_composition(cells), composition.class_trends(cells), composition.surface(cells), composition.motif_summary(cells, motif), composition.class_ratios(cells), composition.detection(cells, groups),
+            composition.detection_rates(cells, groups.select("grp", "size")), composition.overlap(composition.detection(cells, groups)), composition.structural_ratios(cells, features),
+            normalize.median_normalize(cells), normalize.class_median_normalize(cells), normalize.impute_detection_limit(cells, samples), normalize.impute_minimum(cells, samples), normalize.drift_correct(cells),
+            multivariate.autoscale(cells), multivariate.class_correlations(cells), T.volcano(cells), T.kruskal(cells), T.brown_forsythe(cells), T.mann_whitney(cells),
+        ]
+        kept = [
+            clean.contaminant_filter(features, targets), clean.flat_filter(cells, features), clean.repeated_mass_filter(features), clean.qc_filter(stats, features, groups), clean.minimum_filter(features),
+            clean.detection_filter(stats, features, groups), clean.final_qc_filter(features), clean.final_group_filter(stats, features), annotate.kendrick_filter(features), annotate.cutoff_filter(features), annotate.ccs_filter(features, "lipid_class"),
+            plausibility.plausibility_filter(features, "mammalian"), merge.collapse_adducts(features), merge.collapse_correlated(features, cells),
+        ]
+        for df in results:
+            assert df.count() == 0 or features.count(), df.columns
+        for df in kept:
+            assert df.count() == features.count(), df.columns
+        sides = features.select("feature_id", "annotation", "lipid_class", "headgroup", "level", "rt_min", "neutral_mass", "quality")
+        assert merge.pair(sides, sides).count() == 0 and merge.merge_best(sides, sides).count() == 2 * features.count()
+
+
 @pytest.mark.parametrize("ranges", [False, True])
 def test_rates_of_many_equal_values(spark, monkeypatch, ranges):
     """A family of which most p are equal, ranked at once and in ranges."""
