@@ -321,11 +321,12 @@ def permanova_p(pairs: DataFrame, samples: DataFrame, permutations: int = 1000,
 def permanova_of_values(z: DataFrame, samples: DataFrame, permutations: int = 1000, seed: int = 0) -> DataFrame:
     """M3 without distances, for any number of samples: f and the share of label permutations with as large a pseudo-F, as permanova_p gives them.
 
-    z: feature_id, sample_id, z, of which missing cells are 0; samples: sample_id, grp. For Euclidean distances what is between groups follows from
+    z: feature_id, sample_id, z, of which missing cells are 0; samples: sample_id, grp; those without any cell are left out. For Euclidean distances what is between groups follows from
     the groups' sums: a feature's values are an array, and a batch of features times the groups of a block of permutations is one product. What
     a task returns is a number for each permutation. With one group, or as many groups as samples, or no values, f and p are null.
     """
-    labels = {r["sample_id"]: r["grp"] for r in samples.toLocalIterator()}  # a label for each sample
+    seen = samples.join(z.where("z IS NOT NULL").select("sample_id").distinct(), "sample_id", "left_semi")
+    labels = {r["sample_id"]: r["grp"] for r in seen.toLocalIterator()}  # a label for each sample
     names = sorted(labels, key=str)
     spark = samples.sparkSession
     if not 1 < len(set(labels.values())) < len(names):

@@ -469,7 +469,8 @@ def m1_without_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return part(every, "all").unionByName(part(without, "without outliers"))
 
 
-@query(ZG + ", w AS (SELECT a.grp, sum(distance ** 2) AS q FROM ds JOIN samples a ON a.sample_id = s1 JOIN samples b ON b.sample_id = s2 WHERE a.grp = b.grp GROUP BY a.grp) SELECT round(((t / 20 - v) / 3) / (v / 16), 6) AS f FROM (SELECT sum(distance ** 2) AS t FROM ds) CROSS JOIN (SELECT sum(q / 5) AS v FROM w)")
+@query(ZG + """, sn AS (SELECT grp, count(*) AS n FROM samples WHERE sample_id IN (SELECT sample_id FROM intensity) GROUP BY grp), w AS (SELECT a.grp, sum(distance ** 2) AS q FROM ds JOIN samples a ON a.sample_id = s1 JOIN samples b ON b.sample_id = s2 WHERE a.grp = b.grp GROUP BY a.grp),
+v AS (SELECT sum(q / n) AS ssw FROM w JOIN sn USING (grp)), c AS (SELECT sum(n) AS n, count(*) AS k FROM sn), t AS (SELECT sum(distance ** 2) AS t FROM ds) SELECT round(((t / n - ssw) / (k - 1)) / (ssw / (n - k)), 6) AS f FROM t, v, c""")
 def m3_permanova_of_values(spark: SparkSession, sf: str) -> DataFrame:
     """The pseudo-F without distances."""
     return multivariate.permanova_of_values(_scaled(spark, sf), X.samples(spark), 200).select(r("f").alias("f"))
