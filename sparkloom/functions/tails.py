@@ -53,13 +53,14 @@ def _downwards(depth: Column, start: Column, step: Callable[[Column, Column], Co
 def _beta_part(a: Column, b: Column, x: Column) -> Column:
     """The incomplete beta function for x below its turning point (a + 1) / (a + b + 2)."""
 
-    def term(f: Column, j: Column) -> Column:
-        m = F.floor(j / 2).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return 1 + F.when(j % 2 == 0, even).otherwise(odd) / f
-
-    fraction = _downwards(2 * _depth(BETA_DEPTH, F.greatest(a, b)), F.lit(1.0), term)
+    def both(f: Column, k: Column) -> Column:
+        """Two terms at once: the odd one of m = k - 1, and the even one of k inside it."""
+        at = a + 2 * k
+        even = k * (b - k) * x / ((at - 1) * at)
+        odd = (a + k - 1) * (a + b + k - 1) * x / ((at - 2) * (at - 1))
+        return 1 - odd / (1 + even / f)
+
+    fraction = _downwards(_depth(BETA_DEPTH, F.greatest(a, b)), F.lit(1.0), both)
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
     return front / a / fraction
 
