@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,20 +14,38 @@ from ..scale import linked_components, written
 from .multivariate import correlations
 
 
+#: Features of the second side in a part of a cell, and candidates of a task.
+_PART, _CANDIDATES = 1_024, 5_000_000
+
+
 def pair(pos: DataFrame, neg: DataFrame, rt: float = 0.2, da: float = 0.005, ppm: float = 5.0, heaviest: float = 10_000.0) -> DataFrame:
     """Pairs of features of the two polarities within rt minutes, and within da or ppm (of the positive mass).
 
-    Buckets are as wide as the reach at the heaviest mass that is looked for; heavier features get more buckets, none is
-    lost. Columns of both sides get 1 (positive) and 2 (negative) at their end.
+    Cells of mass are as wide as the reach at the heaviest mass that is looked for, and cells of time as rt; heavier features
+    get more cells, none is lost. Columns of both sides get 1 (positive) and 2 (negative) at their end. The negative features of a
+    dense cell are cut in parts of about _PART, which the positive ones all meet, and tasks are as many as the candidates need: the
+    inputs are small beside the pairs, so their size tells nothing.
     """
-    width = max(da, ppm * heaviest / 1e6)
-    reach = F.greatest(F.lit(da), F.col("neutral_mass1") * ppm / 1e6)
+    width, step = max(da, ppm * heaviest / 1e6), max(rt, 1e-3)
     left = pos.select(*(F.col(c).alias(f"{c}1") for c in pos.columns))
-    left = left.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("neutral_mass1") - reach) / width), F.floor((F.col("neutral_mass1") + reach) / width))))
-    right = neg.select(*(F.col(c).alias(f"{c}2") for c in neg.columns)).withColumn("bucket", F.floor(F.col("neutral_mass2") / width))
+    right = neg.select(*(F.col(c).alias(f"{c}2") for c in neg.columns))
+    right = right.withColumn("_mass", F.floor(F.col("neutral_mass2") / width)).withColumn("_time", F.floor(F.col("rt_min2") / step))
+
+    def touched(column: str, reach: Column, size: float) -> Column:
+        slack = reach + F.lit(1e-9) * (1 + F.abs(column))
+        return F.explode(F.sequence(F.floor((F.col(column) - slack) / size), F.floor((F.col(column) + slack) / size)))
+
+    left = left.withColumn("_mass", touched("neutral_mass1", F.greatest(F.lit(da), F.col("neutral_mass1") * ppm / 1e6), width)).withColumn("_time", touched("rt_min1", F.lit(rt), step))
+    cell = ["_mass", "_time"]
+    cells = right.groupBy(*cell).agg(F.count("*").alias("_n")).join(left.groupBy(*cell).agg(F.count("*").alias("_m")), cell)
+    cells = written(cells.select(*cell, F.ceil(F.col("_n") / _PART).cast("int").alias("_parts"), (F.col("_n") * F.col("_m").cast("double")).alias("_pairs")), "cells")
+    tasks = int(min(2_000, 1 + (cells.agg(F.sum("_pairs")).first()[0] or 0) // _CANDIDATES))
+    cells, key = cells.drop("_pairs").hint("merge"), [*cell, "_part"]
+    left = left.join(cells, cell).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").repartition(tasks, *key)
+    right = right.join(cells, cell).withColumn("_part", F.pmod(F.xxhash64("feature_id2"), F.col("_parts").cast("long")).cast("int")).drop("_parts").repartition(tasks, *key)
     gap = F.abs(F.col("neutral_mass1") - F.col("neutral_mass2"))
     near = (F.abs(F.col("rt_min1") - F.col("rt_min2")) <= rt) & ((gap <= da) | (gap / F.col("neutral_mass1") * 1e6 <= ppm))
-    return left.join(right, "bucket").where(near).drop("bucket")
+    return left.join(right.hint("merge"), key).where(near).drop(*key)
 
 
 def compatible(pairs: DataFrame) -> DataFrame:
@@ -123,9 +144,139 @@ def union_polarities(pos: DataFrame, neg: DataFrame) -> DataFrame:
     return named(pos, "P_").unionByName(named(neg, "N_"), allowMissingColumns=True)
 
 
+#: What features of one place have in common: the same partners, with the same factors to their qualities.
+PLACE = ["rt_min", "neutral_mass", "annotation", "lipid_class", "headgroup", "level"]
+
+
+def losers(pos: DataFrame, neg: DataFrame, component: int | None = None, **limits: float) -> DataFrame:
+    """eliminate(compatible(pair(pos, neg))), side and feature_id, without a row a pair of features.
+
+    pos, neg: feature_id (once on each side), PLACE, quality. Features of one place have the same partners, and of two the better
+    one wins whatever the other wins. So only pairs of places are made, a place loses its features in the order of their
+    qualities, and what counts of its partners is the worst that each has left. Equal qualities go together. A component of places
+    of up to COMPONENT pairs and qualities is resolved in one task; of larger ones each round takes from a place all that lose to what
+    its partners have.
+    """
+    limit = COMPONENT if component is None else component
+    sides, levels, places = {}, {}, {}
+    for k, df in (("1", pos), ("2", neg)):
+        sides[k] = df.select("feature_id", *PLACE, F.col("quality").cast("double").alias("quality"))
+        of = sides[k].groupBy(*PLACE, "quality").agg(F.min("feature_id").alias("id"))
+        levels[k] = written(of.withColumn("place", F.min("id").over(Window.partitionBy(*PLACE))), "qualities")
+        places[k] = levels[k].select(F.col("place").alias("feature_id"), *PLACE, F.lit(1.0).alias("quality")).distinct()
+    links = compatible(pair(places["1"], places["2"], **limits))  # of a quality of 1 the factor is left
+    links = written(links.select(F.col("feature_id1").alias("one"), F.col("feature_id2").alias("two"), F.col("quality1").alias("f1"), F.col("quality2").alias("f2")), "links")
+    node = lambda k, c: F.concat(F.lit(f"{k}|"), F.col(c).cast("string"))
+    labels = linked_components(links.select(node("1", "one").alias("a"), node("2", "two").alias("b")))
+    # In a pair a null quality loses on the positive side and wins on the negative one; NaN is above all numbers.
+    tier = lambda k: F.when(F.col("quality").isNull(), 0 if k == "1" else 3).when(F.isnan("quality"), 2).otherwise(1)
+    known = lambda k: F.when(tier(k) == 1, F.col("quality")).otherwise(0.0)
+    rows = [levels[k].select(F.lit(k).alias("side"), "place", "id", tier(k).alias("tier"), known(k).alias("v")).withColumn("node", node(k, "place")).join(labels, "node").drop("node") for k in "12"]
+    rows = written(rows[0].unionByName(rows[1]), "rows")
+    links = written(links.withColumn("node", node("1", "one")).join(labels, "node").drop("node"), "links")
+    count = lambda df: df.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = written(count(links).unionByName(count(rows)).groupBy("label").agg(F.sum("n").alias("size")), "sizes")
+    small = sizes.where(F.col("size") <= limit)
+    total = small.agg(F.sum("size")).first()[0] or 0
+    groups = int(1 + total // max(limit, 1))
+    kind = dict(levels["1"].dtypes)["id"]
+
+    def resolve(of: pd.DataFrame, all_links: pd.DataFrame) -> pd.DataFrame:
+        return _resolved_places(of, all_links)
+
+    # Components are independent of each other, so a group may hold several.
+    spread = lambda df: df.join(small, "label", "left_semi").withColumn("group", F.pmod(F.xxhash64("label"), F.lit(groups))).repartition(min(groups, 1_000), "group").groupBy("group")
+    gone = spread(rows).cogroup(spread(links)).applyInPandas(resolve, f"side string, id {kind}")
+    large = sizes.where(F.col("size") > limit).select("label")
+    if large.head(1):
+        gone = gone.unionByName(_places_in_rounds(rows.join(large, "label").drop("label"), links.join(large, "label").drop("label")))
+    gone = written(gone, "losers")
+    out = []
+    for k in "12":
+        lost = levels[k].join(gone.where(F.col("side") == k).select("id"), "id", "left_semi").select(*(F.col(c).alias(f"{c} of") for c in (*PLACE, "quality")))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"`{c} of`")) for c in (*PLACE, "quality")])
+        out.append(sides[k].join(lost, same, "left_semi").select(F.lit(k).alias("side"), "feature_id"))
+    return out[0].unionByName(out[1])
+
+
+def _resolved_places(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The qualities that go, as side and id. rows: side, place, id, tier, v; links: one, two, f1, f2.
+
+    Each place keeps how many partners' worst its own worst beats; where that is none, its worst goes, and only its partners change.
+    """
+    rows = rows.sort_values(["side", "place", "tier", "v"], ignore_index=True)
+    new = ((rows["side"] != rows["side"].shift()) | (rows["place"] != rows["place"].shift())).to_numpy(bool)
+    at = np.flatnonzero(new)
+    end, first_side = np.append(at[1:], len(rows)), (rows["side"] == "1").to_numpy()[at] if len(rows) else np.zeros(0, bool)
+    number = {(s, p): k for k, (s, p) in enumerate(zip(rows["side"].to_numpy()[at].tolist(), rows["place"].to_numpy()[at].tolist()))}
+    one = np.array([number["1", p] for p in links["one"].tolist()], int)
+    two = np.array([number["2", p] for p in links["two"].tolist()], int)
+    f1, f2 = links["f1"].to_numpy(float), links["f2"].to_numpy(float)
+    tier, v, head, left = rows["tier"].to_numpy(), rows["v"].to_numpy(float), at.copy(), np.ones(len(at), bool)
+
+    def beats(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+        """Whether the worst of positive places wins against that of negative ones."""
+        ta, tb = tier[head[a]], tier[head[b]]
+        return (ta > tb) | ((ta == tb) & (v[head[a]] * fa >= v[head[b]] * fb))
+
+    won = beats(one, two, f1, f2)
+    wins = np.bincount(one[won], minlength=len(at)) + np.bincount(two[~won], minlength=len(at))
+    pairs = np.bincount(one, minlength=len(at)) + np.bincount(two, minlength=len(at))
+    order = np.argsort(np.r_[one, two], kind="stable")
+    partner, own, other = np.r_[two, one][order], np.r_[f1, f2][order], np.r_[f2, f1][order]
+    ends = np.cumsum(pairs)
+    starts, open_ = ends - pairs, np.flatnonzero(wins == 0).tolist()
+    while open_:
+        k = open_.pop()
+        if not left[k] or wins[k] or not pairs[k]:
+            continue
+        mine = np.arange(starts[k], ends[k])
+        mine = mine[left[partner[mine]]]
+        near = partner[mine]
+        head[k] += 1
+        if head[k] == end[k]:
+            left[k] = False
+            pairs[near] -= 1
+            lost = near
+        else:
+            here = np.full(len(near), k)
+            won = beats(here, near, own[mine], other[mine]) if first_side[k] else ~beats(near, here, other[mine], own[mine])
+            wins[k], lost = won.sum(), near[won]
+            if not wins[k]:
+                open_.append(k)
+        wins[lost] -= 1
+        open_ += lost[wins[lost] == 0].tolist()
+    gone = np.concatenate([np.arange(a, h) for a, h in zip(at, head)]) if len(at) else np.zeros(0, int)
+    return rows.loc[gone, ["side", "id"]]
+
+
+def _places_in_rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """_resolved_places of components that no task holds: a round takes from each losing place all that lose to the worst of its partners."""
+    order = Window.partitionBy("side", "place").orderBy("tier", "v")
+    rows = written(rows.withColumn("rank", F.row_number().over(order)), "ranked")
+    both = links.select(F.lit("1").alias("side"), F.col("one").alias("place"), F.col("two").alias("other"), F.col("f1").alias("own"), F.col("f2").alias("its")).unionByName(
+        links.select(F.lit("2").alias("side"), F.col("two").alias("place"), F.col("one").alias("other"), F.col("f2").alias("own"), F.col("f1").alias("its")))
+    both = written(both, "sides")
+    heads = written(rows.where("rank = 1"), "heads")
+    while True:
+        theirs = heads.select(F.when(F.col("side") == "1", "2").otherwise("1").alias("side"), F.col("place").alias("other"), F.col("tier").alias("t"), F.col("v").alias("w"))
+        worst = both.join(theirs, ["side", "other"]).groupBy("side", "place", "own").agg(F.min(F.struct(F.col("t"), (F.col("w") * F.col("its")).alias("w"))).alias("worst"))
+        mine = F.struct(F.col("tier").alias("t"), (F.col("v") * F.col("own")).alias("w"))
+        wins = F.when(F.col("side") == "1", mine >= F.col("worst")).otherwise(mine > F.col("worst"))
+        worst = written(worst, "worst")
+        lost = heads.select("side", "place", "tier", "v").join(worst, ["side", "place"]).groupBy("side", "place").agg(F.bool_or(wins).alias("wins")).where("NOT wins").select("side", "place")
+        lost = written(lost, "lost")
+        if not lost.head(1):
+            break
+        after = rows.join(lost, ["side", "place"]).join(worst, ["side", "place"]).where(wins).groupBy("side", "place").agg(F.min("rank").alias("rank"))
+        heads = written(heads.join(lost, ["side", "place"], "left_anti").unionByName(rows.join(after, ["side", "place", "rank"]).select(*heads.columns)), "heads")
+    kept = heads.select("side", "place", F.col("rank").alias("kept"))
+    return rows.join(kept, ["side", "place"], "left").where("kept IS NULL OR rank < kept").select("side", "id")
+
+
 def merge_best(pos: DataFrame, neg: DataFrame, **limits: float) -> DataFrame:
     """Annotated features of both polarities, the worse of what is found in both removed; then U1."""
-    gone = eliminate(compatible(pair(pos, neg, **limits)))
+    gone = written(losers(pos, neg, **limits), "removed")  # read twice below
     keep = lambda df, k: df.join(gone.where(F.col("side") == k).select("feature_id"), "feature_id", "left_anti")
     return union_polarities(keep(pos, "1"), keep(neg, "2"))
 

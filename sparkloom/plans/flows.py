@@ -186,7 +186,7 @@ def merge_polarities(pos: DataFrame, neg: DataFrame, pos_cells: DataFrame, neg_c
         sides.append((written(known.withColumn("quality", quality), "known"), unknown))
     (one, one_unknown), (two, two_unknown) = sides
     needed = ["feature_id", "annotation", "lipid_class", "headgroup", "level", "rt_min", "neutral_mass", "quality"]
-    gone = merge.eliminate(merge.compatible(merge.pair(one.select(*needed), two.select(*needed), **limits))) if best else None
+    gone = merge.losers(one.select(*needed), two.select(*needed), **limits) if best else None
     if gone is None:
         gone = one.select(F.lit("1").alias("side"), "feature_id").limit(0)
     gone = written(gone, "removed")
