@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import largest_family, percentiles, sent
+from ..scale import largest_family, percentiles, sent, written
 from .group_tests import group_moments, welch
 
 # Class ratios and product/substrate ratios as (numerator, denominator).
@@ -373,8 +373,9 @@ def comparison_effects(table: DataFrame, top: float = 0.9) -> DataFrame:
     """
     key = ["grp1", "grp2"]
     table = table.withColumn("lipid_class", F.coalesce(F.nullif(F.trim("lipid_class"), F.lit("")), F.lit("Unknown")))
+    table = written(table.select(*key, "lipid_class", "log2fc", "g", "p"), "table")  # read several times below
     largest = largest_family(table, *key)
-    of = table.join(percentiles(table, F.abs("g"), {"cut": top}, *key, largest=largest), key, "left")
+    of = table.join(sent(percentiles(table, F.abs("g"), {"cut": top}, *key, largest=largest), "cuts"), key, "left")
     low, up, down = F.coalesce(F.col("p") < 0.05, F.lit(False)), F.count_if(F.col("log2fc") > 0), F.count_if(F.col("log2fc") < 0)
     out = of.groupBy(*key, "lipid_class").agg(
         F.count("*").alias("n"), F.count_if(low).alias("n_low_p"), F.count_if(F.abs("g") >= F.col("cut")).alias("n_strong"), up.alias("up"), down.alias("down"),
@@ -390,6 +391,7 @@ def class_effects(table: DataFrame, top: float = 0.9) -> DataFrame:
 
     table: (feature_id, lipid_class, log2fc).
     """
+    table = written(table.select("lipid_class", "log2fc"), "table")  # read several times below
     largest = largest_family(table)
     of = table.join(F.broadcast(percentiles(table, F.abs("log2fc"), {"cut": top}, largest=largest)), F.lit(True), "left")  # one row
     out = of.groupBy("lipid_class").agg(
