@@ -7,11 +7,13 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import linked_components, written
-from .multivariate import correlations
+from .multivariate import correlation_rows
 
 
 #: Features of the second side in a part of a cell, and candidates of a task.
@@ -376,7 +378,7 @@ def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0
 
 
 #: Features of a cell of time that are compared in one task.
-CELL = 512
+CELL = 4_096
 
 
 def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float = 0.3, r: float = 0.9, least: int = 4, cell: int | None = None) -> DataFrame:
@@ -389,7 +391,8 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
 
     Time is cut in cells as wide as the reach, so both of a pair are in one cell or in neighbours. A cell is cut in tiles
     of about CELL features, and each two tiles that pairs may be in are a group, of which numpy makes all correlations; each pair is in
-    one group. What is shuffled is a feature's array for each tile that it meets, and links.
+    one group. What is shuffled is a feature's array for each tile that it meets, and of the links of a group those only that
+    first join two of its features, over any number of links: fewer than it has features.
     """
     size = CELL if cell is None else cell
     named = features.where("annotation <> '' AND rt_min IS NOT NULL").select(F.concat_ws("|", "annotation", "lipid_class").alias("name"), "feature_id", F.col("rt_min").cast("double").alias("rt"))
@@ -404,28 +407,36 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
     within = mine.withColumn("met", tile(F.col("tiles"))).select(*base, "at", F.lit(0).alias("next"), F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), (F.col("own") > met).cast("int").alias("side"))
     ahead = mine.where("later IS NOT NULL").withColumn("met", tile(F.col("later"))).select(*base, "at", F.lit(1).alias("next"), F.col("own").alias("x"), met.alias("y"), F.lit(0).alias("side"))
     behind = mine.where("earlier IS NOT NULL").withColumn("met", tile(F.col("earlier"))).select(*base, (F.col("at") - 1).alias("at"), F.lit(1).alias("next"), met.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
-    packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c"))
+    packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c")).select("feature_id", F.col("c.sample_id").alias("samples"), F.col("c.v").alias("values"))
     rows = within.unionByName(ahead).unionByName(behind).join(packed, "feature_id")
     kind = dict(features.dtypes)["feature_id"]
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        one_side = not int(group["next"].iloc[0]) and int(group["x"].iloc[0]) == int(group["y"].iloc[0])
-        samples: dict = {}
-        for c in group["c"]:
-            for v in c:
-                samples.setdefault(v["sample_id"], len(samples))
-        table = np.full((len(group), len(samples)), np.nan)
-        for i, c in enumerate(group["c"]):
-            table[i, [samples[v["sample_id"]] for v in c]] = [v["v"] for v in c]
-        side, rt, ids = group["side"].to_numpy(), group["rt"].to_numpy(), group["feature_id"].to_numpy()
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one_side else 1))
-        n, found = correlations(table, first, second)
-        with np.errstate(invalid="ignore"):
-            near = (np.abs(rt[first][:, None] - rt[second][None, :]) <= minutes) & (n >= least) & (found >= r)
-        i, j = np.nonzero(near & (first[:, None] < second[None, :] if one_side else True))
-        return pd.DataFrame({"a": ids[first][i], "b": ids[second][j]})
-
-    linked = rows.groupBy("name", "at", "next", "x", "y").applyInPandas(link, f"a {kind}, b {kind}")
+    def link(group: pa.Table) -> pa.Table:
+        group = group.sort_by("feature_id")
+        samples, values = (group.column(k).combine_chunks() for k in ("samples", "values"))
+        flat, size = samples.flatten(), samples.value_lengths().to_numpy(zero_copy_only=False)
+        names = pc.unique(flat)
+        table = np.full((len(group), len(names)), np.nan)
+        table[np.repeat(np.arange(len(group)), size), pc.index_in(flat, names).to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+        side, rt, within = group.column("side").to_numpy(), group.column("rt").to_numpy(), not group.column("next")[0].as_py() and group.column("x")[0] == group.column("y")[0]
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+        label, one, two = np.arange(len(group)), [], []
+        for some, n, found in correlation_rows(table, first, second, 64):
+            with np.errstate(invalid="ignore"):
+                near = (np.abs(rt[some][:, None] - rt[second][None, :]) <= minutes) & (n >= least) & (found >= r)
+            near &= label[some][:, None] != label[second][None, :]
+            near &= some[:, None] < second[None, :] if within else True
+            for k, mine in zip(some[near.any(1)], near[near.any(1)]):
+                theirs = second[mine]
+                new, at = np.unique(label[theirs], return_index=True)
+                at = at[new != label[k]]  # others have been joined with k since
+                if len(at):
+                    one += [k] * len(at)
+                    two += theirs[at].tolist()
+                    label[np.isin(label, new)] = label[k]
+        return pa.table({"a": group.column("feature_id").take(pa.array(one, pa.int64())), "b": group.column("feature_id").take(pa.array(two, pa.int64()))})
+
+    linked = rows.groupBy("name", "at", "next", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
     of = linked_components(linked).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(features, "feature_id")
     order = F.struct(*(x.alias(f"k{i}") for i, x in enumerate(y for c, way in (("qc_rsd", 1), ("sample_rsd", 1), ("median", -1)) for y in (F.col(c).isNull(), way * F.col(c)))), "feature_id")
     best = of.groupBy("component").agg(F.min(order).alias("best"))
