@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import acyls, carbon_bin, carbon_ratio, class_of, first_chain, headgroup, is_oxidized, is_polyunsaturated, kendrick_defect, modifications, n_modifications, parity, total
-from ..scale import largest_family, percentiles
+from ..scale import largest_family, percentiles, written
 from .clean import flagged
 
 # Masses, and adduct models as (polarity, adduct, molecules, added mass, charge).
@@ -28,19 +28,43 @@ def theoretical_mz(library: DataFrame) -> DataFrame:
     return library.crossJoin(F.broadcast(models)).select("lib_id", "polarity", "adduct", mz.alias("theo_mz"))  # 22 models
 
 
+#: Matches of a mass in a part, and matches of a task.
+_PART, _MATCHES = 256, 1_000_000
+
+
 def mass_search(features: DataFrame, library: DataFrame, da: float = 0.003, ppm: float = 3.0) -> DataFrame:
     """feature_id, lib_id, adduct, theo_mz, delta, ppm for each library mass and adduct within both tolerances.
 
-    A range join as an equi-join: masses go to buckets twice as wide as the reach, and a feature to the one or two
-    buckets that its reach touches. Dense mass regions are left to adaptive skew handling, which splits the join.
+    A range join as an equi-join: masses go to buckets twice as wide as the reach, and a feature's mass to the one or two
+    buckets that its reach touches. Each mass is looked up once, however many features have it.
     """
+    of = _with_matches(features.select("feature_id", "polarity", "mz"), _matches(features, library, da, ppm))
+    return of.select("feature_id", "lib_id", "adduct", "theo_mz", "delta", "ppm")
+
+
+def _matches(features: DataFrame, library: DataFrame, da: float, ppm: float) -> DataFrame:
+    """polarity, mz, lib_id, adduct, theo_mz, delta, ppm for each mass of the features."""
     width = 2 * da
     theory = theoretical_mz(library).withColumn("bucket", F.floor(F.col("theo_mz") / width))
     lo, hi = F.floor((F.col("mz") - da) / width), F.floor((F.col("mz") + da) / width)
-    probe = features.select("feature_id", "polarity", "mz", F.explode(F.array_distinct(F.array(lo, hi))).alias("bucket"))
+    probe = features.select("polarity", "mz").distinct().withColumn("bucket", F.explode(F.array_distinct(F.array(lo, hi))))
     delta = F.col("mz") - F.col("theo_mz")
     of = probe.join(theory, ["polarity", "bucket"]).withColumn("delta", delta).withColumn("ppm", F.abs(F.col("delta")) / F.col("theo_mz") * 1e6)
-    return of.where((F.abs("delta") <= da) & (F.col("ppm") <= ppm)).select("feature_id", "lib_id", "adduct", "theo_mz", "delta", "ppm")
+    return of.where((F.abs("delta") <= da) & (F.col("ppm") <= ppm)).select("polarity", "mz", "lib_id", "adduct", "theo_mz", "delta", "ppm")
+
+
+def _with_matches(features: DataFrame, matches: DataFrame) -> DataFrame:
+    """features, which have no other columns of the matches, a row for each match of their mass. A mass's matches are cut in parts of about _PART, which its features all meet, and
+    tasks are as many as the matches need: both sides are small beside what they make, so their size tells nothing."""
+    mass = ["polarity", "mz"]
+    matches = written(matches, "matches")  # read three times below
+    sizes = written(matches.groupBy(*mass).agg(F.count("*").alias("_n")).withColumn("_mass", F.monotonically_increasing_id()), "masses")
+    total = features.join(sizes, mass).agg(F.sum("_n")).first()[0] or 0
+    tasks, key, parts = int(min(2_000, 1 + total // _MATCHES)), ["_mass", "_part"], sizes.select(*mass, "_mass", F.ceil(F.col("_n") / _PART).alias("_parts"))
+    even = lambda df: df.repartition(tasks, *key) if tasks > 1 else df
+    left = even(features.join(parts, mass).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts"))
+    right = even(matches.join(parts, mass).withColumn("_part", F.pmod(F.xxhash64("lib_id", "adduct"), F.col("_parts"))).drop("_parts", *mass))
+    return left.join(right.hint("merge"), key).drop(*key)
 
 
 def window_filter(features: DataFrame, windows: DataFrame) -> DataFrame:
@@ -217,18 +241,22 @@ def annotated(features: DataFrame, library: DataFrame, headgroups: DataFrame, da
     its feature's type is kept. Originals stay as they are; other columns are those of the feature.
     """
     blank = F.trim(F.coalesce("annotation", F.lit(""))) == ""
-    hits = mass_search(features.where(blank), library, da, ppm).withColumnRenamed("adduct", "_adduct")
-    own = library.select("lib_id", F.col("annotation").alias("_name"), F.col("neutral_mass").alias("_mass"))
-    of = features.join(hits.select("feature_id", "lib_id", "_adduct", "delta", "theo_mz"), "feature_id").join(own, "lib_id")
-    name, kept = F.coalesce("_name", F.lit("")), F.coalesce(F.col("annotation_type").isin(*KEPT_TYPES), F.lit(False))
+    named = library.select("lib_id", F.col("annotation").alias("_name"), F.col("neutral_mass").alias("_mass"))
+    name = F.coalesce("_name", F.lit(""))
     chains, mods = acyls(name), modifications(name)
     c, d = total(chains, "carbons"), total(chains, "dbe")
-    new = of.withColumns({
-        "annotation": name, "neutral_mass": F.col("_mass"), "adduct": F.col("_adduct"), "annotation_source": F.lit("library"), "headgroup": headgroup(name),
-        "annotation_type": F.when(kept, F.col("annotation_type")).otherwise("MS match"), "carbons": c, "dbe": d, "modifications": mods, "n_modifications": n_modifications(mods),
-        "parity": parity(c), "is_pufa": is_polyunsaturated(d), "carbon_ratio": carbon_ratio(c, d), "dmz_mda": F.col("delta") * 1000, "dmz_ppm": F.col("delta") / F.col("theo_mz") * 1e6,
-    })
-    new = with_class(new, headgroups, searched=True).withColumn("is_oxidized", is_oxidized(F.col("modifications"), F.col("lipid_class"))).drop("_name", "_mass", "_adduct", "delta", "theo_mz", "lib_id")
+    # What a name says is made once for each library row, not for each match.
+    said = named.select("lib_id", "_mass", name.alias("annotation"), headgroup(name).alias("headgroup"), c.alias("carbons"), d.alias("dbe"), mods.alias("modifications"), n_modifications(mods).alias("n_modifications"),
+                        parity(c).alias("parity"), is_polyunsaturated(d).alias("is_pufa"), carbon_ratio(c, d).alias("carbon_ratio"))
+    said = with_class(said, headgroups, searched=True).withColumn("is_oxidized", is_oxidized(F.col("modifications"), F.col("lipid_class")))
+    said = said.withColumnsRenamed({"_mass": "neutral_mass"})
+    probe = features.where(blank)
+    hits = _matches(probe, library, da, ppm).withColumns({"dmz_mda": F.col("delta") * 1000, "dmz_ppm": F.col("delta") / F.col("theo_mz") * 1e6})
+    hits = hits.join(said, "lib_id").withColumn("annotation_source", F.lit("library")).drop("theo_mz", "delta", "ppm")
+    rest = [x for x in probe.columns if x in ("polarity", "mz") or x not in hits.columns]
+    new = _with_matches(probe.select(*rest), hits).drop("lib_id")
+    kept = F.coalesce(F.col("annotation_type").isin(*KEPT_TYPES), F.lit(False))
+    new = new.withColumn("annotation_type", F.when(kept, F.col("annotation_type")).otherwise("MS match"))
     return features.unionByName(new, allowMissingColumns=True)
 
 

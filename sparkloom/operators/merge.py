@@ -43,8 +43,9 @@ def pair(pos: DataFrame, neg: DataFrame, rt: float = 0.2, da: float = 0.005, ppm
     cells = written(cells.select(*cell, F.ceil(F.col("_n") / _PART).cast("int").alias("_parts"), (F.col("_n") * F.col("_m").cast("double")).alias("_pairs")), "cells")
     tasks = int(min(2_000, 1 + (cells.agg(F.sum("_pairs")).first()[0] or 0) // _CANDIDATES))
     cells, key = cells.drop("_pairs").hint("merge"), [*cell, "_part"]
-    left = left.join(cells, cell).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").repartition(tasks, *key)
-    right = right.join(cells, cell).withColumn("_part", F.pmod(F.xxhash64("feature_id2"), F.col("_parts").cast("long")).cast("int")).drop("_parts").repartition(tasks, *key)
+    even = lambda df: df.repartition(tasks, *key) if tasks > 1 else df
+    left = even(left.join(cells, cell).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"))
+    right = even(right.join(cells, cell).withColumn("_part", F.pmod(F.xxhash64("feature_id2"), F.col("_parts").cast("long")).cast("int")).drop("_parts"))
     gap = F.abs(F.col("neutral_mass1") - F.col("neutral_mass2"))
     near = (F.abs(F.col("rt_min1") - F.col("rt_min2")) <= rt) & ((gap <= da) | (gap / F.col("neutral_mass1") * 1e6 <= ppm))
     return left.join(right.hint("merge"), key).where(near).drop(*key)
