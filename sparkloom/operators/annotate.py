@@ -189,10 +189,10 @@ def ccs_filter(features: DataFrame, *key: str, scaled: bool = True, far: float =
     if library is not None:
         measured = library.where("ccs IS NOT NULL AND carbons IS NOT NULL").groupBy(*key).agg(F.regr_slope("ccs", "carbons").alias("_b"), F.regr_intercept("ccs", "carbons").alias("_a"), F.count("*").alias("_n")).where(F.col("_n") >= least_library)
         line = line.join(measured, list(key), "left").select(*key, F.when(F.col("_n").isNotNull(), F.col("_b")).otherwise(F.col("slope")).alias("slope"), F.when(F.col("_n").isNotNull(), F.col("_a")).otherwise(F.col("at0")).alias("at0"), "size")
-    of = features.join(line, list(key), "left").withColumn("residual", F.col("ccs") - (F.col("slope") * F.col("carbons") + F.col("at0")))
+    of = features.join(F.broadcast(line), list(key), "left").withColumn("residual", F.col("ccs") - (F.col("slope") * F.col("carbons") + F.col("at0")))
     largest = largest_family(features, *key)
-    of = of.join(percentiles(of, "residual", {"mid": 0.5}, *key, largest=largest), list(key), "left").withColumn("off", F.abs(F.col("residual") - F.col("mid")))
-    of = of.join(percentiles(of, "off", {"mad": 0.5}, *key, largest=largest), list(key), "left")
+    of = of.join(F.broadcast(percentiles(of, "residual", {"mid": 0.5}, *key, largest=largest)), list(key), "left").withColumn("off", F.abs(F.col("residual") - F.col("mid")))
+    of = of.join(F.broadcast(percentiles(of, "off", {"mad": 0.5}, *key, largest=largest)), list(key), "left")
     if scaled:
         of = of.withColumn("robust_z", F.col("off") / F.greatest(F.lit(floor), F.lit(1.4826) * F.col("mad")))
         remove = (F.abs("residual") > far) & (F.col("robust_z") >= limit)

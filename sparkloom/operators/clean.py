@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import percentiles, written
+from ..scale import percentiles, unsent, written
 
 #: Values above this are detected.
 DETECTED = 1e-9
@@ -83,7 +83,7 @@ def flat_filter(cells: DataFrame, features: DataFrame, flat_rsd: float = 0.05, u
         .when(flat & (F.col("mean") >= F.col("q99")), "saturated")
     )
     found = of.where(reason.isNotNull()).select("feature_id", reason.alias("_why"))
-    return flagged(features.join(found, "feature_id", "left"), F.col("_why").isNotNull() & ~F.coalesce("is_standard", F.lit(False)), F.col("_why")).drop("_why")
+    return flagged(features.join(unsent(found), "feature_id", "left"), F.col("_why").isNotNull() & ~F.coalesce("is_standard", F.lit(False)), F.col("_why")).drop("_why")
 
 
 def repeated_mass_filter(features: DataFrame, low: float = 1e5, min_n: int = 3, spread: float = 2.0) -> DataFrame:
@@ -115,7 +115,7 @@ def qc_filter(stats: DataFrame, features: DataFrame, groups: DataFrame, limit: f
     )
     remove = (F.col("_qc_rsd") > limit) & ~F.col("_rescued") & (F.col("_qc_samples") >= 3) & ~F.col("is_standard")
     own = [c for c in features.columns if c not in ("qc_rsd", "rescued", "qc_samples")]
-    of = flagged(features.select(*own).join(judged, "feature_id", "left"), remove, "QC RSD")
+    of = flagged(features.select(*own).join(unsent(judged), "feature_id", "left"), remove, "QC RSD")
     return of.withColumnsRenamed({f"_{c}": c for c in ("qc_rsd", "rescued", "qc_samples")})
 
 
@@ -134,7 +134,7 @@ def detection_filter(stats: DataFrame, features: DataFrame, groups: DataFrame, p
     """
     rate = F.lit(100.0) * F.col("n_detected") / F.col("size")
     best = stats.join(F.broadcast(groups), "grp").groupBy("feature_id").agg(F.max(rate).alias("best_rate"))
-    return flagged(features.join(best, "feature_id", "left"), (F.coalesce("best_rate", F.lit(0.0)) < percent) & ~F.col("is_standard"), "detection rate")
+    return flagged(features.join(unsent(best), "feature_id", "left"), (F.coalesce("best_rate", F.lit(0.0)) < percent) & ~F.col("is_standard"), "detection rate")
 
 
 def standard_text(*columns: str) -> Column:
@@ -159,7 +159,7 @@ def final_group_filter(stats: DataFrame, features: DataFrame, limit: float = 50.
     Features whose RSDs are all null stay.
     """
     of = stats.where("grp != 'QC'").groupBy("feature_id").agg(F.min("rsd_pct").alias("lowest_rsd"), F.max("rsd_pct").alias("highest_rsd"))
-    return flagged(features.join(of, "feature_id", "left"), F.col("lowest_rsd") > limit, "final group RSD")
+    return flagged(features.join(unsent(of), "feature_id", "left"), F.col("lowest_rsd") > limit, "final group RSD")
 
 
 def report_filter(features: DataFrame, limit: float = 30.0) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import linked_components, written
+from ..scale import linked_components, unsent, written
 from .multivariate import correlation_rows
 
 
@@ -349,7 +349,7 @@ def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0
     kind, key = dict(features.dtypes)["feature_id"], ["annotation", "mass_block", "block"]
     rows = written(named.select(*key, "feature_id", F.col("rt_s").cast("double").alias("rt_s"), F.col("neutral_mass").cast("double").alias("neutral_mass"), "priority", "n_missing", "mean"), "adducts")
     sizes = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("rt_s").alias("start"))
-    sized = rows.join(sizes, key)
+    sized = rows.join(unsent(sizes), key)
     schema = f"feature_id {kind}, rt_s double, neutral_mass double, anchor {kind}"
     shown = ["feature_id", "rt_s", "neutral_mass", "anchor"]
     none = pd.DataFrame({"feature_id": [], "rt_s": [], "neutral_mass": []})
@@ -372,9 +372,9 @@ def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0
             before = carried if carried is not None else here.limit(0)
             done = written(here.groupBy(*key).cogroup(before.groupBy(*key)).applyInPandas(go_on, with_key), "anchored")
             found, carried = found.unionByName(done.select("feature_id", "anchor")), done.where("feature_id = anchor").drop("anchor")
-    best = found.join(rows.select("feature_id", "priority", "n_missing", "mean"), "feature_id").groupBy("anchor").agg(
+    best = found.join(unsent(rows.select("feature_id", "priority", "n_missing", "mean")), "feature_id").groupBy("anchor").agg(
         F.min(F.struct("priority", "n_missing", (-F.col("mean")).alias("less"), "feature_id")).alias("best"))
-    merged = found.join(best, "anchor").select("feature_id", F.col("best.feature_id").alias("kept_id"))
+    merged = found.join(unsent(best), "anchor").select("feature_id", F.col("best.feature_id").alias("kept_id"))
     return merged.unionByName(features.where(alone).select("feature_id", F.col("feature_id").alias("kept_id")))
 
 
@@ -409,7 +409,7 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
     ahead = mine.where("later IS NOT NULL").withColumn("met", tile(F.col("later"))).select(*base, "at", F.lit(1).alias("next"), F.col("own").alias("x"), met.alias("y"), F.lit(0).alias("side"))
     behind = mine.where("earlier IS NOT NULL").withColumn("met", tile(F.col("earlier"))).select(*base, (F.col("at") - 1).alias("at"), F.lit(1).alias("next"), met.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
     packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c")).select("feature_id", F.col("c.sample_id").alias("samples"), F.col("c.v").alias("values"))
-    rows = within.unionByName(ahead).unionByName(behind).join(packed, "feature_id")
+    rows = within.unionByName(ahead).unionByName(behind).join(unsent(packed), "feature_id")
     kind = dict(features.dtypes)["feature_id"]
 
     def link(group: pa.Table) -> pa.Table:
@@ -438,8 +438,8 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
         return pa.table({"a": group.column("feature_id").take(pa.array(one, pa.int64())), "b": group.column("feature_id").take(pa.array(two, pa.int64()))})
 
     linked = rows.groupBy("name", "at", "next", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
-    of = linked_components(linked).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(features, "feature_id")
+    of = linked_components(linked).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(unsent(features), "feature_id")
     order = F.struct(*(x.alias(f"k{i}") for i, x in enumerate(y for c, way in (("qc_rsd", 1), ("sample_rsd", 1), ("median", -1)) for y in (F.col(c).isNull(), way * F.col(c)))), "feature_id")
     best = of.groupBy("component").agg(F.min(order).alias("best"))
-    kept = of.select("feature_id", "component").join(best, "component").select("feature_id", F.col("best.feature_id").alias("kept_id"))
-    return features.select("feature_id").join(kept, "feature_id", "left").select("feature_id", F.coalesce("kept_id", "feature_id").alias("kept_id"))
+    kept = of.select("feature_id", "component").join(unsent(best), "component").select("feature_id", F.col("best.feature_id").alias("kept_id"))
+    return features.select("feature_id").join(unsent(kept), "feature_id", "left").select("feature_id", F.coalesce("kept_id", "feature_id").alias("kept_id"))

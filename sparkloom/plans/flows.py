@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import annotate, clean, composition, merge, normalize, plausibility
 from ..operators import group_tests as tests
-from ..scale import written
+from ..scale import unsent, written
 
 
 @dataclass
@@ -40,7 +40,7 @@ class Study:
 
     def only(self, name: str, kept: DataFrame) -> None:
         """Keeps the features whose kept_id is their own."""
-        of = self.features.join(kept, "feature_id", "left").withColumn("keep", F.coalesce(F.col("kept_id") == F.col("feature_id"), F.lit(True)))
+        of = self.features.join(unsent(kept), "feature_id", "left").withColumn("keep", F.coalesce(F.col("kept_id") == F.col("feature_id"), F.lit(True)))
         self.step(name, of.withColumn("reason", F.concat(F.lit("same as "), F.col("kept_id").cast("string"))))
 
     def n_samples(self) -> int:
@@ -48,7 +48,7 @@ class Study:
         return self.groups.agg(F.sum("size")).first()[0] or 0
 
     def left(self) -> DataFrame:
-        return self.cells.join(self.features.select("feature_id").distinct(), "feature_id", "left_semi")
+        return self.cells.join(unsent(self.features.select("feature_id").distinct()), "feature_id", "left_semi")
 
     def ledger(self) -> DataFrame:
         return annotate.joined_ledgers(*self.ledgers)
@@ -61,9 +61,9 @@ def cleanse(study: Study, contaminants: DataFrame, lowest: float = 4000.0) -> No
     means = written(clean.feature_stats(study.cells).select("feature_id", (n_samples - F.col("n")).alias("n_missing"), "mean"), "means")
     study.step("contaminant", clean.contaminant_filter(study.features, contaminants))
     study.step("flat", clean.flat_filter(study.left(), study.features))
-    study.step("repeated mass", clean.repeated_mass_filter(study.features.join(means, "feature_id", "left")))
+    study.step("repeated mass", clean.repeated_mass_filter(study.features.join(unsent(means), "feature_id", "left")))
     study.step("QC", clean.qc_filter(stats, study.features, study.groups))
-    study.step("mean", clean.minimum_filter(study.features.join(means.select("feature_id", "mean"), "feature_id", "left"), lowest))
+    study.step("mean", clean.minimum_filter(study.features.join(unsent(means.select("feature_id", "mean")), "feature_id", "left"), lowest))
     study.step("detection", clean.detection_filter(stats, study.features, study.groups))
 
 
@@ -108,7 +108,7 @@ def identify(
     good = annotate.kendrick_filter(good).where("keep").drop("keep", "reason", "kmd")
     best = annotate.best_annotation(annotate.cutoff_filter(good, cutoff).where("keep").drop("keep", "reason"))
     study.features = written(best.withColumn("annotation", F.when(blank, F.lit("")).otherwise(F.col("annotation"))), "best")
-    gone = before.join(study.features.select("feature_id"), "feature_id", "left_anti")
+    gone = before.join(unsent(study.features.select("feature_id")), "feature_id", "left_anti")
     study.ledgers.append(gone.select("feature_id", F.lit("annotation").alias("step"), F.lit("implausible or low score").alias("reason")))
     study.step("CCS", annotate.ccs_filter(study.features, "lipid_class", "adduct"))
 
@@ -120,8 +120,8 @@ def collapse(study: Study) -> None:
         clean.rsd(F.when(F.col("is_qc"), F.col("value"))).alias("qc_rsd"), clean.rsd(F.when(~F.col("is_qc"), F.col("value"))).alias("sample_rsd"), F.median("value").alias("median"),
         (n_samples - F.count("value")).alias("n_missing"), F.avg("value").alias("mean"))
     spread = written(spread, "spread")
-    study.only("correlated", merge.collapse_correlated(study.features.drop(*spread.columns[1:]).join(spread, "feature_id"), of))
-    study.only("adduct", merge.collapse_adducts(study.features.drop(*spread.columns[1:]).join(spread, "feature_id")))
+    study.only("correlated", merge.collapse_correlated(study.features.drop(*spread.columns[1:]).join(unsent(spread), "feature_id"), of))
+    study.only("adduct", merge.collapse_adducts(study.features.drop(*spread.columns[1:]).join(unsent(spread), "feature_id")))
 
 
 def normalized(study: Study, samples: DataFrame, stock: DataFrame | None = None, dilution: float | None = None) -> DataFrame:
@@ -132,12 +132,12 @@ def normalized(study: Study, samples: DataFrame, stock: DataFrame | None = None,
     of = study.features.select("feature_id", "polarity", "lipid_class", "is_standard")
     full = written(normalize.impute_detection_limit(study.left(), samples), "imputed")
     design = F.broadcast(samples.select("sample_id", "is_qc", "inj_order"))  # a row for each sample
-    cells = written(full.join(of, "feature_id").join(design, "sample_id"), "cells")
+    cells = written(full.join(unsent(of), "feature_id").join(design, "sample_id"), "cells")
     standards = cells.where("is_standard").select(F.col("feature_id").alias("standard_id"), "polarity", "sample_id", "value")
     voted = normalize.vote(normalize.choose_standard(cells, standards), of).select("feature_id", F.col("voted_id").alias("standard_id"))
     ratios = normalize.divide_by_standard(cells, voted, standards)
     ratios = written(ratios if stock is None else normalize.semi_quantify(ratios, stock, dilution).select(*ratios.columns), "ratios")
-    by_median = normalize.median_normalize(ratios.join(of, "feature_id"))
+    by_median = normalize.median_normalize(ratios.join(unsent(of), "feature_id"))
     by_class = written(normalize.class_median_normalize(by_median).join(design, "sample_id"), "normalized")
     return normalize.drift_correct(by_class.where("value IS NOT NULL"))
 
@@ -148,9 +148,9 @@ def finalize(study: Study) -> None:
     qc = stats.where("grp = 'QC'").select("feature_id", F.col("n_detected").alias("qc_detected"), F.col("rsd_pct").alias("qc_rsd"))
     own = [c for c in study.features.columns if c not in ("qc_detected", "qc_rsd")]
     study.features = study.features.select(*own)
-    study.step("final QC", clean.final_qc_filter(study.features.join(qc, "feature_id", "left")))
+    study.step("final QC", clean.final_qc_filter(study.features.join(unsent(qc), "feature_id", "left")))
     study.step("final groups", clean.final_group_filter(stats, study.features))
-    study.step("report", clean.report_filter(study.features.join(qc, "feature_id", "left")))
+    study.step("report", clean.report_filter(study.features.join(unsent(qc), "feature_id", "left")))
 
 
 def final_table(study: Study) -> DataFrame:

@@ -13,7 +13,7 @@ from .queries import (
     CATEGORY_SQL, CCS, CHANGE, CHOICE, CLASS_SQL, DETECTED, KRUSKAL, LIBRARY, MOMENTS, PRESENCE, SCORED, SIDES, ZG, _elimination_sql, _scaled, cells, change, detected, library, off_ccs, presence_counts, query, r, scored, standards,
     gated, moderated, side, sql_gate, sql_moderated, targets, tested, top_ids, TESTED,
 )
-from .scale import scratch
+from .scale import scratch, unsent
 from .sources import tables
 
 # Names of all kinds
@@ -526,7 +526,7 @@ def _study(spark: SparkSession, sf: str):  # noqa: ANN202
         "annotation": F.when((F.col("feature_id") % 3 == 0) & ~F.col("is_standard"), "").otherwise(F.col("annotation")), "annotation_type": F.when(F.col("is_standard"), "IS").otherwise("MS/MS match"),
     })
     samples = X.samples(spark)
-    of = X.intensity(spark, sf).join(F.broadcast(samples), "sample_id").join(f.select("feature_id", "lipid_class"), "feature_id")
+    of = X.intensity(spark, sf).join(F.broadcast(samples), "sample_id").join(unsent(f.select("feature_id", "lipid_class")), "feature_id")
     study = flows.Study(f, of, samples.groupBy("grp", "is_qc").agg(F.count("*").alias("size")))
     flows.cleanse(study, targets(spark, sf).where("position % 200 = 0"))
     lib = library(spark, sf).withColumn("annotation", F.format_string("PC %d:%d_18:1", 14 + F.col("lib_id") % 8 * 2, F.col("lib_id") % 3))
