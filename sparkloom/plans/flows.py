@@ -206,8 +206,8 @@ def differential_report(cells: DataFrame, features: DataFrame) -> dict[str, Data
     """
     volcano = written(tests.volcano(cells), "volcano")
     table = volcano.join(features.select("feature_id", "lipid_class"), "feature_id")
-    totals = cells.groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("value"))
-    ratios = composition.class_ratios(cells).select("sample_id", "grp", "ratio", F.col("log2_value").alias("value"))
+    totals = written(cells.groupBy("sample_id", "grp", "lipid_class").agg(F.sum("value").alias("value")), "totals")  # a row for each sample and class
+    ratios = composition.class_ratios(totals).select("sample_id", "grp", "ratio", F.col("log2_value").alias("value"))
     gates = {k: written(tests.gate(tests.kruskal(of, k), tests.welch(tests.group_moments(of, k), k), k), "gate") for k, of in (("lipid_class", totals), ("ratio", ratios))}
     hit = lambda of, k: of.select(F.col(k).cast("string").alias("id"), F.lit(None).cast("double").alias("effect"), F.col("omnibus_p").alias("p"), F.col("omnibus_fdr").alias("fdr")).distinct()
     best = tests.top_hits({
