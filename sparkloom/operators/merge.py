@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import linked_components, unsent, written
-from .multivariate import correlation_rows
+from .multivariate import centred, six_products
 
 
 #: Features of the second side in a part of a cell, and candidates of a task.
@@ -378,8 +378,43 @@ def collapse_adducts(features: DataFrame, seconds: float = 6.0, ppm: float = 5.0
     return merged.unionByName(features.where(alone).select("feature_id", F.col("feature_id").alias("kept_id")))
 
 
-#: Features of a cell of time that are compared in one task.
-CELL = 4_096
+#: Features of a cell of time that one task holds: fewer of many samples, but not under the second.
+CELL, CELL_LEAST, CELL_VALUES = 32_768, 4_096, 1 << 22
+
+
+def linked_rows(table: np.ndarray, rt: np.ndarray, first: np.ndarray, second: np.ndarray, within: bool, minutes: float, r: float, least: int) -> np.ndarray:
+    """A label for each row of a table, the same for those that are linked over any number of links of first and second (the same rows, if they are one tile).
+
+    A pair of rows that are one already is not looked at. Some rows at a time are compared with all columns that are not in the largest component
+    so far, and then with that one's, until each of them is in it.
+    """
+    there, table = centred(table)
+    known, label = there.astype(float), np.arange(len(table))
+
+    def join(some: np.ndarray, columns: np.ndarray) -> None:
+        for at in range(0, len(columns), 2_048):
+            part = columns[at : at + 2_048]
+            b, m = np.ascontiguousarray(table[part].T), np.ascontiguousarray(known[part].T)
+            n, found = six_products(table[some], known[some], b, m, b * b)
+            near = (np.abs(rt[some][:, None] - rt[part][None, :]) <= minutes) & (n >= least) & (found >= r) & (label[some][:, None] != label[part][None, :])
+            for k in np.flatnonzero(near.any(1)):
+                new = np.zeros(len(label), bool)
+                new[label[part[near[k]]]] = True
+                new[label[some[k]]] = True
+                label[new[label]] = label[some[k]]
+
+    for at in range(0, len(first), 16):
+        some = first[at : at + 16]
+        columns = second[second > some[0]] if within else second
+        mine = label[columns] == np.bincount(label).argmax()
+        join(some, columns[~mine])
+        largest = columns[mine]
+        for k in range(0, len(largest), 256):
+            left = some[label[some] != label[largest[0]]]
+            if not len(left):
+                break
+            join(left, largest[k : k + 256])
+    return label
 
 
 def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float = 0.3, r: float = 0.9, least: int = 4, cell: int | None = None) -> DataFrame:
@@ -391,11 +426,15 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
     Rows without annotation or time stay alone, as do those without values; an empty table stays empty.
 
     Time is cut in cells as wide as the reach, so both of a pair are in one cell or in neighbours. A cell is cut in tiles
-    of about CELL features, and each two tiles that pairs may be in are a group, of which numpy makes all correlations; each pair is in
-    one group. What is shuffled is a feature's array for each tile that it meets, and of the links of a group those only that
-    first join two of its features, over any number of links: fewer than it has features.
+    of about CELL features, and each two tiles that pairs may be in are a group; each pair is in one group. There a feature is compared with
+    others until it is known to be one with them: pairs that other links have joined change nothing. What is shuffled is a feature's array for each
+    tile that it meets, and for a group's features the smallest of those that they are one with: fewer rows than it has features.
     """
-    size = CELL if cell is None else cell
+    features = written(features.select("feature_id", "annotation", "lipid_class", "rt_min", "qc_rsd", "sample_rsd", "median"), "features")  # read three times
+    packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c"))
+    packed = written(packed.select("feature_id", F.col("c.sample_id").alias("samples"), F.col("c.v").alias("values")), "packed")
+    widest = packed.agg(F.max(F.size("values"))).first()[0] or 1
+    size = max(CELL_LEAST, min(CELL, CELL_VALUES // widest)) if cell is None else cell
     named = features.where("annotation <> '' AND rt_min IS NOT NULL").select(F.concat_ws("|", "annotation", "lipid_class").alias("name"), "feature_id", F.col("rt_min").cast("double").alias("rt"))
     named = named.withColumn("at", F.floor(F.col("rt") / (minutes * (1 + 1e-9))))
     tiles = written(named.groupBy("name", "at").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")), "tiles")
@@ -408,7 +447,6 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
     within = mine.withColumn("met", tile(F.col("tiles"))).select(*base, "at", F.lit(0).alias("next"), F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), (F.col("own") > met).cast("int").alias("side"))
     ahead = mine.where("later IS NOT NULL").withColumn("met", tile(F.col("later"))).select(*base, "at", F.lit(1).alias("next"), F.col("own").alias("x"), met.alias("y"), F.lit(0).alias("side"))
     behind = mine.where("earlier IS NOT NULL").withColumn("met", tile(F.col("earlier"))).select(*base, (F.col("at") - 1).alias("at"), F.lit(1).alias("next"), met.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
-    packed = cells.where("value > 0").groupBy("feature_id").agg(F.collect_list(F.struct("sample_id", F.log10(F.col("value") + 1).alias("v"))).alias("c")).select("feature_id", F.col("c.sample_id").alias("samples"), F.col("c.v").alias("values"))
     rows = within.unionByName(ahead).unionByName(behind).join(unsent(packed), "feature_id")
     kind = dict(features.dtypes)["feature_id"]
 
@@ -420,22 +458,11 @@ def collapse_correlated(features: DataFrame, cells: DataFrame, minutes: float =
         table = np.full((len(group), len(names)), np.nan)
         table[np.repeat(np.arange(len(group)), size), pc.index_in(flat, names).to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
         side, rt, within = group.column("side").to_numpy(), group.column("rt").to_numpy(), not group.column("next")[0].as_py() and group.column("x")[0] == group.column("y")[0]
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
-        label, one, two = np.arange(len(group)), [], []
-        for some, n, found in correlation_rows(table, first, second, 64):
-            with np.errstate(invalid="ignore"):
-                near = (np.abs(rt[some][:, None] - rt[second][None, :]) <= minutes) & (n >= least) & (found >= r)
-            near &= label[some][:, None] != label[second][None, :]
-            near &= some[:, None] < second[None, :] if within else True
-            for k, mine in zip(some[near.any(1)], near[near.any(1)]):
-                theirs = second[mine]
-                new, at = np.unique(label[theirs], return_index=True)
-                at = at[new != label[k]]  # others have been joined with k since
-                if len(at):
-                    one += [k] * len(at)
-                    two += theirs[at].tolist()
-                    label[np.isin(label, new)] = label[k]
-        return pa.table({"a": group.column("feature_id").take(pa.array(one, pa.int64())), "b": group.column("feature_id").take(pa.array(two, pa.int64()))})
+        label = linked_rows(table, rt, np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1)), within, minutes, r, least)
+        root = np.full(len(group), len(group))
+        np.minimum.at(root, label, np.arange(len(group)))  # rows are in the order of their ids
+        two = np.flatnonzero(root[label] < np.arange(len(group)))
+        return pa.table({"a": group.column("feature_id").take(pa.array(root[label[two]])), "b": group.column("feature_id").take(pa.array(two))})
 
     linked = rows.groupBy("name", "at", "next", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
     of = linked_components(linked).select(F.col("node").alias("feature_id"), F.col("label").alias("component")).join(unsent(features), "feature_id")
